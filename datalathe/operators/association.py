@@ -145,11 +145,11 @@ def discordant_pairs(points: DataFrame, leaf: int = LEAF_POINTS, blocks: int = B
     """
     schema = "pair int, d double"
 
-    def leaf_count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def leaf_count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d = discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
         return pd.DataFrame({"pair": [key[0]], "d": [d * pdf["sign"].iloc[0]]})
 
-    def cell_count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cell_count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"pair": [key[0]], "d": [_cross_blocks(pdf) * pdf["sign"].iloc[0]]})
 
     current = points.select("pair", F.lit("").alias("gid"), F.lit(1.0).alias("sign"), "x", "y", "w")

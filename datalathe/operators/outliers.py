@@ -27,13 +27,7 @@ def fit_bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[s
     out = {}
     if method == "iqr":
         for c, (q1, q3) in exact_quantiles(df, values, (0.25, 0.75)).items():
-            iqr = None if q1 is None else q3 - q1
-            out[c] = {
-                "center": None,
-                "spread": iqr,
-                "lower": None if iqr is None else q1 - IQR_MULTIPLIER * iqr,
-                "upper": None if iqr is None else q3 + IQR_MULTIPLIER * iqr,
-            }
+            out[c] = iqr_bounds(q1, q3)
     elif method == "zscore":
         row = df.agg(
             *[F.avg(non_nan(v)).alias(f"m{i}") for i, v in enumerate(values.values())],
@@ -50,6 +44,18 @@ def fit_bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[s
     return out
 
 
+def iqr_bounds(q1: float | None, q3: float | None) -> dict:
+    if q1 is None:
+        return {"center": None, "spread": None, "lower": None, "upper": None}
+    iqr = q3 - q1
+    return {
+        "center": None,
+        "spread": iqr,
+        "lower": q1 - IQR_MULTIPLIER * iqr,
+        "upper": q3 + IQR_MULTIPLIER * iqr,
+    }
+
+
 def _around(center, spread, threshold, scale) -> dict:
     usable = spread is not None and spread > 0
     reach = threshold * spread / scale if usable else None

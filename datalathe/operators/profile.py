@@ -124,39 +124,33 @@ def entropy(df: DataFrame, columns: list[str] | None = None, row_id: str | None
     return counts.join(distinct_summary(df, columns, row_id), "column", "left").select("column", "entropy")
 
 
-def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean, spread, shape and range of numeric columns from one map-side aggregate."""
-    aggs = []
+def moment_aggs(columns: list[str]) -> list[Column]:
+    """Map-side aggregates ``m<i>`` behind :func:`numeric_moments`, one struct per column."""
+    out = []
     for i, c in enumerate(columns):
         v = non_nan(col(c))
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"mean{i}"),
-            F.stddev_samp(v).alias(f"std{i}"),
-            F.var_samp(v).alias(f"var{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-            F.skewness(v).alias(f"skew{i}"),
-            F.kurtosis(v).alias(f"kurt{i}"),
-        ]
-    rows = []
-    for i, c in enumerate(columns):
-        enough = F.col(f"n{i}") >= 3
-        rows.append(
+        enough = F.count(v) >= 3
+        out.append(
             F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"n{i}").alias("count"),
-                F.col(f"mean{i}").alias("mean"),
-                F.col(f"std{i}").alias("std"),
-                F.col(f"var{i}").alias("variance"),
-                (F.col(f"min{i}") + 0.0).alias("minimum"),
-                (F.col(f"max{i}") + 0.0).alias("maximum"),
-                (F.col(f"max{i}") - F.col(f"min{i}") + 0.0).alias("range"),
-                F.when(enough, F.col(f"skew{i}") + 0.0).alias("skewness"),
-                F.when(enough, F.col(f"kurt{i}")).alias("kurtosis"),
-            )
+                F.count(v).alias("count"),
+                F.avg(v).alias("mean"),
+                F.stddev_samp(v).alias("std"),
+                F.var_samp(v).alias("variance"),
+                (F.min(v) + 0.0).alias("minimum"),
+                (F.max(v) + 0.0).alias("maximum"),
+                (F.max(v) - F.min(v) + 0.0).alias("range"),
+                F.when(enough, F.skewness(v) + 0.0).alias("skewness"),
+                F.when(enough, F.kurtosis(v)).alias("kurtosis"),
+            ).alias(f"m{i}")
         )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return out
+
+
+def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean, spread, shape and range of numeric columns from one map-side aggregate."""
+    wide = df.agg(*moment_aggs(columns))
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("m")) for i, c in enumerate(columns)]
+    return wide.select(F.inline(F.array(*entries))).select("column", "m.*")
 
 
 def profile_rows(

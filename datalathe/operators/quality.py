@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import ROW_ID, data_columns, kind_of, require_column
 from datalathe.functions.scalars import col, percent, present, strip
@@ -15,16 +15,23 @@ def string_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[str]:
     return [c for c in data_columns(df, row_id) if kind_of(df.schema[c]) == "string"]
 
 
+def padded_texts(texts: list[str]) -> list[Column]:
+    """Map-side flags: any value of the text column with surrounding whitespace."""
+    return [
+        F.coalesce(F.bool_or(col(c) != strip(col(c))), F.lit(False)).alias(f"padded{i}") for i, c in enumerate(texts)
+    ]
+
+
 def whitespace_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, has_whitespace)``: any text with leading or trailing whitespace."""
     columns = columns or data_columns(df, row_id)
     texts = [c for c in columns if kind_of(df.schema[c]) == "string"]
-    aggs = [F.coalesce(F.bool_or(col(c) != strip(col(c))), F.lit(False)).alias(f"w{texts.index(c)}") for c in texts]
+    aggs = padded_texts(texts)
     wide = df.agg(*aggs) if aggs else df.limit(0).agg(F.count(F.lit(1)))
     entries = [
         F.struct(
             F.lit(c).alias("column"),
-            (F.col(f"w{texts.index(c)}") if c in texts else F.lit(False)).alias("has_whitespace"),
+            (F.col(f"padded{texts.index(c)}") if c in texts else F.lit(False)).alias("has_whitespace"),
         )
         for c in columns
     ]

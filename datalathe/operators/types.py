@@ -24,7 +24,7 @@ MIN_SPLIT_RATIO = 0.5
 TYPES_SCHEMA = "column string, dtype string, detected_type string, effective_type string, is_overridden boolean"
 
 
-def _text_columns(df: DataFrame, columns: list[str]) -> list[str]:
+def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if kind_of(df.schema[c]) == "string"]
 
 
@@ -57,7 +57,7 @@ def detect_ids(df: DataFrame, columns: list[str] | None = None, row_id: str | No
     """``(column, is_id)``: near-unique single-token values, named like an id or fully unique."""
     columns = columns or data_columns(df, row_id)
     base = base_counts(df, columns, row_id).join(distinct_summary(df, columns, row_id), "column", "left")
-    texts = _text_columns(df, columns)
+    texts = text_columns(df, columns)
     if texts:
         base = base.join(sample_facts(df, texts, row_id), "column", "left")
     else:
@@ -67,7 +67,7 @@ def detect_ids(df: DataFrame, columns: list[str] | None = None, row_id: str | No
 
 def _id_rule(df: DataFrame, columns: list[str]) -> Column:
     ints = [c for c in columns if kind_of(df.schema[c]) == "integer"]
-    texts = _text_columns(df, columns)
+    texts = text_columns(df, columns)
     ratio = F.try_divide(F.col("unique_count"), F.col("count"))
     # An integer column with gaps is not an id: the reference reads it as floating point.
     whole = F.col("column").isin(ints) & (F.col("count") == F.col("rows"))
@@ -79,7 +79,18 @@ def _id_rule(df: DataFrame, columns: list[str]) -> Column:
     )
 
 
-def delimiter_scores(df: DataFrame, columns: list[str], min_split_ratio: float = MIN_SPLIT_RATIO) -> DataFrame:
+def delimiter_hits(columns: list[str]) -> list[Column]:
+    """Map-side counts per text column: texts, and texts that contain each delimiter."""
+    return [F.count(col(c)).alias(f"texts{i}") for i, c in enumerate(columns)] + [
+        F.count_if(F.contains(col(c), F.lit(d))).alias(f"hits{i}_{k}")
+        for i, c in enumerate(columns)
+        for k, d in enumerate(DELIMITERS)
+    ]
+
+
+def delimiter_scores(
+    df: DataFrame, columns: list[str], min_split_ratio: float = MIN_SPLIT_RATIO, seen=None
+) -> DataFrame:
     """``(column, delimiter, split_ratio, tokens, vocabulary, rows, score)`` of plausible delimiters.
 
     A first map-side pass drops delimiters that too few rows contain; only the rest
@@ -92,18 +103,12 @@ def delimiter_scores(df: DataFrame, columns: list[str], min_split_ratio: float =
     )
     if not columns:
         return spark.createDataFrame([], schema)
-    seen = df.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[
-            F.count_if(F.contains(col(c), F.lit(d))).alias(f"h{i}_{k}")
-            for i, c in enumerate(columns)
-            for k, d in enumerate(DELIMITERS)
-        ],
-    ).first()
+    if seen is None:
+        seen = df.agg(*delimiter_hits(columns)).first()
     candidates = []
     for i, c in enumerate(columns):
         for k, d in enumerate(DELIMITERS):
-            n, hits = seen[f"n{i}"], seen[f"h{i}_{k}"]
+            n, hits = seen[f"texts{i}"], seen[f"hits{i}_{k}"]
             if n and hits / n >= min_split_ratio:
                 candidates.append((c, d, k, n, hits / n))
     if not candidates:
@@ -131,11 +136,15 @@ def delimiter_scores(df: DataFrame, columns: list[str], min_split_ratio: float =
 
 
 def detect_delimiters(
-    df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID, min_split_ratio: float = MIN_SPLIT_RATIO
+    df: DataFrame,
+    columns: list[str] | None = None,
+    row_id: str | None = ROW_ID,
+    min_split_ratio: float = MIN_SPLIT_RATIO,
+    seen=None,
 ) -> DataFrame:
     """``(column, delimiter)``: the best delimiter of each multi-label text column, else NULL."""
     columns = columns or data_columns(df, row_id)
-    scored = delimiter_scores(df, _text_columns(df, columns), min_split_ratio)
+    scored = delimiter_scores(df, text_columns(df, columns), min_split_ratio, seen)
     best = scored.where("score > 0").groupBy("column").agg(
         F.min_by("delimiter", F.struct(-F.col("score"), F.col("priority"))).alias("delimiter")
     )
@@ -156,16 +165,20 @@ def detect_types(
 ) -> DataFrame:
     """``(column, dtype, detected_type, effective_type, is_overridden)``; an override wins."""
     overrides = overrides or {}
-    for c, t in overrides.items():
-        check_logical_type(t)
     columns = columns or data_columns(df, row_id)
     base = base_counts(df, columns, row_id).join(distinct_summary(df, columns, row_id), "column", "left")
-    texts = _text_columns(df, columns)
+    texts = text_columns(df, columns)
     if texts:
         base = base.join(sample_facts(df, texts, row_id), "column", "left")
     else:
         base = base.withColumn("mean_words", F.lit(None).cast("double"))
-    base = base.join(detect_delimiters(df, columns, row_id), "column", "left")
+    return classify(df, base.join(detect_delimiters(df, columns, row_id), "column", "left"), columns, overrides)
+
+
+def classify(df: DataFrame, measures: DataFrame, columns: list[str], overrides: dict[str, str]) -> DataFrame:
+    """Types from one row of measures per column: rows, count, unique_count, mean_words, delimiter."""
+    for t in overrides.values():
+        check_logical_type(t)
     known = df.sparkSession.createDataFrame(
         [
             (i, c, df.schema[c].dataType.simpleString(), kind_of(df.schema[c]), overrides.get(c))
@@ -187,7 +200,7 @@ def detect_types(
         .otherwise("mixed")
     )
     return (
-        base.join(F.broadcast(known), "column")  # one row per column of the schema
+        measures.join(F.broadcast(known), "column")  # one row per column of the schema
         .withColumn("detected_type", detected)
         .orderBy("position")
         .select(
@@ -220,7 +233,7 @@ def datetime_flags(df: DataFrame, columns: list[str] | None = None, row_id: str
     """``(column, is_datetime_convertible)``: nine in ten of the first texts parse as dates."""
     columns = columns or data_columns(df, row_id)
     names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-    texts = _text_columns(df, columns)
+    texts = text_columns(df, columns)
     if not texts:
         return names.select("column", F.lit(False).alias("is_datetime_convertible"))
     return names.join(sample_facts(df, texts, row_id), "column", "left").select(
@@ -228,18 +241,25 @@ def datetime_flags(df: DataFrame, columns: list[str] | None = None, row_id: str
     )
 
 
+def whole_numbers(floats: list[str]) -> list[Column]:
+    """Map-side flags: every value of the floating column is whole."""
+    return [
+        F.bool_and(non_nan(col(c)) == F.rint(non_nan(col(c)))).alias(f"whole{i}") for i, c in enumerate(floats)
+    ]
+
+
 def integer_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, is_int_convertible)``: a floating column that holds whole numbers only."""
     columns = columns or data_columns(df, row_id)
     floats = [c for c in columns if kind_of(df.schema[c]) == "float"]
     wide = df.agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.bool_and(non_nan(col(c)) == F.rint(non_nan(col(c)))).alias(f"w{i}") for i, c in enumerate(floats)],
+        *whole_numbers(floats),
     )
     entries = [
         F.struct(
             F.lit(c).alias("column"),
-            (F.coalesce(F.col(f"w{floats.index(c)}"), F.lit(False)) if c in floats else F.lit(False)).alias(
+            (F.coalesce(F.col(f"whole{floats.index(c)}"), F.lit(False)) if c in floats else F.lit(False)).alias(
                 "is_int_convertible"
             ),
         )
@@ -251,7 +271,7 @@ def integer_flags(df: DataFrame, columns: list[str] | None = None, row_id: str |
 def category_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, is_category_beneficial)``: text whose distinct share is below one half."""
     columns = columns or data_columns(df, row_id)
-    texts = _text_columns(df, columns)
+    texts = text_columns(df, columns)
     return base_profile(df, columns, row_id).select(
         "column",
         (F.col("column").isin(texts) & (F.col("cardinality_ratio") < CATEGORY_DTYPE_MAX_RATIO)).alias(

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from datalathe.functions.kinds import ROW_ID, data_columns, numeric_columns
+from datalathe.functions.kinds import ROW_ID, data_columns, is_numeric, kind_of
+from datalathe.functions.quantiles import exact_quantiles
+from datalathe.functions.scalars import col, present, round_py
 from datalathe.operators.association import HIGH_CORRELATION, correlations
-from datalathe.operators.outliers import fit_bounds, outlier_counts
-from datalathe.operators.profile import profile_rows
-from datalathe.operators.quality import case_flags, duplicate_columns, duplicate_rows, whitespace_flags
+from datalathe.operators.outliers import iqr_bounds, outlier_counts
+from datalathe.operators.profile import QUARTILES, distinct_summary, moment_aggs
+from datalathe.operators.quality import case_flags, duplicate_columns, duplicate_rows, padded_texts
 from datalathe.operators.types import (
     CATEGORY_DTYPE_MAX_RATIO,
-    datetime_flags,
-    effective_types,
-    integer_flags,
+    DATETIME_MIN_PARSED,
+    classify,
+    delimiter_hits,
+    detect_delimiters,
+    sample_facts,
+    text_columns,
+    whole_numbers,
 )
-from datalathe.functions.kinds import kind_of
 
 NUMBER_FACTS = ("mean", "median", "std", "variance", "minimum", "maximum", "range", "skewness", "kurtosis")
 
@@ -82,70 +87,92 @@ def collect_facts(
 ) -> Facts:
     """Facts of the given columns and, unless told otherwise, of the whole dataset."""
     columns = columns or data_columns(df, row_id)
-    types = effective_types(df, overrides, row_id, columns)
-    profiles = {p["column"]: p for p in profile_rows(df, {c: t[1] for c, t in types.items()}, row_id, columns)}
+    texts = text_columns(df, columns)
+    numeric = [c for c in columns if is_numeric(df, c)]
+    floats = [c for c in numeric if kind_of(df.schema[c]) == "float"]
+
+    # Everything that needs no shuffle, in one scan.
+    scan = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *moment_aggs(numeric),
+        *padded_texts(texts),
+        *whole_numbers(floats),
+        *delimiter_hits(texts),
+    ).first()
+    distinct = {r["column"]: r.asDict() for r in distinct_summary(df, columns, row_id).collect()}
+    samples = {r["column"]: r.asDict() for r in sample_facts(df, texts, row_id).collect()} if texts else {}
+    delimiters = {}
+    if texts:
+        delimiters = {r[0]: r[1] for r in detect_delimiters(df, texts, row_id, seen=scan).collect()}
+    mixed = {r[0]: r[1] for r in case_flags(df, texts, row_id).collect()} if texts else {}
+    quartiles = exact_quantiles(df, {c: col(c) for c in numeric}, QUARTILES)
+
+    rows, nothing = scan["rows"], {"unique_count": 0, "mode": None, "entropy": None}
+    measures = df.sparkSession.createDataFrame(
+        [
+            (
+                c, rows, scan[f"n{i}"], distinct.get(c, nothing)["unique_count"],
+                samples.get(c, {}).get("mean_words"), delimiters.get(c),
+            )
+            for i, c in enumerate(columns)
+        ],
+        "column string, rows long, count long, unique_count long, mean_words double, delimiter string",
+    )
+    classified = classify(df, measures, columns, overrides or {}).collect()
+    types = {r["column"]: (r["detected_type"], r["effective_type"], r["is_overridden"]) for r in classified}
+
+    profiles = {}
+    for i, c in enumerate(columns):
+        count, unique = scan[f"n{i}"], distinct.get(c, nothing)["unique_count"]
+        p = {
+            "column": c,
+            "dtype": df.schema[c].dataType.simpleString(),
+            "count": count,
+            "missing_count": rows - count,
+            "missing_percentage": round_py((rows - count) / rows * 100, 2) if rows else 0.0,
+            "cardinality_ratio": round_py(unique / rows, 4) if rows else 0.0,
+            **distinct.get(c, nothing),
+        }
+        if c in numeric and types[c][1] == "numerical":
+            p.update(scan[f"m{numeric.index(c)}"].asDict())
+            p.update(zip(("q1", "median", "q3"), quartiles[c]))
+            p["mode"] = None if p["mode"] is None else str(float(p["mode"]))
+        profiles[c] = p
+
     flags = {
-        name: {r["column"]: r[name] for r in frame.collect()}
-        for name, frame in (
-            ("has_whitespace", whitespace_flags(df, columns, row_id)),
-            ("has_case_inconsistency", case_flags(df, columns, row_id)),
-            ("is_datetime_convertible", datetime_flags(df, columns, row_id)),
-            ("is_int_convertible", integer_flags(df, columns, row_id)),
-        )
+        c: {
+            "has_whitespace": c in texts and scan[f"padded{texts.index(c)}"],
+            "has_case_inconsistency": mixed.get(c, False),
+            "is_datetime_convertible": (samples.get(c, {}).get("parsed") or 0.0) >= DATETIME_MIN_PARSED,
+            "is_int_convertible": c in floats and bool(scan[f"whole{floats.index(c)}"]),
+            "is_category_beneficial": c in texts
+            and profiles[c]["cardinality_ratio"] < CATEGORY_DTYPE_MAX_RATIO,
+        }
+        for c in columns
     }
-    numeric = [c for c in columns if c in numeric_columns(df, row_id)]
     outliers = {}
     if numeric:
-        known = {
-            c: _iqr_bounds(profiles[c]) for c in numeric if profiles[c].get("q1") is not None
-        }
-        rest = [c for c in numeric if c not in known]
-        bounds = {**known, **(fit_bounds(df, rest, "iqr") if rest else {})}
+        bounds = {c: iqr_bounds(quartiles[c][0], quartiles[c][2]) for c in numeric}
         outliers = {r["column"]: r.asDict() for r in outlier_counts(df, numeric, "iqr", bounds).collect()}
-    rows = [_column_row(df, i, c, types[c][1], profiles[c], flags, outliers) for i, c in enumerate(columns)]
-    n = profiles[columns[0]]["count"] + profiles[columns[0]]["missing_count"]
-    facts = Facts(df, columns, types, profiles, rows, None, n, {"outliers": outliers})
+    fact_rows = [_column_row(i, c, types[c][1], profiles[c], flags[c], outliers) for i, c in enumerate(columns)]
+    facts = Facts(df, columns, types, profiles, fact_rows, None, rows, {"outliers": outliers})
     if dataset:
         facts.dataset_row = dataset_facts_row(df, row_id)
     return facts
 
 
-def _iqr_bounds(p: dict) -> dict:
-    from datalathe.operators.outliers import IQR_MULTIPLIER
-
-    iqr = p["q3"] - p["q1"]
-    return {
-        "center": None,
-        "spread": iqr,
-        "lower": p["q1"] - IQR_MULTIPLIER * iqr,
-        "upper": p["q3"] + IQR_MULTIPLIER * iqr,
-    }
-
-
-def _column_row(df, position, column, effective, p, flags, outliers) -> tuple:
-    is_text = kind_of(df.schema[column]) == "string"
+def _column_row(position, column, effective, p, flags, outliers) -> tuple:
     unique, ratio = p["unique_count"], p["cardinality_ratio"]
     # A statistic that was not computed counts as 0. The shape of a constant column is
     # undefined rather than 0, so it stays NULL and no condition on it holds.
     undefined = ("skewness", "kurtosis") if p.get("minimum") is not None and p["count"] >= 3 else ()
     numbers = [p.get(n) if p.get(n) is not None or n in undefined else 0.0 for n in NUMBER_FACTS]
     return (
-        position,
-        column,
-        effective,
-        p["missing_percentage"],
-        p["missing_count"],
-        unique,
-        ratio,
-        p["count"],
+        position, column, effective, p["missing_percentage"], p["missing_count"], unique, ratio, p["count"],
         *numbers,
-        flags["has_whitespace"][column],
-        flags["has_case_inconsistency"][column],
-        unique == 1,
-        unique > 1 and ratio < 0.01,
-        flags["is_datetime_convertible"][column],
-        flags["is_int_convertible"][column],
-        is_text and ratio < CATEGORY_DTYPE_MAX_RATIO,
+        flags["has_whitespace"], flags["has_case_inconsistency"], unique == 1, unique > 1 and ratio < 0.01,
+        flags["is_datetime_convertible"], flags["is_int_convertible"], flags["is_category_beneficial"],
         outliers[column]["outlier_percentage"] if column in outliers else 0.0,
     )
 

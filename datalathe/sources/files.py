@@ -112,7 +112,10 @@ def _in_order(df: DataFrame, row_id: str | None, keep_order: bool) -> DataFrame:
 def write_csv(df: DataFrame, path: str, row_id: str | None = ROW_ID, keep_order: bool = True) -> None:
     """Data columns with a header; part files are in row order unless that is waived."""
     out = _in_order(df, row_id, keep_order)
-    out.write.options(header=True, escape='"').csv(path)
+    # By default the CSV writer trims texts.
+    out.write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, row_id: str | None = ROW_ID, keep_order: bool = True) -> None:
