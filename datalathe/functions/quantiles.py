@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from datalathe.functions.scalars import non_nan
+from datalathe.functions.scalars import non_nan, number
 
 ACCURACY = 10_000
 # Most values all open brackets of one pass may bring along, so the pass stays small.
@@ -31,13 +31,14 @@ class _Search:
         self.base, self.size, self.ranks = base, size, sorted(ranks)
         self.a = self.b = None
 
-    def inside(self, v: Column) -> Column:
-        cond = v.isNotNull()
+    def inside(self, v: str) -> str:
+        """SQL text: the value lies in the open interval."""
+        parts = [f"{v} IS NOT NULL"]
         if self.low is not None:
-            cond = cond & (v > F.lit(self.low))
+            parts.append(f"{v} > {number(self.low)}")
         if self.high is not None:
-            cond = cond & (v < F.lit(self.high))
-        return cond
+            parts.append(f"{v} < {number(self.high)}")
+        return " AND ".join(parts)
 
     def positions(self) -> list[float]:
         slack = 2.0 / ACCURACY
@@ -74,9 +75,10 @@ def exact_quantiles(
     base = df.select(*[non_nan(values[n]).alias(f"v{i}") for i, n in enumerate(names)])
     slack = 2.0 / ACCURACY
     brackets = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    wanted = _array(brackets)
     first = base.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.percentile_approx(f"v{i}", brackets, ACCURACY).alias(f"q{i}") for i in range(len(names))],
+        *[F.expr(f"count(v{i}) AS n{i}") for i in range(len(names))],
+        *[F.expr(f"percentile_approx(v{i}, {wanted}, {ACCURACY}) AS q{i}") for i in range(len(names))],
     ).first()
 
     counts = [first[f"n{i}"] for i in range(len(names))]
@@ -108,11 +110,16 @@ def exact_quantiles(
     return out
 
 
+def _array(values: Sequence[float]) -> str:
+    return f"array({', '.join(number(v) for v in values)})"
+
+
 def _sketch_round(base: DataFrame, searches: list[_Search]) -> None:
     aggs = []
     for s_i, s in enumerate(searches):
-        v = F.col(f"v{s.index}")
-        aggs.append(F.percentile_approx(F.when(s.inside(v), v), s.positions(), ACCURACY).alias(f"q{s_i}"))
+        v = f"v{s.index}"
+        chosen = f"if({s.inside(v)}, {v}, NULL)"
+        aggs.append(F.expr(f"percentile_approx({chosen}, {_array(s.positions())}, {ACCURACY}) AS q{s_i}"))
     row = base.agg(*aggs).first()
     for s_i, s in enumerate(searches):
         s.a, s.b = row[f"q{s_i}"]
@@ -122,17 +129,13 @@ def _count_round(base, searches, found, budget) -> list[_Search]:
     share = budget / len(searches)
     aggs = []
     for s_i, s in enumerate(searches):
-        v = F.col(f"v{s.index}")
-        between = (v > F.lit(s.a)) & (v < F.lit(s.b))
-        aggs += [
-            F.count_if(s.inside(v) & (v < F.lit(s.a))).alias(f"lt{s_i}"),
-            F.count_if(v == F.lit(s.a)).alias(f"ea{s_i}"),
-            F.count_if(between).alias(f"in{s_i}"),
-            F.count_if(v == F.lit(s.b)).alias(f"eb{s_i}"),
-        ]
+        v, a, b = f"v{s.index}", number(s.a), number(s.b)
+        between = f"{v} > {a} AND {v} < {b}"
+        tests = {"lt": f"{s.inside(v)} AND {v} < {a}", "ea": f"{v} = {a}", "in": between, "eb": f"{v} = {b}"}
+        aggs += [F.expr(f"count_if({t}) AS {name}{s_i}") for name, t in tests.items()]
         # The sketch bounds the number of rows between its pivots, so the list is bounded too.
         if s.a != s.b and s.expected() <= share:
-            aggs.append(F.sort_array(F.collect_list(F.when(between, v))).alias(f"vs{s_i}"))
+            aggs.append(F.expr(f"sort_array(collect_list(if({between}, {v}, NULL))) AS vs{s_i}"))
     row = base.agg(*aggs).first().asDict()
 
     still: list[_Search] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The characters Python's str.strip() removes; none lies beyond the ideographic space.
@@ -31,23 +33,44 @@ DATE_LAYOUTS = (
 
 def col(name: str) -> Column:
     """A column by its literal name; dots and backticks are not special."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(q(name))
 
 
-def missing(df: DataFrame, column: str) -> Column:
-    """True for NULL, and for NaN in floating columns."""
-    c = col(column)
+def q(name: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def number(x: float) -> str:
+    """A double literal for SQL text."""
+    return f"{x!r}D" if math.isfinite(x) else f"double('{x}')"
+
+
+def text(s: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def value_sql(df: DataFrame, column: str) -> str:
+    """SQL text of the column with NaN turned into NULL."""
     if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+        return f"nanvl({q(column)}, NULL)"
+    return q(column)
+
+
+def number_sql(column: str) -> str:
+    """SQL text of a numeric column as double, with NaN turned into NULL."""
+    return f"nanvl(double({q(column)}), NULL)"
 
 
 def present(df: DataFrame, column: str) -> Column:
     """The column with NaN turned into NULL."""
-    c = col(column)
-    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c)
-    return c
+    return F.expr(value_sql(df, column))
+
+
+def missing(df: DataFrame, column: str) -> Column:
+    """True for NULL, and for NaN in floating columns."""
+    return F.expr(f"{value_sql(df, column)} IS NULL")
 
 
 def strip(c: Column) -> Column:
@@ -76,8 +99,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def non_nan(c: Column) -> Column:
     """Double value with NaN turned into NULL."""
-    d = c.cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nanvl(c.cast("double"), F.lit(None))
 
 
 def word_count(c: Column) -> Column:
@@ -91,9 +113,9 @@ def parse_timestamp(c: Column) -> Column:
     The ISO cast also accepts bare times of day, which are not dates, so it is
     tried only on text that starts with a four-digit year.
     """
-    text = strip(c)
-    iso = F.when(text.rlike(r"^\d{4}($|-)"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS])
+    trimmed = strip(c)
+    iso = F.when(trimmed.rlike(r"^\d{4}($|-)"), trimmed.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(trimmed, F.lit(layout)) for layout in DATE_LAYOUTS])
 
 
 def tokens(c: Column, delimiter: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datalathe.functions.kinds import ROW_ID, numeric_columns
 from datalathe.functions.ordering import running_total
-from datalathe.functions.scalars import col, non_nan, present, round_dp
+from datalathe.functions.scalars import col, non_nan, number_sql, present, round_dp, text
 from datalathe.session import cut_lineage
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -32,10 +32,11 @@ def pair_columns(columns: list[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def _safe_corr(a: Column, b: Column) -> Column:
+def _safe_corr(a: str, b: str, name: str) -> Column:
     """Pairwise-complete Pearson; NULL, not an error, when either side is constant."""
-    spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b)))
-    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+    x, y = number_sql(a), number_sql(b)
+    spread = f"sqrt(var_pop(if({y} IS NOT NULL, {x}, NULL)) * var_pop(if({x} IS NOT NULL, {y}, NULL)))"
+    return F.expr(f"if({spread} > 0, covar_pop({x}, {y}) / {spread}, NULL) AS {name}")
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,14 +45,12 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         block = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(
-            *[_safe_corr(non_nan(col(a)), non_nan(col(b))).alias(f"r{i}") for i, (a, b) in enumerate(block)]
-        )
-        entries = [
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
+        wide = df.agg(*[_safe_corr(a, b, f"r{i}") for i, (a, b) in enumerate(block)])
+        entries = ", ".join(
+            f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', r{i})"
             for i, (a, b) in enumerate(block)
-        ]
-        part = wide.select(F.inline(F.array(*entries)))
+        )
+        part = wide.selectExpr(f"inline(array({entries}))")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -264,7 +263,7 @@ def high_pairs(df: DataFrame, threshold: float = HIGH_CORRELATION, row_id: str |
 def top_correlated(df: DataFrame, column: str, n: int = 5, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, correlation)`` of the ``n`` numeric columns most correlated with one column."""
     others = [c for c in numeric_columns(df, row_id) if c != column]
-    r = df.agg(*[_safe_corr(non_nan(col(column)), non_nan(col(o))).alias(f"r{i}") for i, o in enumerate(others)])
+    r = df.agg(*[_safe_corr(column, o, f"r{i}") for i, o in enumerate(others)])
     entries = [
         F.struct(F.lit(o).alias("column"), round_dp(F.col(f"r{i}"), 3).alias("correlation"), F.lit(i).alias("position"))
         for i, o in enumerate(others)

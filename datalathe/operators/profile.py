@@ -13,7 +13,18 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from datalathe.functions.kinds import ROW_ID, data_columns, is_numeric, kind_of, require_column
 from datalathe.functions.quantiles import exact_quantiles
-from datalathe.functions.scalars import col, missing, non_nan, percent, present, round_dp, round_py
+from datalathe.functions.scalars import (
+    col,
+    missing,
+    non_nan,
+    number_sql,
+    percent,
+    q,
+    round_dp,
+    round_py,
+    text,
+    value_sql,
+)
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -42,15 +53,27 @@ PROFILE_SCHEMA = T.StructType(
 )
 
 
+def count_aggs(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Map-side counts ``n<i>`` of the non-missing values of each column."""
+    return [F.expr(f"count({value_sql(df, c)}) AS n{i}") for i, c in enumerate(columns)]
+
+
+def tidy(wide: DataFrame, columns: list[str], fields) -> DataFrame:
+    """One row per column from a single wide row; ``fields(i)`` is the SQL text of its fields."""
+    entries = ", ".join(f"named_struct('column', {text(c)}, {_pairs(fields(i))})" for i, c in enumerate(columns))
+    return wide.selectExpr(f"inline(array({entries}))")
+
+
+def _pairs(fields: str) -> str:
+    """``expr AS name, ...`` as the arguments of named_struct."""
+    return ", ".join(f"'{name}', {expr}" for expr, name in (f.rsplit(" AS ", 1) for f in fields.split(", ")))
+
+
 def base_counts(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, rows, count)`` for every column from a single map-side aggregate."""
     columns = columns or data_columns(df, row_id)
-    wide = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
-    )
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count")) for i, c in enumerate(columns)]
-    return wide.select("rows", F.inline(F.array(*entries))).select("column", "rows", "count")
+    wide = df.agg(F.expr("count(1) AS rows"), *count_aggs(df, columns))
+    return tidy(wide, columns, lambda i: f"rows AS rows, n{i} AS count")
 
 
 def _branches(df: DataFrame, columns: list[str]) -> list[tuple[list[str], str]]:
@@ -76,18 +99,19 @@ def _branches(df: DataFrame, columns: list[str]) -> list[tuple[list[str], str]]:
 
 def value_histogram(df: DataFrame, columns: list[str], as_type: str) -> DataFrame:
     """``(column, value, cnt)`` over non-missing values of columns of one type."""
-    narrow = df.select(*[present(df, c).cast(as_type).alias(c) for c in columns])
-    melted = narrow.unpivot([], [col(c) for c in columns], "column", "value")
-    return melted.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    narrow = df.selectExpr(*[f"cast({value_sql(df, c)} AS {as_type}) AS {q(c)}" for c in columns])
+    melted = narrow.unpivot([], [q(c) for c in columns], "column", "value")
+    return melted.where("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(1) AS cnt"))
 
 
 def summarize_histogram(hist: DataFrame) -> DataFrame:
     """unique_count, mode (smallest of the tied values) and entropy per column."""
-    n, cnt = F.sum("cnt"), F.col("cnt")
     return hist.groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        F.min_by("value", F.struct(-cnt, F.col("value"))).cast("string").alias("mode"),
-        round_dp(F.log2(n.cast("double")) - F.sum(cnt * F.log2(cnt.cast("double"))) / n, 4).alias("entropy"),
+        F.expr("count(1) AS unique_count"),
+        F.expr("cast(min_by(value, struct(-cnt, value)) AS string) AS mode"),
+        F.expr(
+            "rint((log2(double(sum(cnt))) - sum(cnt * log2(double(cnt))) / sum(cnt)) * 10000D) / 10000D + 0D AS entropy"
+        ),
     )
 
 
@@ -128,20 +152,14 @@ def moment_aggs(columns: list[str]) -> list[Column]:
     """Map-side aggregates ``m<i>`` behind :func:`numeric_moments`, one struct per column."""
     out = []
     for i, c in enumerate(columns):
-        v = non_nan(col(c))
-        enough = F.count(v) >= 3
+        v = number_sql(c)
         out.append(
-            F.struct(
-                F.count(v).alias("count"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-                F.var_samp(v).alias("variance"),
-                (F.min(v) + 0.0).alias("minimum"),
-                (F.max(v) + 0.0).alias("maximum"),
-                (F.max(v) - F.min(v) + 0.0).alias("range"),
-                F.when(enough, F.skewness(v) + 0.0).alias("skewness"),
-                F.when(enough, F.kurtosis(v)).alias("kurtosis"),
-            ).alias(f"m{i}")
+            F.expr(
+                f"struct(count({v}) AS count, avg({v}) AS mean, stddev_samp({v}) AS std, var_samp({v}) AS variance, "
+                f"min({v}) + 0D AS minimum, max({v}) + 0D AS maximum, max({v}) - min({v}) + 0D AS range, "
+                f"if(count({v}) >= 3, skewness({v}) + 0D, NULL) AS skewness, "
+                f"if(count({v}) >= 3, kurtosis({v}), NULL) AS kurtosis) AS m{i}"
+            )
         )
     return out
 
@@ -149,8 +167,7 @@ def moment_aggs(columns: list[str]) -> list[Column]:
 def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, spread, shape and range of numeric columns from one map-side aggregate."""
     wide = df.agg(*moment_aggs(columns))
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("m")) for i, c in enumerate(columns)]
-    return wide.select(F.inline(F.array(*entries))).select("column", "m.*")
+    return tidy(wide, columns, lambda i: f"m{i} AS m").select("column", "m.*")
 
 
 def profile_rows(

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import ROW_ID, data_columns, kind_of, require_column
-from datalathe.functions.scalars import col, percent, present, strip
-from datalathe.operators.profile import base_profile
+from datalathe.functions.scalars import WHITESPACE, col, percent, present, q, strip, text, value_sql
+from datalathe.operators.profile import base_profile, tidy
 
 
 def string_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[str]:
@@ -17,8 +17,9 @@ def string_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[str]:
 
 def padded_texts(texts: list[str]) -> list[Column]:
     """Map-side flags: any value of the text column with surrounding whitespace."""
+    blanks = text(WHITESPACE)
     return [
-        F.coalesce(F.bool_or(col(c) != strip(col(c))), F.lit(False)).alias(f"padded{i}") for i, c in enumerate(texts)
+        F.expr(f"coalesce(bool_or({q(c)} <> btrim({q(c)}, {blanks})), false) AS padded{i}") for i, c in enumerate(texts)
     ]
 
 
@@ -27,15 +28,10 @@ def whitespace_flags(df: DataFrame, columns: list[str] | None = None, row_id: st
     columns = columns or data_columns(df, row_id)
     texts = [c for c in columns if kind_of(df.schema[c]) == "string"]
     aggs = padded_texts(texts)
-    wide = df.agg(*aggs) if aggs else df.limit(0).agg(F.count(F.lit(1)))
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (F.col(f"padded{texts.index(c)}") if c in texts else F.lit(False)).alias("has_whitespace"),
-        )
-        for c in columns
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    wide = df.agg(*aggs) if aggs else df.agg(F.expr("count(1) AS rows"))
+    return tidy(
+        wide, columns, lambda i: (f"padded{texts.index(columns[i])}" if columns[i] in texts else "false") + " AS has_whitespace"
+    )
 
 
 def case_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
@@ -86,8 +82,8 @@ def duplicate_rows(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
     """
     columns = [present(df, c).alias(c) for c in data_columns(df, row_id)]
     rows = df.select(*columns)
-    names = [col(c) for c in rows.columns]
-    hashed = rows.select("*", F.xxhash64(*names).alias("__hash"))
+    names = [q(c) for c in rows.columns]
+    hashed = rows.selectExpr("*", f"xxhash64({', '.join(names)}) AS __hash")
     by_hash = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("cnt"))
     repeated = by_hash.where("cnt > 1").select("__hash")
     suspects = hashed.join(repeated, "__hash", "left_semi").groupBy("__hash", *names).agg(F.count(F.lit(1)).alias("cnt"))
@@ -145,8 +141,8 @@ def duplicate_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[tuple[
     columns = data_columns(df, row_id)
     whole = F.xxhash64(*[present(df, c) for c in columns])
     prints = df.select(whole.alias("__h"), *[present(df, c).alias(c) for c in columns]).agg(
-        *[F.bit_xor(F.xxhash64(F.col("__h"), col(c))).alias(f"f{i}") for i, c in enumerate(columns)],
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"bit_xor(xxhash64(__h, {q(c)})) AS f{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"count({q(c)}) AS n{i}") for i, c in enumerate(columns)],
     ).first()
     shortlist: dict[tuple, list[str]] = {}
     for i, c in enumerate(columns):
@@ -158,7 +154,7 @@ def duplicate_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[tuple[
         checks = [(g[0], other) for g in open_groups for other in g[1:]]
         row = df.agg(
             *[
-                F.coalesce(F.bool_and(present(df, a).eqNullSafe(present(df, b))), F.lit(True)).alias(f"e{i}")
+                F.expr(f"coalesce(bool_and({value_sql(df, a)} <=> {value_sql(df, b)}), true) AS e{i}")
                 for i, (a, b) in enumerate(checks)
             ]
         ).first()

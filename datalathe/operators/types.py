@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from datalathe.functions.kinds import LOGICAL_TYPES, ROW_ID, data_columns, kind_of, require_column
-from datalathe.functions.scalars import col, non_nan, parse_timestamp, strip, tokens, word_count
-from datalathe.operators.profile import base_counts, base_profile, distinct_summary
+from datalathe.functions.scalars import col, number_sql, parse_timestamp, q, tokens, word_count
+from datalathe.operators.profile import base_counts, base_profile, distinct_summary, tidy
 
 # Name pattern, thresholds and sample size of the detectors.
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|guid)"
@@ -81,8 +81,8 @@ def _id_rule(df: DataFrame, columns: list[str]) -> Column:
 
 def delimiter_hits(columns: list[str]) -> list[Column]:
     """Map-side counts per text column: texts, and texts that contain each delimiter."""
-    return [F.count(col(c)).alias(f"texts{i}") for i, c in enumerate(columns)] + [
-        F.count_if(F.contains(col(c), F.lit(d))).alias(f"hits{i}_{k}")
+    return [F.expr(f"count({q(c)}) AS texts{i}") for i, c in enumerate(columns)] + [
+        F.expr(f"count_if(contains({q(c)}, '{d}')) AS hits{i}_{k}")
         for i, c in enumerate(columns)
         for k, d in enumerate(DELIMITERS)
     ]
@@ -244,7 +244,7 @@ def datetime_flags(df: DataFrame, columns: list[str] | None = None, row_id: str
 def whole_numbers(floats: list[str]) -> list[Column]:
     """Map-side flags: every value of the floating column is whole."""
     return [
-        F.bool_and(non_nan(col(c)) == F.rint(non_nan(col(c)))).alias(f"whole{i}") for i, c in enumerate(floats)
+        F.expr(f"bool_and({number_sql(c)} = rint({number_sql(c)})) AS whole{i}") for i, c in enumerate(floats)
     ]
 
 
@@ -252,20 +252,13 @@ def integer_flags(df: DataFrame, columns: list[str] | None = None, row_id: str |
     """``(column, is_int_convertible)``: a floating column that holds whole numbers only."""
     columns = columns or data_columns(df, row_id)
     floats = [c for c in columns if kind_of(df.schema[c]) == "float"]
-    wide = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *whole_numbers(floats),
+    wide = df.agg(F.expr("count(1) AS rows"), *whole_numbers(floats))
+    return tidy(
+        wide,
+        columns,
+        lambda i: (f"coalesce(whole{floats.index(columns[i])},false)" if columns[i] in floats else "false")
+        + " AS is_int_convertible",
     )
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (F.coalesce(F.col(f"whole{floats.index(c)}"), F.lit(False)) if c in floats else F.lit(False)).alias(
-                "is_int_convertible"
-            ),
-        )
-        for c in columns
-    ]
-    return wide.select(F.inline(F.array(*entries)))
 
 
 def category_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:

@@ -178,7 +178,7 @@ def detected(c: str, kind: str) -> str:
 
 
 TYPE_ROWS = "types AS (" + union(
-    f"SELECT '{c}' AS \"column\", '{DTYPES[k]}' AS dtype, {detected(c, k)} AS detected_type FROM dirty" for c, k in EVENTS
+    f"SELECT '{c}' AS \"column\", '{DTYPES[k]}' AS dtype, {detected(c, k)} AS detected_type FROM dirty GROUP BY ()" for c, k in EVENTS
 ) + ")"
 ORACLES["column_types"] = with_dirty(
     "SELECT \"column\", dtype, detected_type, CASE WHEN \"column\" = 'whole_float' THEN 'categorical' "
@@ -209,10 +209,10 @@ CUSTOMER = [
     ("c_mktsegment", "string"),
 ]
 ORACLES["detect_id"] = union(
-    f"SELECT '{c}' AS \"column\", {id_rule('orders', c, k, 'o_orderkey')} AS is_id FROM orders" for c, k in ORDERS
+    f"SELECT '{c}' AS \"column\", {id_rule('orders', c, k, 'o_orderkey')} AS is_id FROM orders GROUP BY ()" for c, k in ORDERS
 )
 ORACLES["detect_id_text"] = union(
-    f"SELECT '{c}' AS \"column\", {id_rule('customer', c, k, 'c_custkey')} AS is_id FROM customer" for c, k in CUSTOMER
+    f"SELECT '{c}' AS \"column\", {id_rule('customer', c, k, 'c_custkey')} AS is_id FROM customer GROUP BY ()" for c, k in CUSTOMER
 )
 ORACLES["detect_multi_label"] = with_dirty(
     union(f"SELECT '{c}' AS \"column\", (SELECT d FROM delims WHERE col = '{c}') AS delimiter" for c, _ in EVENTS),

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from datalathe.functions.kinds import ROW_ID, data_columns, is_numeric, kind_of
 from datalathe.functions.quantiles import exact_quantiles
-from datalathe.functions.scalars import col, present, round_py
+from datalathe.functions.scalars import col, round_py
+from datalathe.session import together
 from datalathe.operators.association import HIGH_CORRELATION, correlations
 from datalathe.operators.outliers import iqr_bounds, outlier_counts
-from datalathe.operators.profile import QUARTILES, distinct_summary, moment_aggs
+from datalathe.operators.profile import QUARTILES, count_aggs, distinct_summary, moment_aggs
 from datalathe.operators.quality import case_flags, duplicate_columns, duplicate_rows, padded_texts
 from datalathe.operators.types import (
     CATEGORY_DTYPE_MAX_RATIO,
@@ -91,22 +92,41 @@ def collect_facts(
     numeric = [c for c in columns if is_numeric(df, c)]
     floats = [c for c in numeric if kind_of(df.schema[c]) == "float"]
 
-    # Everything that needs no shuffle, in one scan.
-    scan = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *moment_aggs(numeric),
-        *padded_texts(texts),
-        *whole_numbers(floats),
-        *delimiter_hits(texts),
-    ).first()
-    distinct = {r["column"]: r.asDict() for r in distinct_summary(df, columns, row_id).collect()}
-    samples = {r["column"]: r.asDict() for r in sample_facts(df, texts, row_id).collect()} if texts else {}
-    delimiters = {}
-    if texts:
-        delimiters = {r[0]: r[1] for r in detect_delimiters(df, texts, row_id, seen=scan).collect()}
-    mixed = {r[0]: r[1] for r in case_flags(df, texts, row_id).collect()} if texts else {}
-    quartiles = exact_quantiles(df, {c: col(c) for c in numeric}, QUARTILES)
+    def scan_and_split() -> tuple:
+        """Everything that needs no shuffle, in one scan; then the delimiters it found plausible."""
+        scan = df.agg(
+            F.expr("count(1) AS rows"),
+            *count_aggs(df, columns),
+            *moment_aggs(numeric),
+            *padded_texts(texts),
+            *whole_numbers(floats),
+            *delimiter_hits(texts),
+        ).first()
+        found = detect_delimiters(df, texts, row_id, seen=scan).collect() if texts else []
+        return scan, {r["column"]: r["delimiter"] for r in found}
+
+    def quartiles_and_outliers() -> tuple:
+        quartiles = exact_quantiles(df, {c: col(c) for c in numeric}, QUARTILES)
+        bounds = {c: iqr_bounds(quartiles[c][0], quartiles[c][2]) for c in numeric}
+        counted = outlier_counts(df, numeric, "iqr", bounds).collect() if numeric else []
+        return quartiles, {r["column"]: r.asDict() for r in counted}
+
+    def by_column(frame: DataFrame) -> dict[str, dict]:
+        return {r["column"]: r.asDict() for r in frame.collect()}
+
+    jobs = {
+        "scan": scan_and_split,
+        "distinct": lambda: by_column(distinct_summary(df, columns, row_id)),
+        "samples": lambda: by_column(sample_facts(df, texts, row_id)) if texts else {},
+        "mixed": lambda: by_column(case_flags(df, texts, row_id)) if texts else {},
+        "numbers": quartiles_and_outliers,
+    }
+    if dataset:
+        jobs |= dataset_jobs(df, row_id)
+    done = together(df.sparkSession, jobs)
+    (scan, delimiters), distinct, samples = done["scan"], done["distinct"], done["samples"]
+    quartiles, outliers = done["numbers"]
+    mixed = {c: r["has_case_inconsistency"] for c, r in done["mixed"].items()}
 
     rows, nothing = scan["rows"], {"unique_count": 0, "mode": None, "entropy": None}
     measures = df.sparkSession.createDataFrame(
@@ -151,14 +171,10 @@ def collect_facts(
         }
         for c in columns
     }
-    outliers = {}
-    if numeric:
-        bounds = {c: iqr_bounds(quartiles[c][0], quartiles[c][2]) for c in numeric}
-        outliers = {r["column"]: r.asDict() for r in outlier_counts(df, numeric, "iqr", bounds).collect()}
     fact_rows = [_column_row(i, c, types[c][1], profiles[c], flags[c], outliers) for i, c in enumerate(columns)]
     facts = Facts(df, columns, types, profiles, fact_rows, None, rows, {"outliers": outliers})
     if dataset:
-        facts.dataset_row = dataset_facts_row(df, row_id)
+        facts.dataset_row = dataset_row(done)
     return facts
 
 
@@ -177,14 +193,19 @@ def _column_row(position, column, effective, p, flags, outliers) -> tuple:
     )
 
 
-def dataset_facts_row(df: DataFrame, row_id: str | None = ROW_ID) -> tuple:
-    duplicates = duplicate_rows(df, row_id).first()
-    strong = [
-        r
-        for r in correlations(df, "pearson", row_id=row_id).collect()
-        if r["correlation"] is not None and abs(r["correlation"]) >= HIGH_CORRELATION
-    ]
-    return (duplicates["percentage"], duplicates["count"], len(duplicate_columns(df, row_id)), len(strong))
+def dataset_jobs(df: DataFrame, row_id: str | None) -> dict:
+    return {
+        "duplicates": lambda: duplicate_rows(df, row_id).first(),
+        "equal_columns": lambda: len(duplicate_columns(df, row_id)),
+        "strong": lambda: sum(
+            r["correlation"] is not None and abs(r["correlation"]) >= HIGH_CORRELATION
+            for r in correlations(df, "pearson", row_id=row_id).collect()
+        ),
+    }
+
+
+def dataset_row(done: dict) -> tuple:
+    return (done["duplicates"]["percentage"], done["duplicates"]["count"], done["equal_columns"], done["strong"])
 
 
 def column_facts(df: DataFrame, overrides=None, row_id: str | None = ROW_ID) -> DataFrame:
@@ -194,4 +215,5 @@ def column_facts(df: DataFrame, overrides=None, row_id: str | None = ROW_ID) ->
 
 def dataset_facts(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
     """One row: repeated rows and columns, and strongly correlated pairs."""
-    return df.sparkSession.createDataFrame([dataset_facts_row(df, row_id)], DATASET_FACTS)
+    done = together(df.sparkSession, dataset_jobs(df, row_id))
+    return df.sparkSession.createDataFrame([dataset_row(done)], DATASET_FACTS)

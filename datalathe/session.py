@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -52,6 +56,15 @@ def cut_lineage(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, tasks: dict[str, Callable[[], Any]], workers: int = 6) -> dict[str, Any]:
+    """Run independent small jobs at the same time, so their scheduling gaps overlap."""
+    if len(tasks) == 1:
+        return {name: task() for name, task in tasks.items()}
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(task)) for name, task in tasks.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder nobody else writes to."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
