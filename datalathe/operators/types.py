@@ -21,7 +21,9 @@ SAMPLE_ROWS = 200
 DELIMITERS = ("|", ",", ";", "/")
 MIN_SPLIT_RATIO = 0.5
 
-TYPES_SCHEMA = "column string, dtype string, detected_type string, effective_type string, is_overridden boolean"
+# Row ids looked at first for the sample, and the factor by which that range grows.
+PROBE_ROWS = 50_000
+PROBE_GROWTH = 64
 
 
 def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -31,18 +33,38 @@ def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
 def first_values(df: DataFrame, columns: list[str], row_id: str | None = ROW_ID, n: int = SAMPLE_ROWS) -> DataFrame:
     """``(column, value)``: the first ``n`` non-missing texts of each column in row order.
 
-    Each branch is a top-n by row id: every task keeps at most ``n`` rows.
+    Stored data lies in row order, so a filter on the row id lets Parquet skip all but
+    the first row groups. The range grows only for columns that are nearly empty there.
+    Within it each branch is a top-n: a task keeps at most ``n`` rows.
     """
-    branches = []
-    ordered = row_id is not None and row_id in df.columns
-    for c in columns:
-        rows = df.where(col(c).isNotNull())
-        if ordered:
-            rows = rows.select(col(c).alias("value"), col(row_id).alias("__pos")).orderBy("__pos")
-        else:
-            rows = rows.select(col(c).alias("value"))
-        branches.append(rows.limit(n).select(F.lit(c).alias("column"), "value"))
-    return reduce(DataFrame.unionByName, branches)
+    if row_id is None or row_id not in df.columns:
+        return _union(_head(df, c, None, n) for c in columns)
+    ends = df.agg(F.min(col(row_id)).alias("lo"), F.max(col(row_id)).alias("hi")).first()
+    branches, waiting, width = [], list(columns), PROBE_ROWS
+    while waiting:
+        everything = ends["lo"] is None or ends["hi"] - ends["lo"] < width
+        part = df if everything else df.where(col(row_id) < F.lit(ends["lo"] + width))
+        ready = waiting
+        if not everything:
+            seen = part.agg(*[F.expr(f"count({q(c)}) AS n{i}") for i, c in enumerate(waiting)]).first()
+            ready = [c for i, c in enumerate(waiting) if seen[f"n{i}"] >= n]
+        branches += [_head(part, c, row_id, n) for c in ready]
+        waiting = [c for c in waiting if c not in ready]
+        width *= PROBE_GROWTH
+    return _union(branches)
+
+
+def _head(df: DataFrame, column: str, row_id: str | None, n: int) -> DataFrame:
+    rows = df.where(col(column).isNotNull())
+    if row_id is not None:
+        rows = rows.select(col(column).alias("value"), col(row_id).alias("__pos")).orderBy("__pos")
+    else:
+        rows = rows.select(col(column).alias("value"))
+    return rows.limit(n).select(F.lit(column).alias("column"), "value")
+
+
+def _union(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def sample_facts(df: DataFrame, columns: list[str], row_id: str | None = ROW_ID) -> DataFrame:
