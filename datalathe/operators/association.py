@@ -7,6 +7,8 @@ distinct value pairs, however many rows share them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datalathe.functions.kinds import ROW_ID, numeric_columns
 from datalathe.functions.ordering import running_total
-from datalathe.functions.scalars import col, non_nan, number_sql, present, round_dp, text
+from datalathe.functions.scalars import col, non_nan, number, number_sql, present, round_dp, text
 from datalathe.session import cut_lineage
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -32,36 +34,88 @@ def pair_columns(columns: list[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def _safe_corr(a: str, b: str, name: str) -> Column:
-    """Pairwise-complete Pearson; NULL, not an error, when either side is constant."""
-    x, y = number_sql(a), number_sql(b)
-    spread = f"sqrt(var_pop(if({y} IS NOT NULL, {x}, NULL)) * var_pop(if({x} IS NOT NULL, {y}, NULL)))"
-    return F.expr(f"if({spread} > 0, covar_pop({x}, {y}) / {spread}, NULL) AS {name}")
+@dataclass(frozen=True)
+class _Centre:
+    """What one pass learns about a column before pairs are formed."""
 
+    mean: float | None
+    gaps: bool
+    constant: bool
 
-def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_a, column_b, correlation)``; one scan per block of pairs, no shuffle of rows."""
-    pairs = pair_columns(columns)
+
+def _centres(df: DataFrame, columns: list[str]) -> dict[str, _Centre]:
+    row = df.agg(
+        F.expr("count(1) AS rows"),
+        *[
+            F.expr(f"struct(count({v}) AS n, avg({v}) AS mean, min({v}) AS lo, max({v}) AS hi) AS c{i}")
+            for i, v in enumerate(number_sql(c) for c in columns)
+        ],
+    ).first()
+    out = {}
+    for i, c in enumerate(columns):
+        s = row[f"c{i}"]
+        out[c] = _Centre(s["mean"], s["n"] < row["rows"], s["n"] == 0 or s["lo"] == s["hi"])
+    return out
+
+
+def _pair_sums(i: int, j: int, gaps: bool) -> tuple[list[str], str]:
+    """SQL aggregates for one pair of centred columns, and the correlation made of them.
+
+    Without gaps the centred squares are shared between pairs and one product is left.
+    With gaps only complete rows count: their sums correct the centres, and equal ends
+    tell a constant side.
+    """
+    x, y, p = f"v{i}", f"v{j}", f"p{i}_{j}"
+    if not gaps:
+        return [f"sum({x} * {y}) AS {p}"], f"{p} / sqrt(s{i} * s{j})"
+    a, b = f"if({y} IS NOT NULL, {x}, NULL)", f"if({x} IS NOT NULL, {y}, NULL)"
+    sums = {
+        "n": f"count({x} * {y})", "x": f"sum({a})", "y": f"sum({b})", "xy": f"sum({x} * {y})",
+        "xx": f"sum({a} * {a})", "yy": f"sum({b} * {b})", "dx": f"max({a}) - min({a})", "dy": f"max({b}) - min({b})",
+    }
+    fields = ", ".join(f"{e} AS {n}" for n, e in sums.items())
+    spread = f"sqrt(({p}.xx - {p}.x * {p}.x / {p}.n) * ({p}.yy - {p}.y * {p}.y / {p}.n))"
+    value = f"({p}.xy - {p}.x * {p}.y / {p}.n) / nullif({spread}, 0D)"
+    return [f"struct({fields}) AS {p}"], f"if({p}.dx > 0 AND {p}.dy > 0, {value}, NULL)"
+
+
+def _pair_frame(df: DataFrame, pairs: list[tuple[str, str]], values: dict[str, str], centres) -> DataFrame:
+    """``(column_a, column_b, correlation)`` of centred expressions, one map-side aggregate per block of pairs."""
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         block = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[_safe_corr(a, b, f"r{i}") for i, (a, b) in enumerate(block)])
-        entries = ", ".join(
-            f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', r{i})"
-            for i, (a, b) in enumerate(block)
-        )
-        part = wide.selectExpr(f"inline(array({entries}))")
+        names = sorted({c for pair in block for c in pair if not centres[c].constant})
+        place = {c: i for i, c in enumerate(names)}
+        base = df.selectExpr(*[f"{values[c]} AS v{i}" for c, i in place.items()], "1 AS one")
+        aggs = [f"sum(v{i} * v{i}) AS s{i}" for c, i in place.items() if not centres[c].gaps]
+        entries = []
+        for a, b in block:
+            formula = "double(NULL)"
+            if a in place and b in place:
+                sums, formula = _pair_sums(place[a], place[b], centres[a].gaps or centres[b].gaps)
+                aggs += sums
+            entries.append(f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', {formula})")
+        wide = base.agg(F.expr("count(1) AS rows"), *[F.expr(e) for e in aggs])
+        part = wide.selectExpr(f"inline(array({', '.join(entries)}))")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def joint_counts(df: DataFrame, columns: list[str], text: bool = False) -> DataFrame:
+def pearson(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``(column_a, column_b, correlation)`` over pairwise complete rows; NULL beside a constant.
+
+    One pass finds the means, the next sums centred products; no row is shuffled.
+    """
+    centres = _centres(df, columns)
+    values = {c: f"{number_sql(c)} - {number(k.mean)}" for c, k in centres.items() if k.mean is not None}
+    return _pair_frame(df, pairs or pair_columns(columns), values, centres)
+
+
+def joint_counts(df: DataFrame, pairs: list[tuple[str, str]], as_type: str = "double") -> DataFrame:
     """``(pair, x, y, w)`` over rows where both columns of a pair have a value."""
-    cast = "string" if text else "double"
-    pairs = pair_columns(columns)
     args = [F.lit(len(pairs))]
     for i, (a, b) in enumerate(pairs):
-        args += [F.lit(i), present(df, a).cast(cast), present(df, b).cast(cast)]
+        args += [F.lit(i), present(df, a).cast(as_type), present(df, b).cast(as_type)]
     return (
         df.select(F.stack(*args).alias("pair", "x", "y"))
         .where("x IS NOT NULL AND y IS NOT NULL")
@@ -70,12 +124,12 @@ def joint_counts(df: DataFrame, columns: list[str], text: bool = False) -> DataF
     )
 
 
-def _named(df: DataFrame, columns: list[str], values: DataFrame, value: str) -> DataFrame:
+def _named(df: DataFrame, pairs: list[tuple[str, str]], values: DataFrame, value: str) -> DataFrame:
     """Pair numbers turned into column names; pairs without a value keep NULL."""
-    pairs = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pair_columns(columns))], "pair int, column_a string, column_b string"
+    names = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string"
     )
-    return pairs.join(values, "pair", "left").select("column_a", "column_b", F.col(value).alias("correlation"))
+    return names.join(values, "pair", "left").select("column_a", "column_b", F.col(value).alias("correlation"))
 
 
 def _widest(df: DataFrame, columns: list[str]) -> int:
@@ -85,9 +139,41 @@ def _widest(df: DataFrame, columns: list[str]) -> int:
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson of average ranks, ranked per pair over its complete rows."""
+    """Pearson of average ranks over the complete rows of each pair.
+
+    A column without gaps has the same ranks in every pair, so it is ranked once and
+    its ranks join the rows by value. Pairs with gaps are ranked pair by pair.
+    """
+    centres = _centres(df, columns)
+    pairs = pair_columns(columns)
+    whole = [c for c in columns if not centres[c].gaps and not centres[c].constant]
+    easy = [p for p in pairs if p[0] in whole and p[1] in whole]
+    hard = [p for p in pairs if p not in easy]
+    parts = []
+    if easy:
+        parts.append(_spearman_whole(df, [c for c in whole if any(c in p for p in easy)], easy, centres))
+    if hard:
+        parts.append(_spearman_pairs(df, hard))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spearman_whole(df, columns, pairs, centres) -> DataFrame:
+    bounded = _widest(df, columns) <= LEAF_POINTS
+    ranked = values = df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    rows = values.count()
+    for i in range(len(columns)):
+        counts = values.groupBy(f"v{i}").agg(F.expr("count(1) AS cnt"), F.lit(0).alias("g"))
+        before = running_total(counts, "g", f"v{i}", "cnt", bounded)
+        # Twice the distance to the mean rank: whole numbers of moderate size.
+        rank = before.select(f"v{i}", F.expr(f"double(2 * before + cnt - {rows}L) AS r{i}"))
+        ranked = ranked.join(rank, f"v{i}")
+    return _pair_frame(ranked, pairs, {c: f"r{i}" for i, c in enumerate(columns)}, centres)
+
+
+def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    columns = sorted({c for p in pairs for c in p})
     bounded = _widest(df, columns) <= LEAF_POINTS
-    joint = joint_counts(df, columns)
+    joint = joint_counts(df, pairs)
 
     def ranks(axis: str) -> DataFrame:
         counts = joint.groupBy("pair", axis).agg(F.sum("w").alias("cnt"))
@@ -102,7 +188,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
         F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy")
     )
     spread = F.sqrt(F.col("xx") * F.col("yy"))
-    return _named(df, columns, sums.withColumn("r", F.when(spread > 0, F.col("xy") / spread)), "r")
+    return _named(df, pairs, sums.withColumn("r", F.when(spread > 0, F.col("xy") / spread)), "r")
 
 
 def discordant(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -205,7 +291,8 @@ def _blocks(large: DataFrame, axis: str, blocks: int) -> DataFrame:
 
 def kendall(df: DataFrame, columns: list[str], leaf: int = LEAF_POINTS, blocks: int = BLOCKS) -> DataFrame:
     """Tau-b per pair, exact, from joint counts."""
-    joint = joint_counts(df, columns)
+    pairs = pair_columns(columns)
+    joint = joint_counts(df, pairs)
 
     def tied(c: Column) -> Column:
         c = c.cast("double")
@@ -220,7 +307,7 @@ def kendall(df: DataFrame, columns: list[str], leaf: int = LEAF_POINTS, blocks:
     balance = all_pairs - F.col("tx") - F.col("ty") + F.col("txy") - 2.0 * F.col("d")
     spread = F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))
     tau = F.when(spread > 0, F.greatest(F.least(balance / spread, F.lit(1.0)), F.lit(-1.0)))
-    return _named(df, columns, parts.select("pair", tau.alias("tau")), "tau")
+    return _named(df, pairs, parts.select("pair", tau.alias("tau")), "tau")
 
 
 def correlations(
@@ -263,13 +350,12 @@ def high_pairs(df: DataFrame, threshold: float = HIGH_CORRELATION, row_id: str |
 def top_correlated(df: DataFrame, column: str, n: int = 5, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, correlation)`` of the ``n`` numeric columns most correlated with one column."""
     others = [c for c in numeric_columns(df, row_id) if c != column]
-    r = df.agg(*[_safe_corr(column, o, f"r{i}") for i, o in enumerate(others)])
-    entries = [
-        F.struct(F.lit(o).alias("column"), round_dp(F.col(f"r{i}"), 3).alias("correlation"), F.lit(i).alias("position"))
-        for i, o in enumerate(others)
-    ]
+    if not others:
+        return df.sparkSession.createDataFrame([], "column string, correlation double")
+    r = pearson(df, [column, *others], [(column, o) for o in others])
+    place = F.array_position(F.array(*[F.lit(o) for o in others]), F.col("column_b"))
     return (
-        r.select(F.inline(F.array(*entries)))
+        r.select(F.col("column_b").alias("column"), round_dp(F.col("correlation"), 3).alias("correlation"), place.alias("position"))
         .orderBy(F.abs("correlation").desc_nulls_last(), "position")
         .limit(n)
         .select("column", "correlation")
@@ -282,7 +368,8 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
     The chi-squared sum over the full grid needs only the cells that occur. A two by
     two grid gets the continuity correction; its four deviations have one size.
     """
-    joint = joint_counts(df, columns, text=True)
+    pairs = pair_columns(columns)
+    joint = joint_counts(df, pairs, "string")
     rows = joint.groupBy("pair", "x").agg(F.sum("w").cast("double").alias("row"))
     cols = joint.groupBy("pair", "y").agg(F.sum("w").cast("double").alias("col"))
     total = joint.groupBy("pair").agg(F.sum("w").cast("double").alias("n"))
@@ -304,7 +391,7 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
     denominator = F.least(k_corr - 1.0, r_corr - 1.0)
     v = F.when(denominator > 0, F.sqrt(phi2 / denominator)).otherwise(0.0)
     parts = sums.join(by_row, "pair").join(by_col, "pair").join(total, "pair")
-    named = _named(df, columns, parts.select("pair", v.alias("v")), "v")
+    named = _named(df, pairs, parts.select("pair", v.alias("v")), "v")
     return named.select("column_a", "column_b", F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
 
 

@@ -170,26 +170,29 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return tidy(wide, columns, lambda i: f"m{i} AS m").select("column", "m.*")
 
 
-def profile_rows(
-    df: DataFrame, effective: dict[str, str] | None = None, row_id: str | None = ROW_ID, columns=None
-) -> list[dict]:
-    """One dict per column with the profile fields; the driver sees only these rows."""
-    columns = columns or data_columns(df, row_id)
-    out = {r["column"]: r.asDict() for r in base_profile(df, columns, row_id).collect()}
-    numeric = [
-        c for c in columns if is_numeric(df, c) and (effective is None or effective.get(c) == "numerical")
-    ]
-    if numeric:
-        for r in numeric_moments(df, numeric).collect():
-            out[r["column"]].update(r.asDict())
-        quartiles = exact_quantiles(df, {c: col(c) for c in numeric}, QUARTILES)
-        for c, (q1, median, q3) in quartiles.items():
-            out[c].update(q1=q1, median=median, q3=q3)
-            if out[c]["mode"] is not None:
-                out[c]["mode"] = str(float(out[c]["mode"]))
-    for c in columns:
-        out[c]["dtype"] = df.schema[c].dataType.simpleString()
-    return [out[c] for c in columns]
+def profiles_from(df: DataFrame, m, effective: dict[str, str]) -> dict[str, dict]:
+    """Profile fields per column from shared measurements; number statistics only where
+    the effective type is numerical and the values are numbers."""
+    out = {}
+    for c in m.columns:
+        count, unique = m.counts[c], m.unique(c)
+        p = {
+            "column": c,
+            "dtype": df.schema[c].dataType.simpleString(),
+            "count": count,
+            "missing_count": m.rows - count,
+            "missing_percentage": round_py((m.rows - count) / m.rows * 100, 2) if m.rows else 0.0,
+            "unique_count": unique,
+            "cardinality_ratio": round_py(unique / m.rows, 4) if m.rows else 0.0,
+            "mode": m.distinct.get(c, {}).get("mode"),
+            "entropy": m.distinct.get(c, {}).get("entropy"),
+        }
+        if c in m.numeric and effective[c] == "numerical":
+            p.update(m.moments[c])
+            p.update(zip(("q1", "median", "q3"), m.quartiles[c]))
+            p["mode"] = None if p["mode"] is None else str(float(p["mode"]))
+        out[c] = p
+    return out
 
 
 def profile(
@@ -198,11 +201,12 @@ def profile(
     row_id: str | None = ROW_ID,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """Full profile, one row per column; number statistics only where the effective type is numerical."""
-    from datalathe.operators.types import effective_types
+    """Full profile, one row per column."""
+    from datalathe.operators.measure import classified, measure, type_map
 
-    effective = {c: t[1] for c, t in effective_types(df, overrides, row_id, columns).items()}
-    rows = profile_rows(df, effective, row_id, columns)
+    m = measure(df, columns or data_columns(df, row_id), row_id, numbers=True)
+    effective = {c: t[1] for c, t in type_map(classified(df, m, overrides)).items()}
+    rows = profiles_from(df, m, effective).values()
     return df.sparkSession.createDataFrame(
         [tuple(r.get(f.name) for f in PROFILE_SCHEMA.fields) for r in rows], PROFILE_SCHEMA
     )

@@ -186,15 +186,9 @@ def detect_types(
     columns: list[str] | None = None,
 ) -> DataFrame:
     """``(column, dtype, detected_type, effective_type, is_overridden)``; an override wins."""
-    overrides = overrides or {}
-    columns = columns or data_columns(df, row_id)
-    base = base_counts(df, columns, row_id).join(distinct_summary(df, columns, row_id), "column", "left")
-    texts = text_columns(df, columns)
-    if texts:
-        base = base.join(sample_facts(df, texts, row_id), "column", "left")
-    else:
-        base = base.withColumn("mean_words", F.lit(None).cast("double"))
-    return classify(df, base.join(detect_delimiters(df, columns, row_id), "column", "left"), columns, overrides)
+    from datalathe.operators.measure import classified, measure
+
+    return classified(df, measure(df, columns or data_columns(df, row_id), row_id), overrides)
 
 
 def classify(df: DataFrame, measures: DataFrame, columns: list[str], overrides: dict[str, str]) -> DataFrame:
@@ -242,8 +236,9 @@ def effective_types(
     columns: list[str] | None = None,
 ) -> dict[str, tuple[str, str, bool]]:
     """``column -> (detected, effective, is_overridden)``, one small row per column."""
-    rows = detect_types(df, overrides, row_id, columns).collect()
-    return {r["column"]: (r["detected_type"], r["effective_type"], r["is_overridden"]) for r in rows}
+    from datalathe.operators.measure import type_map
+
+    return type_map(detect_types(df, overrides, row_id, columns))
 
 
 def check_logical_type(logical_type: str) -> None:

@@ -4,26 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from datalathe.functions.kinds import ROW_ID, data_columns, is_numeric, kind_of
-from datalathe.functions.quantiles import exact_quantiles
-from datalathe.functions.scalars import col, round_py
-from datalathe.session import together
+from datalathe.functions.kinds import ROW_ID, data_columns
 from datalathe.operators.association import HIGH_CORRELATION, correlations
-from datalathe.operators.outliers import iqr_bounds, outlier_counts
-from datalathe.operators.profile import QUARTILES, count_aggs, distinct_summary, moment_aggs
-from datalathe.operators.quality import case_flags, duplicate_columns, duplicate_rows, padded_texts
-from datalathe.operators.types import (
-    CATEGORY_DTYPE_MAX_RATIO,
-    DATETIME_MIN_PARSED,
-    classify,
-    delimiter_hits,
-    detect_delimiters,
-    sample_facts,
-    text_columns,
-    whole_numbers,
-)
+from datalathe.operators.measure import classified, measure, type_map
+from datalathe.operators.profile import profiles_from
+from datalathe.operators.quality import duplicate_columns, duplicate_rows
+from datalathe.operators.types import CATEGORY_DTYPE_MAX_RATIO, DATETIME_MIN_PARSED
+from datalathe.session import together
 
 NUMBER_FACTS = ("mean", "median", "std", "variance", "minimum", "maximum", "range", "skewness", "kurtosis")
 
@@ -88,94 +77,24 @@ def collect_facts(
 ) -> Facts:
     """Facts of the given columns and, unless told otherwise, of the whole dataset."""
     columns = columns or data_columns(df, row_id)
-    texts = text_columns(df, columns)
-    numeric = [c for c in columns if is_numeric(df, c)]
-    floats = [c for c in numeric if kind_of(df.schema[c]) == "float"]
-
-    def scan_and_split() -> tuple:
-        """Everything that needs no shuffle, in one scan; then the delimiters it found plausible."""
-        scan = df.agg(
-            F.expr("count(1) AS rows"),
-            *count_aggs(df, columns),
-            *moment_aggs(numeric),
-            *padded_texts(texts),
-            *whole_numbers(floats),
-            *delimiter_hits(texts),
-        ).first()
-        found = detect_delimiters(df, texts, row_id, seen=scan).collect() if texts else []
-        return scan, {r["column"]: r["delimiter"] for r in found}
-
-    def quartiles_and_outliers() -> tuple:
-        quartiles = exact_quantiles(df, {c: col(c) for c in numeric}, QUARTILES)
-        bounds = {c: iqr_bounds(quartiles[c][0], quartiles[c][2]) for c in numeric}
-        counted = outlier_counts(df, numeric, "iqr", bounds).collect() if numeric else []
-        return quartiles, {r["column"]: r.asDict() for r in counted}
-
-    def by_column(frame: DataFrame) -> dict[str, dict]:
-        return {r["column"]: r.asDict() for r in frame.collect()}
-
-    jobs = {
-        "scan": scan_and_split,
-        "distinct": lambda: by_column(distinct_summary(df, columns, row_id)),
-        "samples": lambda: by_column(sample_facts(df, texts, row_id)) if texts else {},
-        "mixed": lambda: by_column(case_flags(df, texts, row_id)) if texts else {},
-        "numbers": quartiles_and_outliers,
-    }
-    if dataset:
-        jobs |= dataset_jobs(df, row_id)
-    done = together(df.sparkSession, jobs)
-    (scan, delimiters), distinct, samples = done["scan"], done["distinct"], done["samples"]
-    quartiles, outliers = done["numbers"]
-    mixed = {c: r["has_case_inconsistency"] for c, r in done["mixed"].items()}
-
-    rows, nothing = scan["rows"], {"unique_count": 0, "mode": None, "entropy": None}
-    measures = df.sparkSession.createDataFrame(
-        [
-            (
-                c, rows, scan[f"n{i}"], distinct.get(c, nothing)["unique_count"],
-                samples.get(c, {}).get("mean_words"), delimiters.get(c),
-            )
-            for i, c in enumerate(columns)
-        ],
-        "column string, rows long, count long, unique_count long, mean_words double, delimiter string",
-    )
-    classified = classify(df, measures, columns, overrides or {}).collect()
-    types = {r["column"]: (r["detected_type"], r["effective_type"], r["is_overridden"]) for r in classified}
-
-    profiles = {}
-    for i, c in enumerate(columns):
-        count, unique = scan[f"n{i}"], distinct.get(c, nothing)["unique_count"]
-        p = {
-            "column": c,
-            "dtype": df.schema[c].dataType.simpleString(),
-            "count": count,
-            "missing_count": rows - count,
-            "missing_percentage": round_py((rows - count) / rows * 100, 2) if rows else 0.0,
-            "cardinality_ratio": round_py(unique / rows, 4) if rows else 0.0,
-            **distinct.get(c, nothing),
-        }
-        if c in numeric and types[c][1] == "numerical":
-            p.update(scan[f"m{numeric.index(c)}"].asDict())
-            p.update(zip(("q1", "median", "q3"), quartiles[c]))
-            p["mode"] = None if p["mode"] is None else str(float(p["mode"]))
-        profiles[c] = p
-
+    m = measure(df, columns, row_id, numbers=True, flags=True, other=dataset_jobs(df, row_id) if dataset else None)
+    types = type_map(classified(df, m, overrides))
+    profiles = profiles_from(df, m, {c: t[1] for c, t in types.items()})
     flags = {
         c: {
-            "has_whitespace": c in texts and scan[f"padded{texts.index(c)}"],
-            "has_case_inconsistency": mixed.get(c, False),
-            "is_datetime_convertible": (samples.get(c, {}).get("parsed") or 0.0) >= DATETIME_MIN_PARSED,
-            "is_int_convertible": c in floats and bool(scan[f"whole{floats.index(c)}"]),
-            "is_category_beneficial": c in texts
+            "has_whitespace": m.padded.get(c, False),
+            "has_case_inconsistency": m.mixed.get(c, False),
+            "is_datetime_convertible": (m.samples.get(c, {}).get("parsed") or 0.0) >= DATETIME_MIN_PARSED,
+            "is_int_convertible": m.whole.get(c, False),
+            "is_category_beneficial": c in m.texts
             and profiles[c]["cardinality_ratio"] < CATEGORY_DTYPE_MAX_RATIO,
         }
         for c in columns
     }
-    fact_rows = [_column_row(i, c, types[c][1], profiles[c], flags[c], outliers) for i, c in enumerate(columns)]
-    facts = Facts(df, columns, types, profiles, fact_rows, None, rows, {"outliers": outliers})
-    if dataset:
-        facts.dataset_row = dataset_row(done)
-    return facts
+    rows = [_column_row(i, c, types[c][1], profiles[c], flags[c], m.outliers) for i, c in enumerate(columns)]
+    return Facts(
+        df, columns, types, profiles, rows, dataset_row(m.other) if dataset else None, m.rows, {"outliers": m.outliers}
+    )
 
 
 def _column_row(position, column, effective, p, flags, outliers) -> tuple:
