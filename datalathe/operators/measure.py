@@ -43,7 +43,7 @@ class Measures:
     mixed: dict[str, bool] = field(default_factory=dict)
     quartiles: dict[str, list] = field(default_factory=dict)
     outliers: dict[str, dict] = field(default_factory=dict)
-    other: dict = field(default_factory=dict)
+    other: dict = field(default_factory=dict)  # results of jobs run alongside
 
     def unique(self, column: str) -> int:
         return self.distinct.get(column, {"unique_count": 0})["unique_count"]
@@ -64,23 +64,29 @@ def measure(
     floats = [c for c in numeric if kind_of(df.schema[c]) == "float"]
     m = Measures(columns, texts, numeric, floats)
 
-    def scan() -> None:
-        """Everything that needs no shuffle, in one scan; then the delimiters it found plausible."""
-        aggs = [F.expr("count(1) AS rows"), *count_aggs(df, columns), *delimiter_hits(texts)]
-        if numbers:
-            aggs += moment_aggs(numeric)
-        if flags:
-            aggs += padded_texts(texts) + whole_numbers(floats)
-        row = df.agg(*aggs).first()
+    # One scan per kind of column: no column is read twice, and the generated code of
+    # each scan stays small enough to be compiled.
+    others = [c for c in columns if c not in texts and (c not in numeric or not numbers)]
+
+    def scan_others() -> None:
+        row = df.agg(F.expr("count(1) AS rows"), *count_aggs(df, others)).first()
         m.rows = row["rows"]
-        m.counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-        if numbers:
-            m.moments = {c: row[f"m{i}"].asDict() for i, c in enumerate(numeric)}
+        m.counts.update({c: row[f"n{i}"] for i, c in enumerate(others)})
+
+    def scan_numbers() -> None:
+        aggs = moment_aggs(numeric) + (whole_numbers(floats) if flags else [])
+        row = df.agg(*aggs).first()
+        m.moments = {c: row[f"m{i}"].asDict() for i, c in enumerate(numeric)}
+        m.counts.update({c: v["count"] for c, v in m.moments.items()})
         if flags:
-            m.padded = {c: row[f"padded{i}"] for i, c in enumerate(texts)}
             m.whole = {c: bool(row[f"whole{i}"]) for i, c in enumerate(floats)}
-        if texts:
-            m.delimiters = {r[0]: r[1] for r in detect_delimiters(df, texts, row_id, seen=row).collect()}
+
+    def scan_texts() -> None:
+        row = df.agg(*delimiter_hits(texts), *(padded_texts(texts) if flags else [])).first()
+        m.counts.update({c: row[f"texts{i}"] for i, c in enumerate(texts)})
+        if flags:
+            m.padded = {c: row[f"padded{i}"] for i, c in enumerate(texts)}
+        m.delimiters = {r[0]: r[1] for r in detect_delimiters(df, texts, row_id, seen=row).collect()}
 
     def distinct() -> None:
         m.distinct = {r["column"]: r.asDict() for r in distinct_summary(df, columns, row_id).collect()}
@@ -97,13 +103,15 @@ def measure(
             bounds = {c: iqr_bounds(q[0], q[2]) for c, q in m.quartiles.items()}
             m.outliers = {r["column"]: r.asDict() for r in outlier_counts(df, numeric, "iqr", bounds).collect()}
 
-    jobs = {"scan": scan, "distinct": distinct}
+    jobs = {"distinct": distinct, "others": scan_others}
     if texts:
+        jobs["texts"] = scan_texts
         jobs["samples"] = samples
         if flags:
             jobs["mixed"] = mixed
     if numeric and numbers:
         jobs["quartiles"] = quartiles
+        jobs["numbers"] = scan_numbers
     m.other = together(df.sparkSession, {**jobs, **(other or {})})
     return m
 

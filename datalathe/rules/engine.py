@@ -79,8 +79,13 @@ def usable_rules(spark: SparkSession, rules: list[dict] | None = None) -> list[d
 
 
 def rules_frame(spark: SparkSession, rules: list[dict] | None = None) -> DataFrame:
+    """The usable rules as a DataFrame, in the order they are tried."""
+    return _frame(spark, usable_rules(spark, rules))
+
+
+def _frame(spark: SparkSession, usable: list[dict]) -> DataFrame:
     rows = []
-    for i, r in enumerate(usable_rules(spark, rules)):
+    for i, r in enumerate(usable):
         learn = r.get("learning_content")
         learn = learn and tuple(
             learn.get(k)
@@ -118,7 +123,7 @@ def recommendations_from(facts: Facts, rules: list[dict] | None = None) -> DataF
     matched = evaluate(facts.column_frame(), usable, False, numbers)
     if facts.dataset_row is not None:
         matched = matched.unionByName(evaluate(facts.dataset_frame(), usable, True, numbers))
-    catalog = rules_frame(spark, rules).withColumnRenamed("position", "rule_position")
+    catalog = _frame(spark, usable).withColumnRenamed("position", "rule_position")
     # The rule catalog has one row per rule file entry.
     return (
         matched.join(F.broadcast(catalog), "rule_position")

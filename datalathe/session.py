@@ -56,7 +56,7 @@ def cut_lineage(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def together(spark: SparkSession, tasks: dict[str, Callable[[], Any]], workers: int = 6) -> dict[str, Any]:
+def together(spark: SparkSession, tasks: dict[str, Callable[[], Any]], workers: int = 8) -> dict[str, Any]:
     """Run independent small jobs at the same time, so their scheduling gaps overlap."""
     if len(tasks) == 1:
         return {name: task() for name, task in tasks.items()}
