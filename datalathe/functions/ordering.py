@@ -7,7 +7,7 @@ itself, and what it needs from the buckets before it is one small row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datalathe.functions.scalars import col, present
 from datalathe.session import cut_lineage
@@ -15,6 +15,11 @@ from datalathe.session import cut_lineage
 BUCKET_ROWS = 1 << 20
 
 
+def _floor_div(column: str, width: int) -> Column:
+    """Whole-number division rounding down, exact for every long."""
+    return F.expr(f"({column} - pmod({column}, {width}L)) div {width}L")
+
+
 def carry_fill(
     df: DataFrame, columns: list[str], row_id: str, backward: bool = False, width: int = BUCKET_ROWS
 ) -> DataFrame:
@@ -26,13 +31,12 @@ def carry_fill(
     names = df.columns
     position = -col(row_id) if backward else col(row_id)
     df = df.select(*[present(df, n).alias(n) if n in columns else col(n) for n in names])
-    keyed = df.withColumn("__pos", position.cast("long")).withColumn(
-        "__bucket", F.floor(F.col("__pos") / F.lit(width)).cast("long")
-    )
+    keyed = df.withColumn("__pos", position.cast("long")).withColumn("__bucket", _floor_div("__pos", width))
     ends = keyed.groupBy("__bucket").agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__pos"))).alias(f"__t{i}") for i, c in enumerate(columns)]
     )
-    carried = _carried_in(ends, [f"__t{i}" for i in range(len(columns))], width)
+    # One small row per bucket: hashing it leaves the rows unsorted until the window sorts them.
+    carried = _carried_in(ends, [f"__t{i}" for i in range(len(columns))], width).hint("shuffle_hash")
     window = Window.partitionBy("__bucket").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     filled = keyed.join(carried, "__bucket", "left").select(
         "*", *[F.last(col(c), ignorenulls=True).over(window).alias(f"__l{i}") for i, c in enumerate(columns)]
@@ -55,7 +59,7 @@ def _carried_in(ends: DataFrame, values: list[str], width: int) -> DataFrame:
     """
     spread = ends.agg(F.min("__bucket").alias("lo"), F.max("__bucket").alias("hi")).first()
     single = spread["lo"] is None or spread["hi"] - spread["lo"] < width
-    above = F.lit(0) if single else F.floor(F.col("__bucket") / F.lit(width)).cast("long")
+    above = F.lit(0) if single else _floor_div("__bucket", width)
     tagged = ends.withColumn("__super", above)
     window = Window.partitionBy("__super").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select(
@@ -94,7 +98,8 @@ def densify(tagged: DataFrame, row_id: str) -> DataFrame:
     before = F.coalesce(
         F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    offsets = sizes.select("__part", before.alias("__offset"))
+    # Written out so its true size is known and Spark broadcasts it instead of moving the rows.
+    offsets = cut_lineage(sizes.select("__part", before.alias("__offset")))
     within = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
     joined = tagged.withColumn("__part", part).join(offsets, "__part")
     data = [col(c) for c in tagged.columns if c != "__mono"]
@@ -120,7 +125,7 @@ def running_total(df: DataFrame, group: str, value: str, weight: str, bounded: b
     parts = placed.groupBy("__part").agg(F.sum(weight).alias("__sum"))
     # One row per partition: as many rows as the job has tasks.
     offset = F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("__part", F.coalesce(offset, F.lit(0)).alias("__offset"))
+    parts = cut_lineage(parts.select("__part", F.coalesce(offset, F.lit(0)).alias("__offset")))
     total = local.join(parts, "__part").withColumn("__global", F.col("__offset") + F.col("__local"))
     starts = total.groupBy(group).agg(F.min("__global").alias("__start"))
     out = total.join(starts, group).withColumn("before", F.col("__global") - F.col("__start"))

@@ -166,7 +166,8 @@ def _spearman_whole(df, columns, pairs, centres) -> DataFrame:
         before = running_total(counts, "g", f"v{i}", "cnt", bounded)
         # Twice the distance to the mean rank: whole numbers of moderate size.
         rank = before.select(f"v{i}", F.expr(f"double(2 * before + cnt - {rows}L) AS r{i}"))
-        ranked = ranked.join(rank, f"v{i}")
+        # Within the bound a rank table is a few tens of megabytes; beyond it Spark picks the join.
+        ranked = ranked.join(F.broadcast(rank) if bounded else rank, f"v{i}")
     return _pair_frame(ranked, pairs, {c: f"r{i}" for i, c in enumerate(columns)}, centres)
 
 

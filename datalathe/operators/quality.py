@@ -74,25 +74,31 @@ def variation_flags(df: DataFrame, columns: list[str] | None = None, row_id: str
     )
 
 
+# Most hashes that are broadcast; 8 bytes each.
+BROADCAST_HASHES = 1_000_000
+
+
 def duplicate_rows(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
-    """One row ``(count, percentage)``: rows beyond the first of their kind.
+    """One row ``(count, percentage, rows)``: rows beyond the first of their kind.
 
-    Most rows are proved unique by a 64-bit hash, so only that hash is shuffled for
-    them; rows whose hash repeats are compared in full.
+    A first pass shuffles one 64-bit hash per row and proves most rows unique. Only
+    rows whose hash repeats are compared in full, merged map-side before they move.
     """
-    columns = [present(df, c).alias(c) for c in data_columns(df, row_id)]
-    rows = df.select(*columns)
+    rows = df.select(*[present(df, c).alias(c) for c in data_columns(df, row_id)])
     names = [q(c) for c in rows.columns]
     hashed = rows.selectExpr("*", f"xxhash64({', '.join(names)}) AS __hash")
-    by_hash = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("cnt"))
-    repeated = by_hash.where("cnt > 1").select("__hash")
-    suspects = hashed.join(repeated, "__hash", "left_semi").groupBy("__hash", *names).agg(F.count(F.lit(1)).alias("cnt"))
-    parts = by_hash.select(F.col("cnt").alias("rows"), F.lit(0).cast("long").alias("extra")).unionAll(
-        suspects.select(F.lit(0).cast("long").alias("rows"), (F.col("cnt") - 1).alias("extra"))
-    )
-    return parts.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("extra"), F.lit(0)).alias("count")
-    ).select("count", percent(F.col("count"), F.col("rows")).alias("percentage"), "rows")
+    by_hash = hashed.groupBy("__hash").agg(F.expr("count(1) AS cnt"))
+    seen = by_hash.agg(F.expr("coalesce(sum(cnt), 0) AS rows"), F.expr("count_if(cnt > 1) AS repeated")).first()
+    total = F.lit(seen["rows"])
+    if seen["repeated"] == 0:
+        extra = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("count"))
+    else:
+        repeated = by_hash.where("cnt > 1").select("__hash")
+        if seen["repeated"] <= BROADCAST_HASHES:
+            repeated = F.broadcast(repeated)  # its number was counted above
+        suspects = hashed.join(repeated, "__hash", "left_semi").groupBy(*names).agg(F.expr("count(1) AS cnt"))
+        extra = suspects.agg(F.expr("sum(cnt - 1) AS count"))
+    return extra.select("count", percent(F.col("count"), total).alias("percentage"), total.alias("rows"))
 
 
 def duplicate_rows_preview(df: DataFrame, row_id: str = ROW_ID, sample: int = 5) -> dict:

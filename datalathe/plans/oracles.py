@@ -504,7 +504,7 @@ def spearman(table: str, columns: list[str]) -> str:
 
 
 def kendall(table: str, columns: list[str]) -> str:
-    """Tau-b by comparing all pairs of joint counts; for columns with few distinct values."""
+    """Tau-b by comparing all pairs of joint counts."""
     return union(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, (WITH j AS (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS w "
         f"FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2), s AS (SELECT sum(CASE WHEN (p.x - q.x) * "
@@ -526,6 +526,7 @@ ORACLES["corr_pearson_gaps"] = with_dirty(pearson("dirty", ["row_id", *DIRTY_NUM
 ORACLES["corr_spearman"] = spearman("lineitem", RANKED)
 ORACLES["corr_spearman_gaps"] = with_dirty(spearman("dirty", ["value", "user_id", "whole_float"]))
 ORACLES["corr_kendall"] = kendall("lineitem", ["l_quantity", "l_discount", "l_linenumber"])
+ORACLES["corr_kendall_wide"] = kendall("orders", ["o_custkey", "o_totalprice"])
 ORACLES["high_pairs"] = with_dirty(
     f"SELECT * FROM ({pearson('dirty', DIRTY_NUMBERS)}) WHERE abs(correlation) >= 0.8"
 )
@@ -653,13 +654,14 @@ def rules_sql() -> str:
     from datalathe.rules.catalog import BUILT_IN
 
     parts = []
-    for rule in BUILT_IN:
+    for number, rule in enumerate(BUILT_IN):
         source = "dataset_facts" if rule["applies_to"] == "dataset" else "facts"
         column = "'(entire dataset)'" if source == "dataset_facts" else '"column"'
+        position = "999999" if source == "dataset_facts" else "position"
         scope = "" if rule["applies_to"] in ("dataset", "any") else f"effective_type = '{rule['applies_to']}' AND "
         parts.append(
             f"SELECT '{rule['id']}' AS rule_id, '{rule['category']}' AS category, '{rule['severity']}' AS severity, "
-            f"{column} AS \"column\" FROM {source} WHERE {scope}({rule['condition']})"
+            f"{column} AS \"column\", {position} AS position, {number} AS rule_no FROM {source} WHERE {scope}({rule['condition']})"
         )
     return union(parts)
 
@@ -668,7 +670,7 @@ FACT_CTES = (
     best_delimiters("dirty", TEXTS), TYPE_ROWS, f"facts AS ({COLUMN_FACTS})", f"dataset_facts AS ({DATASET_FACTS})",
     f"recs AS ({rules_sql()})",
 )
-ORACLES["recommendations"] = with_dirty("SELECT * FROM recs", *FACT_CTES)
+ORACLES["recommendations"] = with_dirty("SELECT rule_id, category, severity, \"column\" FROM recs", *FACT_CTES)
 HEALTH = (
     "pen AS (SELECT least((SELECT sum(missing_count) / (sum(count) + sum(missing_count))::DOUBLE * 100 FROM facts) * 0.5, 25) AS mp, "
     "least((SELECT duplicate_row_count FROM dataset_facts) / (SELECT count(*) FROM dirty)::DOUBLE * 100 * 0.3, 15) AS dp, "
@@ -681,6 +683,13 @@ ORACLES["health_score"] = with_dirty(
     "(SELECT count(*) FROM recs WHERE severity = 'high') AS high_severity_count FROM pen",
     *FACT_CTES, HEALTH,
 )
+ORACLES["dashboard"] = with_dirty(
+    "SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, position, rule_no) - 1 "
+    "AS position, rule_id, \"column\", severity, (SELECT count(*) FROM dirty) AS rows, "
+    f"(SELECT {even('greatest(0, 100 - mp - dp - rp)', 1)} FROM pen) AS score FROM recs "
+    "QUALIFY row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, position, rule_no) <= 5",
+    *FACT_CTES, HEALTH,
+)
 ORACLES["inspect_column"] = with_dirty(
     "SELECT (SELECT detected_type FROM types WHERE \"column\" = 'value') AS detected_type, "
     f"(SELECT {even('-sum(p * log2(p))', 4)} FROM (SELECT count(*) / sum(count(*)) OVER ()::DOUBLE AS p FROM dirty "

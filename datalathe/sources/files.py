@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from datalathe.functions.kinds import ROW_ID, data_columns
+from datalathe.functions.ordering import assign_row_id, densify
 from datalathe.functions.scalars import col
+from datalathe.session import cut_lineage
 
 # Texts read as missing.
 NA_TOKENS = (
@@ -83,7 +85,8 @@ def _numbered(texts: DataFrame, row_id: str) -> DataFrame:
     splits = texts.groupBy(_FILE, _START).agg(F.min(_MONO).alias("__first"), F.count(F.lit(1)).alias("__rows"))
     # One row per split of the input: as many rows as the scan has tasks.
     before = F.sum("__rows").over(Window.orderBy(_FILE, _START).rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select(_FILE, _START, "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    # Written out so its true size is known and Spark broadcasts it instead of moving the rows.
+    splits = cut_lineage(splits.select(_FILE, _START, "__first", F.coalesce(before, F.lit(0)).alias("__before")))
     return texts.join(splits, [_FILE, _START]).withColumn(
         row_id, (F.col("__before") + F.col(_MONO) - F.col("__first")).cast("long")
     )
@@ -94,9 +97,6 @@ def with_row_id(df: DataFrame, order_by: list[str] | None = None, row_id: str =
 
     The ids are written once, so every later use sees the same ones.
     """
-    from datalathe.functions.ordering import assign_row_id, densify
-    from datalathe.session import cut_lineage
-
     if order_by:
         return assign_row_id(df, order_by, row_id)
     return densify(cut_lineage(df.withColumn("__mono", F.monotonically_increasing_id())), row_id)
