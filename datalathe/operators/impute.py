@@ -93,15 +93,11 @@ def impute(df: DataFrame, column: str, strategy: str, constant_value=None, row_i
     return fit_impute(df, column, strategy, constant_value, row_id, **kw).apply(df)
 
 
-def _after(df, column, strategy, constant_value, row_id) -> DataFrame:
-    return impute(df, column, strategy, constant_value, row_id)
-
-
 def preview_imputation(
     df: DataFrame, column: str, strategy: str, constant_value=None, row_id: str = ROW_ID, sample: int = 5
 ) -> dict:
     """Summary before and after, and the first rows that were missing with their new value."""
-    after = _after(df, column, strategy, constant_value, row_id)
+    after = impute(df, column, strategy, constant_value, row_id)
     marked = df.where(missing(df, column)).select(col(row_id).alias("row_id")).orderBy("row_id").limit(sample)
     ids = [r["row_id"] for r in marked.collect()]
     values: list = []
@@ -135,5 +131,5 @@ def compare_strategies(df: DataFrame, column: str, strategy_a: str, strategy_b:
             single[key] = strategy
     result.update(summarize_columns(df, shared, column))
     for key, strategy in single.items():
-        result[key] = summarize_columns(_after(df, column, strategy, None, row_id), {column: None}, column)[column]
+        result[key] = summarize_columns(impute(df, column, strategy, None, row_id), {column: None}, column)[column]
     return result

@@ -23,8 +23,3 @@ class Fitted:
 
     def apply(self, df: DataFrame) -> DataFrame:
         return self.transform(df)
-
-
-def replace_column(df: DataFrame, column: str, expression) -> DataFrame:
-    """``df`` with one column replaced in place; the column order is kept."""
-    return df.withColumn(column, expression)

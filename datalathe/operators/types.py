@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import LOGICAL_TYPES, ROW_ID, data_columns, kind_of, require_column
 from datalathe.functions.scalars import col, number_sql, parse_timestamp, q, tokens, word_count
@@ -91,7 +91,7 @@ def _id_rule(df: DataFrame, columns: list[str]) -> Column:
     ints = [c for c in columns if kind_of(df.schema[c]) == "integer"]
     texts = text_columns(df, columns)
     ratio = F.try_divide(F.col("unique_count"), F.col("count"))
-    # An integer column with gaps is not an id: the reference reads it as floating point.
+    # An integer column with gaps counts as floating point, which is never an id.
     whole = F.col("column").isin(ints) & (F.col("count") == F.col("rows"))
     token = F.col("column").isin(texts) & (F.col("mean_words") <= ID_MAX_WORDS)
     named = F.col("column").rlike(ID_NAME)

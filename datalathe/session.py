@@ -23,8 +23,6 @@ def local_session(app: str = "datalathe", cores: str | int = "*", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Recording the Python line of every column expression costs more than building it.
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
