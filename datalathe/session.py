@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +13,10 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+#: The run-time setting that names the shared folder where ``spark.checkpoint.dir`` is not set.
+SHARED_DIR = "datalathe.shared.dir"
+_FOLDER_LOCK = threading.Lock()
+
 
 def local_session(app: str = "datalathe", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; on a cluster use the session the cluster gives."""
@@ -28,20 +33,21 @@ def local_session(app: str = "datalathe", cores: str | int = "*", shuffle_partit
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else ``datalathe.shared.dir``.
 
-    A machine-local folder is made only when nothing is configured *and* the
-    master is local; a cluster without a shared folder is an error.
+    Spark refuses to change the former on a running session, so where neither is set *and*
+    the master is local, a machine-local folder is made once and kept under the latter; a
+    cluster without a shared folder is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
+    with _FOLDER_LOCK:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None)
+        if folder:
+            return folder
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="datalathe-")
+        spark.conf.set(SHARED_DIR, folder)
         return folder
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="datalathe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
 
 def cut_lineage(df):

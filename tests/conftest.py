@@ -1,6 +1,6 @@
 import pytest
 
-from datalathe.session import local_session
+from datalathe.session import SHARED_DIR, local_session
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +8,7 @@ def spark(tmp_path_factory):
     session = local_session("tests", cores=4, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        session.conf.set(SHARED_DIR, str(tmp_path_factory.mktemp("shared")))
     yield session
 
 
