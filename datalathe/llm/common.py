@@ -20,6 +20,15 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")
 
 
+def with_fields(schema: StructType, fields: str) -> StructType:
+    """The schema and further fields, given as SQL text; an output name the input already has is an error."""
+    new = _parse_datatype_string(fields)
+    clash = {f.name.lower() for f in schema} & {f.name.lower() for f in new}
+    if clash:
+        raise ValueError(f"the input already has {sorted(clash)}")
+    return StructType([*schema.fields, *new.fields])
+
+
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str | StructType
 ) -> DataFrame:

@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datalathe.llm import bpe, repetition, simhash
+from datalathe.llm import bpe, chat, gam, packing, repetition, sharding, simhash, warc
 from datalathe.llm.common import table
+from datalathe.session import fresh_path
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("DATALATHE_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +18,16 @@ def byte_bpe() -> str:
     return os.path.join(TOKENIZERS, "byte_bpe_50k.json")
 
 
+def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op2_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    archives = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(archives, folder).drop("url")
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
@@ -25,14 +36,31 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op7_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations").unionByName(chat.probe(spark)))
+
+
+def op8_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_bounded_ring": op1_bounded_ring,
+    "op2_dictionary_warc": op2_dictionary_warc,
     "op4_repetition_rules": op4_repetition_rules,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op7_chat_machine": op7_chat_machine,
+    "op8_deficit_packing": op8_deficit_packing,
     "op9_golay_simhash": op9_golay_simhash,
+    "op10_additive_quality": op10_additive_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from datalathe.llm.common import map_arrow, utf8
+from datalathe.llm.common import map_arrow, utf8, with_fields
 
 WINDOW = 3
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.45, 100
@@ -37,8 +37,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Texts are joined into one suffix array up to about this many words.
 CHUNK_WORDS = 300_000
 
-_FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_RESULT = f"{_FEATURES}, n_covered_words long, longest_repeat long"
+_RESULT = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_covered_words long, longest_repeat long"
+)
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 _IS_SPACE = np.zeros(256, bool)
@@ -152,9 +154,7 @@ def _measure(texts: list[bytes], words: list[list[bytes]], min_repeat: int) -> d
 
 def measure(df: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
     """The input's columns with the counts of each text; the text is read once."""
-    clash = {c.split()[0] for c in _RESULT.split(", ")} & set(df.columns)
-    if clash:
-        raise ValueError(f"the input already has {sorted(clash)}")
+    schema = with_fields(df.schema, _RESULT)
 
     def work(batches):
         for batch in batches:
@@ -169,9 +169,6 @@ def measure(df: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) ->
                     yield columns | _measure(texts[start : i + 1], held, min_repeat)
                     start, held, n = i + 1, [], 0
 
-    schema = df.schema
-    for name, kind in (c.split() for c in _RESULT.split(", ")):
-        schema = schema.add(name, kind)
     return map_arrow(df.withColumn("__text", utf8(text)), work, schema)
 
 
