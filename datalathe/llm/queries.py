@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datalathe.llm import bpe, chat, gam, packing, repetition, sharding, simhash, warc
+from datalathe.llm import bitsliced, bpe, chat, gam, licenses, packing, repetition, sharding, simhash, warc
 from datalathe.llm.common import table
 from datalathe.session import fresh_path
 
@@ -28,10 +28,19 @@ def op2_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, folder).drop("url")
 
 
+def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return bitsliced.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -55,7 +64,9 @@ def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bounded_ring": op1_bounded_ring,
     "op2_dictionary_warc": op2_dictionary_warc,
+    "op3_bit_sliced_top_k": op3_bit_sliced_top_k,
     "op4_repetition_rules": op4_repetition_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
     "op7_chat_machine": op7_chat_machine,
     "op8_deficit_packing": op8_deficit_packing,
