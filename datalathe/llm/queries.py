@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from datalathe.llm import bitsliced, bpe, chat, gam, licenses, packing, repetition, sharding, simhash, warc
 from datalathe.llm.common import table
+from datalathe.llm.oracles import ORACLES
 from datalathe.session import fresh_path
 
 #: Folder of the public tokenizers' files.
@@ -34,7 +35,7 @@ def op3_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality(table(spark, sf_dir, "documents"))
+    return repetition.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,8 @@ def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+__all__ = ["ORACLES", "QUERIES", "byte_bpe"]
+
 QUERIES = {
     "op1_bounded_ring": op1_bounded_ring,
     "op2_dictionary_warc": op2_dictionary_warc,
@@ -73,5 +76,3 @@ QUERIES = {
     "op9_golay_simhash": op9_golay_simhash,
     "op10_additive_quality": op10_additive_quality,
 }
-
-ORACLES: dict[str, str] = {}
