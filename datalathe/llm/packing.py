@@ -54,8 +54,9 @@ def own_queues(df: DataFrame, source: str, text: str, window: int, quantum: int)
     total = sizes.agg(F.sum("size")).first()[0]
     if not total:
         return []
+    least = -(-total * quantum // window)
     return sorted(
-        (r["source"] for r in sizes.where(F.col("size") * window >= F.lit(total) * quantum).collect()),
+        (r["source"] for r in sizes.where(F.col("size") >= F.lit(least)).collect()),
         key=lambda s: (s is None, s or ""),
     )
 
