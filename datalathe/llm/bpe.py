@@ -7,8 +7,8 @@ character that is not white space and one that is, its pattern always ends a mat
 neither side's matches depend on the other. So texts are cut where both hold; with a
 byte-level vocabulary that is before nearly every space.
 
-Fragments are short and repeat, so each worker keeps those it has met (a bounded memo, emptied
-when full); the tokenizer's own model encodes only new ones. Concatenating the fragments' ids
+Fragments are short and repeat, so each worker keeps those it has met (a bounded memo of two
+generations); the tokenizer's own model encodes only new ones. Concatenating the fragments' ids
 gives exactly the ids of the whole text, at any length and in bounded memory.
 
 Null texts encode as empty ones. Other columns of the input pass through untouched; an output
@@ -26,12 +26,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from datalathe.llm.common import gather, map_arrow, utf8
+from datalathe.llm.common import gather, map_arrow, payloads, sliced, with_fields
 
-#: A worker's memo is emptied beyond this many fragments or bytes of fragments.
-MEMO_FRAGMENTS, MEMO_BYTES = 800_000, 32_000_000
+#: A worker's memo starts a new generation beyond this many fragments, and never keeps longer ones than this.
+MEMO_FRAGMENTS, MEMO_LENGTH = 250_000, 64
 #: Texts are cut and looked up in stretches of about this many bytes.
 STRETCH = 1 << 20
 
@@ -65,22 +65,19 @@ def forced_pairs(tokens: list[bytes]) -> np.ndarray:
 
 
 class _Memo(dict):
-    """Fragments and their ids; asks ``make`` for what it lacks."""
+    """Fragments and their ids in two generations: what the younger lacks moves up from the older or is made."""
 
-    def __init__(self, make):
-        self.make, self.size = make, 0
+    def __init__(self, make, older: dict | None = None):
+        self.make, self.older = make, older or {}
 
     def __missing__(self, fragment: bytes) -> bytes:
-        ids = self.make(fragment)
-        if len(self) <= MEMO_FRAGMENTS and self.size <= MEMO_BYTES:
+        ids = self.older.get(fragment)
+        if ids is None:
+            ids = self.make(fragment)
+        if len(fragment) <= MEMO_LENGTH:
             self[fragment] = ids
-            self.size += len(fragment)
         return ids
 
-    def forget(self) -> None:
-        self.clear()
-        self.size = 0
-
 
 class Codec:
     """Encoder and decoder of one byte-level BPE tokenizer file."""
@@ -151,8 +148,9 @@ class Codec:
 
     def _look_up(self, fragments: list[bytes]) -> bytes:
         found = b"".join(map(self._memo.__getitem__, fragments))
-        if len(self._memo) > MEMO_FRAGMENTS or self._memo.size > MEMO_BYTES:
-            self._memo.forget()
+        if len(self._memo) > MEMO_FRAGMENTS:
+            self._memo.older = {}
+            self._memo = _Memo(self._fragment, self._memo)
         return found
 
     def _fragment(self, fragment: bytes) -> bytes:
@@ -214,24 +212,13 @@ def codec(path: str) -> Codec:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The input with the ids of its text as an array column."""
-    if ids in df.columns:
-        raise ValueError(f"the input already has a column {ids}")
-
     def work(batches):
         coder = codec(path)
-        for batch in batches:
-            for part in _slices(batch):
-                texts = part.column("__text").to_pylist()
-                columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
-                yield columns | {ids: [coder.encode(t).tolist() for t in texts]}
-
-    schema = df.schema.add(ids, "array<int>")
-    return map_arrow(df.withColumn("__text", utf8(text)), work, schema)
-
+        for part in sliced(batches):
+            columns = {n: part.column(n) for n in part.schema.names}
+            yield columns | {ids: [coder.encode(t).tolist() for t in payloads(part.column(text))]}
 
-def _slices(batch, rows: int = 256):
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+    return map_arrow(df, work, with_fields(df.schema, f"{ids} array<int>"))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,8 +228,8 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
         coder = codec(path)
         for batch in batches:
             counts, of_ids, of_text = [], [], []
-            for data in batch.column("__text"):
-                ids = coder.encode(data.as_py())
+            for data in payloads(batch.column("__text")):
+                ids = coder.encode(data)
                 digest = hashlib.sha256()
                 for part in coder.decimal(ids):
                     digest.update(part)
@@ -252,5 +239,5 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
             yield {key: batch.column(key), "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text}
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, utf8(text).alias("__text"))
+    rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text"))
     return map_arrow(rows, work, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

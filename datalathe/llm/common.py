@@ -20,6 +20,25 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")
 
 
+def payloads(texts: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of an Arrow column of texts, empty for nulls; the column is not copied."""
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    for value in texts.cast(kind):
+        yield value.as_py() or b""
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so what is made of them is never held for a whole batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def row_struct(df: DataFrame, name: str) -> Column:
+    """All columns as one, so an operator can carry rows whatever their columns are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def with_fields(schema: StructType, fields: str) -> StructType:
     """The schema and further fields, given as SQL text; an output name the input already has is an error."""
     new = _parse_datatype_string(fields)

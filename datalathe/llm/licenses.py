@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from datalathe.llm.common import map_arrow, utf8, with_fields
+from datalathe.llm.common import map_arrow, payloads, with_fields
 
 THRESHOLD, BLOCK = 0.9, 64
 
@@ -155,12 +155,12 @@ def line_counts(df: DataFrame, vocabulary: frozenset, text: str = "text") -> Dat
     def work(batches):
         for batch in batches:
             found: Counter = Counter()
-            for value in batch.column("__text"):
-                for words in words_of(value.as_py()):
+            for value in payloads(batch.column("__text")):
+                for words in words_of(value):
                     found.update(vocabulary.intersection(words))
             yield {"word": [w.decode() for w in found], "lines": list(found.values())}
 
-    counted = map_arrow(df.select(utf8(text).alias("__text")), work, "word string, lines long")
+    counted = map_arrow(df.select(F.col(f"`{text}`").alias("__text")), work, "word string, lines long")
     return counted.groupBy("word").agg(F.sum("lines").alias("lines"))
 
 
@@ -179,10 +179,10 @@ def scan(
 
     def work(batches):
         for batch in batches:
-            found = [_judge(value.as_py(), matcher) for value in batch.column("__text")]
+            found = [_judge(value, matcher) for value in payloads(batch.column("__text"))]
             yield {key: batch.column(key)} | dict(zip(names, map(list, zip(*found)) if found else [[]] * len(names)))
 
-    rows = df.select(F.col(f"`{key}`"), utf8(text).alias("__text"))
+    rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text"))
     return map_arrow(rows, work, with_fields(rows.drop("__text").schema, _FOUND))
 
 

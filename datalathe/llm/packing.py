@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from datalathe.llm.bpe import codec
-from datalathe.llm.common import map_arrow, utf8
+from datalathe.llm.common import map_arrow, payloads, sliced
 from datalathe.session import cut_lineage
 
 WINDOW, QUANTUM, END_ID = 2048, 64, 1
@@ -70,10 +70,10 @@ def tokenised(df: DataFrame, path: str, queues: list, key: str, text: str, sourc
         width = np.uint16 if max(coder.size - 1, end_id) < 1 << 16 else np.uint32
         task = TaskContext.get().partitionId()
         served = {}
-        for batch in batches:
+        for batch in sliced(batches):
             queue, before, tokens, ids = [], [], [], []
-            for name, data in zip(batch.column("source").to_pylist(), batch.column("__text")):
-                own = np.append(coder.encode(data.as_py()), np.uint32(end_id)).astype(width)
+            for name, data in zip(batch.column("source").to_pylist(), payloads(batch.column("__text"))):
+                own = np.append(coder.encode(data), np.uint32(end_id)).astype(width)
                 q = number.get(name, REST)
                 queue.append(q)
                 before.append(served.get(q, 0))
@@ -86,7 +86,7 @@ def tokenised(df: DataFrame, path: str, queues: list, key: str, text: str, sourc
             }
 
     rows = df.select(
-        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), utf8(text).alias("__text")
+        F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("__text")
     )
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, source string, queue int, task int, before long, tokens long, ids binary"
@@ -201,9 +201,8 @@ def pack(
     schedule = Schedule(totals, weights, window, quantum) if totals else None
 
     def work(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield _pieces(batch, schedule, key)
+        for batch in sliced(batches):
+            yield _pieces(batch, schedule, key)
 
     placed = ids.join(parts.drop("tokens"), ["queue", "task"])
     return map_arrow(placed.select("key", "source", "queue", "before", "origin", "tokens", "ids"), work, out)
