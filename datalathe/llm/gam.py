@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from datalathe.llm.common import map_arrow, utf8, with_fields
+from datalathe.llm.common import map_arrow, payloads, row_struct, with_fields
 from datalathe.session import cut_lineage
 
 FEATURES = (
@@ -67,14 +67,20 @@ def figures(data: bytes) -> list[float]:
     ]
 
 
-def with_figures(df: DataFrame, text: str = "text", name: str = "figures") -> DataFrame:
-    """The input with the figures of each text as an array."""
+def with_figures(df: DataFrame, text: str = "text", name: str = "figures", carried: str | None = None, drop: bool = False) -> DataFrame:
+    """The input with the figures of each text as an array; ``drop`` leaves the text out.
+
+    With ``carried`` the text is a field of that struct column.
+    """
+    kept = [c for c in df.columns if not (drop and c == text)]
+
     def work(batches):
         for batch in batches:
-            found = [figures(v.as_py()) for v in batch.column("__text")]
-            yield {n: batch.column(n) for n in batch.schema.names if n != "__text"} | {name: found}
+            texts = batch.column(carried).field(text) if carried else batch.column(text)
+            yield {n: batch.column(n) for n in kept} | {name: [figures(t) for t in payloads(texts)]}
 
-    return map_arrow(df.withColumn("__text", utf8(text)), work, with_fields(df.schema, f"{name} array<double>"))
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
+    return map_arrow(df, work, with_fields(schema, f"{name} array<double>"))
 
 
 def held_out(key: str) -> Column:
@@ -227,7 +233,7 @@ def scored(measured: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """Per row: key, held_out, score and predicted (1 from a score of 0.7)."""
     rows = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__in"))
-    measured = cut_lineage(with_figures(rows, "__in").drop("__in"))
+    measured = cut_lineage(with_figures(rows, "__in", drop=True))
     out = scored(measured, train(measured, labels, key, max_rows=max_rows))
     return out.select(
         f"`{key}`", held_out(key).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -236,9 +242,9 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def filtered(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows the model accepts, with the input's columns; without labels no row is rejected."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{key}`"), F.col(f"`{text}`").alias("__in"))
+    packed = df.select(row_struct(df, "__row"), F.col(f"`{key}`"))
     # Written with its figures, so texts are neither measured twice nor moved.
-    measured = cut_lineage(with_figures(packed, "__in").drop("__in"))
+    measured = cut_lineage(with_figures(packed, text, carried="__row"))
     model = train(measured, labels, key, max_rows=max_rows)
     if not model.tables:
         return measured.select("__row.*")

@@ -29,7 +29,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from datalathe.llm.common import map_arrow, utf8, with_fields
+from datalathe.llm.common import map_arrow, payloads, row_struct, with_fields
 
 WINDOW = 3
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.45, 100
@@ -152,24 +152,30 @@ def _measure(texts: list[bytes], words: list[list[bytes]], min_repeat: int) -> d
     }
 
 
-def measure(df: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """The input's columns with the counts of each text; the text is read once."""
-    schema = with_fields(df.schema, _RESULT)
+def measure(
+    df: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, carried: str | None = None, drop: bool = False
+) -> DataFrame:
+    """The input's columns with the counts of each text; ``drop`` leaves the text out.
+
+    With ``carried`` the text is a field of that struct column.
+    """
+    kept = [c for c in df.columns if not (drop and c == text)]
 
     def work(batches):
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            start, held, n = 0, [], 0
-            for i, data in enumerate(texts):
-                held.append(data.split())
-                n += len(held[-1])
-                if n >= CHUNK_WORDS or i == len(texts) - 1:
-                    part = batch.slice(start, len(held))
-                    columns = {n: part.column(n) for n in part.schema.names if n != "__text"}
-                    yield columns | _measure(texts[start : i + 1], held, min_repeat)
-                    start, held, n = i + 1, [], 0
+            column = batch.column(carried).field(text) if carried else batch.column(text)
+            start, texts, words, n = 0, [], [], 0
+            for i, data in enumerate(payloads(column)):
+                texts.append(data)
+                words.append(data.split())
+                n += len(words[-1])
+                if n >= CHUNK_WORDS or i == batch.num_rows - 1:
+                    part = batch.slice(start, len(texts))
+                    yield {c: part.column(c) for c in kept} | _measure(texts, words, min_repeat)
+                    start, texts, words, n = i + 1, [], [], 0
 
-    return map_arrow(df.withColumn("__text", utf8(text)), work, schema)
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
+    return map_arrow(df, work, with_fields(schema, _RESULT))
 
 
 def judged(
@@ -188,11 +194,10 @@ def judged(
 
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """Per row: key, counts and verdicts."""
-    return judged(measure(df.select(key, text), text).drop(text), **limits)
+    return judged(measure(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__in")), "__in", drop=True), **limits)
 
 
 def filtered(df: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows whose text passes, with the input's own columns."""
-    shadow = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
-    rows = judged(measure(df.select(shadow, F.col(f"`{text}`").alias("__in")), "__in").drop("__in"), **limits)
+    rows = judged(measure(df.select(row_struct(df, "__row")), text, carried="__row"), **limits)
     return rows.where("kept").select("__row.*")

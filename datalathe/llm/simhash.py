@@ -31,7 +31,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from datalathe.llm.common import map_arrow, utf8
+from datalathe.llm.common import map_arrow, payloads, row_struct, with_fields
 from datalathe.llm.components import components
 from datalathe.session import cut_lineage
 
@@ -63,20 +63,21 @@ def fingerprint(data: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> in
     return int.from_bytes(np.packbits(set_ * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """The input without its text, with a signed 64-bit fingerprint."""
-    kept = [c for c in df.columns if c != text]
-    if name in kept:
-        raise ValueError(f"the input already has a column {name}")
+def with_fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", carried: str | None = None) -> DataFrame:
+    """The input without its text, with a signed 64-bit fingerprint.
+
+    With ``carried`` the text is a field of that struct column, which stays as it is.
+    """
+    kept = [c for c in df.columns if carried or c != text]
 
     def work(batches):
         for batch in batches:
-            found = [fingerprint(v.as_py()) for v in batch.column("__text")]
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "__text"}
-            yield columns | {name: np.array(found, np.uint64).astype(np.int64)}
+            texts = batch.column(carried).field(text) if carried else batch.column(text)
+            found = np.fromiter(map(fingerprint, payloads(texts)), np.uint64, batch.num_rows)
+            yield {n: batch.column(n) for n in kept} | {name: found.view(np.int64)}
 
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], utf8(text).alias("__text"))
-    return map_arrow(rows, work, df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(name, "long"))
+    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
+    return map_arrow(df, work, with_fields(schema, f"{name} long"))
 
 
 @lru_cache(maxsize=1)
@@ -193,11 +194,10 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     numbered = df.select(
         F.monotonically_increasing_id().alias("number"),
         F.col(f"`{key}`").alias("id"),
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        F.col(f"`{text}`").alias("text"),
+        row_struct(df, "row"),
     )
     # Written once with its numbers, so every later pass sees the same ones.
-    rows = cut_lineage(with_fingerprints(numbered))
+    rows = cut_lineage(with_fingerprints(numbered, text, carried="row"))
     found = rows.select("number", "id", "fingerprint").join(_nodes(rows), "fingerprint")
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("number").alias("number"))
     return rows.join(first, "number", "left_semi").select("row.*")

@@ -32,9 +32,11 @@ def test_encoding_equals_the_library_on_awkward_texts(coder):
 
 def test_cuts_are_at_forced_pairs_only(coder):
     text = "One two,\n three   four　 five été 好 six".encode()
-    for at in coder.cuts(text):
-        assert coder.forced[text[at - 1], text[at]]
-    assert b"".join(coder.fragments(text)) == text
+    cuts = coder.cuts(text).tolist()
+    assert cuts and all(coder.forced[text[at - 1], text[at]] for at in cuts)
+    parts = [text[i:j].decode() for i, j in zip([0, *cuts], [*cuts, len(text)])]
+    alone = [i for p in parts for i in coder.tokenizer.encode(p, add_special_tokens=False).ids]
+    assert alone == coder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
 
 def test_stretches_and_memo_do_not_change_ids(coder, monkeypatch):

@@ -173,7 +173,7 @@ def test_top_k_equals_brute_force(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rnd.normal(size=6) * rnd.choice([0.01, 1, 30])]) for i in range(400)]
     rows += [(400 + i, [0.25] * 6) for i in range(60)]  # ties
-    rows += [(600, None), (601, [1.0, None, 2, 3, 4, 5]), (602, [float("nan")] * 6), (603, [float("inf")] * 6), (700, [0.0] * 6), (800, [1.0, 2.0])]
+    rows += [(600, None), (601, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (602, [float("nan")] * 6), (603, [float("inf")] * 6), (700, [0.0] * 6), (800, [1.0, 2.0])]
     rows += [(None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
     queries = [i for i, _ in rows if i is not None and i % 20 == 0]
