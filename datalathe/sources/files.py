@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from datalathe.functions.kinds import ROW_ID, data_columns
@@ -16,31 +19,38 @@ NA_TOKENS = (
 )
 
 _EXTRA, _FILE, _START, _MONO = "__extra", "__file", "__start", "__mono"
+_MARK = "__no more fields__"
 
 
-def read_csv(spark: SparkSession, path: str, row_id: str = ROW_ID, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, row_id: str = ROW_ID, multi_line: bool | None = None) -> DataFrame:
     """A CSV file (or folder of part files) with inferred types and dense row ids in file order.
 
-    Texts are read as they are, missing-value tokens become NULL, and one pass over
-    the whole file decides each column's type. Rows longer than the header, or no
-    rows at all, are errors.
+    Texts are read as they are, missing-value tokens become NULL, and every row of a column
+    decides its type. Rows longer than the header, part files with different headers, or no
+    rows at all, are errors. Rows are parsed and numbered once and written to the shared
+    folder, so later reads never plan the file's splits anew. Line breaks inside quotes are
+    found beforehand; such input is read file by file, as Spark cannot split it.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError("only .csv files can be ingested")
-    options = {"header": True, "escape": '"', "multiLine": multi_line, "enforceSchema": True}
+    odd = _scan_lines(spark, path)
+    options = {"header": True, "escape": '"', "multiLine": odd if multi_line is None else multi_line, "enforceSchema": True}
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-    raw = spark.read.options(**options).schema(schema).csv(path)
-    texts = raw.select(
-        *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in names],
-        col(_EXTRA),
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.file_block_start").alias(_START),
-        F.monotonically_increasing_id().alias(_MONO),
+    # Spark keeps the text of rows with too few or too many fields in the extra column.
+    raw = spark.read.options(**options, columnNameOfCorruptRecord=_EXTRA).schema(schema).csv(path)
+    texts = cut_lineage(
+        raw.select(
+            *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in names],
+            _surplus(col(_EXTRA), len(names)).alias(_EXTRA),
+            F.col("_metadata.file_path").alias(_FILE),
+            F.col("_metadata.file_block_start").alias(_START),
+            F.monotonically_increasing_id().alias(_MONO),
+        )
     )
     found = texts.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count(_EXTRA).alias("extra"),
+        F.count_if(_EXTRA).alias("extra"),
         *[a for i, n in enumerate(names) for a in _type_votes(col(n), i)],
     ).first()
     if found["extra"]:
@@ -51,6 +61,36 @@ def read_csv(spark: SparkSession, path: str, row_id: str = ROW_ID, multi_line: b
     return _numbered(texts, row_id).select(col(row_id), *typed)
 
 
+def _surplus(record: Column, fields: int) -> Column:
+    """Whether a row has more fields than the header, empty ones counted.
+
+    A mark appended as one more field is found among the first ``fields + 1`` unless there are too many.
+    """
+    schema = ", ".join(f"f{i} string" for i in range(fields + 1))
+    marked = F.from_csv(F.concat(F.rtrim(record, F.lit("\r\n")), F.lit(f",{_MARK}")), schema, {"escape": '"'})
+    found = reduce(or_, [F.coalesce(marked[f"f{i}"] == _MARK, F.lit(False)) for i in range(fields + 1)])
+    return record.isNotNull() & ~found
+
+
+def _scan_lines(spark: SparkSession, path: str) -> bool:
+    """Whether quotes run over line ends; part files must have one header.
+
+    A line with an odd number of quotes opens a text that a later line closes.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias(_FILE),
+        F.col("_metadata.file_block_start").alias(_START),
+        F.monotonically_increasing_id().alias(_MONO),
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lines.agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()[0]
+    first = lines.where(F.col(_START) == 0).groupBy(_FILE).agg(F.min_by("value", _MONO).alias("header"))
+    if len(first.select("header").distinct().limit(2).collect()) > 1:
+        raise ValueError("the part files have different headers")
+    return odd
+
+
 def _type_votes(c: Column, i: int) -> list[Column]:
     return [
         F.count(c).alias(f"n{i}"),
