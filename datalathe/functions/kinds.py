@@ -12,8 +12,10 @@ LOGICAL_TYPES = ("numerical", "categorical", "boolean", "datetime", "text", "id"
 def kind_of(field: T.StructField) -> str:
     """integer, float, boolean, datetime, string, category or other."""
     t = field.dataType
+    if (field.metadata or {}).get("logical_type") == "categorical":
+        return "category"
     if isinstance(t, T.StringType):
-        return "category" if (field.metadata or {}).get("logical_type") == "categorical" else "string"
+        return "string"
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "integer"
     if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):

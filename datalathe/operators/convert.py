@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from datalathe.functions.kinds import ROW_ID, is_numeric, kind_of, require_column
+from datalathe.functions.kinds import ROW_ID, kind_of, require_column
 from datalathe.functions.scalars import col, missing, non_nan, parse_timestamp, present, strip
 from datalathe.operators.steps import Fitted
 
@@ -15,11 +15,11 @@ def converted(df: DataFrame, column: str, target_type: str) -> Column:
     """The converted column; values that do not fit become NULL."""
     require_column(df, column)
     c = present(df, column)
-    kind = kind_of(df.schema[column])
+    kind = kind_of(T.StructField(column, df.schema[column].dataType))  # of the values, whatever the tag
     if target_type == "datetime":
         if kind == "datetime":
             return c
-        if is_numeric(df, column):
+        if kind in ("integer", "float"):
             return F.timestamp_micros((c / F.lit(1000)).cast("long"))  # numbers count nanoseconds
         return parse_timestamp(c.cast("string"))
     if target_type == "integer":
@@ -29,7 +29,7 @@ def converted(df: DataFrame, column: str, target_type: str) -> Column:
     if target_type == "float":
         return _as_double(c, kind)
     if target_type == "category":
-        return c.cast("string")
+        return c  # the values stay what they are; the column is tagged
     if target_type == "string":
         return c.cast("string")
     raise ValueError(f"unsupported target type '{target_type}'")
@@ -51,12 +51,9 @@ def fit_convert(df: DataFrame, column: str, target_type: str) -> Fitted:
     require_column(df, column)
 
     def transform(d: DataFrame) -> DataFrame:
-        out = d.withColumn(column, converted(d, column, target_type))
-        if target_type == "category":
-            return out.withMetadata(column, {"logical_type": "categorical"})
-        if target_type == "string":
-            return out.withMetadata(column, {})
-        return out
+        tag = {"logical_type": "categorical"} if target_type == "category" else {}
+        new = converted(d, column, target_type).alias(column, metadata=tag)
+        return d.select(*[new if n == column else col(n) for n in d.columns])
 
     return Fitted("convert_dtype", {"column": column, "target_type": target_type}, transform=transform)
 

@@ -1,98 +1,115 @@
 """Encoding of categorical and multi-label columns.
 
-Value-to-code maps of moderate size are learnt as lists and broadcast; the size is
-known before the broadcast. Larger maps stay distributed: codes come from a range
-sort of the distinct values, and rows join them by value.
+Value-to-code maps are learnt once and written to the shared folder, whatever their size;
+the state of a fitted encoder names the table. A map of counted, moderate size is broadcast,
+a larger one joins the rows by value. Columns made of values that differ only in case, or that
+the table already has, get a numbered ending.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from datalathe.functions.kinds import require_column
 from datalathe.functions.ordering import assign_row_id
-from datalathe.functions.scalars import col, present, tokens
+from datalathe.functions.scalars import col, present, q, text, tokens
 from datalathe.operators.categorical import category_counts, label_counts
 from datalathe.operators.steps import Fitted
 from datalathe.operators.types import detect_delimiter
+from datalathe.session import fresh_path
 
 METHODS = ("one_hot", "label", "ordinal", "frequency", "binary", "multi_label")
 
-# Largest map that is collected and broadcast, and most columns one encoding may create.
+# Largest map that is broadcast.
 MAP_ROWS = 50_000
-MAX_COLUMNS = 1000
-
-
-def _values_up_to(frame: DataFrame, limit: int) -> list | None:
-    """The rows of a one-key frame, or None when there are more than ``limit``."""
-    rows = frame.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
 
-def _label(value) -> str:
-    return str(value)
 
-
-def _columns_of(df: DataFrame, column: str, frame: DataFrame, max_columns: int) -> list:
-    rows = _values_up_to(frame, max_columns)
-    if rows is None:
+def _columns_of(frame: DataFrame, column: str, max_columns: int | None) -> list:
+    """The sorted values of a one-column frame; each becomes a column, so they are schema, not data."""
+    if max_columns is not None and frame.limit(max_columns + 1).count() > max_columns:
         raise ValueError(
             f"'{column}' would become more than {max_columns} columns; "
             "raise max_columns or use label, frequency or binary encoding"
         )
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in frame.collect())
+
+
+def _new_names(d: DataFrame, column: str, values: list) -> list[str]:
+    """One name per value that no other column has, in any casing."""
+    taken = {n.lower() for n in d.columns if n != column}
+    out = []
+    for v in values:
+        name = wanted = f"{column}_{v}"
+        k = 2
+        while name.lower() in taken:
+            name, k = f"{wanted}_{k}", k + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+@dataclass(frozen=True)
+class _Map:
+    """A written table ``(__key, value)`` and its number of rows."""
+
+    path: str
+    rows: int
+    map_rows: int
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        found = spark.read.parquet(self.path)
+        return F.broadcast(found) if self.rows <= self.map_rows else found  # counted when it was written
+
+
+def _written(frame: DataFrame, map_rows: int) -> _Map:
+    path = fresh_path(frame.sparkSession, "datalathe-map")
+    frame.write.parquet(path)
+    return _Map(path, frame.sparkSession.read.parquet(path).count(), map_rows)
 
 
-def fit_one_hot(df: DataFrame, column: str, max_columns: int = MAX_COLUMNS) -> Fitted:
+def fit_one_hot(df: DataFrame, column: str, max_columns: int | None = None) -> Fitted:
+    """One 0/1 column per value. ``max_columns``, where given, turns a wider result into an error."""
     require_column(df, column)
-    values = _columns_of(df, column, category_counts(df, column).select("value"), max_columns)
+    values = _columns_of(category_counts(df, column).select("value"), column, max_columns)
     t = df.schema[column].dataType
+    spark = df.sparkSession
+    keys = spark.createDataFrame([(v, i) for i, v in enumerate(values)], T.StructType([T.StructField("__key", t), T.StructField("__code", T.LongType())]))
+    codes = _written(keys, MAP_ROWS)
 
     def transform(d: DataFrame) -> DataFrame:
-        c = present(d, column)
-        new = [
-            F.coalesce(c == F.lit(v).cast(t), F.lit(False)).cast("int").alias(f"{column}_{_label(v)}") for v in values
-        ]
-        return d.select(*[col(n) for n in d.columns if n != column], *new)
+        kept = [q(n) for n in d.columns if n != column]
+        new = [f"int(coalesce(__code = {i}, false)) AS {q(n)}" for i, n in enumerate(_new_names(d, column, values))]
+        return _joined(d, column, codes).selectExpr(*kept, *new)
 
-    return Fitted("encode", {"column": column, "method": "one_hot"}, {"values": values}, transform)
+    params = {"column": column, "method": "one_hot", "max_columns": max_columns}
+    return Fitted("encode", params, {"size": len(values), "map": codes.path}, transform)
 
 
-def _code_map(df: DataFrame, column: str, map_rows: int) -> tuple[DataFrame, int, list | None]:
-    """``(__key, __code)`` with codes in the sorted order of the values, and their number."""
+def _code_map(df: DataFrame, column: str, map_rows: int) -> _Map:
+    """``(__key, __code)`` with codes in the sorted order of the values."""
     distinct = category_counts(df, column).select(F.col("value").alias("__key"))
-    rows = _values_up_to(distinct, map_rows)
-    if rows is not None:
-        values = sorted(r[0] for r in rows)
-        pairs = df.sparkSession.createDataFrame(
-            [(v, i) for i, v in enumerate(values)], distinct.schema.add("__code", "long")
-        )
-        return F.broadcast(pairs), len(values), values  # at most map_rows rows
-    coded = assign_row_id(distinct, ["__key"], "__code")
-    return coded, coded.count(), None
+    return _written(assign_row_id(distinct, ["__key"], "__code"), map_rows)
 
 
-def _joined(d: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    return d.join(mapping, present(d, column) == mapping["__key"], "left")
+def _joined(d: DataFrame, column: str, mapping: _Map) -> DataFrame:
+    return d.withColumn("__value", present(d, column)).join(mapping.frame(d.sparkSession), F.col("__value") == F.col("__key"), "left")
 
 
-def _replaced(d: DataFrame, column: str, mapping: DataFrame, value: str) -> DataFrame:
+def _replaced(d: DataFrame, column: str, mapping: _Map, value: str) -> DataFrame:
     out = _joined(d, column, mapping)
-    return out.select(*[F.col(value).alias(n) if n == column else d[_quoted(n)] for n in d.columns])
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return out.select(*[F.col(value).alias(n) if n == column else col(n) for n in d.columns])
 
 
 def fit_label(df: DataFrame, column: str, map_rows: int = MAP_ROWS) -> Fitted:
     require_column(df, column)
-    mapping, n, values = _code_map(df, column, map_rows)
+    codes = _code_map(df, column, map_rows)
     return Fitted(
         "encode",
         {"column": column, "method": "label"},
-        {"size": n, "values": values},
-        lambda d: _replaced(d, column, mapping, "__code"),
+        {"size": codes.rows, "map": codes.path},
+        lambda d: _replaced(d, column, codes, "__code"),
     )
 
 
@@ -102,69 +119,67 @@ def fit_ordinal(df: DataFrame, column: str, order: list[str] | None) -> Fitted:
     if not order:
         raise ValueError("ordinal encoding requires an 'order' list of categories")
     t = df.schema[column].dataType
-    codes = {v: i for i, v in enumerate(order)}
-
-    def transform(d: DataFrame) -> DataFrame:
-        pairs = d.sparkSession.createDataFrame(list(codes.items()), "__text string, __code long")
-        mapping = F.broadcast(pairs.select(F.col("__text").try_cast(t).alias("__key"), "__code"))
-        return _replaced(d, column, mapping, "__code")
-
-    return Fitted("encode", {"column": column, "method": "ordinal", "order": list(order)}, {"codes": codes}, transform)
+    pairs = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], "__text string, __code long")
+    pairs = pairs.select(F.col("__text").try_cast(t).alias("__key"), "__code").where("__key IS NOT NULL")
+    if pairs.groupBy("__key").count().where("count > 1").count():
+        raise ValueError(f"entries of 'order' become equal as {t.simpleString()}")
+    codes = _written(pairs, MAP_ROWS)
+    return Fitted(
+        "encode",
+        {"column": column, "method": "ordinal", "order": list(order)},
+        {"size": codes.rows, "map": codes.path},
+        lambda d: _replaced(d, column, codes, "__code"),
+    )
 
 
 def fit_frequency(df: DataFrame, column: str, map_rows: int = MAP_ROWS) -> Fitted:
     """Each value becomes its number of occurrences."""
     require_column(df, column)
     counts = category_counts(df, column).select(F.col("value").alias("__key"), F.col("count").alias("__freq"))
-    rows = _values_up_to(counts, map_rows)
-    mapping = counts
-    if rows is not None:
-        mapping = F.broadcast(df.sparkSession.createDataFrame(rows, counts.schema))  # at most map_rows rows
-    state = {"size": None if rows is None else len(rows)}
+    counts = _written(counts, map_rows)
+    state = {"size": counts.rows, "map": counts.path}
     return Fitted(
-        "encode", {"column": column, "method": "frequency"}, state, lambda d: _replaced(d, column, mapping, "__freq")
+        "encode", {"column": column, "method": "frequency"}, state, lambda d: _replaced(d, column, counts, "__freq")
     )
 
 
 def fit_binary(df: DataFrame, column: str, map_rows: int = MAP_ROWS) -> Fitted:
     """The bits of the label code, lowest first, one column per bit."""
     require_column(df, column)
-    mapping, n, values = _code_map(df, column, map_rows)
-    bits = max(1, (n - 1).bit_length()) if n else 1
+    codes = _code_map(df, column, map_rows)
+    bits = max(1, (codes.rows - 1).bit_length()) if codes.rows else 1
 
     def transform(d: DataFrame) -> DataFrame:
+        names = _new_names(d, column, [f"bin_{b}" for b in range(bits)])
         new = [
-            F.shiftright(F.col("__code"), b).bitwiseAND(F.lit(1)).cast("int").alias(f"{column}_bin_{b}")
-            for b in range(bits)
+            F.shiftright(F.col("__code"), b).bitwiseAND(F.lit(1)).cast("int").alias(n) for b, n in enumerate(names)
         ]
-        kept = [d[_quoted(n)] for n in d.columns if n != column]
-        return _joined(d, column, mapping).select(*kept, *new)
+        return _joined(d, column, codes).select(*[col(n) for n in d.columns if n != column], *new)
 
     return Fitted(
-        "encode", {"column": column, "method": "binary"}, {"size": n, "bits": bits, "values": values}, transform
+        "encode", {"column": column, "method": "binary"}, {"size": codes.rows, "bits": bits, "map": codes.path}, transform
     )
 
 
 def fit_multi_label(
-    df: DataFrame, column: str, delimiter: str | None = None, max_columns: int = MAX_COLUMNS
+    df: DataFrame, column: str, delimiter: str | None = None, max_columns: int | None = None
 ) -> Fitted:
     """One 0/1 column per label; the resolved delimiter is recorded for replay."""
     require_column(df, column)
     delimiter = delimiter or detect_delimiter(df, column)
     if delimiter is None:
         raise ValueError(f"no delimiter found for the multi-label column '{column}'")
-    labels = _columns_of(df, column, label_counts(df, column, delimiter).select("label"), max_columns)
+    labels = _columns_of(label_counts(df, column, delimiter).select("label"), column, max_columns)
 
     def transform(d: DataFrame) -> DataFrame:
         split = d.withColumn("__tokens", tokens(col(column).cast("string"), delimiter))
-        new = [
-            F.coalesce(F.array_contains("__tokens", F.lit(v)), F.lit(False)).cast("int").alias(f"{column}_{v}")
-            for v in labels
-        ]
-        return split.select(*[col(n) for n in d.columns if n != column], *new)
+        kept = [q(n) for n in d.columns if n != column]
+        names = _new_names(d, column, labels)
+        new = [f"int(coalesce(array_contains(__tokens, {text(v)}), false)) AS {q(n)}" for v, n in zip(labels, names)]
+        return split.selectExpr(*kept, *new)
 
-    params = {"column": column, "method": "multi_label", "delimiter": delimiter}
-    return Fitted("encode", params, {"labels": labels}, transform)
+    params = {"column": column, "method": "multi_label", "delimiter": delimiter, "max_columns": max_columns}
+    return Fitted("encode", params, {"size": len(labels), "labels": labels}, transform)
 
 
 def fit_encode(

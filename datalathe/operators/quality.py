@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import ROW_ID, data_columns, kind_of, require_column
-from datalathe.functions.scalars import WHITESPACE, col, percent, present, q, strip, text, value_sql
+from datalathe.functions.scalars import WHITESPACE, col, percent, present, q, round_py, strip, text, value_sql
 from datalathe.operators.profile import base_profile, tidy
 
 
@@ -37,8 +37,7 @@ def whitespace_flags(df: DataFrame, columns: list[str] | None = None, row_id: st
 def case_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
     """``(column, has_case_inconsistency)``: one text written with different casing.
 
-    A lower-cased value covers two spellings exactly when its smallest and largest
-    spelling differ, so no distinct count is needed.
+    Distinct spellings are counted first, then those that fold to one lower-cased value.
     """
     columns = columns or data_columns(df, row_id)
     texts = [c for c in columns if kind_of(df.schema[c]) == "string"]
@@ -51,10 +50,10 @@ def case_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | No
         .where("value IS NOT NULL")
         .select("column", strip(F.col("value")).alias("value"))
     )
-    spellings = melted.groupBy("column", F.lower("value").alias("folded")).agg(
-        (F.min("value") != F.max("value")).alias("mixed")
-    )
-    flags = spellings.groupBy("column").agg(F.bool_or("mixed").alias("mixed"))
+    # Counts alone are merged, so texts are hashed and never sorted.
+    spellings = melted.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    folded = spellings.groupBy("column", F.lower("value").alias("folded")).agg(F.count(F.lit(1)).alias("spellings"))
+    flags = folded.groupBy("column").agg((F.max("spellings") > 1).alias("mixed"))
     return all_columns.join(flags, "column", "left").select(
         "column", F.coalesce("mixed", F.lit(False)).alias("has_case_inconsistency")
     )
@@ -78,63 +77,76 @@ def variation_flags(df: DataFrame, columns: list[str] | None = None, row_id: str
 BROADCAST_HASHES = 1_000_000
 
 
-def duplicate_rows(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
-    """One row ``(count, percentage, rows)``: rows beyond the first of their kind.
+def _suspects(df: DataFrame, row_id: str | None) -> tuple[int, DataFrame | None, list[str]]:
+    """Row count, the rows whose hash occurs again as ``v0, v1, ...`` with ``__id``, and the value names.
 
-    A first pass shuffles one 64-bit hash per row and proves most rows unique. Only
-    rows whose hash repeats are compared in full, merged map-side before they move.
+    A first pass shuffles one 64-bit hash per row and proves most rows unique. Missing
+    values of either kind are NULL. No rows at all are suspect where every hash is unique.
     """
-    rows = df.select(*[present(df, c).alias(c) for c in data_columns(df, row_id)])
-    names = [q(c) for c in rows.columns]
+    columns = data_columns(df, row_id)
+    names = [f"v{i}" for i in range(len(columns))]
+    id_ = col(row_id) if row_id is not None and row_id in df.columns else F.lit(None).cast("long")
+    rows = df.select(*[present(df, c).alias(n) for c, n in zip(columns, names)], id_.alias("__id"))
     hashed = rows.selectExpr("*", f"xxhash64({', '.join(names)}) AS __hash")
     by_hash = hashed.groupBy("__hash").agg(F.expr("count(1) AS cnt"))
     seen = by_hash.agg(F.expr("coalesce(sum(cnt), 0) AS rows"), F.expr("count_if(cnt > 1) AS repeated")).first()
-    total = F.lit(seen["rows"])
     if seen["repeated"] == 0:
+        return seen["rows"], None, names
+    repeated = by_hash.where("cnt > 1").select("__hash")
+    if seen["repeated"] <= BROADCAST_HASHES:
+        repeated = F.broadcast(repeated)  # its number was counted above
+    return seen["rows"], hashed.join(repeated, "__hash", "left_semi"), names
+
+
+def duplicate_rows(df: DataFrame, row_id: str | None = ROW_ID) -> DataFrame:
+    """One row ``(count, percentage, rows)``: rows beyond the first of their kind.
+
+    Only rows whose hash repeats are compared in full, merged map-side before they move.
+    """
+    rows, suspects, names = _suspects(df, row_id)
+    if suspects is None:
         extra = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("count"))
     else:
-        repeated = by_hash.where("cnt > 1").select("__hash")
-        if seen["repeated"] <= BROADCAST_HASHES:
-            repeated = F.broadcast(repeated)  # its number was counted above
-        suspects = hashed.join(repeated, "__hash", "left_semi").groupBy(*names).agg(F.expr("count(1) AS cnt"))
-        extra = suspects.agg(F.expr("sum(cnt - 1) AS count"))
+        extra = suspects.groupBy(*names).agg(F.expr("count(1) AS cnt")).agg(F.expr("sum(cnt - 1) AS count"))
+    total = F.lit(rows)
     return extra.select("count", percent(F.col("count"), total).alias("percentage"), total.alias("rows"))
 
 
 def duplicate_rows_preview(df: DataFrame, row_id: str = ROW_ID, sample: int = 5) -> dict:
     """Counts, rows left after removal, and the first few rows that would go."""
-    summary = duplicate_rows(df, row_id).first()
-    names = [col(c) for c in data_columns(df, row_id)]
-    # Per group of equal rows the copies after the first: at most sample + 1 ids are kept.
-    groups = df.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("__cnt"), F.min(col(row_id)).alias("__first")
-    ).where("__cnt > 1")
-    eq = reduce(lambda a, b: a & b, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in data_columns(df, row_id)])
-    copies = (
-        df.alias("l").join(groups.alias("r"), eq).where(F.col(f"l.`{row_id}`") > F.col("r.__first"))
-        .select("l.*").orderBy(col(row_id)).limit(sample)
-    )
+    rows, suspects, names = _suspects(df, row_id)
+    count, shown = 0, []
+    if suspects is not None:
+        groups = suspects.groupBy(*names).agg(F.count(F.lit(1)).alias("cnt"), F.min("__id").alias("first")).where("cnt > 1")
+        count = groups.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0))).first()[0]
+        g = groups.select("first", *[F.col(n).alias(f"g_{n}") for n in names])
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"g_{n}")) for n in names])
+        first = suspects.join(g, same).where(F.col("__id") > F.col("first")).orderBy("__id").limit(sample)
+        ids = [r["__id"] for r in first.select("__id").collect()]
+        found = {r[row_id]: r.asDict() for r in df.where(col(row_id).isin(ids)).collect()}
+        shown = [found[i] for i in ids]
     return {
-        "duplicate_count": summary["count"],
-        "duplicate_percentage": summary["percentage"],
-        "rows_after_removal": summary["rows"] - summary["count"],
-        "sample_duplicate_rows": [r.asDict() for r in copies.collect()],
+        "duplicate_count": count,
+        "duplicate_percentage": round_py(100.0 * count / rows, 2) if rows else 0.0,
+        "rows_after_removal": rows - count,
+        "sample_duplicate_rows": shown,
     }
 
 
 def remove_duplicate_rows(df: DataFrame, keep: str = "first", row_id: str | None = ROW_ID) -> DataFrame:
-    """Exact duplicates removed; the surviving row keeps its position.
+    """Exact duplicates removed; the surviving row keeps its position, its missing values are NULL.
 
     Every data column is a grouping key, so the groups already are the result:
     one shuffle after map-side merging, no sort and no join.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not '{keep}'")
+    plain = df.select(*[col(c) if c == row_id else present(df, c).alias(c, metadata=df.schema[c].metadata) for c in df.columns])
     if row_id is None or row_id not in df.columns:
-        return df.dropDuplicates()
+        return plain.dropDuplicates()
     pick = F.min if keep == "first" else F.max
     names = [col(c) for c in data_columns(df, row_id)]
-    kept = df.groupBy(*names).agg(pick(col(row_id)).alias(row_id))
+    kept = plain.groupBy(*names).agg(pick(col(row_id)).alias(row_id))
     return kept.select(*[col(c) for c in df.columns])
 
 
@@ -147,7 +159,8 @@ def duplicate_columns(df: DataFrame, row_id: str | None = ROW_ID) -> list[tuple[
     columns = data_columns(df, row_id)
     whole = F.xxhash64(*[present(df, c) for c in columns])
     prints = df.select(whole.alias("__h"), *[present(df, c).alias(c) for c in columns]).agg(
-        *[F.expr(f"bit_xor(xxhash64(__h, {q(c)})) AS f{i}") for i, c in enumerate(columns)],
+        # A sum, as an exclusive or cancels where every row occurs twice.
+        *[F.expr(f"sum(CAST(xxhash64(__h, {q(c)}) AS decimal(20, 0))) AS f{i}") for i, c in enumerate(columns)],
         *[F.expr(f"count({q(c)}) AS n{i}") for i, c in enumerate(columns)],
     ).first()
     shortlist: dict[tuple, list[str]] = {}

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 
 from datalathe.functions.kinds import ROW_ID
-from datalathe.operators import convert, encode, impute, outliers, quality, scale, transforms
+from datalathe.operators import convert, encode, features, impute, outliers, quality, scale, transforms
 from datalathe.session import cut_lineage
 
 
@@ -16,7 +16,7 @@ def _impute(df, p, row_id):
 
 
 def _encode(df, p, row_id):
-    return encode.encode(df, p["column"], p["method"], order=p.get("order"), delimiter=p.get("delimiter"))
+    return encode.encode(df, p["column"], p["method"], **{k: p[k] for k in ("order", "delimiter", "max_columns") if p.get(k) is not None})
 
 
 OPERATIONS = {
@@ -29,6 +29,13 @@ OPERATIONS = {
     "encode": _encode,
     "scale": lambda df, p, r: scale.scale(df, p["column"], p["method"]),
     "drop_column": lambda df, p, r: quality.remove_columns(df, [p["column"]]),
+    "strip": lambda df, p, r: features.strip(df, p["column"]),
+    "change_case": lambda df, p, r: features.change_case(df, p["column"], p.get("case", "lower")),
+    "date_parts": lambda df, p, r: features.date_parts(df, p["column"], p.get("parts")),
+    "elapsed": lambda df, p, r: features.fit_elapsed(df, p["column"], p.get("until"), p.get("unit", "days")).apply(df),
+    "text_size": lambda df, p, r: features.text_size(df, p["column"]),
+    "bin": lambda df, p, r: features.fit_bin(df, p["column"], p.get("bins", 10), p.get("method", "equal_width")).apply(df),
+    "cyclic": lambda df, p, r: features.cyclic(df, p["column"], p["period"]),
 }
 
 

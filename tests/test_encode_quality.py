@@ -116,3 +116,54 @@ def test_conversion_preview(column):
     assert (p["before_missing"], p["after_missing"], p["newly_invalid_count"]) == (1, 2, 1)
     assert (p["sample_before"], p["sample_after"]) == (["1", "Unknown", "2"], [1.0, None, 2.0])
     assert (p["before_dtype"], p["after_dtype"]) == ("string", "double")
+
+
+def test_names_never_collide(spark, tmp_path):
+    df = spark.createDataFrame([(0, "web", 1), (1, "WEB", 2), (2, "Web", 3)], "__row_id long, x string, x_web int")
+    out = E.encode(df, "x", "one_hot")
+    names = [n.lower() for n in out.columns]
+    assert len(set(names)) == len(names) == 5
+    out.write.parquet(str(tmp_path / "t"))
+    assert [r["x_web"] for r in out.orderBy("__row_id").collect()] == [1, 2, 3]
+
+
+def test_ordinal_entries_stay_apart(column):
+    df = column([1, 2], "long")
+    with pytest.raises(ValueError, match="become equal"):
+        E.encode(df, "x", "ordinal", order=["1", "01"])
+    assert rows(E.encode(df, "x", "ordinal", order=["2", "1"]), "x") == [(1,), (0,)]
+
+
+def test_state_is_plain_data_at_any_size(column, spark):
+    df = column(["b", "a", None], "string")
+    for map_rows in (50_000, 1):
+        fitted = E.fit_encode(df, "x", "label", map_rows=map_rows)
+        assert fitted.state["size"] == 2
+        assert sorted(spark.read.parquet(fitted.state["map"]).select("__key", "__code").collect()) == [("a", 0), ("b", 1)]
+
+
+def test_missing_values_of_both_kinds_are_equal(spark):
+    df = spark.createDataFrame([(0, float("nan")), (1, None), (2, 1.0)], "__row_id long, x double")
+    assert Q.duplicate_rows(df).first()["count"] == 1
+    assert rows(Q.remove_duplicate_rows(df), "__row_id", "x") == [(0, None), (2, 1.0)]
+    preview = Q.duplicate_rows_preview(df)
+    assert preview["duplicate_count"] == 1 and preview["sample_duplicate_rows"][0]["__row_id"] == 1
+
+
+def test_awkward_names(spark):
+    df = spark.createDataFrame([(0, 1, 2), (1, 1, 2)], "__row_id long, `a.b` long, `c``d` long")
+    assert Q.duplicate_rows_preview(df)["duplicate_count"] == 1
+    assert convert(df, "a.b", "category").schema["a.b"].metadata == {"logical_type": "categorical"}
+    assert E.encode(df, "c`d", "label").columns == df.columns
+
+
+def test_category_keeps_its_values(column):
+    df = convert(column([10, 2, 9], "long"), "x", "category")
+    assert rows(df, "x") == [(10,), (2,), (9,)]
+    assert rows(E.encode(df, "x", "label"), "x") == [(2,), (0,), (1,)]
+
+
+def test_doubled_rows_do_not_hide_equal_columns(spark):
+    values = [(i, i * 7 % 5, i * 3 % 4, i * 7 % 5) for i in range(20)]
+    df = spark.createDataFrame([(k, *v[1:]) for k, v in enumerate(values + values)], "__row_id long, a long, b long, c long")
+    assert Q.duplicate_columns(df) == [("a", "c")]
