@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import ROW_ID, numeric_columns
@@ -23,7 +24,7 @@ from datalathe.session import cut_lineage
 METHODS = ("pearson", "spearman", "kendall")
 HIGH_CORRELATION = 0.8
 
-# Pairs per aggregate, so generated code stays compilable on wide tables.
+# Most pairs of one JVM aggregate, so its generated code stays compilable.
 PAIRS_PER_PASS = 60
 # Distinct points one task counts by itself, and blocks per axis when there are more.
 LEAF_POINTS = 1_000_000
@@ -74,31 +75,59 @@ def _pair_sums(i: int, j: int, gaps: bool) -> tuple[list[str], str]:
         "xx": f"sum({a} * {a})", "yy": f"sum({b} * {b})", "dx": f"max({a}) - min({a})", "dy": f"max({b}) - min({b})",
     }
     fields = ", ".join(f"{e} AS {n}" for n, e in sums.items())
-    spread = f"sqrt(({p}.xx - {p}.x * {p}.x / {p}.n) * ({p}.yy - {p}.y * {p}.y / {p}.n))"
+    spread = f"sqrt(greatest({p}.xx - {p}.x * {p}.x / {p}.n, 0D) * greatest({p}.yy - {p}.y * {p}.y / {p}.n, 0D))"
     value = f"({p}.xy - {p}.x * {p}.y / {p}.n) / nullif({spread}, 0D)"
     return [f"struct({fields}) AS {p}"], f"if({p}.dx > 0 AND {p}.dy > 0, {value}, NULL)"
 
 
 def _pair_frame(df: DataFrame, pairs: list[tuple[str, str]], values: dict[str, str], centres) -> DataFrame:
-    """``(column_a, column_b, correlation)`` of centred expressions, one map-side aggregate per block of pairs."""
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        block = pairs[start : start + PAIRS_PER_PASS]
-        names = sorted({c for pair in block for c in pair if not centres[c].constant})
-        place = {c: i for i, c in enumerate(names)}
-        base = df.selectExpr(*[f"{values[c]} AS v{i}" for c, i in place.items()], "1 AS one")
-        aggs = [f"sum(v{i} * v{i}) AS s{i}" for c, i in place.items() if not centres[c].gaps]
-        entries = []
-        for a, b in block:
-            formula = "double(NULL)"
-            if a in place and b in place:
-                sums, formula = _pair_sums(place[a], place[b], centres[a].gaps or centres[b].gaps)
-                aggs += sums
-            entries.append(f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', {formula})")
-        wide = base.agg(F.expr("count(1) AS rows"), *[F.expr(e) for e in aggs])
-        part = wide.selectExpr(f"inline(array({', '.join(entries)}))")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``(column_a, column_b, correlation)`` of centred expressions in one scan.
+
+    A few pairs are one map-side aggregate of the JVM. Many are products of matrices per
+    Arrow batch, as an aggregate per pair could neither be compiled nor share a scan.
+    """
+    if len(pairs) > PAIRS_PER_PASS:
+        return _pair_matrix(df, pairs, values, centres)
+    names = sorted({c for pair in pairs for c in pair if not centres[c].constant})
+    place = {c: i for i, c in enumerate(names)}
+    base = df.selectExpr(*[f"{values[c]} AS v{i}" for c, i in place.items()], "1 AS one")
+    aggs = [f"sum(v{i} * v{i}) AS s{i}" for c, i in place.items() if not centres[c].gaps]
+    entries = []
+    for a, b in pairs:
+        formula = "double(NULL)"
+        if a in place and b in place:
+            sums, formula = _pair_sums(place[a], place[b], centres[a].gaps or centres[b].gaps)
+            aggs += sums
+        entries.append(f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', {formula})")
+    wide = base.agg(F.expr("count(1) AS rows"), *[F.expr(e) for e in aggs])
+    return wide.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+def _pair_matrix(df: DataFrame, pairs: list[tuple[str, str]], values: dict[str, str], centres) -> DataFrame:
+    names = sorted({c for pair in pairs for c in pair if not centres[c].constant})
+    place = {c: i for i, c in enumerate(names)}
+    wanted = [(i, place[a], place[b]) for i, (a, b) in enumerate(pairs) if a in place and b in place]
+    pair, first, second = (np.array(v, np.int64) for v in zip(*wanted)) if wanted else (np.zeros(0, np.int64),) * 3
+
+    def products(batches):
+        """Sums over a task's rows for each pair: rows, x, y, xx, yy, xy, where both are present."""
+        total = np.zeros((4, len(names), len(names)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        n, s, ss, p = total
+        sums = (n[first, second], s[first, second], s[second, first], ss[first, second], ss[second, first], p[first, second])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (pair, *sums)], names=["pair", "n", "x", "y", "xx", "yy", "xy"])
+
+    schema = "pair long, n double, x double, y double, xx double, yy double, xy double"
+    base = df.selectExpr(*[f"double({values[c]}) AS v{i}" for c, i in place.items()]) if names else df.sparkSession.range(0)
+    sums = base.mapInArrow(products, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    # A constant side leaves rounding only; squares about the mean of all rows bound it.
+    dx, dy = (f"({s}{s} - {s} * {s} / n)" for s in "xy")
+    value = f"if({dx} > 1e-13D * xx AND {dy} > 1e-13D * yy, (xy - x * y / n) / sqrt({dx} * {dy}), NULL)"
+    return _named(df, pairs, sums.selectExpr("int(pair) AS pair", f"{value} AS r"), "r")
 
 
 def pearson(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:

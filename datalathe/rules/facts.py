@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, types as T
 
 from datalathe.functions.kinds import ROW_ID, data_columns
-from datalathe.operators.association import HIGH_CORRELATION, correlations
+from datalathe.operators.association import HIGH_CORRELATION, high_pairs
 from datalathe.operators.measure import classified, measure, type_map
 from datalathe.operators.profile import profiles_from
 from datalathe.operators.quality import duplicate_columns, duplicate_rows
@@ -116,10 +116,7 @@ def dataset_jobs(df: DataFrame, row_id: str | None) -> dict:
     return {
         "duplicates": lambda: duplicate_rows(df, row_id).first(),
         "equal_columns": lambda: len(duplicate_columns(df, row_id)),
-        "strong": lambda: sum(
-            r["correlation"] is not None and abs(r["correlation"]) >= HIGH_CORRELATION
-            for r in correlations(df, "pearson", row_id=row_id).collect()
-        ),
+        "strong": lambda: high_pairs(df, HIGH_CORRELATION, row_id).count(),
     }
 
 

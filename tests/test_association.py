@@ -127,3 +127,22 @@ def test_cramers_v(spark):
         assert v == pytest.approx(cramer(data[p], data[q]), abs=1e-9), (p, q)
     m = A.categorical_matrix(df, ["a", "b"])["matrix"]
     assert m[0][0] == 1.0 and m[0][1] == m[1][0] == round(got["a", "b"], 3)
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_two_hundred_columns_are_one_scan(spark, tmp_path, gaps):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(60, 200)) + rng.normal(size=(60, 1))
+    if gaps:
+        data[rng.random(data.shape) < 0.1] = np.nan
+    data[:, 7] = 3.0
+    names = [f"c{i:03d}" for i in range(200)]
+    spark.createDataFrame(pd.DataFrame(data, columns=names)).write.parquet(str(tmp_path / "wide"))
+    found = A.pearson(spark.read.parquet(str(tmp_path / "wide")), names)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    expected = pd.DataFrame(data, columns=names).corr()
+    got = {(r[0], r[1]): r[2] for r in found.collect()}
+    assert len(got) == 19_900
+    for (a, b), r in got.items():
+        e = expected.loc[a, b]
+        assert (r is None) if np.isnan(e) else r == pytest.approx(e, abs=1e-9)
