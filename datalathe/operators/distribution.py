@@ -95,7 +95,8 @@ def hash_sample(df: DataFrame, row_id: str, n: int, seed: int = SAMPLE_SEED) ->
 
     A top-n: each task keeps ``n`` rows, whatever the size of the data.
     """
-    return df.orderBy(F.xxhash64(col(row_id), F.lit(seed)), col(row_id)).limit(n)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), col(row_id).cast("string")))
+    return df.orderBy(order, col(row_id)).limit(n)
 
 
 def scatter(df: DataFrame, x: str, y: str, row_id: str = ROW_ID, n: int = PLOT_ROWS) -> DataFrame:

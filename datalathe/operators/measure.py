@@ -19,8 +19,8 @@ from datalathe.operators.types import (
     classify,
     delimiter_hits,
     detect_delimiters,
-    sample_facts,
     text_columns,
+    text_facts,
     whole_numbers,
 )
 from datalathe.session import together
@@ -57,7 +57,7 @@ def measure(
     flags: bool = False,
     other: dict | None = None,
 ) -> Measures:
-    """Counts, distinct values and text samples; with ``numbers`` also moments and
+    """Counts, distinct values and text facts; with ``numbers`` also moments and
     quartiles, with ``flags`` also quality flags and outliers. ``other`` jobs run alongside."""
     texts = text_columns(df, columns)
     numeric = [c for c in columns if is_numeric(df, c)]
@@ -92,7 +92,7 @@ def measure(
         m.distinct = {r["column"]: r.asDict() for r in distinct_summary(df, columns, row_id).collect()}
 
     def samples() -> None:
-        m.samples = {r["column"]: r.asDict() for r in sample_facts(df, texts, row_id).collect()}
+        m.samples = {r["column"]: r.asDict() for r in text_facts(df, texts, row_id).collect()}
 
     def mixed() -> None:
         m.mixed = {r[0]: r[1] for r in case_flags(df, texts, row_id).collect()}

@@ -7,17 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import LOGICAL_TYPES, ROW_ID, data_columns, kind_of, require_column
-from datalathe.functions.scalars import col, number_sql, parse_timestamp, q, tokens, word_count
+from datalathe.functions.scalars import col, number_sql, parse_timestamp, q, text, tokens, word_count
 from datalathe.operators.profile import base_counts, base_profile, distinct_summary, tidy
 
-# Name pattern, thresholds and sample size of the detectors.
+# Name pattern and thresholds of the detectors.
 ID_NAME = r"(?i)(^id$|_id$|^id_|uuid|guid)"
 ID_MIN_DISTINCT = 0.95
 ID_MAX_WORDS = 1.5
 CATEGORY_MAX_RATIO = 0.05
 CATEGORY_DTYPE_MAX_RATIO = 0.5
 DATETIME_MIN_PARSED = 0.9
-SAMPLE_ROWS = 200
 DELIMITERS = ("|", ",", ";", "/")
 MIN_SPLIT_RATIO = 0.5
 
@@ -30,7 +29,7 @@ def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if kind_of(df.schema[c]) == "string"]
 
 
-def first_values(df: DataFrame, columns: list[str], row_id: str | None = ROW_ID, n: int = SAMPLE_ROWS) -> DataFrame:
+def first_values(df: DataFrame, columns: list[str], row_id: str | None = ROW_ID, n: int = 200) -> DataFrame:
     """``(column, value)``: the first ``n`` non-missing texts of each column in row order.
 
     Stored data lies in row order, so a filter on the row id lets Parquet skip all but
@@ -67,21 +66,39 @@ def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def sample_facts(df: DataFrame, columns: list[str], row_id: str | None = ROW_ID) -> DataFrame:
-    """Mean word count and share of parseable dates over the first values of each text column."""
-    return first_values(df, columns, row_id).groupBy("column").agg(
-        F.avg(word_count(F.col("value"))).alias("mean_words"),
-        F.avg(F.when(parse_timestamp(F.col("value")).isNotNull(), 1.0).otherwise(0.0)).alias("parsed"),
-    )
+def text_facts(
+    df: DataFrame, columns: list[str], row_id: str | None = ROW_ID, sample_rows: int | None = None
+) -> DataFrame:
+    """``(column, mean_words, parsed)``: mean word count and share of dates of each text column.
+
+    Every value counts. With ``sample_rows`` only that many first values do, which is
+    cheaper where texts are long and rows of a kind are spread evenly.
+    """
+    if sample_rows is not None:
+        return first_values(df, columns, row_id, sample_rows).groupBy("column").agg(*_text_aggs(F.col("value")))
+    wide = df.agg(*[F.struct(*_text_aggs(col(c))).alias(f"t{i}") for i, c in enumerate(columns)])
+    rows = [f"named_struct('column', {text(c)}, 'mean_words', t{i}.mean_words, 'parsed', t{i}.parsed)" for i, c in enumerate(columns)]
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _text_aggs(c: Column) -> list[Column]:
+    # All layouts have a year of four digits; without one the parsers need not run.
+    dated = F.when(c.rlike(r"\d{4}") & (F.length(c) <= 64), parse_timestamp(c).isNotNull()).otherwise(F.lit(False))
+    return [
+        F.avg(word_count(c)).alias("mean_words"),
+        F.avg(F.when(c.isNotNull(), dated.cast("double"))).alias("parsed"),
+    ]
 
 
-def detect_ids(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
+def detect_ids(
+    df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID, sample_rows: int | None = None
+) -> DataFrame:
     """``(column, is_id)``: near-unique single-token values, named like an id or fully unique."""
     columns = columns or data_columns(df, row_id)
     base = base_counts(df, columns, row_id).join(distinct_summary(df, columns, row_id), "column", "left")
     texts = text_columns(df, columns)
     if texts:
-        base = base.join(sample_facts(df, texts, row_id), "column", "left")
+        base = base.join(text_facts(df, texts, row_id, sample_rows), "column", "left")
     else:
         base = base.withColumn("mean_words", F.lit(None).cast("double"))
     return base.select("column", _id_rule(df, columns).alias("is_id"))
@@ -246,14 +263,16 @@ def check_logical_type(logical_type: str) -> None:
         raise ValueError(f"unknown logical type '{logical_type}', expected one of {', '.join(LOGICAL_TYPES)}")
 
 
-def datetime_flags(df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID) -> DataFrame:
-    """``(column, is_datetime_convertible)``: nine in ten of the first texts parse as dates."""
+def datetime_flags(
+    df: DataFrame, columns: list[str] | None = None, row_id: str | None = ROW_ID, sample_rows: int | None = None
+) -> DataFrame:
+    """``(column, is_datetime_convertible)``: nine in ten texts parse as dates."""
     columns = columns or data_columns(df, row_id)
     names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
     texts = text_columns(df, columns)
     if not texts:
         return names.select("column", F.lit(False).alias("is_datetime_convertible"))
-    return names.join(sample_facts(df, texts, row_id), "column", "left").select(
+    return names.join(text_facts(df, texts, row_id, sample_rows), "column", "left").select(
         "column", F.coalesce(F.col("parsed") >= DATETIME_MIN_PARSED, F.lit(False)).alias("is_datetime_convertible")
     )
 
