@@ -29,83 +29,88 @@ def _rule(id, category, severity, applies_to, condition, recommendation, reason,
     }
 
 
+# What the operations named by the rules do here, and what they cost.
+_FILL_COST = "One aggregate finds the value; filling is a column expression, so no row moves."
+_DROP_COST = "A filter: the row ids of the kept rows stay, with gaps in the numbering."
+_FILL_KEEPS = ["Row count and row ids stay", "The value is stored with the step and replayed"]
+_DROP_KEEPS = ["Every remaining value was measured"]
+
+
+def _learn(concept, why, math, mistakes, example):
+    return {
+        "concept": concept,
+        "why_it_matters": why,
+        "math_explanation": math,
+        "common_mistakes": mistakes,
+        "real_world_example": example,
+    }
+
+
 MISSING = [
     _rule(
         "missing_low_numerical", "missing_values", "low", "numerical", "missing_pct > 0 and missing_pct <= 5",
-        "Fill with the median, or drop the rows", "So few gaps hardly move any statistic, whichever way they are closed.",
-        ["Little effect on the data", "Cheap to do"], ["Dropped rows also lose their other columns"],
-        ["Fill with the mean", "Drop rows"], _NA,
+        "impute with median or drop_rows", _FILL_COST,
+        _FILL_KEEPS, ["preview_imputation shows how far mean and deviation move"], ["impute: mean", "impute: drop_rows"], _NA,
     ),
     _rule(
         "missing_moderate_numerical", "missing_values", "medium", "numerical", "missing_pct > 5 and missing_pct <= 30",
-        "Fill with the median", "Too many gaps to throw the rows away, few enough for one typical value to stand in.",
-        ["Keeps every row", "Not moved by extreme values"],
-        ["Makes the column look less spread out", "Weakens its relation to other columns"],
-        ["Fill with the mean", "Nearest-neighbour imputation", "Drop rows"], _ML + "#imputer",
-        {
-            "concept": "Imputation: standing in for a value that was never recorded",
-            "why_it_matters": "Most models reject rows with gaps, and a dropped row also loses the values it did have.",
-            "math_explanation": "The median of n sorted values is the middle one, or the mean of the two middle ones "
-            "when n is even. It depends on order only, so one huge value cannot move it.",
-            "common_mistakes": [
-                "Learning the fill value on data that is later used for evaluation",
-                "Filling with the mean although a few values dominate it",
-                "Ignoring that gaps may depend on the missing value itself",
-            ],
-            "real_world_example": "Lot sizes missing from a seventh of house listings: the median lot fills the gap "
-            "without being stretched by a handful of farms.",
-        },
+        "impute with median", _FILL_COST,
+        _FILL_KEEPS, ["The standard deviation of the column falls with every filled row"],
+        ["impute: forward_fill where row order means time", "impute: mean"], _ML + "#imputer",
+        _learn(
+            "An exact median over partitions",
+            "The fill value must be the same on every executor and in every replay, so it is computed once and recorded.",
+            "A sketch brackets rank (n - 1) / 2, a count proves the bracket, and only the values inside it are sorted.",
+            ["Replaying a fill on other data and expecting the recorded number: replay learns it anew",
+             "Comparing correlations before and after without looking at the number of complete pairs"],
+            "In the dirty events of the tests every eleventh value is missing; the fill gives each the median of the others.",
+        ),
     ),
     _rule(
         "missing_high_numerical", "missing_values", "high", "numerical", "missing_pct > 30 and missing_pct <= 60",
-        "Use a model-based fill such as nearest neighbours, or consider dropping the column",
-        "One constant would make up a third or more of the column.",
-        ["Other columns inform the filled values"], ["Expensive on large data", "Still mostly guesswork"],
-        ["Fill with the median", "Drop the column"], _ML + "#imputer",
+        "compare_strategies before any impute", "Two summaries side by side cost three passes over one column.",
+        ["The decision rests on this table's own figures"], ["No strategy here looks at other columns"],
+        ["drop_column", "impute: median"], _ML + "#imputer",
     ),
     _rule(
-        "missing_very_high_numerical", "missing_values", "high", "numerical", "missing_pct > 60", "Drop the column",
-        "Most of what a fill would produce was never measured.",
-        ["No invented values downstream"], ["Loses the values that are there"],
-        ["Model-based fill where the column is essential"], _NA,
+        "missing_very_high_numerical", "missing_values", "high", "numerical", "missing_pct > 60", "drop_column",
+        "Later scans no longer read the column at all, as Parquet stores columns apart.",
+        ["The step can be undone: version 1 keeps the column"], ["Rules over pairs of columns lose this one"],
+        ["impute: constant"], _NA,
     ),
     _rule(
         "missing_low_categorical", "missing_values", "low", "categorical", "missing_pct > 0 and missing_pct <= 5",
-        "Fill with the most frequent category, or drop the rows", "The shares of the categories barely change.",
-        ["Simple", "Keeps the row count"], ["The leading category grows a little"],
-        ["Drop rows", "Fill with a constant such as 'Unknown'"], _NA,
+        "impute with mode or drop_rows", "The mode comes from one histogram, ties go to the smallest value.",
+        _FILL_KEEPS, ["category_frequencies of the mode grows by the missing share"],
+        ["impute: constant", "impute: drop_rows"], _NA,
     ),
     _rule(
         "missing_moderate_categorical", "missing_values", "medium", "categorical",
         "missing_pct > 5 and missing_pct <= 30",
-        "Fill with the most frequent category or with a constant",
-        "The leading category would grow visibly; a category of its own is often the more honest choice.",
-        ["A constant keeps the fact that the value was missing"], ["The most frequent category is overstated"],
-        ["Most frequent category", "Drop rows"], _NA,
+        "impute with constant or mode", "A constant needs no pass over the data at all.",
+        ["A constant can be found and undone later, a mode cannot"], ["label and one_hot encoding get one more code"],
+        ["impute: forward_fill"], _NA,
     ),
     _rule(
         "missing_high_categorical", "missing_values", "high", "categorical", "missing_pct > 30",
-        "Make missing its own category, or consider dropping the column",
-        "With so many gaps, being missing may itself carry information.",
-        ["Keeps the signal of missingness"], ["One more category to encode"], ["Drop the column"], _NA,
+        "impute with constant, or drop_column", "Cramér's V leaves rows with a gap out, a constant brings them back in.",
+        ["Association measures see all rows"], ["The constant can become the most frequent value"], ["drop_column"], _NA,
     ),
     _rule(
         "missing_low_text", "missing_values", "low", "text", "missing_pct > 0 and missing_pct <= 5",
-        "Fill with a placeholder, or drop the rows", "A few empty texts seldom matter.",
-        ["Keeps the row count"], ["A placeholder is not content"], ["Drop rows"], _NA,
+        "impute with constant or drop_rows", _DROP_COST,
+        _DROP_KEEPS, ["text_size counts the words of a constant, too"], ["impute: mode"], _NA,
     ),
     _rule(
         "missing_moderate_text", "missing_values", "medium", "text", "missing_pct > 5 and missing_pct <= 50",
-        "Mark missing text as such, or drop the column if it is not needed",
-        "There is no typical text that could stand in for a missing one.",
-        ["Keeps the row and says openly that the text is absent"], ["Recovers nothing"],
-        ["Drop rows", "Drop the column"], _NA,
+        "impute with constant, or drop_column", "text_size gives NULL for a missing text, which a constant would hide.",
+        ["text_size before the fill keeps both facts"], ["Distinct counts grow by one"], ["impute: drop_rows"], _NA,
     ),
     _rule(
-        "missing_high_text", "missing_values", "high", "text", "missing_pct > 50", "Consider dropping the column",
-        "Less than half of the rows have any text to work with.",
-        ["Removes a mostly empty column"], ["The remaining texts may still matter"],
-        ["Keep a flag that says whether text is present"], _NA,
+        "missing_high_text", "missing_values", "high", "text", "missing_pct > 50", "drop_column, after text_size if needed",
+        "Texts are most of a table's bytes; without them every pass over full rows is shorter.",
+        ["text_size leaves two small columns in its place"], ["parquet versions keep the old column until prune"],
+        ["impute: constant"], _NA,
     ),
 ]
 
@@ -207,38 +212,33 @@ DISTRIBUTION = [
 OUTLIERS = [
     _rule(
         "moderate_outliers", "outliers", "medium", "numerical", "outlier_pct > 1 and outlier_pct <= 5",
-        "Review outliers by the IQR method", "Some values lie far outside the middle half of the data.",
-        ["Quartiles are not moved by the outliers themselves"], ["Some may be true rare events"],
-        ["z-score for roughly normal data", "Modified z-score", "Cap instead of remove"], _SPARK,
-        {
-            "concept": "Outliers by the interquartile range",
-            "why_it_matters": "A few extreme values can carry a mean, a standard deviation or a fitted model with them.",
-            "math_explanation": "With IQR = Q3 - Q1, a value below Q1 - 1.5 IQR or above Q3 + 1.5 IQR is flagged. "
-            "The factor 1.5 is Tukey's convention, not a law.",
-            "common_mistakes": [
-                "Removing flagged values without asking what they are",
-                "Using the rule on strongly skewed data, where the tail is flagged as a whole",
-            ],
-            "real_world_example": "Unusually large card payments: some are fraud, some are cars.",
-        },
+        "detect_outliers with iqr, then decide", "The fences are two exact quantiles, found without sorting the column.",
+        ["detect_outliers lists row ids, so the flagged rows can be looked up"],
+        ["The fences move when the step is replayed on other data"],
+        ["method zscore", "method modified_zscore", "action cap"], _SPARK,
+        _learn(
+            "Fences from two quartiles",
+            "One fence pair is broadcast to all partitions, so flagging is a filter that the scan can run.",
+            "Lower fence q1 - 1.5 (q3 - q1), upper fence q3 + 1.5 (q3 - q1); equal quartiles flag whatever differs.",
+            ["Treating twice: after a cap the quartiles are the same, so a second cap finds nothing",
+             "Scaling with minmax first and reading the fences in the old unit"],
+            "In the smaller events table of the tests 463 of 10,000 values lie outside the fences.",
+        ),
     ),
     _rule(
         "significant_outliers", "outliers", "high", "numerical", "outlier_pct > 5",
-        "Review and treat outliers by the IQR method", "More than one value in twenty lies outside the usual range.",
-        ["Capping keeps all rows", "Removal can sharpen models when the values are noise"],
-        ["So many may be a population of their own"], ["Modified z-score", "Cap instead of remove"], _SPARK,
-        {
-            "concept": "Outliers that are not rare",
-            "why_it_matters": "At this share they shape the data; removing them removes a group, keeping them "
-            "distorts averages.",
-            "math_explanation": "The same IQR bounds apply. In a skewed or two-peaked distribution they flag "
-            "legitimate values, so look at the histogram first.",
-            "common_mistakes": [
-                "Taking a high share of outliers as proof of bad data",
-                "Removing them without checking what they have in common",
-            ],
-            "real_world_example": "Eight percent of order values flagged: a group of wholesale buyers.",
-        },
+        "histogram first, then outlier_treatment with iqr", "Thirty bins cost one pass and show whether the flagged values are one heap.",
+        ["cap keeps row ids and row count", "remove shortens every later pass"],
+        ["cap piles the flagged rows up on one value"],
+        ["transform before outlier_treatment", "method modified_zscore"], _SPARK,
+        _learn(
+            "When the fence cuts a tail",
+            "A treatment of this share changes the median of what follows, so steps after it learn other values.",
+            "For an exponential column the upper fence lies at 4.8 % of the mass, whatever its rate.",
+            ["Replaying remove before remove_duplicate_rows: copies of one outlier count several times in the quartiles",
+             "Judging a health score that fell because rows went, not because values improved"],
+            "Response times: store yeo_johnson and iqr in both orders and compare what detect_outliers counts.",
+        ),
     ),
 ]
 

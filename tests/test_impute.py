@@ -48,7 +48,7 @@ def test_drop_rows(spark):
 def test_numeric_strategies_reject_text(column):
     text = column(["a", "b", "c"], "string")
     for strategy in ("mean", "median"):
-        with pytest.raises(ValueError, match="requires a numeric column"):
+        with pytest.raises(ValueError, match="needs numbers"):
             impute(text, "x", strategy)
     assert impute(text, "x", "mode").count() == 3
     with pytest.raises(ValueError):

@@ -155,3 +155,23 @@ def test_row_ids(spark):
     got = with_row_id(df, ["v"]).orderBy("__row_id").collect()
     assert [r["__row_id"] for r in got] == list(range(500)) and [r["v"] for r in got] == sorted(r["v"] for r in got)
     assert sorted(r["__row_id"] for r in with_row_id(df).collect()) == list(range(500))
+
+
+def test_two_writers_cannot_overwrite_each_other(spark, column, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "store"))
+    dataset = store.add(column([1.0, None]), "x.csv")
+    state = store._state(dataset)
+    store.apply(dataset, "impute", {"column": "x", "strategy": "mean"})
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.update(dataset, column([5.0]), "late", "scale", {"column": "x"}, state=state)
+    assert store.get(dataset).count() == 2
+
+
+def test_undone_versions_stay_readable_until_pruned(spark, column, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "store"))
+    dataset = store.add(column([1.0, None]), "x.csv")
+    old = store.apply(dataset, "impute", {"column": "x", "strategy": "mean"})
+    store.undo(dataset)
+    store.apply(dataset, "impute", {"column": "x", "strategy": "drop_rows"})
+    assert old.count() == 2
+    assert store.prune(dataset) == 1
