@@ -128,10 +128,10 @@ NAMES = ", ".join(c for c, _ in EVENTS)
 # -- logical types ---------------------------------------------------------------------------
 
 def words(table: str, c: str, order: str) -> str:
-    """Mean number of words of the first 200 texts."""
+    """Mean number of words of the texts."""
     return (
         f"(SELECT avg(len(regexp_extract_all({c}, '\\S+'))) FROM "
-        f"(SELECT {c} FROM {table} WHERE {c} IS NOT NULL ORDER BY {order} LIMIT 200))"
+        f"(SELECT {c} FROM {table} WHERE {c} IS NOT NULL))"
     )
 
 
@@ -230,7 +230,7 @@ ORACLES["detect_datetime"] = with_dirty(
         f"SELECT '{c}' AS \"column\", "
         + (
             f"(SELECT avg(CASE WHEN try_cast({c} AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.9 FROM "
-            f"(SELECT {c} FROM dirty WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 200))"
+            f"(SELECT {c} FROM dirty WHERE {c} IS NOT NULL))"
             if k == "string"
             else "false"
         )
@@ -618,7 +618,7 @@ def column_fact_row(i: int, c: str, k: str) -> str:
     }
     ratio = even(f"count(DISTINCT {c}) / count(*)::DOUBLE", 4)
     text = k == "string"
-    first = f"(SELECT {c} FROM dirty WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 200)"
+    first = f"(SELECT {c} FROM dirty WHERE {c} IS NOT NULL)"
     parts = [
         f"{i} AS position", f"'{c}' AS \"column\"",
         f"(SELECT detected_type FROM types t WHERE t.\"column\" = '{c}') AS effective_type",
@@ -752,7 +752,98 @@ ORACLES["replay_check"] = with_dirty(
     f"{len(EVENTS)}::BIGINT AS replayed_columns FROM dedup",
     DEDUP,
 )
+AWKWARD = "concat(tags, ', \"', num_text, '\"', chr(10), ';', CAST(row_id AS VARCHAR))"
+CSV_TYPES = {"num_text": "num_text", "ts": "CAST(ts AS VARCHAR)"}
 ORACLES["csv_roundtrip"] = with_dirty(
-    "SELECT row_number() OVER (ORDER BY row_id) - 1 AS __row_id, user_id, value, event_type, tags FROM dirty"
+    "SELECT row_number() OVER (ORDER BY row_id) - 1 AS __row_id, "
+    + ", ".join(f"{CSV_TYPES.get(c, c)} AS {c}" for c, _ in EVENTS)
+    + f", {AWKWARD} AS awkward FROM dirty"
+)
+ORACLES["parquet_roundtrip"] = with_dirty(f"SELECT {NAMES} FROM dirty")
+
+# -- what rows and steps become --------------------------------------------------------------------------------------
+
+ORACLES["convert_category_int"] = with_dirty("SELECT row_id, dense_rank() OVER (ORDER BY user_id) - 1 AS user_id FROM dirty")
+ORACLES["dedup_nan"] = with_dirty(
+    f"SELECT row_id, {r('value')} AS value, {DUP_COUNT} AS duplicates FROM dedup", DEDUP
+)
+ORACLES["fe_strip"] = with_dirty(f"SELECT row_id, trim(event_type, {BLANKS}) AS event_type FROM dirty")
+ORACLES["fe_case"] = with_dirty("SELECT row_id, upper(event_type) AS event_type FROM dirty")
+DAY = "CAST(date_text AS DATE)"
+PARTS = {
+    "year": "year({d})", "quarter": "quarter({d})", "month": "month({d})", "day": "day({d})", "hour": "0",
+    "day_of_week": "isodow({d}) - 1", "day_of_year": "dayofyear({d})", "week": "weekofyear({d})",
+}
+ORACLES["fe_date_parts"] = with_dirty(
+    "SELECT row_id, " + ", ".join(f"CAST({e.format(d=DAY)} AS INTEGER) AS date_text_{p}" for p, e in PARTS.items()) + " FROM dirty"
+)
+ORACLES["fe_elapsed"] = with_dirty(
+    f"SELECT row_id, {r('(epoch_us(max(ts) OVER ()) - epoch_us(ts)) / 3600000000.0::DOUBLE')} AS ts_hours FROM dirty"
+)
+ORACLES["fe_text_size"] = (
+    "SELECT doc_id, length(text) AS text_length, len(regexp_extract_all(text, '\\S+')) AS text_words FROM documents"
+)
+ORACLES["fe_bin"] = with_dirty(
+    "SELECT row_id, CASE WHEN value IS NOT NULL THEN CAST((SELECT count(*) FROM range(1, 10) t(k) WHERE value >= lo + k * (hi - lo) / 10) AS INTEGER) END "
+    "AS value_bin FROM dirty, (SELECT min(value) AS lo, max(value) AS hi FROM dirty)"
+)
+ORACLES["fe_bin_quantile"] = with_dirty(
+    "SELECT row_id, CASE WHEN value IS NOT NULL THEN CAST(value >= a AS INTEGER) + CAST(value >= b AS INTEGER) + CAST(value >= c AS INTEGER) END "
+    "AS value_bin FROM dirty, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM dirty)"
+)
+ORACLES["fe_cyclic"] = with_dirty(
+    f"SELECT row_id, {r('whole_float')} AS whole_float, {r('sin(2 * pi() * whole_float / 7)')} AS whole_float_sin, "
+    f"{r('cos(2 * pi() * whole_float / 7)')} AS whole_float_cos FROM dirty"
+)
+ORACLES["enc_onehot_case"] = with_dirty(
+    "SELECT row_id, coalesce(code, -1) AS position, CASE WHEN code IS NULL THEN 0 ELSE 1 END AS ones, "
+    "(SELECT count(*) FROM codes)::INTEGER AS columns FROM dirty LEFT JOIN codes ON v = event_type",
+    CODES,
+)
+ORACLES["enc_onehot_wide"] = (
+    "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS position, 1 AS ones, "
+    "(SELECT count(DISTINCT c_name) FROM customer)::INTEGER AS columns FROM customer"
+)
+ORACLES["enc_multilabel_wide"] = (
+    "WITH l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT c_name AS v FROM customer UNION SELECT c_mktsegment FROM customer)) "
+    "SELECT c_custkey, least(a.code, b.code) AS position, 2 AS ones, (SELECT count(*) FROM l)::INTEGER AS columns "
+    "FROM customer JOIN l a ON a.v = c_name JOIN l b ON b.v = c_mktsegment"
+)
+ORACLES["scatter_sample"] = with_dirty(
+    "SELECT row_id, value AS x, whole_float AS y FROM dirty WHERE value IS NOT NULL AND whole_float IS NOT NULL "
+    "ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 3000"
+)
+ORACLES["version_redo_restore"] = with_dirty(
+    "SELECT * FROM (VALUES (0, 'undo', 3), (1, 'undo', 2), (2, 'redo', 3), (3, 'restore', 1)) t(position, action, current) "
+    "JOIN (SELECT 1 AS current, count(*) AS rows, count(*) - count(value) AS missing FROM dirty UNION ALL "
+    "SELECT 2, count(*), count(*) - count(value) FROM dedup UNION ALL SELECT 3, count(*), 0 FROM dedup) USING (current)",
+    DEDUP,
+)
+ORACLES["dataset_list"] = (
+    "SELECT * FROM (VALUES ('events.csv', 4, 4), ('nation.csv', 1, 1)) t(filename, current_version, total_versions)"
+)
+ORACLES["steps_export"] = with_dirty(
+    "SELECT version_num, operation, params, (SELECT count(*) FROM dedup) AS rows, (SELECT count(*) FROM dedup) AS values FROM "
+    "(VALUES (2, 'remove_duplicate_rows', 1), (3, 'impute', 2), (4, 'outlier_treatment', 3)) t(version_num, operation, params)",
+    DEDUP,
+)
+ORACLES["type_override"] = with_dirty(
+    "SELECT \"column\", CASE WHEN \"column\" = 'whole_float' THEN 'categorical' ELSE detected_type END AS effective_type, "
+    "\"column\" = 'whole_float' AS is_overridden FROM types",
+    DEDUP, best_delimiters("dedup", TEXTS), TYPE_ROWS.replace("FROM dirty", "FROM dedup"),
+)
+ORACLES["stored_transform"] = with_dirty(
+    f"SELECT row_id, {r('sqrt(value)')} AS value, CASE WHEN event_type IS NOT NULL THEN count(*) OVER (PARTITION BY event_type) END AS event_type FROM s3",
+    DEDUP, f"s2 AS ({filled_sql('dedup')})", f"s3 AS ({capped_sql('s2')})",
+)
+ORACLES["categorical_matrix"] = (
+    "WITH v AS (" + cramers("lineitem", ["l_returnflag", "l_linestatus"]) + ") "
+    "SELECT a AS column_a, b AS column_b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE (SELECT round(correlation, 3) FROM v) END AS correlation "
+    "FROM (VALUES ('l_returnflag'), ('l_linestatus')) x(a), (VALUES ('l_returnflag'), ('l_linestatus')) y(b)"
+)
+ORACLES["replay_all"] = with_dirty(
+    f"SELECT row_id, {r('value')} AS value, {r('try_cast(num_text AS DOUBLE)')} AS num_text, "
+    "CASE WHEN event_type IS NOT NULL THEN count(*) OVER (PARTITION BY event_type) END AS event_type, 9 AS columns FROM s5",
+    DEDUP, f"s2 AS ({filled_sql('dedup')})", f"s3 AS ({capped_sql('s2')})",
+    "s4 AS (SELECT * REPLACE (sqrt(value) AS value) FROM s3)", f"s5 AS ({minmax_sql('s4')})",
 )
-ORACLES["parquet_roundtrip"] = with_dirty(f"SELECT {NAMES.replace('ts, ', '')} FROM dirty")

@@ -11,6 +11,7 @@ from datalathe.operators import (
     convert,
     distribution,
     encode,
+    features,
     impute,
     outliers,
     profile,
@@ -19,7 +20,7 @@ from datalathe.operators import (
     transforms,
     types,
 )
-from datalathe.plans.steps import replay
+from datalathe.plans.steps import execute, replay, steps_from_text
 from datalathe.rules import engine, facts
 from datalathe.session import fresh_path
 from datalathe.sources.files import read_csv, write_csv, write_parquet
@@ -214,6 +215,17 @@ def dup_preview(spark, folder):
     return spark.createDataFrame(rows, "duplicate_count long, rows_after_removal long, row_id long, user_id long")
 
 
+@query("dedup_nan")
+def dedup_nan(spark, folder):
+    """Missing values of both kinds are equal: every second gap is NaN here, NULL in the others."""
+    d = dirty_events(spark, folder)
+    nan = F.when(F.col("value").isNull() & (F.col("row_id") % 100_000_000 % 22 == 0) & (F.col("row_id") >= 100_000_000), F.lit(float("nan")))
+    d = d.withColumn("value", F.coalesce(nan, "value"))
+    kept = quality.remove_duplicate_rows(d, "first", ORDER)
+    counted = quality.duplicate_rows(d, ORDER).select(F.col("count").alias("duplicates"))
+    return rounded(kept.select("row_id", "value").crossJoin(counted))  # one row
+
+
 # -- missing values ------------------------------------------------------------------------------
 
 for _name, _column, _strategy, _constant in (
@@ -297,6 +309,28 @@ def convert_preview(spark, folder):
     return spark.createDataFrame(rows, schema)
 
 
+on_dirty(
+    "convert_category_int",
+    lambda d: encode.encode(convert.convert(d, "user_id", "category"), "user_id", "label").select("row_id", "user_id"),
+)
+
+# -- new columns from one column -----------------------------------------------------------------------------
+
+on_dirty("fe_strip", lambda d: execute(d, "strip", {"column": "event_type"}, ORDER).select("row_id", "event_type"))
+on_dirty("fe_case", lambda d: execute(d, "change_case", {"column": "event_type", "case": "upper"}, ORDER).select("row_id", "event_type"))
+on_dirty(
+    "fe_date_parts",
+    lambda d: execute(d.select("row_id", "date_text"), "date_parts", {"column": "date_text", "parts": list(features.PARTS)}, ORDER).drop("date_text"),
+)
+on_dirty("fe_elapsed", lambda d: execute(d.select("row_id", "ts"), "elapsed", {"column": "ts", "unit": "hours"}, ORDER).drop("ts"))
+on_table("fe_text_size", "documents", lambda d: execute(d.select("doc_id", "text"), "text_size", {"column": "text"}, "doc_id").drop("text"))
+on_dirty("fe_bin", lambda d: execute(d.select("row_id", "value"), "bin", {"column": "value"}, ORDER).drop("value"))
+on_dirty(
+    "fe_bin_quantile",
+    lambda d: execute(d.select("row_id", "value"), "bin", {"column": "value", "bins": 4, "method": "quantile"}, ORDER).drop("value"),
+)
+on_dirty("fe_cyclic", lambda d: execute(d.select("row_id", "whole_float"), "cyclic", {"column": "whole_float", "period": 7}, ORDER))
+
 # -- transforms --------------------------------------------------------------------------------------------
 
 on_table("tx_log", "orders", lambda d: transforms.apply_transform(d, "o_totalprice", "log").select("o_orderkey", "o_totalprice"))
@@ -355,6 +389,44 @@ on_dirty("enc_frequency", lambda d: encode.encode(d, "event_type", "frequency").
 on_dirty("enc_binary", lambda d: encode.encode(d.select("row_id", "event_type"), "event_type", "binary"))
 on_dirty("enc_multilabel", lambda d: encode.encode(d.select("row_id", "tags"), "tags", "multi_label"))
 
+@query("enc_onehot_case")
+def enc_onehot_case(spark, folder):
+    """Values that differ in casing alone, written as a version."""
+    store = VersionStore(spark, fresh_path(spark, "datalathe-store"), ORDER)
+    dataset = store.add(dirty_events(spark, folder).select("row_id", "event_type"), "events.csv")
+    out = store.apply(dataset, "encode", {"column": "event_type", "method": "one_hot"})
+    names = [c for c in out.columns if c != ORDER]
+    return out.select(ORDER, F.array(*[F.col(f"`{c}`") for c in names]).alias("flags")).select(
+        ORDER, (F.array_position("flags", 1) - 1).alias("position"), F.aggregate("flags", F.lit(0), lambda a, x: a + x).alias("ones"),
+        F.size("flags").alias("columns"),
+    )
+
+
+def _wide(spark, folder, values: DataFrame, column: str, key: str, method: str, **params):
+    """A stored and replayed encoding of one column into very many."""
+    store = VersionStore(spark, fresh_path(spark, "datalathe-store"), key)
+    dataset = store.add(values, "wide.csv")
+    store.apply(dataset, "encode", {"column": column, "method": method, **params})
+    out = replay(store.get_version(dataset, 1), store.steps(dataset), key)
+    names = [c for c in out.columns if c != key]
+    flags = out.selectExpr(key, f"array({', '.join(f'`{c}`' for c in names)}) AS flags")
+    return flags.select(
+        key, (F.array_position("flags", 1) - 1).alias("position"),
+        F.aggregate("flags", F.lit(0), lambda a, x: a + x).alias("ones"), F.size("flags").alias("columns"),
+    )
+
+
+@query("enc_onehot_wide")
+def enc_onehot_wide(spark, folder):
+    return _wide(spark, folder, table(spark, folder, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey", "one_hot")
+
+
+@query("enc_multilabel_wide")
+def enc_multilabel_wide(spark, folder):
+    d = table(spark, folder, "customer").selectExpr("c_custkey", "concat(c_name, '|', c_mktsegment) AS tags")
+    return _wide(spark, folder, d, "tags", "c_custkey", "multi_label", delimiter="|")
+
+
 # -- scaling -------------------------------------------------------------------------------------------------
 
 for _name, _method, _digits in (
@@ -483,14 +555,96 @@ def replay_check(spark, folder):
     return spark.createDataFrame([row], schema)
 
 
+@query("version_redo_restore")
+def version_redo_restore(spark, folder):
+    """The current version after each of undo, redo and restore."""
+    store, dataset = _stored(spark, folder)
+    rows = []
+    for action in ("undo", "undo", "redo", "restore"):
+        found = store.restore(dataset, 1) if action == "restore" else getattr(store, action)(dataset)
+        current = next(h["version_num"] for h in store.history_rows(dataset) if h["is_current"])
+        rows.append((len(rows), action, current, found.count(), found.where("value IS NULL").count()))
+    return spark.createDataFrame(rows, "position int, action string, current int, rows long, missing long")
+
+
+@query("dataset_list")
+def dataset_list(spark, folder):
+    """Two stored datasets, one of them deleted again."""
+    store, dataset = _stored(spark, folder)
+    other = store.add(table(spark, folder, "region"), "region.csv")
+    store.add(table(spark, folder, "nation"), "nation.csv")
+    store.delete(other)
+    return store.list_datasets().select("filename", "current_version", "total_versions")
+
+
+@query("steps_export")
+def steps_export(spark, folder):
+    """The recorded steps, exported as JSON, read again and replayed."""
+    store, dataset = _stored(spark, folder)
+    steps = steps_from_text(store.steps_json(dataset))
+    again = replay(store.get_version(dataset, 1), steps, ORDER)
+    rows = again.agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("values")).first()
+    out = [(s["version_num"], s["operation"], len(s["operation_params"]), rows["rows"], rows["values"]) for s in steps]
+    return spark.createDataFrame(out, "version_num int, operation string, params int, rows long, values long")
+
+
+@query("type_override")
+def type_override(spark, folder):
+    """Column types of a stored dataset with one override set and another set and cleared."""
+    store, dataset = _stored(spark, folder)
+    store.set_override(dataset, "whole_float", "categorical")
+    store.set_override(dataset, "num_text", "id")
+    store.clear_override(dataset, "num_text")
+    found = types.detect_types(store.get(dataset), store.overrides(dataset), ORDER)
+    return found.select("column", "effective_type", "is_overridden")
+
+
+@query("stored_transform")
+def stored_transform(spark, folder):
+    store, dataset = _stored(spark, folder)
+    store.apply(dataset, "transform", {"column": "value", "transform": "sqrt"})
+    store.apply(dataset, "encode", {"column": "event_type", "method": "frequency"})
+    return rounded(store.get(dataset).select("row_id", "value", "event_type"))
+
+
+@query("categorical_matrix")
+def categorical_matrix(spark, folder):
+    m = association.categorical_matrix(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"])
+    rows = [(a, b, m["matrix"][i][j]) for i, a in enumerate(m["columns"]) for j, b in enumerate(m["columns"])]
+    return rounded(spark.createDataFrame(rows, "column_a string, column_b string, correlation double"), 3)
+
+
+NINE_STEPS = [
+    ("remove_duplicate_rows", {"keep": "first"}),
+    ("remove_duplicate_columns", {"columns_to_drop": ["value_copy"]}),
+    ("impute", {"column": "value", "strategy": "median"}),
+    ("convert_dtype", {"column": "num_text", "target_type": "float"}),
+    ("outlier_treatment", {"column": "value", "method": "iqr", "action": "cap"}),
+    ("transform", {"column": "value", "transform": "sqrt"}),
+    ("encode", {"column": "event_type", "method": "frequency"}),
+    ("scale", {"column": "value", "method": "minmax"}),
+    ("drop_column", {"column": "const_col"}),
+]
+
+
+@query("replay_all")
+def replay_all(spark, folder):
+    """All nine operations of the registry's first part, one after the other."""
+    steps = [{"version_num": i + 2, "operation": o, "operation_params": p} for i, (o, p) in enumerate(NINE_STEPS)]
+    out = replay(dirty_events(spark, folder), steps, ORDER)
+    return rounded(out.select("row_id", "value", "num_text", "event_type", F.lit(len(out.columns)).alias("columns")))
+
+
 # -- sources and sinks -------------------------------------------------------------------------------------------
 
 
 @query("csv_roundtrip")
 def csv_roundtrip(spark, folder):
-    """Exported as CSV in row order, then ingested with inferred types and new row ids."""
+    """All columns, and a text with quotes, delimiter and line break, exported in row order and ingested again."""
     path = fresh_path(spark, "datalathe-export") + ".csv"
-    write_csv(dirty_events(spark, folder).select("row_id", "user_id", "value", "event_type", "tags"), path, ORDER)
+    awkward = F.concat(F.col("tags"), F.lit(', "'), F.col("num_text"), F.lit('"\n;'), F.col("row_id").cast("string"))
+    d = dirty_events(spark, folder).withColumn("ts", F.col("ts").cast("string")).withColumn("awkward", awkward)
+    write_csv(d, path, ORDER)
     return read_csv(spark, path)
 
 
@@ -498,4 +652,4 @@ def csv_roundtrip(spark, folder):
 def parquet_roundtrip(spark, folder):
     path = fresh_path(spark, "datalathe-export") + ".parquet"
     write_parquet(dirty_events(spark, folder), path, ORDER, keep_order=False)
-    return spark.read.parquet(path).drop("ts")
+    return spark.read.parquet(path)
