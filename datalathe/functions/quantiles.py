@@ -17,10 +17,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.scalars import non_nan, number
+from datalathe.session import together
 
 ACCURACY = 10_000
 # Most values all open brackets of one pass may bring along, so the pass stays small.
 VALUE_BUDGET = 1_000_000
+# Columns of one aggregate: wider ones take long to plan and cannot be compiled.
+BLOCK_COLUMNS = 16
 
 
 class _Search:
@@ -72,6 +75,11 @@ def exact_quantiles(
     names = list(values)
     if not names:
         return {}
+    if len(names) > BLOCK_COLUMNS:
+        # A block reads its own columns only, so blocks side by side read nothing twice.
+        blocks = [names[i : i + BLOCK_COLUMNS] for i in range(0, len(names), BLOCK_COLUMNS)]
+        jobs = {str(i): lambda b=b: exact_quantiles(df, {n: values[n] for n in b}, probs, budget) for i, b in enumerate(blocks)}
+        return {n: q for part in together(df.sparkSession, jobs).values() for n, q in part.items()}
     base = df.select(*[non_nan(values[n]).alias(f"v{i}") for i, n in enumerate(names)])
     slack = 2.0 / ACCURACY
     brackets = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]

@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datalathe.functions.kinds import ROW_ID, require_column, require_numeric
 from datalathe.functions.quantiles import exact_quantiles
@@ -95,8 +95,11 @@ def hash_sample(df: DataFrame, row_id: str, n: int, seed: int = SAMPLE_SEED) ->
 
     A top-n: each task keeps ``n`` rows, whatever the size of the data.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), col(row_id).cast("string")))
-    return df.orderBy(order, col(row_id)).limit(n)
+    return df.orderBy(sample_order(row_id, seed), col(row_id)).limit(n)
+
+
+def sample_order(row_id: str, seed: int = SAMPLE_SEED) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), col(row_id).cast("string")))
 
 
 def scatter(df: DataFrame, x: str, y: str, row_id: str = ROW_ID, n: int = PLOT_ROWS) -> DataFrame:
@@ -174,16 +177,23 @@ NORMALITY_SCHEMA = "column string, sample_size long, statistic double, p_value d
 def normality(df: DataFrame, columns: list[str], row_id: str = ROW_ID, rows: int = NORMALITY_ROWS) -> DataFrame:
     """Shapiro-Wilk per column on at most 5000 hash-ordered values; NULLs below three values.
 
-    Only the samples leave their tasks; columns are tested in parallel.
+    One scan for all columns: a task keeps the first values of each. Only the samples
+    leave their tasks; columns are tested in parallel.
     """
-    rows = min(rows, NORMALITY_ROWS)
-    samples = None
+    if rows > NORMALITY_ROWS:
+        raise ValueError(f"the statistic is published for {NORMALITY_ROWS} values at most")
     for c in columns:
         require_numeric(df, c, "a normality test")
-        picked = hash_sample(
-            df.select(col(row_id).alias("__r"), non_nan(col(c)).alias("value")).where("value IS NOT NULL"), "__r", rows
-        ).select(F.lit(c).alias("column"), "value")
-        samples = picked if samples is None else samples.unionByName(picked)
+    order = sample_order("__r")
+    place = F.row_number().over(Window.partitionBy("column").orderBy(order, "__r"))
+    samples = (
+        df.select(col(row_id).alias("__r"), *[non_nan(col(c)).alias(c) for c in columns])
+        .unpivot(["__r"], [col(c) for c in columns], "column", "value")
+        .where("value IS NOT NULL")
+        .withColumn("__place", place)
+        .where(F.col("__place") <= rows)
+        .select("column", "value")
+    )
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)

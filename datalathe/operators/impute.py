@@ -10,6 +10,7 @@ from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.scalars import col, missing, non_nan, present
 from datalathe.operators.profile import summarize_columns, value_histogram
 from datalathe.operators.steps import Fitted
+from datalathe.session import cut_lineage
 
 # The strategies by name.
 STRATEGIES = ("mean", "median", "mode", "constant", "forward_fill", "backward_fill", "drop_rows")
@@ -97,6 +98,9 @@ def preview_imputation(
 ) -> dict:
     """Summary before and after, and the first rows that were missing with their new value."""
     after = impute(df, column, strategy, constant_value, row_id)
+    if strategy in ("forward_fill", "backward_fill"):
+        # Both summaries and the sample read the filled column; its shuffle runs once.
+        after = cut_lineage(after.select(col(row_id), col(column)))
     marked = df.where(missing(df, column)).select(col(row_id).alias("row_id")).orderBy("row_id").limit(sample)
     ids = [r["row_id"] for r in marked.collect()]
     values: list = []
@@ -130,5 +134,7 @@ def compare_strategies(df: DataFrame, column: str, strategy_a: str, strategy_b:
             single[key] = strategy
     result.update(summarize_columns(df, shared, column))
     for key, strategy in single.items():
-        result[key] = summarize_columns(impute(df, column, strategy, None, row_id), {column: None}, column)[column]
+        treated = impute(df, column, strategy, None, row_id).select(col(row_id), col(column))
+        treated = treated if strategy == "drop_rows" else cut_lineage(treated)  # the fill's shuffle runs once
+        result[key] = summarize_columns(treated, {column: None}, column)[column]
     return result

@@ -57,7 +57,8 @@ def resolve(df: DataFrame, operation: str, params: dict | None) -> dict:
 
 def _moves_rows(step: dict) -> bool:
     p = step.get("operation_params") or {}
-    return step["operation"] == "remove_duplicate_rows" or p.get("strategy") in ("forward_fill", "backward_fill")
+    by_join = step["operation"] == "encode" and p.get("method") not in ("multi_label",)
+    return step["operation"] == "remove_duplicate_rows" or by_join or p.get("strategy") in ("forward_fill", "backward_fill")
 
 
 def replay(df: DataFrame, steps: list[dict], row_id: str = ROW_ID, cut: bool = True) -> DataFrame:
