@@ -25,10 +25,13 @@ HEADLINE = (
     "dup_columns",
     "impute_median",
     "impute_ffill",
+    "impute_preview",
+    "quartiles_wide",
     "outliers_iqr",
     "outliers_modz",
     "tx_boxcox",
     "corr_pearson",
+    "corr_pearson_wide",
     "corr_spearman",
     "corr_kendall_wide",
     "cramers_v",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datalathe.plans.queries import DIRTY_EVENTS, PRIORITIES
+from datalathe.plans.queries import DIRTY_EVENTS, PRIORITIES, WIDE
 
 DIRTY = DIRTY_EVENTS.replace("{events}", "events")
 
@@ -927,3 +927,17 @@ def normal_row(c: str) -> str:
 
 
 ORACLES["normality"] = with_dirty(union(normal_row(c) for c in ("value", "whole_float")))
+
+WIDE_TABLE = "wide AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS w{k}" for k, e in enumerate(WIDE, 1)) + " FROM lineitem)"
+WIDE_NAMES = [f"w{k}" for k in range(1, len(WIDE) + 1)]
+ORACLES["corr_pearson_wide"] = (
+    f"WITH {WIDE_TABLE}, k AS (SELECT "
+    + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for i, a in enumerate(WIDE_NAMES) for b in WIDE_NAMES[i + 1 :])
+    + " FROM wide) SELECT split_part(p, '_', 1) AS column_a, split_part(p, '_', 2) AS column_b, "
+    + even("r", 3) + " AS correlation FROM (UNPIVOT k ON COLUMNS(*) INTO NAME p VALUE r)"
+)
+ORACLES["quartiles_wide"] = f"WITH {WIDE_TABLE} " + union(
+    f"SELECT '{c}' AS \"column\", {r(f'quantile_cont({c}, 0.25)')} AS q1, {r(f'quantile_cont({c}, 0.5)')} AS median, "
+    f"{r(f'quantile_cont({c}, 0.75)')} AS q3 FROM wide"
+    for c in WIDE_NAMES
+)

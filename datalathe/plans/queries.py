@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.scalars import col
 from datalathe.operators import (
     association,
@@ -362,6 +363,21 @@ def tx_preview(spark, folder):
 
 on_table("corr_pearson", "lineitem", lambda d: association.correlations(d, "pearson", row_id=None))
 on_dirty("corr_pearson_gaps", lambda d: association.correlations(d, "pearson", row_id=None))
+WIDE = [f"(l_orderkey * {k} + l_linenumber * {k % 7} + l_partkey) % {90 + k}" for k in range(1, 41)]
+on_table(
+    "corr_pearson_wide", "lineitem",
+    lambda d: association.correlations(d.selectExpr(*[f"CAST({e} AS DOUBLE) AS w{k}" for k, e in enumerate(WIDE, 1)]), "pearson", row_id=None),
+)
+
+
+@query("quartiles_wide")
+def quartiles_wide(spark, folder):
+    """Quartiles of forty columns."""
+    d = table(spark, folder, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS w{k}" for k, e in enumerate(WIDE, 1)])
+    found = exact_quantiles(d, {c: F.col(c) for c in d.columns}, (0.25, 0.5, 0.75))
+    return rounded(spark.createDataFrame([(c, *q) for c, q in found.items()], "column string, q1 double, median double, q3 double"))
+
+
 on_table("corr_spearman", "lineitem", lambda d: association.correlations(d, "spearman", RANK_COLUMNS))
 on_dirty("corr_spearman_gaps", lambda d: association.correlations(d, "spearman", ["value", "user_id", "whole_float"]))
 on_table("corr_kendall", "lineitem", lambda d: association.correlations(d, "kendall", ["l_quantity", "l_discount", "l_linenumber"]))
