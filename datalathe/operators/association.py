@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from datalathe.functions.kinds import ROW_ID, numeric_columns
 from datalathe.functions.ordering import running_total
 from datalathe.functions.scalars import col, non_nan, number, number_sql, present, round_dp, text
-from datalathe.session import cut_lineage
+from datalathe.session import cut_lineage, plain_result
 
 METHODS = ("pearson", "spearman", "kendall")
 HIGH_CORRELATION = 0.8
@@ -353,6 +353,7 @@ def correlations(
     return raw.select("column_a", "column_b", round_dp(F.col("correlation"), 3).alias("correlation"))
 
 
+@plain_result
 def correlation_matrix(
     df: DataFrame, method: str = "pearson", columns: list[str] | None = None, row_id: str | None = ROW_ID
 ) -> dict:
@@ -425,6 +426,7 @@ def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
     return named.select("column_a", "column_b", F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
 
 
+@plain_result
 def categorical_matrix(df: DataFrame, columns: list[str]) -> dict:
     """Symmetric Cramér's V matrix at three decimals, diagonal 1."""
     if len(columns) < 2:

@@ -8,6 +8,9 @@ import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from functools import wraps
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -16,6 +19,7 @@ from pyspark.sql import SparkSession
 #: The run-time setting that names the shared folder where ``spark.checkpoint.dir`` is not set.
 SHARED_DIR = "datalathe.shared.dir"
 _FOLDER_LOCK = threading.Lock()
+_SCOPE: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
 def local_session(app: str = "datalathe", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -67,10 +71,44 @@ def together(spark: SparkSession, tasks: dict[str, Callable[[], Any]], workers:
     if len(tasks) == 1:
         return {name: task() for name, task in tasks.items()}
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        running = {name: pool.submit(inheritable_thread_target(spark)(task)) for name, task in tasks.items()}
+        running = {
+            name: pool.submit(copy_context().run, inheritable_thread_target(spark)(task)) for name, task in tasks.items()
+        }
         return {name: future.result() for name, future in running.items()}
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder nobody else writes to."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, on leaving, the tables that operators wrote to the shared folder within.
+
+    For calls whose results are plain values: a DataFrame made inside may read such a table later.
+    """
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        paths = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def plain_result(function):
+    """For functions of a DataFrame that return plain values: what they write meanwhile is deleted."""
+
+    @wraps(function)
+    def run(df, *args, **kwargs):
+        with scratch(df.sparkSession):
+            return function(df, *args, **kwargs)
+
+    return run
