@@ -161,10 +161,9 @@ def _named(df: DataFrame, pairs: list[tuple[str, str]], values: DataFrame, value
     return names.join(values, "pair", "left").select("column_a", "column_b", F.col(value).alias("correlation"))
 
 
-def _widest(df: DataFrame, columns: list[str]) -> int:
-    """Approximate number of distinct values of the widest column, from one map-side sketch pass."""
-    row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return max(row)
+def _distinct(df: DataFrame, columns: list[str]) -> list[int]:
+    """Approximate numbers of distinct values, from one map-side sketch pass."""
+    return list(df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(columns)]).first())
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -187,7 +186,8 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _spearman_whole(df, columns, pairs, centres) -> DataFrame:
-    bounded = _widest(df, columns) <= LEAF_POINTS
+    distinct = _distinct(df, columns)
+    bounded = max(distinct) <= LEAF_POINTS
     ranked = values = df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     rows = values.count()
     for i in range(len(columns)):
@@ -195,14 +195,14 @@ def _spearman_whole(df, columns, pairs, centres) -> DataFrame:
         before = running_total(counts, "g", f"v{i}", "cnt", bounded)
         # Twice the distance to the mean rank: whole numbers of moderate size.
         rank = before.select(f"v{i}", F.expr(f"double(2 * before + cnt - {rows}L) AS r{i}"))
-        # Within the bound a rank table is a few tens of megabytes; beyond it Spark picks the join.
-        ranked = ranked.join(F.broadcast(rank) if bounded else rank, f"v{i}")
+        # The rank tables broadcast by one plan share one bound of a few tens of megabytes; beyond it Spark picks the join.
+        ranked = ranked.join(F.broadcast(rank) if sum(distinct[: i + 1]) <= LEAF_POINTS else rank, f"v{i}")
     return _pair_frame(ranked, pairs, {c: f"r{i}" for i, c in enumerate(columns)}, centres)
 
 
 def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     columns = sorted({c for p in pairs for c in p})
-    bounded = _widest(df, columns) <= LEAF_POINTS
+    bounded = max(_distinct(df, columns)) <= LEAF_POINTS
     joint = joint_counts(df, pairs)
 
     def ranks(axis: str) -> DataFrame:
