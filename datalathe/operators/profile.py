@@ -15,7 +15,7 @@ from datalathe.functions.kinds import ROW_ID, data_columns, is_numeric, kind_of,
 from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.scalars import (
     col,
-    missing,
+    present,
     non_nan,
     number_sql,
     percent,
@@ -243,11 +243,12 @@ def summarize_columns(df: DataFrame, values: dict, like: str) -> dict[str, dict]
 
 
 def overview(
-    df: DataFrame, overrides: dict[str, str] | None = None, row_id: str | None = ROW_ID, effective=None
+    df: DataFrame, overrides: dict[str, str] | None = None, row_id: str | None = ROW_ID, effective=None, known: dict | None = None
 ) -> DataFrame:
     """One row: size, missing cells, duplicate rows, columns per logical type, dtypes.
 
-    ``memory_usage_bytes`` is the size of the cell values, not of any engine's memory.
+    ``memory_usage_bytes`` is the size of the values that are there, not of any engine's memory.
+    ``known`` holds what is already measured: ``rows``, ``counts`` per column, ``duplicates``.
     """
     from datalathe.functions.kinds import LOGICAL_TYPES
     from datalathe.operators.quality import duplicate_rows
@@ -256,26 +257,31 @@ def overview(
     columns = data_columns(df, row_id)
     if effective is None:
         effective = {c: t[1] for c, t in effective_types(df, overrides, row_id).items()}
-    nulls = [F.count_if(missing(df, c)) for c in columns]
-    sizes = [_cell_bytes(df, c) for c in columns]
-    total = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        reduce(lambda a, b: a + b, nulls).alias("missing_values_total"),
-        reduce(lambda a, b: a + b, sizes).cast("long").alias("memory_usage_bytes"),
-    ).first()
-    dup = duplicate_rows(df, row_id).first()["count"]
-    cells = total["rows"] * len(columns)
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    aggs = [F.sum(F.octet_length(col(c))).alias(f"b{columns.index(c)}") for c in texts]
+    if known is None:
+        aggs += [F.count(F.lit(1)).alias("rows"), *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]]
+    found = df.agg(*aggs).first().asDict() if aggs else {}
+    rows = found["rows"] if known is None else known["rows"]
+    counts = {c: found[f"n{i}"] if known is None else known["counts"][c] for i, c in enumerate(columns)}
+    sizes = [
+        found[f"b{i}"] or 0 if c in texts else counts[c] * _WIDTH.get(type(df.schema[c].dataType), 8)
+        for i, c in enumerate(columns)
+    ]
+    dup = duplicate_rows(df, row_id).first()["count"] if known is None else known["duplicates"]
+    cells = rows * len(columns)
+    gaps = cells - sum(counts.values())
     kinds = {t: sum(1 for v in effective.values() if v == t) for t in LOGICAL_TYPES}
     schema = (
         "rows long, columns long, memory_usage_bytes long, missing_values_total long, missing_percentage double, "
         "duplicate_rows long, feature_types map<string,long>, dtypes map<string,string>"
     )
     row = (
-        total["rows"],
+        rows,
         len(columns),
-        total["memory_usage_bytes"] or 0,
-        total["missing_values_total"],
-        round_py(total["missing_values_total"] / cells * 100, 2) if cells else 0.0,
+        sum(sizes),
+        gaps,
+        round_py(gaps / cells * 100, 2) if cells else 0.0,
         dup,
         kinds,
         {c: df.schema[c].dataType.simpleString() for c in columns},
@@ -283,12 +289,5 @@ def overview(
     return df.sparkSession.createDataFrame([row], schema)
 
 
-def _cell_bytes(df: DataFrame, column: str) -> Column:
-    t = df.schema[column].dataType
-    if isinstance(t, T.StringType):
-        return F.coalesce(F.sum(F.octet_length(col(column))), F.lit(0))
-    return F.count(col(column)) * F.lit(_WIDTH.get(type(t), 8))
-
-
 # Bytes of one cell for the fixed-width types; others count as 8.
 _WIDTH = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
