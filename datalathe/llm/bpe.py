@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from datalathe.llm.common import gather, map_arrow, payloads, sliced, with_fields
 
 #: A worker's memo starts a new generation beyond this many fragments, and never keeps longer ones than this.
-MEMO_FRAGMENTS, MEMO_LENGTH = 250_000, 64
+MEMO_FRAGMENTS, MEMO_LENGTH = 400_000, 64
 #: Texts are cut and looked up in stretches of about this many bytes.
 STRETCH = 1 << 20
 
@@ -42,6 +42,10 @@ _PLAIN = re.compile(rf"\n?(?: ?[{_LETTERS}]+)[{_MARKS}]*")
 _PIECE = rf"\n| ?[{_LETTERS}]+|[{_MARKS}]+"
 
 
+def _is_space(byte: int) -> bool:
+    return byte == 32 or 9 <= byte <= 13
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte each printable stand-in of a byte-level vocabulary means.
 
@@ -107,7 +111,11 @@ class Codec:
         table = [tokens.get(i, b"") for i in range(self.size)]
         self.bytes_of = _packed(table)
         self.digits_of = _packed([b",%d" % i for i in range(self.size)])
-        self._memo = _Memo(self._fragment)
+        self._memo, self._words = _Memo(self._fragment), _Memo(self._word)
+        unsure = [bytes((a, b)) for b in (10, 32) for a in range(256) if not self.forced[a, b] and not _is_space(a)]
+        # White space before white space, characters that may be white space, pairs that are not forced.
+        tests = [rb"[\t-\r ][ \n]", rb"[\xc2\xe0-\xf7][\x80-\xbf]{1,3}[ \n]", *map(re.escape, unsure)]
+        self._unsure = re.compile(b"|".join(tests))
 
     def cuts(self, data: bytes) -> np.ndarray:
         """Byte offsets at which the text is cut."""
@@ -132,6 +140,15 @@ class Codec:
         return np.frombuffer(b"".join(parts), np.uint32)
 
     def _encode_segment(self, segment: bytes) -> Iterator[bytes]:
+        if len(segment) <= STRETCH and not _is_space(segment[0]) and segment[-1] != 32 and not self._unsure.search(segment):
+            # Every space and line break is a certain cut here: split there, and know words without their space.
+            first, *words = segment.replace(b"\n", b" \n").split(b" ")
+            yield self._look_up([first])
+            yield b"".join(map(self._words.__getitem__, words))
+            if len(self._words) > MEMO_FRAGMENTS:
+                self._words.older = {}
+                self._words = _Memo(self._word, self._words)
+            return
         at = self.cuts(segment)
         if self._all_sure and len(segment) <= STRETCH:
             yield self._look_up(_WORDS.findall(segment))
@@ -153,6 +170,10 @@ class Codec:
             self._memo = _Memo(self._fragment, self._memo)
         return found
 
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word after a space, or of one with its line break."""
+        return self._fragment(word if word[:1] == b"\n" else b" " + word)
+
     def _fragment(self, fragment: bytes) -> bytes:
         """Ids of a fragment the memo lacks."""
         text = fragment.decode()
