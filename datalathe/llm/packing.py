@@ -14,9 +14,13 @@ By default a queue's target is its share of all tokens, so all queues last to th
 targets, a queue that runs dry leaves its share to the others.
 
 Two passes: the first encodes each text once and writes ids with their place in the task's part of
-the queue; one small table of totals per task gives every part its start in the queue; the second
-cuts and places pieces. Sources whose share is under a quantum per window are joined into one
-queue, so at most window / quantum + 1 queues exist however many sources there are.
+the source; a table of totals per source and task gives every part its start in its source; the second
+cuts and places pieces. Sources whose share is under a quantum per window stand behind one queue, so
+a round has at most window / quantum + 1 queues however many sources there are. That queue's own
+stream is dealt by the same round robin from its sources, each by its share again. More than
+``FAN`` of them form a tree by the hash of their names, with about so many children a node, and
+each node's stream is dealt from its children's. A source's row has the totals along its way up,
+so no list of all sources is held anywhere.
 
 Windows hold ``window`` tokens. The last tokens, fewer than a window, become sequences of
 descending powers of two, which need no padding.
@@ -28,6 +32,7 @@ packed like any others. Extra columns are ignored. An empty table gives no piece
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,9 @@ from datalathe.session import cut_lineage
 WINDOW, QUANTUM, END_ID = 2048, 64, 1
 #: Name of the queue of all sources too small for one of their own; others have numbers from 0.
 REST = -1
+#: Bits of the hash that a level of the tree behind that queue takes; so many children a node.
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
 
 PIECES = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -62,7 +70,7 @@ def own_queues(df: DataFrame, source: str, text: str, window: int, quantum: int)
 
 
 def tokenised(df: DataFrame, path: str, queues: list, key: str, text: str, source: str, end_id: int) -> DataFrame:
-    """Rows (key, source, queue, task, before, tokens, ids); ``before``: tokens of the queue earlier in the task."""
+    """Rows (key, source, queue, task, before, tokens, ids); ``before``: tokens of the source earlier in the task."""
     number = {s: i for i, s in enumerate(queues)}
 
     def work(batches):
@@ -76,10 +84,10 @@ def tokenised(df: DataFrame, path: str, queues: list, key: str, text: str, sourc
                 own = np.append(coder.encode(data), np.uint32(end_id)).astype(width)
                 q = number.get(name, REST)
                 queue.append(q)
-                before.append(served.get(q, 0))
+                before.append(served.get(name, 0))
                 tokens.append(len(own))
                 ids.append(own.tobytes())
-                served[q] = served.get(q, 0) + len(own)
+                served[name] = served.get(name, 0) + len(own)
             yield {
                 "key": batch.column("key"), "source": batch.column("source"), "queue": queue,
                 "task": [task] * len(queue), "before": before, "tokens": tokens, "ids": ids,
@@ -131,16 +139,21 @@ class Schedule:
             tokens += np.minimum(served * self.quantum, total)
         return tokens
 
-    def place(self, queue: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cut stretches of a queue's stream into pieces: (stretch, offset in it, length, sequence, offset there)."""
-        quantum, window = self.quantum, self.window
+    def spread(self, queue: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Parts of stretches of a queue's stream by quanta: (stretch, first, end, place in the global sequence)."""
+        quantum = self.quantum
         first, last = starts // quantum, (starts + lengths - 1) // quantum
         n = last - first + 1
         stretch = np.repeat(np.arange(len(starts)), n)
         chunk = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[stretch]
         low = np.maximum(chunk * quantum, starts[stretch])
         high = np.minimum((chunk + 1) * quantum, (starts + lengths)[stretch])
-        at = self.before(queue, chunk) + low - chunk * quantum
+        return stretch, low, high, self.before(queue, chunk) + low - chunk * quantum
+
+    def place(self, queue: int, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cut stretches of a queue's stream into pieces: (stretch, offset in it, length, sequence, offset there)."""
+        window = self.window
+        stretch, low, high, at = self.spread(queue, starts, lengths)
         # Cut where a sequence ends inside a chunk: at most once by full windows, then by each of the last few.
         edges = [np.minimum((at // window + 1) * window, self.full * window), *self.tail[1:-1].tolist()]
         for edge in edges:
@@ -166,6 +179,54 @@ class Schedule:
         return stretch[begin], low[begin] - starts[stretch[begin]], high[end] - low[begin], sequence[begin], offset[begin]
 
 
+@lru_cache(maxsize=1024)
+def _node(totals: tuple, weights: tuple | None, window: int, quantum: int) -> Schedule:
+    return Schedule(dict(enumerate(totals)), weights and dict(enumerate(weights)), window, quantum)
+
+
+def upwards(way: list[dict], weighted: bool, starts: np.ndarray, lengths: np.ndarray, window: int, quantum: int):
+    """Stretches of a source's stream as parts of the rest queue's: (stretch, offset in it, start there, length)."""
+    stretch, offset = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    for level in way:
+        schedule = _node(tuple(level["totals"]), tuple(level["weights"]) if weighted else None, window, quantum)
+        part, low, high, at = schedule.spread(level["own"], starts, lengths)
+        # Neighbours that continue each other in the parent's stream are one part.
+        new = np.ones(len(at), bool)
+        new[1:] = (part[1:] != part[:-1]) | (at[1:] != (at + high - low)[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(at)) - 1
+        part, low, high, at = part[begin], low[begin], high[end], at[begin]
+        stretch, offset = stretch[part], offset[part] + low - starts[part]
+        starts, lengths = at, high - low
+    return stretch, offset, starts, lengths
+
+
+def ways(parts: DataFrame) -> DataFrame:
+    """(source, way) of the rest queue's sources: on each level from below its number there, all totals and numbers of sources."""
+    rest = cut_lineage(parts.where(F.col("queue") == REST).groupBy("source").agg(F.sum("tokens").alias("total")))
+    levels, n = 0, rest.count()
+    while n > FAN << FAN_BITS * levels:
+        levels += 1
+    hashed = F.pmod(F.xxhash64("source"), F.lit(1 << FAN_BITS * levels))
+    # Names are compared as texts with a mark, so that null is one too.
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    found = rest.select("source", name.alias("child"), hashed.alias("node"))
+    below = rest.select(name.alias("child"), hashed.alias("node"), "total", F.lit(1).cast("long").alias("n"))
+    way = []
+    for level in range(levels + 1):
+        nodes = below.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("child", "total", "n"))).alias("children"))
+        own = F.array_position(F.col("children.child"), F.col("child")) - 1
+        step = F.struct(own.cast("int").alias("own"), F.col("children.total").alias("totals"), F.col("children.n").alias("weights"))
+        found = found.join(nodes, "node").withColumn(f"way{level}", step).drop("children")
+        way.append(f"way{level}")
+        # The next level's children are this one's nodes.
+        up = F.shiftright("node", FAN_BITS)
+        below = below.groupBy("node").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        below = below.select(F.col("node").alias("child"), up.alias("node"), "total", "n")
+        found = found.withColumn("child", F.col("node")).withColumn("node", up)
+    return found.select("source", F.array(*way).alias("way"))
+
+
 def pack(
     df: DataFrame,
     path: str,
@@ -188,35 +249,59 @@ def pack(
     if targets is not None:
         queues = sorted({*targets, *queues}, key=lambda s: (s is None, s or ""))
     ids = cut_lineage(tokenised(df, path, queues, key, text, source, end_id))
-    parts = ids.groupBy("queue", "task").agg(F.sum("tokens").alias("tokens"))
-    earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per queue and task of the first pass; written, so that its true size decides about broadcasting.
+    parts = ids.groupBy("queue", "source", "task").agg(F.sum("tokens").alias("tokens"))
+    earlier = Window.partitionBy("queue", "source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per source and task of the first pass; written, so that its true size decides about broadcasting.
     parts = cut_lineage(parts.withColumn("origin", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("tokens").alias("n")).collect()}
     kind = ids.schema["key"].dataType.simpleString()
     out = f"`{key}` {kind}, {PIECES}"
     weights = None
     if targets is not None:
-        weights = {i: round(1_000_000 * targets.get(s, 1)) for i, s in enumerate(queues)} | {REST: 1_000_000}
+        # Each source behind the rest queue counts 1, too.
+        others = parts.where(F.col("queue") == REST).select("source").distinct().count()
+        weights = {i: round(1_000_000 * targets.get(s, 1)) for i, s in enumerate(queues)} | {REST: 1_000_000 * others}
     schedule = Schedule(totals, weights, window, quantum) if totals else None
 
     def work(batches):
         for batch in sliced(batches):
-            yield _pieces(batch, schedule, key)
+            yield _pieces(batch, schedule, key, weights is not None)
 
-    placed = ids.join(parts.drop("tokens"), ["queue", "task"])
-    return map_arrow(placed.select("key", "source", "queue", "before", "origin", "tokens", "ids"), work, out)
+    found = cut_lineage(ways(parts)).withColumnRenamed("source", "way_source") if REST in totals else None
+    parts = parts.drop("tokens").withColumnRenamed("source", "part_source")
+    if found is not None:
+        parts = parts.join(found, (F.col("queue") == REST) & F.col("part_source").eqNullSafe(F.col("way_source")), "left").drop("way_source")
+        parts = cut_lineage(parts)
+    same = (ids["queue"] == parts["queue"]) & (ids["task"] == parts["task"]) & ids["source"].eqNullSafe(parts["part_source"])
+    placed = ids.join(parts, same)
+    carried = [ids[c] for c in ("key", "source", "queue", "before", "tokens", "ids")] + [parts[c] for c in ("origin", "way") if c in parts.columns]
+    return map_arrow(placed.select(*carried), work, out)
 
 
-def _pieces(batch, schedule: Schedule, key: str) -> dict:
+def _pieces(batch, schedule: Schedule, key: str, weighted: bool) -> dict:
     queue, before, origin, tokens = (
         batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "before", "origin", "tokens")
     )
     found = [[], [], [], [], []]
     for q in np.unique(queue).tolist():
         rows = np.flatnonzero(queue == q)
-        stretch, *rest = schedule.place(q, (origin + before)[rows], tokens[rows])
-        for into, values in zip(found, (rows[stretch], *rest)):
+        if q != REST:
+            stretch, *rest = schedule.place(q, (origin + before)[rows], tokens[rows])
+            for into, values in zip(found, (rows[stretch], *rest)):
+                into.append(values)
+            continue
+        of_source: dict = {}
+        for r in rows.tolist():
+            of_source.setdefault(batch.column("source")[r].as_py(), []).append(r)
+        up = [[], [], [], []]
+        for own in of_source.values():
+            way, own = batch.column("way")[own[0]].as_py(), np.array(own)
+            stretch, *rest = upwards(way, weighted, (origin + before)[own], tokens[own], schedule.window, schedule.quantum)
+            for into, values in zip(up, (own[stretch], *rest)):
+                into.append(values)
+        own, begin, starts, lengths = (np.concatenate(f) for f in up)
+        stretch, offset, *rest = schedule.place(q, starts, lengths)
+        for into, values in zip(found, (own[stretch], begin[stretch] + offset, *rest)):
             into.append(values)
     row, start, length, sequence, offset = (np.concatenate(f) for f in found)
     sums = np.empty(len(row), np.int64)

@@ -144,3 +144,30 @@ def test_windows_hold_the_target_proportions(spark):
     per = pieces[full & (pieces.source == "big")].groupby("sequence_id")["length"].sum() / 2048
     assert abs(per - share).max() <= 2 * packing.QUANTUM / 2048
     assert len(per) == full.groupby(pieces.sequence_id).first().sum()
+
+
+def _furthest(pieces):
+    """The most tokens by which a source is ahead of or behind its share after any number of windows."""
+    pieces = pieces[pieces.groupby("sequence_id")["length"].transform("sum") == 2048]
+    table = pieces.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    dealt = table.cumsum()
+    return abs(dealt - np.outer(np.arange(1, len(dealt) + 1) * 2048, table.sum() / table.to_numpy().sum())).to_numpy().max()
+
+
+@pytest.mark.parametrize("sources, hot", [(40, 0), (19, 2000), (200, 0)])
+def test_small_sources_keep_their_share_in_reading_order_of_sources(spark, coder, sources, hot):
+    # Even sources, each under a quantum a window, one after the other; 200 of them need two levels.
+    each = 4000 // sources if hot == 0 else 60
+    rows = [(f"small{s:03d}", f"word{s} " * 60) for s in range(sources) for _ in range(each)] + [("hot", "hot words " * 60)] * hot
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string").coalesce(3)
+    pieces = packing.pack(df, byte_bpe())
+    _check(pieces.collect(), df.collect(), coder)
+    assert _furthest(pieces.toPandas()) <= 8 * packing.QUANTUM
+
+
+def test_small_sources_count_one_each_beside_targets(spark):
+    rows = [("main", "word " * 60)] * 2000 + [(f"small{s}", "word " * 60) for s in range(30) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    pieces = packing.pack(df, byte_bpe(), targets={"main": 10.0}).toPandas()
+    first = pieces[pieces.sequence_id < 8]
+    assert abs(first[first.source == "main"].length.sum() / first.length.sum() - 10 / 40) < 0.02
