@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datalathe.llm import licenses, repetition
+from datalathe.llm import codebooks, lexical, licenses, repetition
 
 _BITS = "['" + "','".join(f"{i:04b}" for i in range(16)) + "']"
 
@@ -103,10 +103,67 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+def _assigned(books: str) -> str:
+    """Nearest entry and squared distance of every part."""
+    return f"""SELECT r, part, v, arg_min(entry, d * {codebooks.ENTRIES} + entry) AS entry, min(d) AS d FROM (
+    SELECT r, x.part, x.v, entry, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM x JOIN {books} b ON b.part = x.part) GROUP BY r, part, v"""
+
+
+def _rounds() -> str:
+    out = ""
+    for i in range(codebooks.ROUNDS):
+        out += f"""a{i} AS ({_assigned(f"b{i}")}),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT part, entry, i, sum(v[i])::DOUBLE AS s, count(*) AS n FROM a{i}, range(1, len(v) + 1) AS g(i) GROUP BY part, entry, i)
+  GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry),
+"""
+    return out
+
+
+CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor({codebooks.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS r, len(v) // {codebooks.PARTS} AS w FROM k),
+x AS (SELECT r, part, v[part * w + 1:part * w + w] AS v FROM n, range({codebooks.PARTS}) AS g(part)),
+b0 AS (SELECT part, r - 1 AS entry, v FROM x WHERE r <= {codebooks.ENTRIES}),
+{_rounds()}f AS ({_assigned(f"b{codebooks.ROUNDS}")}),
+c AS (SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{codebooks.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM n JOIN c USING (r), s
+"""
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+def _terms(table: str, key: str) -> str:
+    return f"""SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), {_TERM}) AS w FROM {table}"""
+
+
+RANKED = f"""
+WITH d AS (SELECT doc_id, w, len(w) AS n, row_number() OVER () AS r FROM ({_terms("documents", "doc_id")}) WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d),
+items AS (SELECT DISTINCT item_id, unnest(w) AS term FROM ({_terms("benchmark", "item_id")}) WHERE item_id IS NOT NULL),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM items) GROUP BY r, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+part AS (SELECT item_id, d.r, doc_id, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))) AS part
+  FROM items JOIN tf USING (term) JOIN weight USING (term) JOIN d USING (r), total),
+score AS (SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM part GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical.TOP}
+"""
+
 ORACLES = {
     "op2_dictionary_warc": WARC,
     "op3_bit_sliced_top_k": TOP_K,
     "op4_repetition_rules": REPETITION,
     "op5_license_scan": LICENSES,
     "op7_chat_machine": CHAT,
+    "op12_adaptive_bound_codes": CODES,
+    "op13_automaton_search": RANKED,
 }

@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datalathe.llm import bitsliced, bpe, chat, gam, licenses, packing, repetition, sharding, simhash, warc
+from datalathe.llm import (
+    bitsliced, bpe, chat, codebooks, gam, lexical, licenses, packing, repetition, sharding, simhash, vptree, warc,
+)
 from datalathe.llm.common import table
 from datalathe.llm.oracles import ORACLES
 from datalathe.session import fresh_path
@@ -62,6 +64,19 @@ def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op12_adaptive_bound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 __all__ = ["ORACLES", "QUERIES", "byte_bpe"]
 
 QUERIES = {
@@ -75,4 +90,7 @@ QUERIES = {
     "op8_deficit_packing": op8_deficit_packing,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_additive_quality": op10_additive_quality,
+    "op11_vantage_point_trees": op11_vantage_point_trees,
+    "op12_adaptive_bound_codes": op12_adaptive_bound_codes,
+    "op13_automaton_search": op13_automaton_search,
 }
