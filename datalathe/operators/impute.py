@@ -8,17 +8,21 @@ from datalathe.functions.kinds import ROW_ID, is_numeric, kind_of, require_colum
 from datalathe.functions.ordering import BUCKET_ROWS, carry_fill
 from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.scalars import col, missing, non_nan, present
+from datalathe.operators.neighbours import feature_columns, fill_from_neighbours, scales
 from datalathe.operators.profile import summarize_columns, value_histogram
 from datalathe.operators.steps import Fitted
 from datalathe.session import cut_lineage, plain_result
 
 # The strategies by name.
 STRATEGIES = ("mean", "median", "mode", "constant", "forward_fill", "backward_fill", "drop_rows")
+#: Strategies of this library's own; their fills come from other rows, as with forward and backward fill.
+KNN, NEIGHBOURS = "knn", 5
+_FROM_ROWS = ("forward_fill", "backward_fill", KNN)
 
 
 def validate_strategy(df: DataFrame, column: str, strategy: str) -> None:
     require_column(df, column)
-    if strategy not in STRATEGIES:
+    if strategy not in (*STRATEGIES, KNN):
         raise ValueError(f"unknown imputation strategy '{strategy}'")
     if strategy in ("mean", "median") and not is_numeric(df, column):
         kind = df.schema[column].dataType.simpleString()
@@ -71,11 +75,26 @@ def fit_impute(
     constant_value=None,
     row_id: str = ROW_ID,
     bucket_rows: int = BUCKET_ROWS,
+    features: list[str] | None = None,
+    neighbours: int = NEIGHBOURS,
 ) -> Fitted:
+    """``features`` and ``neighbours`` belong to the strategy ``knn``, whose fills come from the rows it was fitted on."""
     validate_strategy(df, column, strategy)
     params = {"column": column, "strategy": strategy, "constant_value": constant_value}
     if strategy == "drop_rows":
         return Fitted("impute", params, transform=lambda d: d.where(~missing(d, column)))
+    if strategy == KNN:
+        require_column(df, row_id)
+        if neighbours < 1:
+            raise ValueError("at least one neighbour is needed")
+        names = feature_columns(df, column, features, row_id)
+        by = scales(df, names)
+        return Fitted(
+            "impute",
+            params | {"features": names, "neighbours": neighbours},
+            {"scales": {c: list(s) for c, s in by.items()}},
+            lambda d: fill_from_neighbours(d, df, column, by, neighbours, row_id),
+        )
     if strategy in ("forward_fill", "backward_fill"):
         require_column(df, row_id)
         return Fitted(
@@ -99,7 +118,7 @@ def preview_imputation(
 ) -> dict:
     """Summary before and after, and the first rows that were missing with their new value."""
     after = impute(df, column, strategy, constant_value, row_id)
-    if strategy in ("forward_fill", "backward_fill"):
+    if strategy in _FROM_ROWS:
         # Both summaries and the sample read the filled column; its shuffle runs once.
         after = cut_lineage(after.select(col(row_id), col(column)))
     marked = df.where(missing(df, column)).select(col(row_id).alias("row_id")).orderBy("row_id").limit(sample)

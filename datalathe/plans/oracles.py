@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datalathe.plans.queries import DIRTY_EVENTS, PRIORITIES, WIDE
+from datalathe.sources.files import NA_TOKENS
 
 DIRTY = DIRTY_EVENTS.replace("{events}", "events")
 
@@ -382,6 +383,23 @@ for _name, _column, _expr in (
 ):
     ORACLES[_name] = with_dirty(f"SELECT row_id, {_expr} AS {_column} FROM dirty")
 ORACLES["impute_drop"] = with_dirty(f"SELECT row_id, {r('value')} AS value FROM dirty WHERE value IS NOT NULL")
+
+
+def knn(column: str, features: tuple[str, ...], k: int, answer: str) -> tuple[str, str]:
+    """All rows with a gap against all that have the value."""
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(features))
+    at = ", ".join(f"coalesce(({c} - m{i}) / s{i}, 0) AS z{i}" for i, c in enumerate(features))
+    apart = " + ".join(f"(q.z{i} - d.z{i}) * (q.z{i} - d.z{i})" for i in range(len(features)))
+    return f"""SELECT z.row_id, {answer.format(fill="f.fill")} AS {column} FROM z LEFT JOIN (
+      SELECT row_id, {"avg(v)" if column == "value" else "arg_min(v, (-n, v))"} AS fill FROM (
+        SELECT row_id, v, count(*) OVER (PARTITION BY row_id, v) AS n FROM (
+          SELECT q.row_id, d.v, row_number() OVER (PARTITION BY q.row_id ORDER BY round({apart}, 9), d.row_id) AS rank
+          FROM z q JOIN z d ON q.v IS NULL AND d.v IS NOT NULL) WHERE rank <= {k}) GROUP BY row_id) f USING (row_id)""", f"""
+      z AS (SELECT row_id, {column} AS v, {at} FROM dirty, (SELECT {stats} FROM dirty))"""
+
+
+ORACLES["impute_knn"] = with_dirty(*knn("value", ("user_id", "whole_float"), 5, r("coalesce(z.v, {fill})")))
+ORACLES["impute_knn_text"] = with_dirty(*knn("event_type", ("value", "user_id"), 3, "coalesce(z.v, {fill})"))
 ORACLES["impute_preview"] = with_dirty(
     f"SELECT row_id, {r(MEDIAN)} AS value, (SELECT count(*) - count(value) FROM dirty) AS before_missing, "
     "0::BIGINT AS after_missing, "
@@ -759,6 +777,9 @@ ORACLES["csv_roundtrip"] = with_dirty(
     + ", ".join(f"{CSV_TYPES.get(c, c)} AS {c}" for c, _ in EVENTS)
     + f", {AWKWARD} AS awkward FROM dirty"
 )
+_READ = "CASE WHEN {0} IN (" + ", ".join(f"'{t}'" for t in NA_TOKENS) + ") THEN NULL ELSE {0} END"
+ORACLES["csv_quoted_split"] = f"""SELECT doc_id AS number, lang, source, length({_READ.format("text")}) AS chars, md5({_READ.format("text")}) AS digest
+FROM documents"""
 ORACLES["parquet_roundtrip"] = with_dirty(f"SELECT {NAMES} FROM dirty")
 
 # -- what rows and steps become --------------------------------------------------------------------------------------

@@ -245,6 +245,21 @@ for _name, _column, _strategy, _constant in (
     )
 
 
+@query("impute_knn")
+def impute_knn(spark, folder):
+    d = dirty_events(spark, folder)
+    return rounded(impute.impute(d, "value", "knn", row_id=ORDER, features=["user_id", "whole_float"]).select("row_id", "value"))
+
+
+@query("impute_knn_text")
+def impute_knn_text(spark, folder):
+    """Gaps among the features too."""
+    d = dirty_events(spark, folder)
+    step = {"version_num": 2, "operation": "impute", "operation_params": {
+        "column": "event_type", "strategy": "knn", "features": ["value", "user_id"], "neighbours": 3}}
+    return replay(d, [step], ORDER).select("row_id", "event_type")
+
+
 @query("impute_preview")
 def impute_preview(spark, folder):
     p = impute.preview_imputation(dirty_events(spark, folder), "value", "median", row_id=ORDER)
@@ -655,6 +670,20 @@ def replay_all(spark, folder):
 # -- sources and sinks -------------------------------------------------------------------------------------------
 
 
+@query("csv_quoted_split")
+def csv_quoted_split(spark, folder):
+    """Texts with line breaks in one file, read in splits far smaller than it."""
+    path = f"{fresh_path(spark, 'quoted')}/documents.csv"
+    write_csv(table(spark, folder, "documents").coalesce(1).withColumnRenamed("doc_id", "number"), path, row_id=None)
+    size, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(size, "256k")
+    try:
+        found = read_csv(spark, path)
+    finally:
+        spark.conf.set(size, before)
+    return found.select("number", "lang", "source", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 @query("csv_roundtrip")
 def csv_roundtrip(spark, folder):
     """All columns, and a text with quotes, delimiter and line break, exported in row order and ingested again."""

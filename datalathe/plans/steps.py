@@ -12,7 +12,8 @@ from datalathe.session import cut_lineage
 
 
 def _impute(df, p, row_id):
-    return impute.impute(df, p["column"], p["strategy"], p.get("constant_value"), row_id)
+    own = {k: p[k] for k in ("features", "neighbours") if p.get(k) is not None}
+    return impute.impute(df, p["column"], p["strategy"], p.get("constant_value"), row_id, **own)
 
 
 def _encode(df, p, row_id):

@@ -11,6 +11,7 @@ from datalathe.functions.kinds import ROW_ID, data_columns
 from datalathe.functions.ordering import assign_row_id, densify
 from datalathe.functions.scalars import col
 from datalathe.session import cut_lineage
+from datalathe.sources import quoted
 
 # Texts read as missing.
 NA_TOKENS = (
@@ -18,7 +19,7 @@ NA_TOKENS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_EXTRA, _FILE, _START, _MONO = "__extra", "__file", "__start", "__mono"
+_EXTRA, _FILE, _START, _MONO = "__extra", quoted.FILE, quoted.START, quoted.MONO
 _MARK = "__no more fields__"
 
 
@@ -29,25 +30,29 @@ def read_csv(spark: SparkSession, path: str, row_id: str = ROW_ID, multi_line: b
     decides its type. Rows longer than the header, part files with different headers, or no
     rows at all, are errors. Rows are parsed and numbered once and written to the shared
     folder, so later reads never plan the file's splits anew. Line breaks inside quotes are
-    found beforehand; such input is read file by file, as Spark cannot split it.
+    found beforehand, and such input is still read split by split (``sources/quoted.py``). Only where
+    lines end with a lone carriage return as well is it read file by file, as by ``multi_line=True``.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError("only .csv files can be ingested")
-    odd = _scan_lines(spark, path)
-    options = {"header": True, "escape": '"', "multiLine": odd if multi_line is None else multi_line, "enforceSchema": True}
+    odd, lone = _scan_lines(spark, path)
+    whole_files = odd and lone if multi_line is None else multi_line
+    options = {"header": True, "escape": '"', "multiLine": whole_files or odd, "enforceSchema": True}
     names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-    # Spark keeps the text of rows with too few or too many fields in the extra column.
-    raw = spark.read.options(**options, columnNameOfCorruptRecord=_EXTRA).schema(schema).csv(path)
-    texts = cut_lineage(
-        raw.select(
-            *[F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in names],
-            _surplus(col(_EXTRA), len(names)).alias(_EXTRA),
-            F.col("_metadata.file_path").alias(_FILE),
-            F.col("_metadata.file_block_start").alias(_START),
-            F.monotonically_increasing_id().alias(_MONO),
+    if odd and multi_line is None and not lone:
+        texts = _split_records(spark, path, names)
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
+        # Spark keeps the text of rows with too few or too many fields in the extra column.
+        raw = spark.read.options(**options | {"multiLine": whole_files}, columnNameOfCorruptRecord=_EXTRA).schema(schema).csv(path)
+        texts = cut_lineage(
+            raw.select(
+                *_fields(names),
+                F.col("_metadata.file_path").alias(_FILE),
+                F.col("_metadata.file_block_start").alias(_START),
+                F.monotonically_increasing_id().alias(_MONO),
+            )
         )
-    )
     found = texts.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(_EXTRA).alias("extra"),
@@ -61,6 +66,46 @@ def read_csv(spark: SparkSession, path: str, row_id: str = ROW_ID, multi_line: b
     return _numbered(texts, row_id).select(col(row_id), *typed)
 
 
+def _fields(names: list[str]) -> list[Column]:
+    """The texts of a row, and whether it has more fields than the header."""
+    texts = [F.when(~col(n).isin(*NA_TOKENS), col(n)).alias(n) for n in names]
+    return [*texts, _surplus(col(_EXTRA), len(names)).alias(_EXTRA)]
+
+
+def _split_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Parsed rows of files whose quoted texts run over lines, every split by a task of its own."""
+    text = quoted.lines(spark, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
+    options = {"escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": _EXTRA}
+    place = [_FILE, _START, _MONO]
+
+    def parsed(records: DataFrame) -> DataFrame:
+        record = F.regexp_replace("record", "\r$", "")
+        rows = records.select(F.from_csv(record, schema.toDDL(), options).alias("row"), *place)
+        return rows.select("row.*", *place).select(*_fields(names), *place)
+
+    for attempt in range(3):
+        try:
+            # Whole records are parsed at once; the pieces of those across a split's end are kept aside.
+            cut = cut_lineage(quoted.records(text, quoted.split_starts(text)))
+            break
+        except Exception as failure:
+            # Spark may plan a scan anew when executors come or go.
+            if attempt == 2 or quoted.ChangedSplits.__name__ not in str(failure):
+                raise
+    pieces = cut_lineage(quoted.joined(cut.where("piece IS NOT NULL")))
+    records = cut.where("piece IS NULL").drop("piece").unionByName(pieces)
+    # One row per file: its header, and whether its lines end with a carriage return, which quoted breaks then lose too.
+    header = F.regexp_replace("record", "\r$", "")
+    headers = records.where(F.col(_MONO) < 0).select(F.col(_FILE).alias("of"), header.alias("header"), F.endswith("record", F.lit("\r")).alias("crlf"))
+    headers = cut_lineage(headers)
+    if len(headers.select("header").distinct().limit(2).collect()) > 1:
+        raise ValueError("the part files have different headers")
+    plain = F.when(F.col("crlf"), F.replace("record", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("record"))
+    below = records.where(F.col(_MONO) >= 0).join(headers, F.col(_FILE) == F.col("of"))
+    return cut_lineage(parsed(below.select(plain.alias("record"), _FILE, _START, _MONO)))
+
+
 def _surplus(record: Column, fields: int) -> Column:
     """Whether a row has more fields than the header, empty ones counted.
 
@@ -72,23 +117,20 @@ def _surplus(record: Column, fields: int) -> Column:
     return record.isNotNull() & ~found
 
 
-def _scan_lines(spark: SparkSession, path: str) -> bool:
-    """Whether quotes run over line ends; part files must have one header.
+def _scan_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether quotes run over line ends, and whether a carriage return stands alone; part files must have one header.
 
-    A line with an odd number of quotes opens a text that a later line closes.
+    A line with an odd number of quotes may open a text that a later line closes.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias(_FILE),
-        F.col("_metadata.file_block_start").alias(_START),
-        F.monotonically_increasing_id().alias(_MONO),
-    )
+    lines = quoted.lines(spark, path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = lines.agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()[0]
-    first = lines.where(F.col(_START) == 0).groupBy(_FILE).agg(F.min_by("value", _MONO).alias("header"))
-    if len(first.select("header").distinct().limit(2).collect()) > 1:
-        raise ValueError("the part files have different headers")
-    return odd
+    lone = F.regexp_count("value", F.lit("\r(?!$)")) > 0
+    found = lines.agg(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in (quotes % 2 == 1, lone)]).first()
+    if not found[0]:
+        first = lines.where(F.col(_START) == 0).groupBy(_FILE).agg(F.min_by("value", _MONO).alias("header"))
+        if len(first.select(F.regexp_replace("header", "\r$", "")).distinct().limit(2).collect()) > 1:
+            raise ValueError("the part files have different headers")
+    return found[0], found[1]
 
 
 def _type_votes(c: Column, i: int) -> list[Column]:
