@@ -14,8 +14,8 @@ Queries come in blocks as well, and every block of rows meets every block of que
 query set against all rows. Both tables are written once; memory is one block of each.
 
 Vectors that are null or hold null or non-finite components take no part; shorter ones are filled
-up with zeros. Components are held within a bound that keeps scores inside 64 bits (about 2^28
-after scaling for 64 attributes). Null ids take no part. A row is never compared with rows of its
+up with zeros. Values are never changed: where the lengths of the longest vectors allow a score outside 64 bits,
+an error is raised before any is computed. Null ids take no part. A row is never compared with rows of its
 own id; each row of a repeated query id is a query with results of its own, under the same id.
 Ties go to the smaller id. Extra columns are ignored; empty tables give no rows.
 """
@@ -145,15 +145,19 @@ class Block:
         return self.ids[at[order]], scores[order]
 
 
-def _integers(df: DataFrame, key: str, vector: str, scale: int, size: int) -> DataFrame:
-    """(id, v): rows that take part, filled up to ``size`` integers within the bound."""
-    bound = 1 << min(30, (62 - max(1, size).bit_length()) // 2)
+def _integers(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
+    """(id, x): rows that take part, with scaled components rounded down, still as doubles."""
     x = F.col(f"`{vector}`").cast("array<double>")
     fine = F.coalesce(F.forall(x, _finite), F.lit(False))
-    whole = lambda v: F.greatest(F.lit(-bound), F.least(F.lit(bound), F.floor(v * scale))).cast("int")
-    rows = df.where(F.col(f"`{key}`").isNotNull() & fine).select(F.col(f"`{key}`").cast("long").alias("id"), x.alias("x"))
-    filled = F.concat(F.transform("x", whole), F.array_repeat(F.lit(0), F.lit(size) - F.size("x")))
-    return rows.select("id", filled.alias("v"))
+    rows = df.where(F.col(f"`{key}`").isNotNull() & fine)
+    # As doubles, which hold values past 64 bits too; such large ones have no fraction.
+    whole = F.transform(x, lambda v: F.when(F.abs(v * scale) < 2.0**62, F.floor(v * scale).cast("double")).otherwise(v * scale))
+    return rows.select(F.col(f"`{key}`").cast("long").alias("id"), whole.alias("x"))
+
+
+def _filled(rows: DataFrame, size: int) -> DataFrame:
+    """(id, v): filled up to ``size`` integers."""
+    return rows.select("id", F.concat(F.transform("x", lambda v: v.cast("long")), F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("x"))).alias("v"))
 
 
 def _finite(v: Column) -> Column:
@@ -171,13 +175,17 @@ def index(rows: DataFrame, size: int, slice_bits: int = SLICE_BITS, block_rows:
         for ids, values in _blocks(batches, size, block_rows):
             low, shift, bits, slices = _sliced(values, slice_bits)
             yield {
-                "rows": [len(ids)], "ids": [ids.tobytes()], "vectors": [values.astype(np.int32).tobytes()], "low": [low],
+                "rows": [len(ids)], "ids": [ids.tobytes()], "vectors": [_narrow(values).tobytes()], "low": [low],
                 "shift": [shift], "bits": [bits], "slices": [slices.tobytes()],
             }
 
     return map_arrow(rows, work, _BLOCK)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.int32) if np.abs(values).max(initial=0) < 1 << 31 else values
+
+
 def _blocks(batches, size: int, most: int):
     ids, values, held = [], [], 0
     for batch in batches:
@@ -211,12 +219,16 @@ def top_k(
     block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, id, score) of each query's k best rows; ``queries`` has the columns of the rows."""
-    x = F.size(F.col(f"`{vector}`"))
-    size = max(d.agg(F.max(x)).first()[0] or 0 for d in (df, queries))
+    parts = [_integers(d, key, vector, scale) for d in (df, queries)]
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    found = [p.agg(F.max(F.size("x")), F.max(length)).first() for p in parts]
+    size = max(f[0] or 0 for f in found)
     if size <= 0:
         return df.sparkSession.range(0).selectExpr("id as query_id", "0 as rank", f"id as `{key}`", "id as score")
-    blocks = cut_lineage(index(_integers(df, key, vector, scale, size), size, slice_bits, block_rows))
-    asked = cut_lineage(_query_blocks(_integers(queries, key, vector, scale, size), size, block_queries))
+    if max(f[1] or 0 for f in found) >= 2.0**62 or (found[0][1] or 0) * (found[1][1] or 0) >= 2.0**63 * (1 - 1e-9):
+        raise ValueError("vectors too long: a score could leave 64 bits")
+    blocks = cut_lineage(index(_filled(parts[0], size), size, slice_bits, block_rows))
+    asked = cut_lineage(_query_blocks(_filled(parts[1], size), size, block_queries))
     # A task per block of rows; the index moves once, the queries go to each of them.
     blocks = blocks.repartition(max(1, blocks.count()))
 
@@ -235,7 +247,7 @@ def _answers(row: dict, size: int, k: int):
     rows, bits = row["rows"], row["bits"]
     block = Block(
         np.frombuffer(row["ids"], np.int64),
-        np.frombuffer(row["vectors"], np.int32).reshape(rows, size),
+        np.frombuffer(row["vectors"], np.int32 if len(row["vectors"]) == 4 * rows * size else np.int64).reshape(rows, size),
         row["shift"],
         bits,
         np.frombuffer(row["slices"], np.uint64).reshape(size, bits, -1),

@@ -184,7 +184,19 @@ def test_top_k_equals_brute_force(spark):
     few = df.where("vec_id < 4")
     assert bitsliced.top_k(few, few.where("vec_id = 0")).count() == 3
     huge = spark.createDataFrame([(0, [1e30, -1e30]), (1, [3e38, 0.0])], "vec_id long, embedding array<float>")
-    assert bitsliced.top_k(huge, huge).count() == 2
+    with pytest.raises(ValueError):  # scores of such rows do not fit 64 bits
+        bitsliced.top_k(huge, huge)
+
+
+def test_large_components_score_exactly(spark):
+    vectors = [[200.0] + [0.0] * 63, [300_000.0] + [1.5] * 63, [400_000.0] + [-2.5] * 63, [-3e9] + [0.25] * 63, [2.0**31, 7.0] + [0.0] * 62]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = bitsliced.top_k(df, df.where("vec_id = 0"), slice_bits=2)
+    assert sorted(tuple(r) for r in found.collect()) == _best([*enumerate(vectors)], [0], 10)
+    edge = df.where("vec_id in (1, 2)")  # the largest that may be asked
+    assert sorted(tuple(r) for r in bitsliced.top_k(edge, edge).collect()) == _best([(i, vectors[i]) for i in (1, 2)], [1, 2], 10)
+    with pytest.raises(ValueError):
+        bitsliced.top_k(df, df)
 
 
 def test_slices_add_up():
