@@ -204,15 +204,22 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS,
 
 
 def train(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled rows that are not held out; about ``max_rows`` of them at most."""
+    """Fit on labelled rows that are not held out, ``max_rows`` of them at most.
+
+    Of more rows a sample is taken by a hash of key, figures and place in the table, so copies of a key are chosen
+    one by one.
+    """
     known = labels.select(F.col(f"`{key}`").alias("__key"), (F.col(f"`{label}`") > 0).cast("double").alias("__label"))
     known = known.where(F.col("__label").isNotNull() & ~held_out("__key"))
     rows = measured.select(F.col(f"`{key}`").alias("__key"), "figures").join(known, "__key")
-    rows = cut_lineage(rows)
+    by = F.xxhash64("__key", "figures", "__label")
+    rows = cut_lineage(rows.withColumn("__by", by).withColumn("__place", F.xxhash64("__by", F.monotonically_increasing_id())))
     found = rows.count()
     if found > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < (max_rows << 20) // found)
-    got = rows.orderBy(F.xxhash64("__key"), "__label").select("figures", "__label").toArrow()
+        # Somewhat more than wanted, so that the ordering below is of few rows.
+        share = (max_rows + 10 * max_rows**0.5 + 10) / found
+        rows = rows.where(F.pmod("__place", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("__place").limit(max_rows)
+    got = rows.orderBy("__by", "__place").select("figures", "__label").toArrow()
     x = np.asarray(got.column("figures").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     return fit(x, np.asarray(got.column("__label")))
 

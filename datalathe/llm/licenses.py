@@ -1,19 +1,21 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-Words are stretches of digits, a to z (A-Z in lower case) and characters from U+0080 on. A text's
-blocks are its lines; a line of over ``BLOCK`` words is cut into windows of that many that overlap by
-half, so any template-sized stretch of a line lies inside one block. A block matches a template
-when it holds at least the threshold's share of the template's distinct words, and all its marked ones.
-
-Words of templates are ordered by the number of lines they occur in over all texts, rare ones first.
-A template of n words that needs m of them can only match a block that holds one of its first
-n - m + 1 (prefix filter), has m words (length filter), and has enough words of both sides left
-from the first common one on (positional filter). What passes is verified, so every match is found.
-Only the templates' own words are counted and kept, a number their list bounds; no text moves.
+Words are stretches of digits, a to z (A-Z in lower case) and characters from U+0080 on; line breaks separate
+words like any other character. A template of n words is sought in all blocks of a quarter more than n consecutive words,
+over the whole text. A block matches when it holds at least the threshold's share of the template's
+distinct words, and all its marked ones.
+
+Words of templates are ordered by the number of texts they occur in, rare ones first. A template of n
+distinct words that needs m of them can only match a block that holds one of its first n - m + 1
+(prefix filter), so blocks are looked at only around these. A text needs m distinct words (length filter), and
+from the first common word around such a place there must be m left of both sides (positional filter). What
+passes is verified block by block, so every match is found. Only the templates' own words are counted and
+kept, a number their list bounds; no text moves.
 
 Besides, fixed phrases are found wherever their words stand consecutively in the whole text, across lines.
 
-Null and empty texts have no words, no places and score 0. Rows are judged one by one.
+Null and empty texts have no words, no places and score 0; very long ones are read whole; an empty table gives no rows.
+Rows are judged one by one, and other columns are ignored. A key named like an output column is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from datalathe.llm.common import map_arrow, payloads, with_fields
 
-THRESHOLD, BLOCK = 0.9, 64
+THRESHOLD, ROOM = 0.9, 1.25
 
 #: Phrases that label a text wherever they stand.
 PHRASES = (
@@ -55,15 +57,16 @@ TEMPLATES = (
 _FOUND = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 )
-#: Separators become spaces, but line breaks stay.
-_WORD_BYTES = bytes(
-    b + 32 if 65 <= b <= 90 else b if b == 10 or 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
 
+def words_of(data: bytes) -> list[bytes]:
+    return data.translate(_WORD_BYTES).split()
 
-def words_of(data: bytes) -> list[list[bytes]]:
-    """The words of each line."""
-    return [line.split() for line in data.translate(_WORD_BYTES).split(b"\n")]
+
+def block_size(words: int) -> int:
+    """Words of the blocks in which a template of so many is sought."""
+    return math.ceil(words * ROOM - 1e-9)
 
 
 @dataclass(frozen=True)
@@ -72,22 +75,21 @@ class Template:
     words: tuple[bytes, ...]  # distinct, rare ones first
     needed: int
     marked: frozenset
+    block: int
 
 
 class Matcher:
     """Templates with their filters, for words ordered by the given counts."""
 
-    def __init__(self, templates, phrases, counts: dict[bytes, int], threshold: float = THRESHOLD, block: int = BLOCK):
+    def __init__(self, templates, phrases, counts: dict[bytes, int], threshold: float = THRESHOLD):
         if not 0 < threshold <= 1:
             raise ValueError("the threshold is a share above 0")
         rank = lambda w: (counts.get(w, 0), w)
-        self.templates, self.block = [], block
+        self.templates = []
         for label, text, marked in templates:
             words = tuple(sorted(set(text.encode().split()), key=rank))
-            if len(words) > block // 2:
-                raise ValueError("a template must fit into half a block")
             needed = math.ceil(threshold * len(words) - 1e-9)
-            self.templates.append(Template(label, words, needed, frozenset(marked.encode().split())))
+            self.templates.append(Template(label, words, needed, frozenset(marked.encode().split()), block_size(len(text.split()))))
         #: Prefix filter: rare word to (template, position).
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
         for i, t in enumerate(self.templates):
@@ -103,33 +105,38 @@ class Matcher:
             self.phrases.append((words, key, label))
         self.keys = frozenset(words[key] for words, key, _ in self.phrases)
 
-    def blocks(self, words: list[bytes]):
-        if len(words) <= self.block:
-            yield words
-            return
-        half = self.block // 2
-        for i in range(0, len(words) - half, half):
-            yield words[i : i + self.block]
-
-    def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """Labels and containments of the templates a block matches."""
-        own = set(block)
-        size = len(own)
-        common = sorted(own & self.vocabulary, key=self.order.__getitem__)
-        out, seen = [], set()
-        for at, word in enumerate(common):
-            for i, position in self.prefixes.get(word, ()):
+    def matches(self, words: list[bytes]) -> dict[int, float]:
+        """The templates that a block of the text matches, by number, with the best share of their words."""
+        best: dict[int, float] = {}
+        if self.rare.isdisjoint(words):
+            return best
+        distinct = len(set(words))
+        for at, word in enumerate(words):
+            for i, _ in self.prefixes.get(word, ()):
                 t = self.templates[i]
-                if i in seen or size < t.needed:
+                if distinct < t.needed or best.get(i) == 1.0:
                     continue
-                # The first common word in both orders: no earlier one of either side is shared.
-                seen.add(i)
-                if min(len(t.words) - position, len(common) - at) < t.needed:
+                start = max(0, at - t.block + 1)
+                around = words[start : at + t.block]
+                common = set(around).intersection(t.words)
+                first = min(t.words.index(w) for w in common)
+                if min(len(common), len(t.words) - first) < t.needed or not t.marked <= common:
                     continue
-                shared = own.intersection(t.words)
-                if len(shared) >= t.needed and t.marked <= shared:
-                    out.append((t.label, len(shared) / len(t.words)))
-        return out
+                share = self._best_block(t, around)
+                if share > best.get(i, 0.0):
+                    best[i] = share
+        return best
+
+    @staticmethod
+    def _best_block(t: Template, around: list[bytes]) -> float:
+        """The largest share that a block holds together with all marked words; 0 if none has enough."""
+        most = 0
+        wanted = frozenset(t.words)
+        for start in (i for i, w in enumerate(around) if w in wanted):
+            held = wanted.intersection(around[start : start + t.block])
+            if len(held) > most and t.marked <= held:
+                most = len(held)
+        return most / len(t.words) if most >= t.needed else 0.0
 
     def places(self, words: list[bytes]) -> list[tuple[int, str]]:
         """Starts and labels of the phrases."""
@@ -149,23 +156,22 @@ class Matcher:
         return out
 
 
-def line_counts(df: DataFrame, vocabulary: frozenset, text: str = "text") -> DataFrame:
-    """(word, lines) of the vocabulary's words over all texts."""
+def text_counts(df: DataFrame, vocabulary: frozenset, text: str = "text") -> DataFrame:
+    """(word, texts) of the vocabulary's words over all texts."""
 
     def work(batches):
         for batch in batches:
             found: Counter = Counter()
             for value in payloads(batch.column("__text")):
-                for words in words_of(value):
-                    found.update(vocabulary.intersection(words))
-            yield {"word": [w.decode() for w in found], "lines": list(found.values())}
+                found.update(vocabulary.intersection(words_of(value)))
+            yield {"word": [w.decode() for w in found], "texts": list(found.values())}
 
-    counted = map_arrow(df.select(F.col(f"`{text}`").alias("__text")), work, "word string, lines long")
-    return counted.groupBy("word").agg(F.sum("lines").alias("lines"))
+    counted = map_arrow(df.select(F.col(f"`{text}`").alias("__text")), work, "word string, texts long")
+    return counted.groupBy("word").agg(F.sum("texts").alias("texts"))
 
 
 def scan(
-    df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, block: int = BLOCK,
+    df: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Per row: key, words, phrase places, labels and the best share of a template found (1 with a phrase)."""
@@ -173,8 +179,8 @@ def scan(
         w for p, _ in phrases for w in p.encode().split()
     )
     # As many rows as the templates have words.
-    counts = {r["word"].encode(): r["lines"] for r in line_counts(df, vocabulary, text).collect()}
-    matcher = Matcher(templates, phrases, counts, threshold, block)
+    counts = {r["word"].encode(): r["texts"] for r in text_counts(df, vocabulary, text).collect()}
+    matcher = Matcher(templates, phrases, counts, threshold)
     names = [c.split()[0] for c in _FOUND.split(", ")]
 
     def work(batches):
@@ -187,18 +193,12 @@ def scan(
 
 
 def _judge(data: bytes, matcher: Matcher) -> tuple:
-    lines = words_of(data)
-    words = [w for line in lines for w in line]
+    words = words_of(data)
     places = matcher.places(words)
     base = {label for _, label in places}
-    labels, score = set(base), 1.0 if places else 0.0
-    for line in lines:
-        if matcher.rare.isdisjoint(line):
-            continue
-        for block in matcher.blocks(line):
-            for label, share in matcher.matches(block):
-                labels.add(label)
-                score = max(score, share)
+    found = matcher.matches(words)
+    labels = base | {matcher.templates[i].label for i in found}
+    score = 1.0 if places else max(found.values(), default=0.0)
     starts = [s for s, _ in places]
     return (
         len(words), len(places), min(starts, default=None), max(starts, default=None),

@@ -66,19 +66,22 @@ def _listed(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in sorted(set(words))) + "]"
 
 
-_TEMPLATES = ", ".join(f"('{label}', {_listed(text.split())}, {_listed(marked.split())})" for label, text, marked in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(
+    f"('{label}', {_listed(text.split())}, {_listed(marked.split())}, {licenses.block_size(len(text.split()))})"
+    for label, text, marked in licenses.TEMPLATES
+)
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 LICENSES = rf"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 t AS (SELECT doc_id, regexp_extract_all(text, {_WORD}) AS w FROM low),
 places AS ({" UNION ALL ".join(_phrase(p, label) for p, label in licenses.PHRASES)}),
-lines AS (SELECT doc_id, regexp_extract_all(line, {_WORD}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM low)),
-blocks AS (SELECT doc_id, list_distinct(CASE WHEN len(w) <= {licenses.BLOCK} THEN w ELSE w[s + 1:s + {licenses.BLOCK}] END) AS b
-  FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {licenses.BLOCK} THEN [0]
-    ELSE range(0, len(w) - {licenses.BLOCK // 2}, {licenses.BLOCK // 2}) END) AS s FROM lines WHERE len(w) > 0)),
-template(label, words, marked) AS (VALUES {_TEMPLATES}),
-hits AS (SELECT doc_id, label, CAST(len(list_intersect(words, b)) AS DOUBLE) / len(words) AS share FROM blocks, template
+template(label, words, marked, size) AS (VALUES {_TEMPLATES}),
+possible AS (SELECT doc_id, w, label, words, marked, size FROM t, template
+  WHERE list_has_all(w, marked) AND len(list_intersect(words, w)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)),
+blocks AS (SELECT doc_id, label, words, marked, w[i + 1:i + size] AS b
+  FROM (SELECT *, unnest(range(0, greatest(len(w) - size, 0) + 1)) AS i FROM possible)),
+hits AS (SELECT doc_id, label, CAST(len(list_intersect(words, b)) AS DOUBLE) / len(words) AS share FROM blocks
   WHERE len(list_intersect(words, b)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9) AND list_has_all(b, marked)),
 base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
   array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM places GROUP BY doc_id),

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from datalathe.llm.common import map_arrow, payloads, row_struct, with_fields
 
 WINDOW = 3
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.45, 100
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.3, 50
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Texts are joined into one suffix array up to about this many words.
 CHUNK_WORDS = 300_000

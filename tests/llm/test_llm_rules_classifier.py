@@ -1,4 +1,5 @@
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -69,10 +70,13 @@ def test_quality_counts_and_verdicts(corpus, nothing):
 def test_one_long_repeat_is_rejected_by_the_method_alone(spark):
     rnd = random.Random(3)
     fresh = lambda n: " ".join(f"w{rnd.random():.9f}" for _ in range(n))
-    passage = fresh(101)
-    rows = [(1, f"{fresh(200)} {passage} {fresh(100)} {passage}"), (2, fresh(400)), (3, f"{fresh(300)} {fresh(12)} {fresh(20)}")]
+    passage, short = fresh(51), [fresh(11) for _ in range(9)]
+    spread = " ".join(f"{s} {fresh(6)}" for s in short)
+    rows = [(4, f"{fresh(200)} {spread} {fresh(40)} " + " ".join(f"{s} {fresh(6)}" for s in short)), (1, f"{fresh(200)} {passage} {fresh(100)} {passage}"), (2, fresh(400)), (3, f"{fresh(300)} {fresh(12)} {fresh(20)}")]
     found = {r["doc_id"]: r for r in repetition.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not found[1]["base_failed"] and not found[1]["kept"]
+    # Short passages that cover over three tenths of the words.
+    assert not found[4]["base_failed"] and not found[4]["kept"] and found[4]["longest_repeat"] == 11
     assert found[2]["kept"] and found[3]["kept"]
 
 
@@ -86,16 +90,32 @@ def test_license_filters_lose_no_match():
             templates.append((f"l{i}", " ".join(words), words[0] if trial % 2 else ""))
         counts = {w.encode(): rnd.randint(0, 5) for w in vocabulary}
         threshold = rnd.choice([0.5, 0.7, 0.9, 1.0])
-        matcher = licenses.Matcher(templates, (), counts, threshold, 16)
+        matcher = licenses.Matcher(templates, (), counts, threshold)
         for _ in range(10):
-            block = [rnd.choice(vocabulary + ["other", "more"]).encode() for _ in range(rnd.randint(0, 12))]
-            expected = []
-            for label, text, marked in templates:
-                words = {w.encode() for w in text.split()}
-                share = len(words & set(block)) / len(words)
-                if share >= threshold - 1e-12 and {w.encode() for w in marked.split()} <= set(block):
-                    expected.append((label, share))
-            assert sorted(matcher.matches(block)) == sorted(expected)
+            text = [rnd.choice(vocabulary + ["other", "more"]).encode() for _ in range(rnd.randint(0, 30))]
+            expected = {}
+            for i, (_, template, marked) in enumerate(templates):
+                words, size = {w.encode() for w in template.split()}, licenses.block_size(len(template.split()))
+                for start in range(len(text)):
+                    block = set(text[start : start + size])
+                    share = len(words & block) / len(words)
+                    if share >= threshold - 1e-12 and {w.encode() for w in marked.split()} <= block:
+                        expected[i] = max(expected.get(i, 0), share)
+            assert matcher.matches(text) == expected
+
+
+def test_license_notices_are_found_across_line_breaks(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl-3": "you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    filler = " ".join(f"w{i}" for i in range(40))
+    rows = [(label, f"{filler}\n" + "\n".join(textwrap.wrap(f"{filler} {text} {filler}", width))) for label, text in notices.items() for width in (20, 76)]
+    rows += [("", f"{filler} Redistribution and use in {filler} source and binary forms {filler} with or without modification"), ("", None), ("", "")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert [r["labels"] for r in licenses.scan(df).orderBy("doc_id").collect()] == [label for label, _ in rows]
 
 
 def test_license_scan(spark, corpus, nothing):
@@ -114,7 +134,7 @@ def test_license_scan(spark, corpus, nothing):
     found = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     labels = {i: (r["base_labels"], r["labels"]) for i, r in found.items()}
     assert labels == {
-        1: ("mit", "mit"), 2: ("", ""), 3: ("", "gpl-3"), 4: ("apache-2,cc-by-nc", "apache-2,cc-by-nc"), 5: ("", ""),
+        1: ("mit", "mit"), 2: ("", "gpl-3"), 3: ("", "gpl-3"), 4: ("apache-2,cc-by-nc", "apache-2,cc-by-nc"), 5: ("", ""),
         6: ("", "mit"), 7: ("", "bsd"), 8: ("mit", "mit"),
     }
     assert (found[8]["n_base"], found[8]["first_word"], found[8]["last_word"], found[8]["score"]) == (2, 0, 4, 1.0)
@@ -158,6 +178,30 @@ def test_held_out_accuracy_and_score_of_every_row(spark, corpus):
     assert np.mean([few[i] == q for i, q in truth.items()]) > 0.9
 
 
+def test_a_key_with_half_of_the_labelled_rows_trains_with_exactly_max_rows(spark, monkeypatch):
+    rows = _labelled(600)
+    texts = [(1 if i % 2 else r[0], r[1]) for i, r in enumerate(rows)] + [(1, "same text here") for _ in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows if r[0] == 1 or not r[0] % 2], "doc_id long, quality int")
+    sizes, fit = [], gam.fit
+    monkeypatch.setattr(gam, "fit", lambda x, y, *a: sizes.append(len(y)) or fit(x, y, *a))
+    gam.classify(docs, labels, max_rows=300).count()
+    gam.classify(docs, labels, max_rows=100_000).count()
+    assert sizes[0] == 300 < sizes[1]
+
+
+def test_scores_equal_a_naive_sum_over_the_tables():
+    rnd = np.random.default_rng(5)
+    x = np.round(rnd.normal(size=(700, 4)), 1)
+    model = gam.fit(x[:500], (x[:500, 0] * x[:500, 1] + x[:500, 2] > 0).astype(float))
+    for row, score in zip(x.tolist(), model.score(x)):
+        bin_of = lambda edges, v: sum(e <= v for e in edges)
+        total = model.intercept + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, row))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            total += t[bin_of(model.pair_edges[a], row[a]), bin_of(model.pair_edges[b], row[b])]
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-12
+
+
 def test_without_labels_nothing_is_learnt_or_rejected(corpus, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in gam.classify(corpus, none).collect()} == {0.5}
