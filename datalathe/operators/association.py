@@ -59,81 +59,126 @@ def _centres(df: DataFrame, columns: list[str]) -> dict[str, _Centre]:
     return out
 
 
-def _pair_sums(i: int, j: int, gaps: bool) -> tuple[list[str], str]:
-    """SQL aggregates for one pair of centred columns, and the correlation made of them.
+def _pair_frame(df: DataFrame, pairs: list[tuple[str, str]], values: dict[str, str], centres) -> DataFrame:
+    """``(column_a, column_b, correlation)`` of centred expressions.
 
-    Without gaps the centred squares are shared between pairs and one product is left.
-    With gaps only complete rows count: their sums correct the centres, and equal ends
-    tell a constant side.
+    A few pairs without gaps are one map-side aggregate of the JVM, with squares shared between pairs. Many pairs,
+    and pairs with gaps, are products of matrices per Arrow batch in one scan, as an aggregate per pair
+    could neither be compiled nor share a scan. One rule for a constant side: equal ends over the pair's own rows.
     """
-    x, y, p = f"v{i}", f"v{j}", f"p{i}_{j}"
-    if not gaps:
-        return [f"sum({x} * {y}) AS {p}"], f"{p} / sqrt(s{i} * s{j})"
-    a, b = f"if({y} IS NOT NULL, {x}, NULL)", f"if({x} IS NOT NULL, {y}, NULL)"
-    sums = {
-        "n": f"count({x} * {y})", "x": f"sum({a})", "y": f"sum({b})", "xy": f"sum({x} * {y})",
-        "xx": f"sum({a} * {a})", "yy": f"sum({b} * {b})", "dx": f"max({a}) - min({a})", "dy": f"max({b}) - min({b})",
-    }
-    fields = ", ".join(f"{e} AS {n}" for n, e in sums.items())
-    spread = f"sqrt(greatest({p}.xx - {p}.x * {p}.x / {p}.n, 0D) * greatest({p}.yy - {p}.y * {p}.y / {p}.n, 0D))"
-    value = f"({p}.xy - {p}.x * {p}.y / {p}.n) / nullif({spread}, 0D)"
-    return [f"struct({fields}) AS {p}"], f"if({p}.dx > 0 AND {p}.dy > 0, {value}, NULL)"
+    gappy = [p for p in pairs if any(centres[c].gaps for c in p)]
+    plain = [p for p in pairs if p not in set(gappy)] if gappy else pairs
+    if len(plain) > PAIRS_PER_PASS:
+        gappy, plain = pairs, []
+    parts = []
+    if plain:
+        names = sorted({c for pair in plain for c in pair if not centres[c].constant})
+        place = {c: i for i, c in enumerate(names)}
+        base = df.selectExpr(*[f"{values[c]} AS v{i}" for c, i in place.items()], "1 AS one")
+        aggs = [f"sum(v{i} * v{i}) AS s{i}" for i in place.values()]
+        entries = []
+        for a, b in plain:
+            formula = "double(NULL)"
+            if a in place and b in place:
+                i, j = place[a], place[b]
+                aggs.append(f"sum(v{i} * v{j}) AS p{i}_{j}")
+                formula = f"p{i}_{j} / sqrt(s{i} * s{j})"
+            entries.append(f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', {formula})")
+        wide = base.agg(F.expr("count(1) AS rows"), *[F.expr(e) for e in aggs])
+        parts.append(wide.selectExpr(f"inline(array({', '.join(entries)}))"))
+    if gappy:
+        parts.append(_pair_matrix(df, gappy, values, centres))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _pair_frame(df: DataFrame, pairs: list[tuple[str, str]], values: dict[str, str], centres) -> DataFrame:
-    """``(column_a, column_b, correlation)`` of centred expressions in one scan.
-
-    A few pairs are one map-side aggregate of the JVM. Many are products of matrices per
-    Arrow batch, as an aggregate per pair could neither be compiled nor share a scan.
-    """
-    if len(pairs) > PAIRS_PER_PASS:
-        return _pair_matrix(df, pairs, values, centres)
-    names = sorted({c for pair in pairs for c in pair if not centres[c].constant})
-    place = {c: i for i, c in enumerate(names)}
-    base = df.selectExpr(*[f"{values[c]} AS v{i}" for c, i in place.items()], "1 AS one")
-    aggs = [f"sum(v{i} * v{i}) AS s{i}" for c, i in place.items() if not centres[c].gaps]
-    entries = []
-    for a, b in pairs:
-        formula = "double(NULL)"
-        if a in place and b in place:
-            sums, formula = _pair_sums(place[a], place[b], centres[a].gaps or centres[b].gaps)
-            aggs += sums
-        entries.append(f"named_struct('column_a', {text(a)}, 'column_b', {text(b)}, 'correlation', {formula})")
-    wide = base.agg(F.expr("count(1) AS rows"), *[F.expr(e) for e in aggs])
-    return wide.selectExpr(f"inline(array({', '.join(entries)}))")
+#: Share of its squares about the common mean that a pair's own spread must reach; below it the pair is summed anew about its own means.
+WELL_CENTRED = 1e-6
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+_ENDS = ("xlo", "xhi", "ylo", "yhi")
 
 
 def _pair_matrix(df: DataFrame, pairs: list[tuple[str, str]], values: dict[str, str], centres) -> DataFrame:
     names = sorted({c for pair in pairs for c in pair if not centres[c].constant})
     place = {c: i for i, c in enumerate(names)}
     wanted = [(i, place[a], place[b]) for i, (a, b) in enumerate(pairs) if a in place and b in place]
-    pair, first, second = (np.array(v, np.int64) for v in zip(*wanted)) if wanted else (np.zeros(0, np.int64),) * 3
+    if not wanted:
+        return _named(df, pairs, df.sparkSession.createDataFrame([], "pair int, r double"), "r")
+    pair, first, second = (np.array(v, np.int64) for v in zip(*wanted))
+    holes = [i for c, i in place.items() if centres[c].gaps]
+    base = df.selectExpr(*[f"double({values[c]}) AS v{i}" for c, i in place.items()])
 
     def products(batches):
-        """Sums over a task's rows for each pair: rows, x, y, xx, yy, xy, where both are present."""
-        total = np.zeros((4, len(names), len(names)))
+        """Sums and ends over a task's rows for each pair, where both are present."""
+        k = len(names)
+        total, squares, rows, sums = np.zeros((4, k, k)), np.zeros((k, k)), 0, np.zeros(k)
+        lo, hi = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            there = (~np.isnan(x)).astype(np.float64)
-            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            gaps = np.isnan(x[:, holes]).any() if holes else False
+            if not gaps:
+                # All rows count for all pairs: one product.
+                squares += x.T @ x
+                rows, sums = rows + len(x), sums + x.sum(0)
+                if holes and len(x):
+                    np.minimum(lo, x.min(0)[:, None], out=lo)
+                    np.maximum(hi, x.max(0)[:, None], out=hi)
+                continue
+            there = ~np.isnan(x)
+            for j in range(k):
+                # The ends of every column where column j is present.
+                own = x if there[:, j].all() else x[there[:, j]]
+                if len(own):
+                    np.fmin(lo[:, j], np.fmin.reduce(own, axis=0), out=lo[:, j])
+                    np.fmax(hi[:, j], np.fmax.reduce(own, axis=0), out=hi[:, j])
+            there, x = there.astype(np.float64), np.where(there, x, 0.0)
             total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
         n, s, ss, p = total
-        sums = (n[first, second], s[first, second], s[second, first], ss[first, second], ss[second, first], p[first, second])
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (pair, *sums)], names=["pair", "n", "x", "y", "xx", "yy", "xy"])
-
-    schema = "pair long, n double, x double, y double, xx double, yy double, xy double"
-    base = df.selectExpr(*[f"double({values[c]}) AS v{i}" for c, i in place.items()]) if names else df.sparkSession.range(0)
-    sums = base.mapInArrow(products, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    # A constant side leaves rounding only; squares about the mean of all rows bound it.
-    dx, dy = (f"({s}{s} - {s} * {s} / n)" for s in "xy")
-    value = f"if({dx} > 1e-13D * xx AND {dy} > 1e-13D * yy, (xy - x * y / n) / sqrt({dx} * {dy}), NULL)"
-    return _named(df, pairs, sums.selectExpr("int(pair) AS pair", f"{value} AS r"), "r")
+        n, s, ss, p = n + rows, s + sums[:, None], ss + np.diag(squares)[:, None], p + squares
+        found = (n[first, second], s[first, second], s[second, first], ss[first, second], ss[second, first], p[first, second])
+        ends = (lo[first, second], hi[first, second], lo[second, first], hi[second, first])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (pair, *found, *ends)], names=["pair", *_SUMS, *_ENDS])
+
+    schema = "pair long, " + ", ".join(f"{c} double" for c in (*_SUMS, *_ENDS))
+    merged = [F.sum(c).alias(c) for c in _SUMS] + [(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _ENDS]
+    # A row per pair, which the caller has listed.
+    rows = base.mapInArrow(products, schema).groupBy("pair").agg(*merged).collect()
+    out, poor = [], []
+    for r in rows:
+        constant = bool(holes) and not (r["xhi"] > r["xlo"] and r["yhi"] > r["ylo"])
+        if r["n"] < 2 or constant:
+            continue
+        dx, dy = (r[f"{s}{s}"] - r[s] * r[s] / r["n"] for s in "xy")
+        if holes and not (dx > WELL_CENTRED * r["xx"] and dy > WELL_CENTRED * r["yy"]):
+            poor.append(r)
+        elif dx > 0 and dy > 0:
+            out.append((r["pair"], (r["xy"] - r["x"] * r["y"] / r["n"]) / (dx * dy) ** 0.5))
+    for start in range(0, len(poor), PAIRS_PER_PASS):
+        part = [(r["pair"], *(place[c] for c in pairs[r["pair"]]), r["xlo"], r["ylo"]) for r in poor[start : start + PAIRS_PER_PASS]]
+        out += _about_own_means(base, part)
+    return _named(df, pairs, df.sparkSession.createDataFrame(out, "pair int, r double"), "r")
+
+
+def _about_own_means(base: DataFrame, pairs: list[tuple[int, int, int, float, float]]) -> list[tuple[int, float]]:
+    """Correlations of ill-centred pairs: means about one of their own values first, then products about these means."""
+    sides, means = [], []
+    for p, i, j, x0, y0 in pairs:
+        both = f"v{i} IS NOT NULL AND v{j} IS NOT NULL"
+        sides.append((f"if({both}, v{i} - {number(x0)}, NULL)", f"if({both}, v{j} - {number(y0)}, NULL)"))
+        means += [f"avg({s}) AS {n}{p}" for s, n in zip(sides[-1], "xy")]
+    found = base.agg(*[F.expr(m) for m in means]).first()
+    aggs = []
+    for (p, *_), (x, y) in zip(pairs, sides):
+        x, y = f"({x} - {number(found[f'x{p}'])})", f"({y} - {number(found[f'y{p}'])})"
+        aggs += [f"sum({x} * {x}) AS xx{p}", f"sum({y} * {y}) AS yy{p}", f"sum({x} * {y}) AS xy{p}"]
+    sums = base.agg(*[F.expr(a) for a in aggs]).first()
+    return [(p, sums[f"xy{p}"] / (sums[f"xx{p}"] * sums[f"yy{p}"]) ** 0.5) for p, *_ in pairs if sums[f"xx{p}"] > 0 and sums[f"yy{p}"] > 0]
 
 
 def pearson(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """``(column_a, column_b, correlation)`` over pairwise complete rows; NULL beside a constant.
 
-    One pass finds the means, the next sums centred products; no row is shuffled.
+    One pass finds the means, the next sums centred products; no row is shuffled. Pairs whose own rows lie close
+    together far from the columns' means are summed again about their own.
     """
     centres = _centres(df, columns)
     values = {c: f"{number_sql(c)} - {number(k.mean)}" for c, k in centres.items() if k.mean is not None}

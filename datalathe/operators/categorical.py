@@ -45,7 +45,7 @@ def multi_label_profile(df: DataFrame, column: str, delimiter: str | None = None
     require_column(df, column)
     delimiter = delimiter or detect_delimiter(df, column)
     if delimiter is None:
-        raise ValueError(f"no consistent delimiter found in '{column}'; it may not be a multi-label column")
+        raise ValueError(f"'{column}': detect_delimiter finds none of its characters often enough; pass delimiter")
     counts = label_counts(df, column, delimiter)
     vocabulary = counts.count()
     average = df.where(col(column).isNotNull()).agg(

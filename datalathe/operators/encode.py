@@ -117,7 +117,7 @@ def fit_ordinal(df: DataFrame, column: str, order: list[str] | None) -> Fitted:
     """Codes in the order the caller gives; values not listed become missing."""
     require_column(df, column)
     if not order:
-        raise ValueError("ordinal encoding requires an 'order' list of categories")
+        raise ValueError(f"codes of '{column}' follow the parameter order, which is empty")
     t = df.schema[column].dataType
     pairs = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], "__text string, __code long")
     pairs = pairs.select(F.col("__text").try_cast(t).alias("__key"), "__code").where("__key IS NOT NULL")

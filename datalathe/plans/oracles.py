@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datalathe.plans.queries import DIRTY_EVENTS, PRIORITIES, WIDE
+from datalathe.plans.queries import DIRTY_EVENTS, PRIORITIES, SWITCH, WIDE
 from datalathe.sources.files import NA_TOKENS
 
 DIRTY = DIRTY_EVENTS.replace("{events}", "events")
@@ -951,6 +951,19 @@ ORACLES["normality"] = with_dirty(union(normal_row(c) for c in ("value", "whole_
 
 WIDE_TABLE = "wide AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS w{k}" for k, e in enumerate(WIDE, 1)) + " FROM lineitem)"
 WIDE_NAMES = [f"w{k}" for k in range(1, len(WIDE) + 1)]
+def _switch() -> str:
+    names = list(SWITCH)
+    parts = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+            ends = f"min({a}) {both} < max({a}) {both} AND min({b}) {both} < max({b}) {both}"
+            parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'CASE WHEN {ends} THEN corr({a}, {b}) END')} AS correlation FROM e")
+    columns = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in SWITCH.items())
+    return f"WITH e AS (SELECT {columns} FROM events), c AS ({union(parts)}) SELECT c.*, width FROM c, (VALUES (4), (14)) w(width)"
+
+
+ORACLES["corr_pearson_switch"] = _switch()
 ORACLES["corr_pearson_wide"] = (
     f"WITH {WIDE_TABLE}, k AS (SELECT "
     + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for i, a in enumerate(WIDE_NAMES) for b in WIDE_NAMES[i + 1 :])

@@ -385,6 +385,27 @@ on_table(
 )
 
 
+# A side that is far from its mean and nearly constant where the other one is present.
+SWITCH = {
+    "near": "CASE WHEN event_id % 5 = 0 THEN 1 + (user_id % 5) * 1e-6 ELSE 1000.0 * (user_id % 2) END",
+    "gappy": "CASE WHEN event_id % 5 = 0 THEN CAST(user_id % 7 AS DOUBLE) END",
+    "flat": "CASE WHEN event_id % 5 = 0 THEN 3 ELSE value END",
+    "other": "value",
+}
+
+
+@query("corr_pearson_switch")
+def corr_pearson_switch(spark, folder):
+    """The same columns correlate alike in a table of four columns and in one of fourteen."""
+    events = table(spark, folder, "events")
+    parts = []
+    for width in (4, 14):
+        more = [f"CAST(event_id % {90 + i} AS DOUBLE) AS c{i}" for i in range(width - 4)]
+        found = association.pearson(d := events.selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in SWITCH.items()], *more), d.columns)
+        parts.append(found.where(col("column_a").isin(*SWITCH) & col("column_b").isin(*SWITCH)).withColumn("width", F.lit(width)))
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 @query("quartiles_wide")
 def quartiles_wide(spark, folder):
     """Quartiles of forty columns."""

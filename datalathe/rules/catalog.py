@@ -114,98 +114,103 @@ MISSING = [
     ),
 ]
 
+_STRIP = [
+    "strip", "One projection inside the scan; values that differed in padding meet in the same group afterwards.",
+    ["strip keeps row ids and row count"], ["A later replay on padded data repeats it"], ["change_case after it"], _FUNCTIONS,
+]
+
 QUALITY = [
-    _rule(
-        "whitespace_issues", "data_quality", "low", "categorical", "has_whitespace == True",
-        "Trim surrounding whitespace", "Values that differ only in padding count as different categories.",
-        ["Safe", "One expression"], ["Hardly any"], ["Leave it where padding has a meaning"], _FUNCTIONS,
-    ),
-    _rule(
-        "whitespace_issues_text", "data_quality", "low", "text", "has_whitespace == True",
-        "Trim surrounding whitespace", "Padding breaks exact comparison and joins.",
-        ["Safe", "One expression"], ["Hardly any"], ["Leave it where padding has a meaning"], _FUNCTIONS,
-    ),
+    _rule("whitespace_issues", "data_quality", "low", "categorical", "has_whitespace == True", *_STRIP),
+    _rule("whitespace_issues_text", "data_quality", "low", "text", "has_whitespace == True", *_STRIP),
     _rule(
         "case_inconsistency", "data_quality", "medium", "categorical", "has_case_inconsistency == True",
-        "Bring the values to one casing", "One category is counted several times under different spellings.",
-        ["Joins split categories", "Corrects frequencies"], ["Loses casing where it carries meaning"],
-        ["Correct the odd values by hand"], _FUNCTIONS,
+        "change_case to lower", "The histogram of the column holds the same letters under two keys.",
+        ["categorical_profile then counts each value once"], ["The old spelling is only in version 1"],
+        ["change_case to title", "encode: ordinal with an order that lists both spellings"], _FUNCTIONS,
     ),
     _rule(
-        "constant_column", "data_quality", "high", "any", "is_constant == True", "Drop the column",
-        "A column with one value cannot explain or separate anything.",
-        ["Smaller data, nothing lost"], ["Hardly any"], ["Keep it as a label of the extract"], _SPARK,
+        "constant_column", "data_quality", "high", "any", "is_constant == True", "drop_column",
+        "Pearson, Kendall and Cramér's V are NULL beside it, and its entropy is 0.",
+        ["Pairs of columns fall by one less than the number of columns"], ["drop_column does not look at later data"],
+        ["type_override to id, which leaves the column out of the rules"], _SPARK,
     ),
     _rule(
         "low_variance_column", "data_quality", "medium", "any", "is_low_variance == True",
-        "Review the column and consider dropping it", "It has very few distinct values for its number of rows.",
-        ["Simpler data"], ["Rare values can be the interesting ones"], ["Keep it as a flag for the rare values"],
-        _ML + "#variancethresholdselector",
+        "categorical_profile first, then drop_column if one value fills it", "The ratio of distinct values to rows is under the limit of this rule.",
+        ["Its histogram has few rows, so every look at it is cheap"], ["The ratio falls as rows are added, whatever the values are"],
+        ["bin with quantile", "encode: label"], _ML + "#variancethresholdselector",
     ),
     _rule(
         "duplicate_rows_present", "data_quality", "medium", "dataset",
         "duplicate_row_pct > 0 and duplicate_row_pct <= 10",
-        "Remove repeated rows, keeping the first", "Repeated rows count the same observation more than once.",
-        ["Unbiased counts", "Less data"], ["Real repeats may be lost"], ["Keep the last occurrence", "Leave as is"],
-        _SPARK,
+        "duplicate_preview, then remove_duplicate_rows", "Only rows whose 64-bit hash repeats are compared, so finding them is one narrow shuffle.",
+        ["The smallest row id of each group stays, so a replay keeps the same rows"],
+        ["Equal events that did happen twice cannot be told from copies"],
+        ["remove_duplicate_rows with keep last"], _SPARK,
     ),
     _rule(
         "duplicate_rows_significant", "data_quality", "high", "dataset", "duplicate_row_pct > 10",
-        "Remove repeated rows, keeping the first", "So many repeats point to a fault in how the data was gathered.",
-        ["Unbiased counts", "Less data"], ["Hides the fault unless it is looked into"],
-        ["Find the cause before removing anything"], _SPARK,
+        "remove_duplicate_rows before any step that learns a statistic",
+        "Quantiles, modes and powers learnt by later steps give each copy its own weight.",
+        ["Every later pass reads at least a tenth less"], ["Steps recorded before it were learnt with the copies: replay them"],
+        ["read_csv again, if part files were listed twice"], _SPARK,
     ),
     _rule(
         "duplicate_columns_present", "data_quality", "medium", "dataset", "duplicate_column_count > 0",
-        "Remove repeated columns", "Two columns with equal values say the same thing twice.",
-        ["Less data", "No perfect collinearity"], ["The names may document different origins"],
-        ["Keep both and note it"], _SPARK,
+        "remove_duplicate_columns", "Fingerprints shortlist the pairs and one pass proves them.",
+        ["The number of column pairs falls with its square"], ["Steps that name the removed column fail on replay"],
+        ["drop_column, one by one"], _SPARK,
     ),
 ]
 
 DATATYPES = [
     _rule(
-        "object_to_datetime", "datatype", "medium", "text", "is_datetime_convertible == True", "Convert to datetime",
-        "The texts read as dates, and as dates they sort, subtract and group.",
-        ["Date arithmetic", "Compact"], ["Texts that do not parse become missing"], ["Leave as text"], _FUNCTIONS,
+        "object_to_datetime", "datatype", "medium", "text", "is_datetime_convertible == True", "convert_dtype to datetime",
+        "Eight bytes a value instead of a text, with statistics that let Parquet skip row groups.",
+        ["date_parts and elapsed accept the column"], ["preview_conversion counts the texts no layout reads; they become NULL"],
+        ["text_size, if the texts are only looked at"], _FUNCTIONS,
     ),
     _rule(
         "object_to_datetime_categorical", "datatype", "medium", "categorical", "is_datetime_convertible == True",
-        "Convert to datetime", "The categories read as dates that repeat.",
-        ["Date arithmetic", "Compact"], ["Texts that do not parse become missing"], ["Leave as categories"], _FUNCTIONS,
+        "convert_dtype to datetime", "The layouts are tried on each distinct text's rows alike, so few texts cost as much as many.",
+        ["date_parts and elapsed accept the column"], ["categorical_profile no longer lists it"],
+        ["type_override to categorical"], _FUNCTIONS,
     ),
     _rule(
-        "float_to_int", "datatype", "low", "numerical", "is_int_convertible == True", "Convert to integer",
-        "Every value is whole, so the fraction is never used.",
-        ["States the intent", "Exact"], ["Later fractions would not fit"], ["Leave as floating point"], _FUNCTIONS,
+        "float_to_int", "datatype", "low", "numerical", "is_int_convertible == True", "convert_dtype to integer",
+        "Parquet packs whole numbers into the bits they need.",
+        ["Sums are the same whatever the order of partitions"], ["A mean fill widens the column to double again"],
+        ["scale, which needs doubles anyway"], _FUNCTIONS,
     ),
     _rule(
         "object_to_category", "datatype", "low", "categorical", "is_category_beneficial == True and count > 100",
-        "Convert to a categorical column", "Few values repeat many times.",
-        ["Makes the meaning explicit"], ["New values need attention"], ["Leave as text"], _ML + "#stringindexer",
+        "convert_dtype to category", "A mark in the schema's metadata; the stored values do not change.",
+        ["Types need not be detected again on the next version"], ["The mark is lost by tools that drop metadata"],
+        ["type_override to categorical"], _ML + "#stringindexer",
     ),
 ]
 
 DISTRIBUTION = [
     _rule(
-        "high_positive_skew", "distribution", "medium", "numerical", "skewness > 1", "Apply a log transform",
-        "A long right tail dominates the mean and the spread.",
-        ["Pulls in large values"], ["Needs positive values"], ["Square root", "Box-Cox", "Yeo-Johnson"], _FUNCTIONS,
+        "high_positive_skew", "distribution", "medium", "numerical", "skewness > 1", "transform with log, or yeo_johnson from zero down",
+        "log is one expression in the scan; the fitted powers take three or four scans first.",
+        ["preview_transform gives the skewness after each of them in one call"], ["log refuses a column with a value of zero or less"],
+        ["box_cox", "outlier_treatment with cap"], _FUNCTIONS,
     ),
     _rule(
         "moderate_positive_skew", "distribution", "low", "numerical", "skewness > 0.5 and skewness <= 1",
-        "Consider a square root transform", "A mild right tail calls for a mild correction.",
-        ["Gentler than a log", "Allows zero"], ["Needs non-negative values"], ["Log", "Leave as is"], _FUNCTIONS,
+        "transform with sqrt", "No statistic is learnt, so a replay gives every row the same value.",
+        ["Zero stays zero"], ["sqrt refuses a column with a negative value"], ["yeo_johnson", "bin with quantile"], _FUNCTIONS,
     ),
     _rule(
-        "high_negative_skew", "distribution", "medium", "numerical", "skewness < -1", "Apply a Yeo-Johnson transform",
-        "A long left tail cannot be handled by log or square root.",
-        ["Works for any sign", "Fits its own power"], ["Harder to read back"], ["Reflect, then log"], _FUNCTIONS,
+        "high_negative_skew", "distribution", "medium", "numerical", "skewness < -1", "transform with yeo_johnson",
+        "Its power above 1 stretches the upper end; log and sqrt only pull that end in.",
+        ["The fitted power is kept with the step"], ["Each replay learns a power of its own"], ["scale: robust"], _FUNCTIONS,
     ),
     _rule(
         "not_normally_distributed", "distribution", "low", "numerical", "skewness >= -0.5 and skewness <= 0.5",
-        "No transform needed", "The distribution is close to symmetric.",
-        ["Values stay as they are"], ["Symmetry alone is not normality"], ["Test for normality"], _FUNCTIONS,
+        "transform with none; distribution_report for the rest", "The third moment is near zero, which profile already holds.",
+        ["No pass over the data"], ["The report's Shapiro-Wilk value reads a sample of the column"], ["scale: standard"], _FUNCTIONS,
     ),
 ]
 
@@ -242,73 +247,77 @@ OUTLIERS = [
     ),
 ]
 
+_PAIRS = [
+    ["high_pairs lists both names and the value"], ["A pair joined by a third column shows up as three pairs"],
+    ["scatter_sample of each pair", "drop_column"], _SPARK + "ml-statistics.html#correlation",
+]
+
 CORRELATION = [
     _rule(
         "multicollinearity_detected", "correlation", "medium", "dataset",
         "high_correlation_pair_count > 0 and high_correlation_pair_count <= 3",
-        "Review strongly correlated pairs", "Some columns carry nearly the same information.",
-        ["Fewer columns", "Stable coefficients"], ["The dropped one may matter elsewhere"],
-        ["Principal components", "Regularisation"], _SPARK + "ml-statistics.html#correlation",
+        "high_pairs, then correlations with spearman", "Pearson of all columns is one scan without a shuffle; ranks confirm it or show one far value behind it.",
+        *_PAIRS,
     ),
     _rule(
         "multicollinearity_significant", "correlation", "high", "dataset", "high_correlation_pair_count > 3",
-        "Review strongly correlated pairs; much is redundant", "Many pairs of columns carry nearly the same information.",
-        ["Fewer columns", "Stable coefficients"], ["Choosing what to keep takes care"],
-        ["Principal components", "Regularisation"], _SPARK + "ml-statistics.html#correlation",
+        "correlation_matrix, then drop_column for the name that occurs most often", "Four pairs and more often share a column.",
+        *_PAIRS,
     ),
 ]
 
 ENCODING = [
     _rule(
-        "encoding_low_cardinality", "encoding", "low", "categorical", "unique_count <= 10", "One-hot encoding",
-        "Few categories become few columns.", ["Assumes no order"], ["One column per category"],
-        ["Label encoding", "Ordinal encoding"], _ML + "#onehotencoder",
+        "encoding_low_cardinality", "encoding", "low", "categorical", "unique_count <= 10", "encode: one_hot",
+        "Each value is one comparison in the scan, with no join.", ["Column names come from the values"],
+        ["Values that first appear in later data get zeros everywhere"], ["encode: label", "encode: ordinal"], _ML + "#onehotencoder",
     ),
     _rule(
         "encoding_high_cardinality", "encoding", "medium", "categorical", "unique_count > 10 and unique_count <= 50",
-        "Frequency or binary encoding", "One column per category would widen the data a lot.",
-        ["Few columns"], ["Categories of equal frequency fall together", "Bits are hard to read"],
-        ["One-hot encoding", "Group rare categories first"], _ML,
+        "encode: binary, or frequency", "Six columns hold up to 64 codes; a frequency is one.",
+        ["The map of values has at most fifty rows and is broadcast"], ["frequency changes with every row that is added"],
+        ["encode: one_hot with max_columns as a guard", "encode: label"], _ML,
     ),
     _rule(
         "encoding_very_high_cardinality", "encoding", "high", "categorical", "unique_count > 50",
-        "Reconsider the column before encoding it", "So many categories are rarely useful as categories.",
-        ["Avoids a very wide result"], ["Takes a decision about meaning"],
-        ["Frequency encoding", "Binary encoding", "Treat as text or id"], _ML,
+        "detect_id and text_size before any encode", "Beyond fifty thousand values the map is joined by value, not broadcast.",
+        ["If it is an id, nothing needs to be encoded"], ["unique_count alone does not tell an id from a long list"],
+        ["encode: frequency", "type_override to text or id"], _ML,
     ),
     _rule(
-        "encoding_multi_label", "encoding", "medium", "multi_label", "count > 0", "Multi-label binarisation",
-        "Each cell holds a set of labels, which one code cannot express.",
-        ["Keeps every label"], ["One column per label"], ["Keep only frequent labels"], _ML,
+        "encoding_multi_label", "encoding", "medium", "multi_label", "count > 0", "encode: multi_label",
+        "The labels of all cells are counted map-side, then each is one test on the split cell.",
+        ["multi_label_profile shows the labels beforehand"], ["The delimiter found is recorded; other data may use another"],
+        ["text_size"], _ML,
     ),
 ]
 
 FEATURES = [
     _rule(
-        "fe_datetime_extraction", "feature_engineering", "low", "datetime", "count > 0",
-        "Extract year, month and day of week", "Models read parts of a date, not the date.",
-        ["Shows seasons and weekdays"], ["More columns"], ["Cyclic encoding of the parts"], _FUNCTIONS,
+        "fe_datetime_extraction", "feature_engineering", "low", "datetime", "count > 0", "date_parts",
+        "All parts come out of one projection in the scan.", ["histogram of a part shows gaps in time"],
+        ["Parts follow the session's time zone"], ["cyclic on a part"], _FUNCTIONS,
     ),
     _rule(
-        "fe_age_calculation", "feature_engineering", "low", "datetime", "count > 0",
-        "Consider the time elapsed since this date", "Age is often more telling than the date.",
-        ["One plain number"], ["Depends on the day it is computed"], ["Date parts"], _FUNCTIONS,
+        "fe_age_calculation", "feature_engineering", "low", "datetime", "count > 0", "elapsed",
+        "Counted up to the column's own maximum, so a replay does not depend on the clock.", ["correlations accept the result"],
+        ["A later maximum moves every value"], ["date_parts with the year"], _FUNCTIONS,
     ),
     _rule(
-        "fe_text_length", "feature_engineering", "low", "text", "count > 0",
-        "Consider text length or word count as a number", "Length alone often separates texts.",
-        ["Cheap"], ["Ignores the content"], ["Term frequencies"], _FUNCTIONS,
+        "fe_text_length", "feature_engineering", "low", "text", "count > 0", "text_size",
+        "Characters and words are counted where the text is read; nothing is shuffled.", ["box plots of both find empty and pasted texts"],
+        ["NULL texts stay NULL"], ["categorical_profile, if texts repeat"], _FUNCTIONS,
     ),
     _rule(
-        "fe_binning_suggestion", "feature_engineering", "low", "numerical", "unique_count > 20",
-        "Consider binning into ranges", "Ranges can show steps that single values hide.",
-        ["Tolerates outliers"], ["Loses detail"], ["Leave as is"], _ML + "#bucketizer",
+        "fe_binning_suggestion", "feature_engineering", "low", "numerical", "unique_count > 20", "bin",
+        "Equal widths need two numbers, equal counts exact quantiles; both are learnt once.",
+        ["cramers_v then accepts the column"], ["One far value can take all but one of ten equal widths"], ["histogram, to choose the method"], _ML + "#bucketizer",
     ),
     _rule(
         "fe_cyclic_encoding", "feature_engineering", "low", "numerical",
         "minimum >= 0 and maximum <= 31 and unique_count <= 31 and unique_count > 5",
-        "Consider sine and cosine if the value is cyclic", "Hours, weekdays or days of a month wrap around.",
-        ["The end meets the start"], ["Two columns for one"], ["One-hot encoding"], _FUNCTIONS,
+        "cyclic with the period the values have", "The range fits hours, weekdays, days of the month and months.",
+        ["Two expressions, nothing learnt"], ["The period is a parameter, not found from the data"], ["encode: one_hot"], _FUNCTIONS,
     ),
 ]
 
@@ -316,20 +325,21 @@ SCALING = [
     _rule(
         "scaling_normal_no_outliers", "scaling", "low", "numerical",
         "skewness >= -0.5 and skewness <= 0.5 and outlier_pct <= 1",
-        "Standard scaling", "Symmetric and without outliers: mean and standard deviation describe it well.",
-        ["Centred, unit spread"], ["Moved by outliers"], ["Min-max scaling"], _ML + "#standardscaler",
+        "scale: standard", "Both of its numbers are map-side sums of one pass.",
+        ["The step keeps mean and deviation, so it can be undone by arithmetic"], ["A column without spread is left at 0"],
+        ["scale: minmax"], _ML + "#standardscaler",
     ),
     _rule(
-        "scaling_outliers_present", "scaling", "medium", "numerical", "outlier_pct > 1", "Robust scaling",
-        "Outliers would set the scale of the other methods.",
-        ["Median and IQR are not moved by outliers"], ["No fixed range"], ["Treat outliers, then standard scaling"],
-        _ML + "#robustscaler",
+        "scaling_outliers_present", "scaling", "medium", "numerical", "outlier_pct > 1", "scale: robust",
+        "Three exact quantiles of one sketch and one count; flagged rows only change their ranks.",
+        ["A later outlier_treatment with iqr flags the same rows"], ["Equal quartiles leave nothing to divide by"],
+        ["outlier_treatment with cap, then scale: standard"], _ML + "#robustscaler",
     ),
     _rule(
         "scaling_bounded_range_needed", "scaling", "low", "numerical",
         "minimum >= 0 and outlier_pct <= 1 and skewness > 0.5",
-        "Min-max scaling", "Non-negative, skewed, without outliers: a fixed range fits.",
-        ["Range from 0 to 1"], ["Moved by outliers"], ["Max-abs scaling"], _ML + "#minmaxscaler",
+        "scale: minmax", "Minimum and maximum can come from the Parquet footers.",
+        ["Zero and the largest value are the ends of the result"], ["Later rows can fall outside the ends"], ["transform with sqrt first"], _ML + "#minmaxscaler",
     ),
 ]
 

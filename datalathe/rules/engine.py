@@ -151,16 +151,16 @@ def health_from(facts: Facts, recs: list) -> dict:
     severities = {s: sum(1 for r in recs if r["severity"] == s) for s in SEVERITY_WEIGHTS}
     penalty_of_recs = min(sum(severities[s] * w for s, w in SEVERITY_WEIGHTS.items()), RECOMMENDATION_CAP)
     factors = [
-        ("Missing data", min(missing_pct * MISSING_WEIGHT, MISSING_CAP), f"{round_py(missing_pct, 1)}% of cells missing"),
+        ("Missing data", min(missing_pct * MISSING_WEIGHT, MISSING_CAP), f"missing_count={missing} cells={cells}"),
         (
             "Duplicate rows",
             min(duplicate_pct * DUPLICATE_WEIGHT, DUPLICATE_CAP),
-            f"{round_py(duplicate_pct, 1)}% duplicate rows",
+            f"repeated_rows={facts.dataset_row[1]} rows={facts.rows}",
         ),
         (
             "Active recommendations",
             penalty_of_recs,
-            f"{severities['high']} high, {severities['medium']} medium, {severities['low']} low severity",
+            " ".join(f"{s}={n}" for s, n in severities.items()),
         ),
     ]
     score = 100.0 - sum(p for _, p, _ in factors)
