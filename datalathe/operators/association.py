@@ -214,8 +214,8 @@ def _distinct(df: DataFrame, columns: list[str]) -> list[int]:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson of average ranks over the complete rows of each pair.
 
-    A column without gaps has the same ranks in every pair, so it is ranked once and
-    its ranks join the rows by value. Pairs with gaps are ranked pair by pair.
+    A column without gaps has the same ranks in every pair, so all such columns are ranked
+    at once. Pairs with gaps are ranked pair by pair.
     """
     centres = _centres(df, columns)
     pairs = pair_columns(columns)
@@ -231,20 +231,42 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _spearman_whole(df, columns, pairs, centres) -> DataFrame:
-    distinct = _distinct(df, columns)
-    bounded = max(distinct) <= LEAF_POINTS
-    ranked = values = df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    rows = values.count()
-    for i in range(len(columns)):
-        counts = values.groupBy(f"v{i}").agg(F.expr("count(1) AS cnt"), F.lit(0).alias("g"))
-        before = running_total(counts, "g", f"v{i}", "cnt", bounded)
-        # Twice the distance to the mean rank: whole numbers of moderate size.
-        rank = before.select(f"v{i}", F.expr(f"double(2 * before + cnt - {rows}L) AS r{i}"))
-        # The rank tables broadcast by one plan share one bound of a few tens of megabytes; beyond it Spark picks the join.
-        ranked = ranked.join(F.broadcast(rank) if sum(distinct[: i + 1]) <= LEAF_POINTS else rank, f"v{i}")
+    ranked = _ranked(df.select(*[present(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), max(_distinct(df, columns)) <= LEAF_POINTS)
     return _pair_frame(ranked, pairs, {c: f"r{i}" for i, c in enumerate(columns)}, centres)
 
 
+def _ranked(values: DataFrame, bounded: bool) -> DataFrame:
+    """The rows with, for each column without gaps, twice the distance of its value's average rank to the mean rank.
+
+    All columns are counted in one histogram and ranked in one pass over it. A table of at most ``LEAF_POINTS`` ranks is looked up
+    inside the scan; a larger one joins all cells by column and value at once, and the cells of a row meet again.
+    """
+    k = len(values.columns)
+    rows = values.count()
+    cells = values.select(F.posexplode(F.array(*values.columns)).alias("c", "v"))
+    counts = cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranks = running_total(counts, "c", "v", "cnt", bounded).select("c", "v", F.expr(f"double(2 * before + cnt - {rows}L)").alias("r"))
+    ranks = cut_lineage(ranks)
+    names = [f"r{i}" for i in range(k)]
+    if ranks.count() > LEAF_POINTS:
+        # Numbered before the rows are taken apart, which one projection would do the other way round.
+        numbered = values.withColumn("row", F.monotonically_increasing_id())
+        placed = numbered.select("row", F.posexplode(F.array(*values.columns)).alias("c", "v"))
+        whole = F.array_sort(F.collect_list(F.struct("c", "r")))
+        together = placed.join(ranks, ["c", "v"]).groupBy("row").agg(whole.alias("x"))
+        return together.select(*[F.col("x")[i]["r"].alias(n) for i, n in enumerate(names)])
+    table = ranks.orderBy("c", "v").toArrow()
+    edges = np.searchsorted(table.column("c").to_numpy(), np.arange(k + 1))
+    found = [(table.column("v").to_numpy()[a:b], table.column("r").to_numpy()[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+
+    def looked_up(batches):
+        for batch in batches:
+            columns = [r[np.searchsorted(v, x.to_numpy(zero_copy_only=False))] if len(v) else x for x, (v, r) in zip(batch.columns, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], names=names)
+
+    return values.mapInArrow(looked_up, ", ".join(f"{n} double" for n in names))
+
+
 def _spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     columns = sorted({c for p in pairs for c in p})
     bounded = max(_distinct(df, columns)) <= LEAF_POINTS

@@ -970,6 +970,14 @@ ORACLES["corr_pearson_wide"] = (
     + " FROM wide) SELECT split_part(p, '_', 1) AS column_a, split_part(p, '_', 2) AS column_b, "
     + even("r", 3) + " AS correlation FROM (UNPIVOT k ON COLUMNS(*) INTO NAME p VALUE r)"
 )
+ORACLES["corr_spearman_wide"] = (
+    f"WITH {WIDE_TABLE}, ranks AS (SELECT "
+    + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in WIDE_NAMES)
+    + " FROM wide), k AS (SELECT "
+    + ", ".join(f"corr({a}, {b}) AS {a}_{b}" for i, a in enumerate(WIDE_NAMES) for b in WIDE_NAMES[i + 1 :])
+    + " FROM ranks) SELECT split_part(p, '_', 1) AS column_a, split_part(p, '_', 2) AS column_b, "
+    + even("r", 3) + " AS correlation FROM (UNPIVOT k ON COLUMNS(*) INTO NAME p VALUE r)"
+)
 ORACLES["quartiles_wide"] = f"WITH {WIDE_TABLE} " + union(
     f"SELECT '{c}' AS \"column\", {r(f'quantile_cont({c}, 0.25)')} AS q1, {r(f'quantile_cont({c}, 0.5)')} AS median, "
     f"{r(f'quantile_cont({c}, 0.75)')} AS q3 FROM wide"

@@ -385,6 +385,11 @@ on_table(
 )
 
 
+on_table(
+    "corr_spearman_wide", "lineitem",
+    lambda d: association.correlations(d.selectExpr(*[f"CAST({e} AS DOUBLE) AS w{k}" for k, e in enumerate(WIDE, 1)]), "spearman", row_id=None),
+)
+
 # A side that is far from its mean and nearly constant where the other one is present.
 SWITCH = {
     "near": "CASE WHEN event_id % 5 = 0 THEN 1 + (user_id % 5) * 1e-6 ELSE 1000.0 * (user_id % 2) END",

@@ -130,7 +130,7 @@ def test_cramers_v(spark):
 
 
 @pytest.mark.parametrize("gaps", [False, True])
-def test_two_hundred_columns_are_one_scan(spark, tmp_path, gaps):
+def test_two_hundred_columns_are_one_scan(spark, tmp_path, monkeypatch, gaps):
     rng = np.random.default_rng(4)
     data = rng.normal(size=(60, 200)) + rng.normal(size=(60, 1))
     if gaps:
@@ -138,11 +138,53 @@ def test_two_hundred_columns_are_one_scan(spark, tmp_path, gaps):
     data[:, 7] = 3.0
     names = [f"c{i:03d}" for i in range(200)]
     spark.createDataFrame(pd.DataFrame(data, columns=names)).write.parquet(str(tmp_path / "wide"))
+    scans, collect = [], type(spark.range(1)).collect
+    plans = lambda d: scans.append(d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or collect(d)
+    monkeypatch.setattr(type(spark.range(1)), "collect", plans)
+    monkeypatch.setattr(A, "_about_own_means", lambda *a: pytest.fail("a well centred pair was summed again"))
     found = A.pearson(spark.read.parquet(str(tmp_path / "wide")), names)
-    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sum(scans) == 1
     expected = pd.DataFrame(data, columns=names).corr()
     got = {(r[0], r[1]): r[2] for r in found.collect()}
     assert len(got) == 19_900
     for (a, b), r in got.items():
         e = expected.loc[a, b]
         assert (r is None) if np.isnan(e) else r == pytest.approx(e, abs=1e-9)
+
+
+@pytest.mark.parametrize("width", [4, 14])
+def test_a_side_close_together_far_from_its_mean(spark, width):
+    """One rule at every width: equal ends over the pair's own rows make a side constant, nothing else does."""
+    rng = np.random.default_rng(6)
+    n = 500
+    here = np.arange(n) % 5 == 0
+    data = {
+        "near": np.where(here, 1e6 + 1e-6 * rng.integers(0, 9, n), 3e7 * rng.normal(size=n)), "gappy": np.where(here, rng.normal(size=n), np.nan),
+        "flat": np.where(here, 3.0, rng.normal(size=n)), "other": rng.normal(size=n),
+    }
+    data |= {f"c{i}": rng.normal(size=n) for i in range(width - 4)}
+    df = spark.createDataFrame(pd.DataFrame(data)).repartition(3)
+    got = {(r[0], r[1]): r[2] for r in A.pearson(df, list(data)).collect()}
+    assert got["gappy", "flat"] is None
+    assert got["near", "gappy"] == pytest.approx(np.corrcoef(data["near"][here] - 1e6, data["gappy"][here])[0, 1], abs=1e-6)
+    assert got["gappy", "other"] == pytest.approx(np.corrcoef(data["gappy"][here], data["other"][here])[0, 1], abs=1e-9)
+    assert got["flat", "other"] == pytest.approx(np.corrcoef(data["flat"], data["other"])[0, 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("points", [1_000_000, 50])
+def test_spearman_of_forty_columns_joins_ranks_once(spark, monkeypatch, points):
+    monkeypatch.setattr(A, "LEAF_POINTS", points)
+    rng = np.random.default_rng(2)
+    data = np.round(rng.normal(size=(120, 40)) + rng.normal(size=(120, 1)), 1)
+    data[:, 3] = -0.0
+    data[::2, 3] = 1.0
+    names = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame(pd.DataFrame(data, columns=names)).repartition(3)
+    values = df.select(*[df[c].alias(f"v{i}") for i, c in enumerate(names)])
+    plan = A._ranked(values, points > 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == (0 if points > 50 else 1)
+    got = {(r[0], r[1]): r[2] for r in A.spearman(df, names).collect()}
+    expected = pd.DataFrame(data, columns=names).rank().corr()
+    assert len(got) == 780
+    for (a, b), r in got.items():
+        assert r == pytest.approx(expected.loc[a, b], abs=1e-9)
