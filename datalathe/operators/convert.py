@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from datalathe.functions.kinds import ROW_ID, kind_of, require_column
 from datalathe.functions.scalars import col, missing, non_nan, parse_timestamp, present, strip
+from datalathe.operators.layouts import fit_datetime
 from datalathe.operators.steps import Fitted
 
 TARGETS = ("datetime", "integer", "category", "float", "string")
@@ -45,10 +46,15 @@ def _as_double(c: Column, kind: str) -> Column:
     return c.cast("double")
 
 
-def fit_convert(df: DataFrame, column: str, target_type: str) -> Fitted:
+def fit_convert(df: DataFrame, column: str, target_type: str, layouts: str | None = None) -> Fitted:
+    """``layouts="infer"`` reads dates in text by the layouts that the column itself shows."""
     if target_type not in TARGETS:
         raise ValueError(f"unsupported target type '{target_type}'")
     require_column(df, column)
+    if layouts not in (None, "infer") or (layouts and target_type != "datetime"):
+        raise ValueError("layouts can be inferred for dates only")
+    if layouts and df.schema[column].dataType.simpleString() == "string":
+        return fit_datetime(df, column)
 
     def transform(d: DataFrame) -> DataFrame:
         tag = {"logical_type": "categorical"} if target_type == "category" else {}
@@ -58,8 +64,8 @@ def fit_convert(df: DataFrame, column: str, target_type: str) -> Fitted:
     return Fitted("convert_dtype", {"column": column, "target_type": target_type}, transform=transform)
 
 
-def convert(df: DataFrame, column: str, target_type: str) -> DataFrame:
-    return fit_convert(df, column, target_type).apply(df)
+def convert(df: DataFrame, column: str, target_type: str, layouts: str | None = None) -> DataFrame:
+    return fit_convert(df, column, target_type, layouts).apply(df)
 
 
 def preview_conversion(

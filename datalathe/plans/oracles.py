@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datalathe.plans.queries import DIRTY_EVENTS, PRIORITIES, SWITCH, WIDE
+from datalathe.plans.queries import DIRTY_EVENTS, MIXED_DATES, PRIORITIES, SWITCH, WIDE
 from datalathe.sources.files import NA_TOKENS
 
 DIRTY = DIRTY_EVENTS.replace("{events}", "events")
@@ -479,6 +479,32 @@ for _name, _column, _expr in (
     ("convert_category", "event_type", "event_type"),
 ):
     ORACLES[_name] = with_dirty(f"SELECT row_id, {_expr} AS {_column} FROM dirty")
+MIXED = MIXED_DATES.replace("{orders}", "orders")
+MINUTES = "to_minutes(CAST(o_orderkey % 24 * 60 + o_orderkey % 60 AS BIGINT))"
+ORACLES["convert_datetime_mixed"] = (
+    f"SELECT o_orderkey, CASE WHEN date_text IS NULL OR date_text = 'n/a' THEN NULL WHEN o_orderkey % 10 = 2 THEN o_orderdate + {MINUTES} "
+    f"WHEN o_orderkey % 10 = 9 OR (o_orderkey % 10 = 4 AND day(o_orderdate) > 12) THEN o_orderdate + {MINUTES} + to_seconds(7) "
+    f"ELSE o_orderdate END AS date_text FROM ({MIXED})"
+)
+# Layout, the rows in it, and the numbers that stand first and second where an order is to be found.
+LAYOUTS = [
+    ("M-d-yyyy", r"\d+-\d+-\d{4}", "month_first", "decided"), ("MMM d, yyyy", r"[A-Z][a-z]+ \d+, \d+", None, "certain"),
+    ("d MMM yyyy", r"\d+ [A-Z][a-z]+ \d+", None, "certain"), ("d-MMM-yyyy", r"\d+-[A-Z][a-z]+-\d+", None, "certain"),
+    ("d.M.yyyy", r" \d+\.\d+\.\d{4}", "day_first", "ambiguous"), ("d/M/yyyy", r"\d+/\d+/\d{4}", "day_first", "decided"),
+    ("d/M/yyyy H:mm", r"\d+/\d+/\d{4} \d+:\d+", "day_first", "decided"), ("yyyy-M-d", r"\d{4}-\d+-\d+", None, "certain"),
+    ("yyyy/M/d H:mm:ss", r"\d{4}/\d+/\d+ \d+:\d+:\d+", None, "certain"), ("yyyyMMdd", r"\d{8}", None, "certain"),
+    (None, "n/a", None, "unknown"),
+]
+ORACLES["date_layouts"] = union(
+    f"SELECT 'date_text' AS \"column\", {f"'{layout}'" if layout else 'NULL::VARCHAR'} AS layout, count(*) AS rows, "
+    + ", ".join(
+        f"count(*) FILTER (WHERE {'true' if order else 'false'} AND try_cast(regexp_extract(trim(date_text), '{first}', 1) AS INTEGER) > 12) AS {name}"
+        for name, first in (("day_first_rows", r"^(\d+)"), ("month_first_rows", r"^\d+\D(\d+)"))
+    )
+    + f", {f"'{order}'" if order else 'NULL::VARCHAR'} AS \"order\", '{status}' AS status FROM ({MIXED}) "
+    f"WHERE regexp_full_match(date_text, '{pattern}')"
+    for layout, pattern, order, status in LAYOUTS
+)
 ORACLES["convert_preview"] = with_dirty(
     "SELECT (SELECT count(*) - count(num_text) FROM dirty) AS before_missing, "
     "(SELECT count(*) - count(try_cast(num_text AS DOUBLE)) FROM dirty) AS after_missing, "
@@ -798,6 +824,26 @@ PARTS = {
 ORACLES["fe_date_parts"] = with_dirty(
     "SELECT row_id, " + ", ".join(f"CAST({e.format(d=DAY)} AS INTEGER) AS date_text_{p}" for p, e in PARTS.items()) + " FROM dirty"
 )
+ROLLED = {"mean": "avg({v})", "sum": "sum({v})", "min": "min({v})", "max": "max({v})"}
+ORACLES["fe_rolling"] = with_dirty(
+    "SELECT row_id, count(value) OVER w AS value_rolling_count, "
+    + ", ".join(
+        f"CASE WHEN count(value) OVER w >= 3 THEN {r(e.format(v='value') + ' OVER w')} END AS value_rolling_{s}" for s, e in ROLLED.items()
+    )
+    + " FROM dirty WINDOW w AS (ORDER BY row_id ROWS 24 PRECEDING)"
+)
+ORACLES["fe_asof"] = (
+    "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_type, value FROM events), "
+    "b AS (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM e "
+    "WHERE event_type = 'purchase' GROUP BY ALL) "
+    "SELECT e.event_id, b.event_id AS event_id_bought, b.value AS value_bought "
+    "FROM e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts >= b.ts"
+)
+ORACLES["fe_elapsed_since"] = (
+    "SELECT event_id, "
+    + r("(epoch_us(ts) - epoch_us(max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts))) / 3600000000.0::DOUBLE")
+    + " AS hours_since_error FROM events"
+)
 ORACLES["fe_elapsed"] = with_dirty(
     f"SELECT row_id, {r('(epoch_us(max(ts) OVER ()) - epoch_us(ts)) / 3600000000.0::DOUBLE')} AS ts_hours FROM dirty"
 )
@@ -983,3 +1029,20 @@ ORACLES["quartiles_wide"] = f"WITH {WIDE_TABLE} " + union(
     f"{r(f'quantile_cont({c}, 0.75)')} AS q3 FROM wide"
     for c in WIDE_NAMES
 )
+GROUPED = [("user_id", True), ("value", True), ("whole_float", True), ("date_text", False)]
+ORACLES["profile_grouped"] = with_dirty(
+    union(
+        f"SELECT num_text, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count, "
+        f"(SELECT CAST(v AS VARCHAR) FROM (SELECT {c} AS v, count(*) AS n FROM dirty i WHERE i.num_text IS NOT DISTINCT FROM o.num_text "
+        f"AND {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)) AS mode, "
+        + ", ".join(
+            f"{r(e, 4) if number else 'NULL::DOUBLE'} AS {name}"
+            for name, e in (
+                ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("minimum", f"min({c})"), ("maximum", f"max({c})"),
+                ("q1", f"quantile_cont({c}, 0.25)"), ("median", f"quantile_cont({c}, 0.5)"), ("q3", f"quantile_cont({c}, 0.75)"),
+            )
+        )
+        + " FROM dirty o GROUP BY num_text"
+        for c, number in GROUPED
+    )
+)

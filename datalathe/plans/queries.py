@@ -7,16 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from datalathe.functions.quantiles import exact_quantiles
 from datalathe.functions.scalars import col
 from datalathe.operators import (
+    asof,
     association,
     categorical,
     convert,
     distribution,
     encode,
     features,
+    grouped,
     impute,
+    layouts,
     outliers,
     profile,
     quality,
+    rolling,
     scale,
     transforms,
     types,
@@ -50,6 +54,31 @@ SELECT row_id + 100000000, ts, user_id, value, value_copy, event_type, tags, num
 FROM d WHERE row_id % 50 = 0
 """
 
+# Order dates as text in ten layouts: slashes prove day first, hyphens month first, dots hold days up to 12 only.
+MIXED_DATES = """
+WITH p AS (
+  SELECT o_orderkey, o_orderdate,
+    CAST(year(o_orderdate) AS STRING) AS y, CAST(month(o_orderdate) AS STRING) AS m, CAST(day(o_orderdate) AS STRING) AS d,
+    lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS mm, lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS dd,
+    substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * CAST(month(o_orderdate) AS INT) - 2, 3) AS mon,
+    concat(CAST(o_orderkey % 24 AS STRING), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) AS hm
+  FROM {orders})
+SELECT o_orderkey, o_orderdate, CASE
+    WHEN o_orderkey % 97 = 0 THEN 'n/a'
+    WHEN o_orderkey % 89 = 0 THEN NULL
+    WHEN o_orderkey % 10 = 0 THEN concat(y, '-', mm, '-', dd)
+    WHEN o_orderkey % 10 = 1 THEN concat(d, '/', m, '/', y)
+    WHEN o_orderkey % 10 = 2 THEN concat(dd, '/', mm, '/', y, ' ', hm)
+    WHEN o_orderkey % 10 = 3 THEN concat(mm, '-', dd, '-', y)
+    WHEN o_orderkey % 10 = 4 AND day(o_orderdate) <= 12 THEN concat(' ', d, '.', m, '.', y)
+    WHEN o_orderkey % 10 = 5 THEN concat(mon, ' ', d, ', ', y)
+    WHEN o_orderkey % 10 = 6 THEN concat(d, ' ', mon, ' ', y)
+    WHEN o_orderkey % 10 = 7 THEN concat(d, '-', mon, '-', y)
+    WHEN o_orderkey % 10 = 8 THEN concat(y, mm, dd)
+    ELSE concat(y, '/', m, '/', d, ' ', hm, ':07') END AS date_text
+FROM p
+"""
+
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 RANK_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
 ORDER = "row_id"
@@ -314,6 +343,18 @@ for _name, _column, _target in (
     on_dirty(_name, lambda d, c=_column, t=_target: convert.convert(d, c, t).select("row_id", c))
 
 
+@query("convert_datetime_mixed")
+def convert_datetime_mixed(spark, folder):
+    d = spark.sql(MIXED_DATES, orders=table(spark, folder, "orders"))
+    params = {"column": "date_text", "target_type": "datetime", "layouts": "infer"}
+    return execute(d, "convert_dtype", params).select("o_orderkey", "date_text")
+
+
+@query("date_layouts")
+def date_layouts(spark, folder):
+    return layouts.infer_layouts(spark.sql(MIXED_DATES, orders=table(spark, folder, "orders")), ["date_text"])
+
+
 @query("convert_preview")
 def convert_preview(spark, folder):
     p = convert.preview_conversion(dirty_events(spark, folder), "num_text", "float", ORDER)
@@ -345,6 +386,30 @@ on_dirty(
     "fe_bin_quantile",
     lambda d: execute(d.select("row_id", "value"), "bin", {"column": "value", "bins": 4, "method": "quantile"}, ORDER).drop("value"),
 )
+on_dirty(
+    "fe_rolling",
+    lambda d: rolling.rolling(d.select("row_id", "value"), "value", 25, rolling.STATISTICS, ORDER, least=3).drop("value"),
+)
+
+
+@query("fe_asof")
+def fe_asof(spark, folder):
+    """The last purchase before each event, one user with a third of all rows."""
+    events = table(spark, folder, "events").select(
+        "event_id", "ts", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("user_id"), "event_type", "value"
+    )
+    bought = events.where("event_type = 'purchase'")
+    out = asof.asof_join(events, bought, ["user_id"], "ts", ["event_id", "value"], "_bought")
+    return out.select("event_id", "event_id_bought", "value_bought")
+
+
+@query("fe_elapsed_since")
+def fe_elapsed_since(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
+    out = asof.elapsed_since(events, events.where("event_type = 'error'"), ["user_id"], "ts", "hours_since_error", "hours")
+    return rounded(out.select("event_id", "hours_since_error"))
+
+
 on_dirty("fe_cyclic", lambda d: execute(d.select("row_id", "whole_float"), "cyclic", {"column": "whole_float", "period": 7}, ORDER))
 
 # -- transforms --------------------------------------------------------------------------------------------
@@ -672,6 +737,13 @@ def categorical_matrix(spark, folder):
     return rounded(spark.createDataFrame(rows, "column_a string, column_b string, correlation double"), 3)
 
 
+on_dirty(
+    "profile_grouped",
+    lambda d: grouped.grouped_profile(d, ["num_text"], ["user_id", "value", "whole_float", "date_text"], ORDER),
+    4,
+)
+
+
 NINE_STEPS = [
     ("remove_duplicate_rows", {"keep": "first"}),
     ("remove_duplicate_columns", {"columns_to_drop": ["value_copy"]}),

@@ -24,7 +24,7 @@ OPERATIONS = {
     "impute": _impute,
     "remove_duplicate_rows": lambda df, p, r: quality.remove_duplicate_rows(df, p.get("keep", "first"), r),
     "remove_duplicate_columns": lambda df, p, r: quality.remove_columns(df, p["columns_to_drop"]),
-    "convert_dtype": lambda df, p, r: convert.convert(df, p["column"], p["target_type"]),
+    "convert_dtype": lambda df, p, r: convert.convert(df, p["column"], p["target_type"], p.get("layouts")),
     "transform": lambda df, p, r: transforms.apply_transform(df, p["column"], p["transform"]),
     "outlier_treatment": lambda df, p, r: outliers.fit_outliers(df, p["column"], p["method"], p["action"]).apply(df),
     "encode": _encode,
