@@ -55,7 +55,10 @@ def fit_convert(df: DataFrame, column: str, target_type: str, layouts: str | Non
         raise ValueError("layouts can be inferred for dates only")
     if layouts and df.schema[column].dataType.simpleString() == "string":
         return fit_datetime(df, column)
+    return to_type(column, target_type)
 
+
+def to_type(column: str, target_type: str) -> Fitted:
     def transform(d: DataFrame) -> DataFrame:
         tag = {"logical_type": "categorical"} if target_type == "category" else {}
         new = converted(d, column, target_type).alias(column, metadata=tag)

@@ -51,7 +51,7 @@ def _new_names(d: DataFrame, column: str, values: list) -> list[str]:
 
 
 @dataclass(frozen=True)
-class _Map:
+class ValueMap:
     """A written table ``(__key, value)`` and its number of rows."""
 
     path: str
@@ -63,10 +63,10 @@ class _Map:
         return F.broadcast(found) if self.rows <= self.map_rows else found  # counted when it was written
 
 
-def _written(frame: DataFrame, map_rows: int) -> _Map:
+def _written(frame: DataFrame, map_rows: int) -> ValueMap:
     path = fresh_path(frame.sparkSession, "datalathe-map")
     frame.write.parquet(path)
-    return _Map(path, frame.sparkSession.read.parquet(path).count(), map_rows)
+    return ValueMap(path, frame.sparkSession.read.parquet(path).count(), map_rows)
 
 
 def fit_one_hot(df: DataFrame, column: str, max_columns: int | None = None) -> Fitted:
@@ -76,8 +76,10 @@ def fit_one_hot(df: DataFrame, column: str, max_columns: int | None = None) -> F
     t = df.schema[column].dataType
     spark = df.sparkSession
     keys = spark.createDataFrame([(v, i) for i, v in enumerate(values)], T.StructType([T.StructField("__key", t), T.StructField("__code", T.LongType())]))
-    codes = _written(keys, MAP_ROWS)
+    return one_hot(column, values, _written(keys, MAP_ROWS), max_columns)
 
+
+def one_hot(column: str, values: list, codes: ValueMap, max_columns: int | None = None) -> Fitted:
     def transform(d: DataFrame) -> DataFrame:
         kept = [q(n) for n in d.columns if n != column]
         new = [f"int(coalesce(__code = {i}, false)) AS {q(n)}" for i, n in enumerate(_new_names(d, column, values))]
@@ -87,30 +89,38 @@ def fit_one_hot(df: DataFrame, column: str, max_columns: int | None = None) -> F
     return Fitted("encode", params, {"size": len(values), "map": codes.path}, transform)
 
 
-def _code_map(df: DataFrame, column: str, map_rows: int) -> _Map:
+def _code_map(df: DataFrame, column: str, map_rows: int) -> ValueMap:
     """``(__key, __code)`` with codes in the sorted order of the values."""
-    distinct = category_counts(df, column).select(F.col("value").alias("__key"))
-    return _written(assign_row_id(distinct, ["__key"], "__code"), map_rows)
-
-
-def _joined(d: DataFrame, column: str, mapping: _Map) -> DataFrame:
+    found = _written(category_counts(df, column).select(F.col("value").alias("__key")), map_rows)
+    keys = df.sparkSession.read.parquet(found.path)
+    if found.rows > map_rows:
+        return _written(assign_row_id(keys, ["__key"], "__code"), map_rows)
+    # A counted number of values that one task sorts and numbers.
+    path = fresh_path(df.sparkSession, "datalathe-map")
+    numbered = keys.coalesce(1).sortWithinPartitions("__key").withColumn("__code", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    return ValueMap(path, found.rows, map_rows)
+
+
+def _joined(d: DataFrame, column: str, mapping: ValueMap) -> DataFrame:
     return d.withColumn("__value", present(d, column)).join(mapping.frame(d.sparkSession), F.col("__value") == F.col("__key"), "left")
 
 
-def _replaced(d: DataFrame, column: str, mapping: _Map, value: str) -> DataFrame:
+def _replaced(d: DataFrame, column: str, mapping: ValueMap, value: str) -> DataFrame:
     out = _joined(d, column, mapping)
     return out.select(*[F.col(value).alias(n) if n == column else col(n) for n in d.columns])
 
 
 def fit_label(df: DataFrame, column: str, map_rows: int = MAP_ROWS) -> Fitted:
     require_column(df, column)
-    codes = _code_map(df, column, map_rows)
-    return Fitted(
-        "encode",
-        {"column": column, "method": "label"},
-        {"size": codes.rows, "map": codes.path},
-        lambda d: _replaced(d, column, codes, "__code"),
-    )
+    return mapped({"column": column, "method": "label"}, _code_map(df, column, map_rows))
+
+
+def mapped(params: dict, codes: ValueMap) -> Fitted:
+    """Label, ordinal and frequency encoding by a written map."""
+    column, new = params["column"], "__freq" if params["method"] == "frequency" else "__code"
+    state = {"size": codes.rows, "map": codes.path}
+    return Fitted("encode", params, state, lambda d: _replaced(d, column, codes, new))
 
 
 def fit_ordinal(df: DataFrame, column: str, order: list[str] | None) -> Fitted:
@@ -123,30 +133,23 @@ def fit_ordinal(df: DataFrame, column: str, order: list[str] | None) -> Fitted:
     pairs = pairs.select(F.col("__text").try_cast(t).alias("__key"), "__code").where("__key IS NOT NULL")
     if pairs.groupBy("__key").count().where("count > 1").count():
         raise ValueError(f"entries of 'order' become equal as {t.simpleString()}")
-    codes = _written(pairs, MAP_ROWS)
-    return Fitted(
-        "encode",
-        {"column": column, "method": "ordinal", "order": list(order)},
-        {"size": codes.rows, "map": codes.path},
-        lambda d: _replaced(d, column, codes, "__code"),
-    )
+    return mapped({"column": column, "method": "ordinal", "order": list(order)}, _written(pairs, MAP_ROWS))
 
 
 def fit_frequency(df: DataFrame, column: str, map_rows: int = MAP_ROWS) -> Fitted:
     """Each value becomes its number of occurrences."""
     require_column(df, column)
     counts = category_counts(df, column).select(F.col("value").alias("__key"), F.col("count").alias("__freq"))
-    counts = _written(counts, map_rows)
-    state = {"size": counts.rows, "map": counts.path}
-    return Fitted(
-        "encode", {"column": column, "method": "frequency"}, state, lambda d: _replaced(d, column, counts, "__freq")
-    )
+    return mapped({"column": column, "method": "frequency"}, _written(counts, map_rows))
 
 
 def fit_binary(df: DataFrame, column: str, map_rows: int = MAP_ROWS) -> Fitted:
     """The bits of the label code, lowest first, one column per bit."""
     require_column(df, column)
-    codes = _code_map(df, column, map_rows)
+    return binary(column, _code_map(df, column, map_rows))
+
+
+def binary(column: str, codes: ValueMap) -> Fitted:
     bits = max(1, (codes.rows - 1).bit_length()) if codes.rows else 1
 
     def transform(d: DataFrame) -> DataFrame:
@@ -170,7 +173,10 @@ def fit_multi_label(
     if delimiter is None:
         raise ValueError(f"no delimiter found for the multi-label column '{column}'")
     labels = _columns_of(label_counts(df, column, delimiter).select("label"), column, max_columns)
+    return multi_label(column, delimiter, labels, max_columns)
+
 
+def multi_label(column: str, delimiter: str, labels: list[str], max_columns: int | None = None) -> Fitted:
     def transform(d: DataFrame) -> DataFrame:
         split = d.withColumn("__tokens", tokens(col(column).cast("string"), delimiter))
         kept = [q(n) for n in d.columns if n != column]

@@ -77,11 +77,15 @@ def fit_elapsed(df: DataFrame, column: str, until: str | None = None, unit: str
     end = F.to_timestamp(F.lit(until)) if until else None
     last = (df.agg(F.unix_micros(F.max(instant))) if end is None else df.sparkSession.range(1).select(F.unix_micros(end))).first()[0]
 
+    return elapsed_until(column, unit, last, until)
+
+
+def elapsed_until(column: str, unit: str, last: int | None, end: str | None) -> Fitted:
     def transform(d: DataFrame) -> DataFrame:
         gone = (F.lit(last) - F.unix_micros(_instant(d, column).cast("timestamp"))) / (UNITS[unit] * 1e6)
         return _with(d, {f"{column}_{unit}": gone})
 
-    return Fitted("elapsed", {"column": column, "until": until, "unit": unit}, {"until_micros": last}, transform)
+    return Fitted("elapsed", {"column": column, "until": end, "unit": unit}, {"until_micros": last}, transform)
 
 
 def text_size(df: DataFrame, column: str) -> DataFrame:
@@ -101,6 +105,10 @@ def fit_bin(df: DataFrame, column: str, bins: int = 10, method: str = "equal_wid
     else:
         ends = df.agg(F.min(non_nan(col(column))).alias("lo"), F.max(non_nan(col(column))).alias("hi")).first()
         edges = [] if ends["lo"] is None else [ends["lo"] + i * (ends["hi"] - ends["lo"]) / bins for i in range(bins + 1)]
+    return binned(column, bins, method, list(edges))
+
+
+def binned(column: str, bins: int, method: str, edges: list) -> Fitted:
     inner = sorted({e for e in edges[1:-1] if e is not None and e > edges[0]})
 
     def transform(d: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def fit_bin(df: DataFrame, column: str, bins: int = 10, method: str = "equal_wid
         passed = sum((F.when(value >= e, 1).otherwise(0) for e in inner), F.lit(0))
         return _with(d, {f"{column}_bin": F.when(value.isNotNull(), passed).cast("int")})
 
-    return Fitted("bin", {"column": column, "bins": bins, "method": method}, {"edges": list(edges)}, transform)
+    return Fitted("bin", {"column": column, "bins": bins, "method": method}, {"edges": edges}, transform)
 
 
 def cyclic(df: DataFrame, column: str, period: float) -> DataFrame:

@@ -17,7 +17,7 @@ from datalathe.session import cut_lineage, plain_result
 STRATEGIES = ("mean", "median", "mode", "constant", "forward_fill", "backward_fill", "drop_rows")
 #: Strategies of this library's own; their fills come from other rows, as with forward and backward fill.
 KNN, NEIGHBOURS = "knn", 5
-_FROM_ROWS = ("forward_fill", "backward_fill", KNN)
+FROM_ROWS = ("forward_fill", "backward_fill", KNN)
 
 
 def validate_strategy(df: DataFrame, column: str, strategy: str) -> None:
@@ -82,7 +82,7 @@ def fit_impute(
     validate_strategy(df, column, strategy)
     params = {"column": column, "strategy": strategy, "constant_value": constant_value}
     if strategy == "drop_rows":
-        return Fitted("impute", params, transform=lambda d: d.where(~missing(d, column)))
+        return without_missing(column)
     if strategy == KNN:
         require_column(df, row_id)
         if neighbours < 1:
@@ -102,10 +102,17 @@ def fit_impute(
             params,
             transform=lambda d: carry_fill(d, [column], row_id, strategy == "backward_fill", bucket_rows),
         )
-    value = fill_value(df, column, strategy, constant_value)
-    return Fitted(
-        "impute", params, {"value": value}, lambda d: d.withColumn(column, filled(d, column, value))
-    )
+    return filled_with(column, strategy, constant_value, fill_value(df, column, strategy, constant_value))
+
+
+def without_missing(column: str) -> Fitted:
+    params = {"column": column, "strategy": "drop_rows", "constant_value": None}
+    return Fitted("impute", params, transform=lambda d: d.where(~missing(d, column)))
+
+
+def filled_with(column: str, strategy: str, constant_value, value) -> Fitted:
+    params = {"column": column, "strategy": strategy, "constant_value": constant_value}
+    return Fitted("impute", params, {"value": value}, lambda d: d.withColumn(column, filled(d, column, value)))
 
 
 def impute(df: DataFrame, column: str, strategy: str, constant_value=None, row_id: str = ROW_ID, **kw) -> DataFrame:
@@ -118,7 +125,7 @@ def preview_imputation(
 ) -> dict:
     """Summary before and after, and the first rows that were missing with their new value."""
     after = impute(df, column, strategy, constant_value, row_id)
-    if strategy in _FROM_ROWS:
+    if strategy in FROM_ROWS:
         # Both summaries and the sample read the filled column; its shuffle runs once.
         after = cut_lineage(after.select(col(row_id), col(column)))
     marked = df.where(missing(df, column)).select(col(row_id).alias("row_id")).orderBy("row_id").limit(sample)

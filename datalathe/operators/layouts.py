@@ -119,7 +119,10 @@ def fit_datetime(df: DataFrame, column: str) -> Fitted:
     found = _histogram(df, [column])[column]
     orders = {s: order for s, (order, _) in _orders(found).items()}
     shapes = sorted(r["signature"] for r in found if r["signature"] is not None)
+    return by_layouts(column, shapes, orders)
 
+
+def by_layouts(column: str, shapes: list[str], orders: dict[str, str]) -> Fitted:
     def transform(d: DataFrame) -> DataFrame:
         new = parsed(strip(col(column).cast("string")), shapes, orders).alias(column)
         return d.select(*[new if n == column else col(n) for n in d.columns])

@@ -128,8 +128,10 @@ def fit_outliers(df: DataFrame, column: str, method: str, action: str) -> Fitted
     require_numeric(df, column, "outlier treatment")
     if action not in ACTIONS:
         raise ValueError(f"unknown outlier action '{action}'")
-    bounds = fit_bounds(df, [column], method)[column]
+    return treated(column, method, action, fit_bounds(df, [column], method)[column])
 
+
+def treated(column: str, method: str, action: str, bounds: dict) -> Fitted:
     def transform(d: DataFrame) -> DataFrame:
         if action == "remove":
             return d.where(~outlier_mask(col(column), method, bounds))

@@ -23,7 +23,11 @@ def fit_scale(df: DataFrame, column: str, method: str) -> Fitted:
         offset, divisor = median, None if q1 is None else q3 - q1
     else:
         offset, divisor = df.agg(*_LEARN[method](v)).first()
-    state = {"offset": offset, "divisor": divisor}
+    return scaled(column, method, {"offset": offset, "divisor": divisor})
+
+
+def scaled(column: str, method: str, state: dict) -> Fitted:
+    offset, divisor = state["offset"], state["divisor"]
 
     def transform(d: DataFrame) -> DataFrame:
         x = non_nan(col(column))

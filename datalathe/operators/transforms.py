@@ -76,9 +76,8 @@ def fit_transform(df: DataFrame, column: str, transform: str) -> Fitted:
     if transform not in TRANSFORMS:
         raise ValueError(f"unknown transform '{transform}'")
     require_numeric(df, column, "a transform")
-    params = {"column": column, "transform": transform}
     if transform == "none":
-        return Fitted("transform", params)
+        return curved(column, transform)
     v = non_nan(col(column))
     head = df.agg(
         F.min(v).alias("lo"),
@@ -92,23 +91,31 @@ def fit_transform(df: DataFrame, column: str, transform: str) -> Fitted:
         raise ValueError(f"{transform} needs positive values, but '{column}' has a minimum of {low}; try yeo_johnson")
     if low is not None and low < 0 and transform == "sqrt":
         raise ValueError(f"sqrt needs non-negative values, but '{column}' has a minimum of {low}; try yeo_johnson")
-    if transform == "log":
-        return Fitted("transform", params, transform=lambda d: d.withColumn(column, F.log(non_nan(col(column)))))
-    if transform == "sqrt":
-        return Fitted("transform", params, transform=lambda d: d.withColumn(column, F.sqrt(non_nan(col(column)))))
-    if head["n"] == 0:
-        return Fitted("transform", params, transform=lambda d: d.withColumn(column, col(column).cast("double")))
+    if transform in ("log", "sqrt") or head["n"] == 0:
+        return curved(column, transform)
     if low == head["hi"]:
         raise ValueError(f"{transform} needs more than one distinct value in '{column}'")
     if transform == "box_cox":
         # Dividing by the geometric mean leaves the best power unchanged and keeps powers in range.
         scale = math.exp(head["mean_log"])
         power = best_power(df, lambda p: box_cox(v, float(p), scale), head["n"], 0.0)
-        make = lambda d: d.withColumn(column, box_cox(non_nan(col(column)), power))
     else:
         power = best_power(df, lambda p: yeo_johnson(v, float(p)), head["n"], head["signed_log"])
-        make = lambda d: d.withColumn(column, yeo_johnson(non_nan(col(column)), power))
-    return Fitted("transform", params, {"power": power}, make)
+    return curved(column, transform, power)
+
+
+def curved(column: str, transform: str, power: float | None = None) -> Fitted:
+    """A transform with its power; without values there was none to learn, and only the type changes."""
+    v = non_nan(col(column))
+    if transform == "none":
+        return Fitted("transform", {"column": column, "transform": transform})
+    if transform in ("log", "sqrt"):
+        new = F.log(v) if transform == "log" else F.sqrt(v)
+    elif power is None:
+        new = col(column).cast("double")
+    else:
+        new = box_cox(v, power) if transform == "box_cox" else yeo_johnson(v, power)
+    return Fitted("transform", {"column": column, "transform": transform}, {"power": power}, lambda d: d.withColumn(column, new))
 
 
 def apply_transform(df: DataFrame, column: str, transform: str) -> DataFrame:

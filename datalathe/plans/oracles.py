@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datalathe.plans.queries import DIRTY_EVENTS, MIXED_DATES, PRIORITIES, SWITCH, WIDE
+from datalathe.plans.queries import AFTER_EDIT, BEFORE_EDIT, DIRTY_EVENTS, MIXED_DATES, PRIORITIES, SWITCH, WIDE
 from datalathe.sources.files import NA_TOKENS
 
 DIRTY = DIRTY_EVENTS.replace("{events}", "events")
@@ -903,6 +903,46 @@ ORACLES["stored_transform"] = with_dirty(
     f"SELECT row_id, {r('sqrt(value)')} AS value, CASE WHEN event_type IS NOT NULL THEN count(*) OVER (PARTITION BY event_type) END AS event_type FROM s3",
     DEDUP, f"s2 AS ({filled_sql('dedup')})", f"s3 AS ({capped_sql('s2')})",
 )
+EVERYWHERE = ("mode", "constant", "forward_fill", "backward_fill", "drop_rows")
+CELLS = union(
+    f"SELECT 'changed' AS change, row_id, '{c}' AS \"column\", 1::BIGINT AS rows, "
+    + ", ".join(f"{e} AS {n}" for n, e in found.items())
+    + f" FROM gone g JOIN come c USING (row_id) JOIN ids USING (row_id) WHERE olds = 1 AND news = 1 AND g.{c} IS DISTINCT FROM c.{c}"
+    for c, found in (
+        ("value", {"old_value": r("g.value"), "new_value": r("c.value"), "old_type": "NULL", "new_type": "NULL"}),
+        ("event_type", {"old_value": "NULL", "new_value": "NULL", "old_type": "g.event_type", "new_type": "c.event_type"}),
+    )
+)
+ORACLES["version_diff"] = with_dirty(
+    CELLS + "".join(
+        f" UNION ALL SELECT '{name}', row_id, NULL, {n}::BIGINT, NULL, NULL, NULL, NULL FROM ids WHERE {n} > 0 AND NOT (olds = 1 AND news = 1)"
+        for name, n in (("deleted", "olds"), ("inserted", "news"))
+    ),
+    f"b AS ({BEFORE_EDIT.replace('{rows}', 'dirty')})", f"a AS ({AFTER_EDIT.replace('{rows}', 'dirty')})",
+    "gone AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a)", "come AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b)",
+    "ids AS (SELECT row_id, sum(o) AS olds, sum(n) AS news FROM (SELECT row_id, 1 AS o, 0 AS n FROM gone UNION ALL "
+    "SELECT row_id, 0, 1 FROM come) GROUP BY row_id)",
+)
+ORACLES["fitted_batch"] = ORACLES["fitted_stream"] = with_dirty(
+    f"SELECT row_id, {r('(least(greatest(coalesce(value, med), lo), hi) - mn) / (mx - mn)')} AS value, code AS event_type "
+    "FROM dirty LEFT JOIN codes USING (event_type), bounds, ends, middle",
+    f"part AS (SELECT min(row_id) AS row_id, {NAMES} FROM dirty WHERE row_id % 2 = 0 GROUP BY {NAMES})",
+    "middle AS (SELECT quantile_cont(value, 0.5) AS med FROM part)", f"f AS ({filled_sql('part')})",
+    "bounds AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
+    "(SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM f))",
+    "ends AS (SELECT min(least(greatest(value, lo), hi)) AS mn, max(least(greatest(value, lo), hi)) AS mx FROM f, bounds)",
+    "codes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM part "
+    "WHERE event_type IS NOT NULL))",
+)
+ORACLES["steps_export_yaml"] = with_dirty(
+    f"SELECT row_id, {r('value')} AS value, event_type FROM s3",
+    DEDUP, f"s2 AS ({filled_sql('dedup')})", f"s3 AS ({capped_sql('s2')})",
+)
+ORACLES["strategy_validation"] = union(
+    f"SELECT '{c}' AS \"column\", '{s}' AS strategy, {str(s in EVERYWHERE or (s in ('mean', 'median') and kind in ('integer', 'float'))).lower()} AS allowed"
+    for c, kind in EVENTS
+    for s in ("mean", "median", *EVERYWHERE, "unheard_of")
+)
 ORACLES["categorical_matrix"] = (
     "WITH v AS (" + cramers("lineitem", ["l_returnflag", "l_linestatus"]) + ") "
     "SELECT a AS column_a, b AS column_b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE (SELECT round(correlation, 3) FROM v) END AS correlation "

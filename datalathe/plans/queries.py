@@ -25,6 +25,7 @@ from datalathe.operators import (
     transforms,
     types,
 )
+from datalathe.plans.fitted import FittedPipeline, fit_steps, treat_stream
 from datalathe.plans.steps import execute, replay, steps_from_text
 from datalathe.rules import engine, facts
 from datalathe.session import fresh_path
@@ -79,6 +80,20 @@ SELECT o_orderkey, o_orderdate, CASE
 FROM p
 """
 
+# Edits of a stored table: changed, deleted and inserted rows, and rows repeated under their id, some of them on both sides.
+_ALL = "ts, user_id, value, value_copy, event_type, tags, num_text, whole_float, date_text, const_col"
+BEFORE_EDIT = f"""
+SELECT row_id, {_ALL} FROM {{rows}} UNION ALL SELECT row_id, {_ALL} FROM {{rows}} WHERE row_id % 47 = 0
+"""
+AFTER_EDIT = f"""
+SELECT row_id, ts, user_id, CASE WHEN row_id % 29 = 0 THEN value * 2 ELSE value END AS value, value_copy,
+  CASE WHEN row_id % 31 = 0 THEN 'new ' || event_type WHEN row_id % 33 = 0 THEN NULL ELSE event_type END AS event_type,
+  tags, num_text, whole_float, date_text, const_col
+FROM {{rows}} WHERE row_id % 41 <> 0
+UNION ALL SELECT row_id, {_ALL} FROM {{rows}} WHERE row_id % 43 = 0
+UNION ALL SELECT row_id + 300000000, {_ALL} FROM {{rows}} WHERE row_id % 37 = 0
+"""
+
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 RANK_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
 ORDER = "row_id"
@@ -730,6 +745,84 @@ def stored_transform(spark, folder):
     return rounded(store.get(dataset).select("row_id", "value", "event_type"))
 
 
+@query("version_diff")
+def version_diff(spark, folder):
+    """Inserted and deleted rows and changed cells from one stored version to the next."""
+    rows = dirty_events(spark, folder)
+    store = VersionStore(spark, fresh_path(spark, "datalathe-store"), ORDER)
+    dataset = store.add(spark.sql(BEFORE_EDIT, rows=rows), "events.csv")
+    store.update(dataset, spark.sql(AFTER_EDIT, rows=rows), "edited elsewhere")
+    found = store.diff(dataset, 1, 2)
+    of = lambda c, side: F.when(F.col("column") == c, F.col(side))
+    return rounded(
+        found.select(
+            "change", "row_id", "column", "rows", of("value", "old").cast("double").alias("old_value"),
+            of("value", "new").cast("double").alias("new_value"), of("event_type", "old").alias("old_type"),
+            of("event_type", "new").alias("new_type"),
+        )
+    )
+
+
+FITTED_STEPS = [
+    {"operation": "remove_duplicate_rows", "operation_params": {"keep": "first"}},
+    {"operation": "impute", "operation_params": {"column": "value", "strategy": "median"}},
+    {"operation": "outlier_treatment", "operation_params": {"column": "value", "method": "iqr", "action": "cap"}},
+    {"operation": "scale", "operation_params": {"column": "value", "method": "minmax"}},
+    {"operation": "encode", "operation_params": {"column": "event_type", "method": "label"}},
+    {"operation": "drop_column", "operation_params": {"column": "value_copy"}},
+]
+
+
+def _saved(spark, events: DataFrame) -> FittedPipeline:
+    """Fitted on the rows with an even id, saved and loaded."""
+    path = fresh_path(spark, "datalathe-fitted")
+    fit_steps(events.where("row_id % 2 = 0"), FITTED_STEPS, ORDER).save(spark, path)
+    return FittedPipeline.load(spark, path)
+
+
+@query("fitted_batch")
+def fitted_batch(spark, folder):
+    events = dirty_events(spark, folder)
+    return rounded(_saved(spark, events).transform(events).select("row_id", "value", "event_type"))
+
+
+@query("fitted_stream")
+def fitted_stream(spark, folder):
+    """The saved pipeline over a stream of files, ended and started again from its checkpoint half way."""
+    events = dirty_events(spark, folder)
+    source, sink, checkpoint = (fresh_path(spark, f"datalathe-{n}") for n in ("source", "sink", "checkpoint"))
+    pipeline = _saved(spark, events)
+    for rest in (0, 1):
+        events.where(F.col("row_id") % 3 > 0 if rest else F.col("row_id") % 3 == 0).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        treat_stream(pipeline, stream, sink, checkpoint).awaitTermination()
+    return rounded(spark.read.parquet(sink).select("row_id", "value", "event_type"))
+
+
+@query("steps_export_yaml")
+def steps_export_yaml(spark, folder):
+    """The recorded steps, exported as YAML, read again and replayed."""
+    store, dataset = _stored(spark, folder)
+    again = replay(store.get_version(dataset, 1), steps_from_text(store.steps_yaml(dataset)), ORDER)
+    return rounded(again.select("row_id", "value", "event_type"))
+
+
+@query("strategy_validation")
+def strategy_validation(spark, folder):
+    """Which imputation strategy each column allows."""
+    events = dirty_events(spark, folder)
+
+    def allowed(column, strategy):
+        try:
+            impute.validate_strategy(events, column, strategy)
+        except ValueError:
+            return False
+        return True
+
+    pairs = [(c, s, allowed(c, s)) for c in events.columns if c != ORDER for s in (*impute.STRATEGIES, "unheard_of")]
+    return spark.createDataFrame(pairs, "column string, strategy string, allowed boolean")
+
+
 @query("categorical_matrix")
 def categorical_matrix(spark, folder):
     m = association.categorical_matrix(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"])

@@ -56,7 +56,7 @@ def resolve(df: DataFrame, operation: str, params: dict | None) -> dict:
     return params
 
 
-def _moves_rows(step: dict) -> bool:
+def moves_rows(step: dict) -> bool:
     p = step.get("operation_params") or {}
     by_join = step["operation"] == "encode" and p.get("method") not in ("multi_label",)
     return step["operation"] == "remove_duplicate_rows" or by_join or p.get("strategy") in ("forward_fill", "backward_fill")
@@ -71,7 +71,7 @@ def replay(df: DataFrame, steps: list[dict], row_id: str = ROW_ID, cut: bool = T
     steps = [s for s in steps if s.get("operation") is not None]
     for i, step in enumerate(steps):
         df = execute(df, step["operation"], step.get("operation_params"), row_id)
-        if cut and i + 1 < len(steps) and _moves_rows(step):
+        if cut and i + 1 < len(steps) and moves_rows(step):
             df = cut_lineage(df)
     return df
 
