@@ -59,7 +59,7 @@ def grouped_profile(df: DataFrame, by: list[str], columns: list[str] | None = No
         .select("cell", F.col("first.text").alias("mode"))
     )
     facts = heads.drop("most").join(modes, "cell")
-    quartiles = _quartiles(counts.where("value IS NOT NULL"), heads)
+    quartiles = quartiles_of(counts.where("value IS NOT NULL"), heads)
     joined = tidy.join(facts, "cell", "left").join(quartiles, "cell", "left")
     return joined.select(
         *[F.col("group").getField(f"k{i}").alias(b) for i, b in enumerate(by)],
@@ -67,22 +67,27 @@ def grouped_profile(df: DataFrame, by: list[str], columns: list[str] | None = No
     )
 
 
+def text_and_number(df: DataFrame, c: str) -> tuple[Column, Column]:
+    """A value as ``text`` and, in a numeric column, as the number ``value``; both NULL where it is missing."""
+    number = non_nan(col(c)) if is_numeric(df, c) else F.lit(None).cast("double")
+    binary = kind_of(df.schema[c]) == "float" and not df.schema[c].dataType.typeName().startswith("decimal")
+    # Adding zero makes one of the two zeros of floating columns.
+    shown = present(df, c) + F.lit(0.0) if binary else present(df, c)
+    return shown.cast("string").alias("text"), number.cast("double").alias("value")
+
+
 def _histogram(df: DataFrame, group: Column, columns: list[str]) -> DataFrame:
     """``(cell, text, value, cnt)``; ``value`` is the number of a numeric column."""
 
     def entry(i: int, c: str) -> Column:
-        kind = kind_of(df.schema[c])
-        number = non_nan(col(c)) if is_numeric(df, c) else F.lit(None).cast("double")
-        # Adding zero makes one of the two zeros of floating columns.
-        shown = (present(df, c) + F.lit(0.0)) if kind == "float" and not df.schema[c].dataType.typeName().startswith("decimal") else present(df, c)
-        return F.struct(F.lit(i).alias("at"), shown.cast("string").alias("text"), number.alias("value"))
+        return F.struct(F.lit(i).alias("at"), *text_and_number(df, c))
 
     long = df.select(group, F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)]))).where("text IS NOT NULL")
     counted = long.groupBy(F.struct("group", "at").alias("cell"), "text", "value").agg(F.count(F.lit(1)).alias("cnt"))
     return cut_lineage(counted)
 
 
-def _quartiles(counts: DataFrame, heads: DataFrame) -> DataFrame:
+def quartiles_of(counts: DataFrame, heads: DataFrame) -> DataFrame:
     """``(cell, q1, median, q3)``, interpolated between the two nearest ranks."""
     totals = running_total(counts.select("cell", "value", "cnt"), "cell", "value", "cnt", bounded=False)
     ranked = totals.join(heads.select("cell", "n"), "cell")

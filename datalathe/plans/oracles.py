@@ -1086,3 +1086,21 @@ ORACLES["profile_grouped"] = with_dirty(
         for c, number in GROUPED
     )
 )
+
+ORACLES["profile_incremental"] = with_dirty(
+    union(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count, "
+        f"(SELECT CAST(v AS VARCHAR) FROM (SELECT {c} AS v, count(*) AS n FROM dirty WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)) "
+        "AS mode, "
+        + ", ".join(
+            f"{r(e, 4) if number else 'NULL::DOUBLE'} AS {name}"
+            for name, e in (
+                ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("minimum", f"min({c})"), ("maximum", f"max({c})"),
+                ("skewness", skew_of("dirty", c)), ("kurtosis", kurt_of("dirty", c)),
+                ("q1", f"quantile_cont({c}, 0.25)"), ("median", f"quantile_cont({c}, 0.5)"), ("q3", f"quantile_cont({c}, 0.75)"),
+            )
+        )
+        + " FROM dirty"
+        for c, number in (*GROUPED, ("event_type", False))
+    )
+)

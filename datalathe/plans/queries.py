@@ -763,6 +763,20 @@ def version_diff(spark, folder):
     )
 
 
+PROFILED = ["user_id", "value", "whole_float", "date_text", "event_type"]
+
+
+@query("profile_incremental")
+def profile_incremental(spark, folder):
+    """The profile of a stored table after two appends, of which each is counted alone."""
+    events = dirty_events(spark, folder).select(ORDER, *PROFILED)
+    store = VersionStore(spark, fresh_path(spark, "datalathe-store"), ORDER)
+    dataset = store.add(events.where("row_id % 3 > 0"), "events.csv")
+    for rest in (0, 1):
+        store.append(dataset, events.where(f"row_id % 3 = 0 AND row_id % 2 = {rest}"))
+    return rounded(store.profile(dataset).drop("variance", "range"), 4)
+
+
 FITTED_STEPS = [
     {"operation": "remove_duplicate_rows", "operation_params": {"keep": "first"}},
     {"operation": "impute", "operation_params": {"column": "value", "strategy": "median"}},
