@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+_SMALL: ContextVar[bool] = ContextVar("small", default=False)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -53,6 +56,7 @@ def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` for a function that yields one dict of columns per output batch."""
+    small = _SMALL.get()
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
@@ -60,13 +64,19 @@ def map_arrow(
         for columns in work(batches):
             arrays = [_array(columns[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        if small:
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, kind)
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of fewer rows for the jobs run within: whole texts stand in them, in the JVM and in Python."""
+    """Arrow batches of fewer rows for the jobs run within: whole texts stand in them, in the JVM and in Python.
+
+    Workers serve the tasks of all jobs; what Arrow holds free is given back after each task.
+    """
+    token = _SMALL.set(True)
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, min(rows, int(before)) if int(before) > 0 else rows)
@@ -74,6 +84,7 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         yield
     finally:
         spark.conf.set(setting, before)
+        _SMALL.reset(token)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:
