@@ -4,13 +4,17 @@ Value-to-code maps are learnt once and written to the shared folder, whatever th
 the state of a fitted encoder names the table. A map of counted, moderate size is broadcast,
 a larger one joins the rows by value. Columns made of values that differ only in case, or that
 the table already has, get a numbered ending.
+
+One-hot and multi-label encoding have two forms. ``columns`` makes a 0/1 column per value; its cells are rows times
+values, and a plan cannot hold some ten thousands of columns. ``sparse`` makes one column of the same flags, their number
+and the places of the ones in ascending order; which value stands at a place is a table, never the plan or the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from datalathe.functions.kinds import require_column
 from datalathe.functions.ordering import assign_row_id
@@ -21,6 +25,7 @@ from datalathe.operators.types import detect_delimiter
 from datalathe.session import fresh_path
 
 METHODS = ("one_hot", "label", "ordinal", "frequency", "binary", "multi_label")
+FORMS = ("columns", "sparse")
 
 # Largest map that is broadcast.
 MAP_ROWS = 50_000
@@ -69,9 +74,25 @@ def _written(frame: DataFrame, map_rows: int) -> ValueMap:
     return ValueMap(path, frame.sparkSession.read.parquet(path).count(), map_rows)
 
 
-def fit_one_hot(df: DataFrame, column: str, max_columns: int | None = None) -> Fitted:
-    """One 0/1 column per value. ``max_columns``, where given, turns a wider result into an error."""
+def _require_form(form: str) -> None:
+    if form not in FORMS:
+        raise ValueError(f"unknown form of encoding '{form}'")
+
+
+def _bounded(codes: ValueMap, column: str, max_columns: int | None) -> ValueMap:
+    if max_columns is not None and codes.rows > max_columns:
+        raise ValueError(f"'{column}' would become more than {max_columns} flags; raise max_columns or use label, frequency or binary encoding")
+    return codes
+
+
+def fit_one_hot(
+    df: DataFrame, column: str, max_columns: int | None = None, form: str = "columns", map_rows: int = MAP_ROWS
+) -> Fitted:
+    """A 0/1 flag per value. ``max_columns``, where given, turns a wider result into an error."""
     require_column(df, column)
+    _require_form(form)
+    if form == "sparse":
+        return one_hot_sparse(column, _bounded(_code_map(df, column, map_rows), column, max_columns), max_columns)
     values = _columns_of(category_counts(df, column).select("value"), column, max_columns)
     t = df.schema[column].dataType
     spark = df.sparkSession
@@ -89,14 +110,33 @@ def one_hot(column: str, values: list, codes: ValueMap, max_columns: int | None
     return Fitted("encode", params, {"size": len(values), "map": codes.path}, transform)
 
 
+def one_hot_sparse(column: str, codes: ValueMap, max_columns: int | None = None) -> Fitted:
+    def transform(d: DataFrame) -> DataFrame:
+        return _with_places(_joined(d, column, codes), d, column, codes, F.array_compact(F.array(F.col("__code").cast("int"))))
+
+    params = {"column": column, "method": "one_hot", "max_columns": max_columns, "form": "sparse"}
+    return Fitted("encode", params, {"size": codes.rows, "map": codes.path}, transform)
+
+
+def _with_places(joined: DataFrame, d: DataFrame, column: str, codes: ValueMap, places: Column) -> DataFrame:
+    """The other columns of ``d``, and the flags as their number and the places of the ones."""
+    (name,) = _new_names(d, column, ["flags"])
+    flags = F.struct(F.lit(codes.rows).cast("int").alias("size"), places.alias("indices")).alias(name)
+    return joined.select(*[col(n) for n in d.columns if n != column], flags)
+
+
 def _code_map(df: DataFrame, column: str, map_rows: int) -> ValueMap:
     """``(__key, __code)`` with codes in the sorted order of the values."""
-    found = _written(category_counts(df, column).select(F.col("value").alias("__key")), map_rows)
-    keys = df.sparkSession.read.parquet(found.path)
+    return _coded(category_counts(df, column).select(F.col("value").alias("__key")), map_rows)
+
+
+def _coded(keys: DataFrame, map_rows: int) -> ValueMap:
+    found = _written(keys, map_rows)
+    keys = keys.sparkSession.read.parquet(found.path)
     if found.rows > map_rows:
         return _written(assign_row_id(keys, ["__key"], "__code"), map_rows)
     # A counted number of values that one task sorts and numbers.
-    path = fresh_path(df.sparkSession, "datalathe-map")
+    path = fresh_path(keys.sparkSession, "datalathe-map")
     numbered = keys.coalesce(1).sortWithinPartitions("__key").withColumn("__code", F.monotonically_increasing_id())
     numbered.write.parquet(path)
     return ValueMap(path, found.rows, map_rows)
@@ -165,14 +205,24 @@ def binary(column: str, codes: ValueMap) -> Fitted:
 
 
 def fit_multi_label(
-    df: DataFrame, column: str, delimiter: str | None = None, max_columns: int | None = None
+    df: DataFrame,
+    column: str,
+    delimiter: str | None = None,
+    max_columns: int | None = None,
+    form: str = "columns",
+    map_rows: int = MAP_ROWS,
 ) -> Fitted:
-    """One 0/1 column per label; the resolved delimiter is recorded for replay."""
+    """A 0/1 flag per label; the resolved delimiter is recorded for replay."""
     require_column(df, column)
+    _require_form(form)
     delimiter = delimiter or detect_delimiter(df, column)
     if delimiter is None:
         raise ValueError(f"no delimiter found for the multi-label column '{column}'")
-    labels = _columns_of(label_counts(df, column, delimiter).select("label"), column, max_columns)
+    found = label_counts(df, column, delimiter)
+    if form == "sparse":
+        codes = _coded(found.select(F.col("label").alias("__key")), map_rows)
+        return multi_label_sparse(column, delimiter, _bounded(codes, column, max_columns), max_columns)
+    labels = _columns_of(found.select("label"), column, max_columns)
     return multi_label(column, delimiter, labels, max_columns)
 
 
@@ -188,6 +238,23 @@ def multi_label(column: str, delimiter: str, labels: list[str], max_columns: int
     return Fitted("encode", params, {"size": len(labels), "labels": labels}, transform)
 
 
+def multi_label_sparse(column: str, delimiter: str, codes: ValueMap, max_columns: int | None = None) -> Fitted:
+    def transform(d: DataFrame) -> DataFrame:
+        if d.isStreaming:
+            raise ValueError("the sparse form of multi-label encoding groups the labels of a text, which a stream cannot do")
+        rows = d.withColumn("__text", col(column).cast("string"))
+        # Each text is taken apart once, however many rows hold it.
+        texts = rows.select("__text").where("__text IS NOT NULL").distinct()
+        each = texts.select("__text", F.explode(F.array_distinct(tokens(F.col("__text"), delimiter))).alias("__label"))
+        known = each.join(codes.frame(d.sparkSession), F.col("__label") == F.col("__key"))
+        places = known.groupBy("__text").agg(F.array_sort(F.collect_list(F.col("__code").cast("int"))).alias("__places"))
+        empty = F.array().cast("array<int>")
+        return _with_places(rows.join(places, "__text", "left"), d, column, codes, F.coalesce("__places", empty))
+
+    params = {"column": column, "method": "multi_label", "delimiter": delimiter, "max_columns": max_columns, "form": "sparse"}
+    return Fitted("encode", params, {"size": codes.rows, "map": codes.path}, transform)
+
+
 def fit_encode(
     df: DataFrame, column: str, method: str, order: list[str] | None = None, delimiter: str | None = None, **kw
 ) -> Fitted:

@@ -42,9 +42,14 @@ def _restore_convert(p, s, spark):
 
 
 def _restore_encode(p, s, spark):
-    if p["method"] == "multi_label":
+    sparse = p.get("form") == "sparse"
+    if p["method"] == "multi_label" and not sparse:
         return encode.multi_label(p["column"], p["delimiter"], s["labels"], p.get("max_columns"))
     codes = encode.ValueMap(s["map"], s["size"], encode.MAP_ROWS)
+    if p["method"] == "multi_label":
+        return encode.multi_label_sparse(p["column"], p["delimiter"], codes, p.get("max_columns"))
+    if p["method"] == "one_hot" and sparse:
+        return encode.one_hot_sparse(p["column"], codes, p.get("max_columns"))
     if p["method"] == "one_hot":
         rows = spark.read.parquet(s["map"]).orderBy("__code").collect()  # each of them is a column
         return encode.one_hot(p["column"], [r["__key"] for r in rows], codes, p.get("max_columns"))
@@ -77,7 +82,7 @@ def _fit(df: DataFrame, operation: str, p: dict, row_id: str) -> Fitted:
     if operation == "convert_dtype":
         return convert.fit_convert(df, column, p["target_type"], p.get("layouts"))
     if operation == "encode":
-        return encode.fit_encode(df, column, p["method"], **{k: p[k] for k in ("order", "delimiter", "max_columns") if p.get(k) is not None})
+        return encode.fit_encode(df, column, p["method"], **{k: p[k] for k in ("order", "delimiter", "max_columns", "form") if p.get(k) is not None})
     if operation == "transform":
         return transforms.fit_transform(df, column, p["transform"])
     if operation == "outlier_treatment":

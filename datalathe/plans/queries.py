@@ -541,17 +541,14 @@ def enc_onehot_case(spark, folder):
 
 
 def _wide(spark, folder, values: DataFrame, column: str, key: str, method: str, **params):
-    """A stored and replayed encoding of one column into very many."""
+    """A stored and replayed encoding of one column into a flag for each of very many values."""
     store = VersionStore(spark, fresh_path(spark, "datalathe-store"), key)
     dataset = store.add(values, "wide.csv")
-    store.apply(dataset, "encode", {"column": column, "method": method, **params})
+    store.apply(dataset, "encode", {"column": column, "method": method, "form": "sparse", **params})
     out = replay(store.get_version(dataset, 1), store.steps(dataset), key)
-    names = [c for c in out.columns if c != key]
-    flags = out.selectExpr(key, f"array({', '.join(f'`{c}`' for c in names)}) AS flags")
-    return flags.select(
-        key, (F.array_position("flags", 1) - 1).alias("position"),
-        F.aggregate("flags", F.lit(0), lambda a, x: a + x).alias("ones"), F.size("flags").alias("columns"),
-    )
+    size, places = F.col(f"{column}_flags.size"), F.col(f"{column}_flags.indices")
+    first = F.coalesce(F.get(places, 0), F.lit(-1)).cast("long")
+    return out.select(key, first.alias("position"), F.size(places).alias("ones"), size.alias("columns"))
 
 
 @query("enc_onehot_wide")

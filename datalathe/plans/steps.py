@@ -17,7 +17,7 @@ def _impute(df, p, row_id):
 
 
 def _encode(df, p, row_id):
-    return encode.encode(df, p["column"], p["method"], **{k: p[k] for k in ("order", "delimiter", "max_columns") if p.get(k) is not None})
+    return encode.encode(df, p["column"], p["method"], **{k: p[k] for k in ("order", "delimiter", "max_columns", "form") if p.get(k) is not None})
 
 
 OPERATIONS = {
@@ -58,7 +58,7 @@ def resolve(df: DataFrame, operation: str, params: dict | None) -> dict:
 
 def moves_rows(step: dict) -> bool:
     p = step.get("operation_params") or {}
-    by_join = step["operation"] == "encode" and p.get("method") not in ("multi_label",)
+    by_join = step["operation"] == "encode" and (p.get("method") not in ("multi_label",) or p.get("form") == "sparse")
     return step["operation"] == "remove_duplicate_rows" or by_join or p.get("strategy") in ("forward_fill", "backward_fill")
 
 

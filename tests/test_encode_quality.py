@@ -167,3 +167,47 @@ def test_doubled_rows_do_not_hide_equal_columns(spark):
     values = [(i, i * 7 % 5, i * 3 % 4, i * 7 % 5) for i in range(20)]
     df = spark.createDataFrame([(k, *v[1:]) for k, v in enumerate(values + values)], "__row_id long, a long, b long, c long")
     assert Q.duplicate_columns(df) == [("a", "c")]
+
+
+@pytest.mark.parametrize("map_rows", [50_000, 1])
+@pytest.mark.parametrize("method, kept", [("one_hot", {}), ("multi_label", {"delimiter": "|"})])
+def test_sparse_flags_are_those_of_the_columns(spark, method, kept, map_rows):
+    texts = ["b|a", None, "c", "b | a|b", "", "|", "é|B", "b|a", "c"]
+    df = spark.createDataFrame([(i // 2, t, i) for i, t in enumerate(texts)], "__row_id long, x string, x_flags int").repartition(3)
+    wide = E.encode(df, "x", method, **kept)
+    names = [c for c in wide.columns if c not in df.columns]
+    expected = [(r["x_flags"], len(names), [i for i, c in enumerate(names) if r[c]]) for r in wide.collect()]
+    found = E.encode(df, "x", method, form="sparse", map_rows=map_rows, **kept)
+    assert found.columns == ["__row_id", "x_flags", "x_flags_2"]
+    assert sorted((r["x_flags"], r["x_flags_2"]["size"], r["x_flags_2"]["indices"]) for r in found.collect()) == sorted(expected)
+    with pytest.raises(ValueError, match="max_columns"):
+        E.encode(df, "x", method, form="sparse", max_columns=2, **kept)
+    with pytest.raises(ValueError, match="form"):
+        E.encode(df, "x", method, form="dense", **kept)
+
+
+@pytest.mark.parametrize("method, kept", [("one_hot", {}), ("multi_label", {"delimiter": "|"})])
+def test_sparse_flags_need_no_column_per_value(spark, method, kept):
+    """More values than a plan could hold as columns, and a loaded fit that gives the same."""
+    n = 120_000
+    df = spark.range(n).selectExpr("id AS __row_id", "concat('v', lpad(id, 9, '0'), '|all') AS x")
+    out = E.encode(df, "x", method, form="sparse", **kept)
+    assert len(out.columns) == 2
+    odd = out.where("__row_id % 40000 = 7").orderBy("__row_id").collect()
+    extra = [0] if method == "multi_label" else []
+    expected = [(n + len(extra), extra + [i + len(extra)]) for i in (7, 40007, 80007)]
+    assert [(r["x_flags"]["size"], r["x_flags"]["indices"]) for r in odd] == expected
+
+
+def test_sparse_flags_of_a_loaded_fit(spark, tmp_path):
+    from datalathe.plans.fitted import FittedPipeline, fit_steps
+
+    df = spark.createDataFrame([(0, "b", "u|v"), (1, None, "v"), (2, "a", None)], "__row_id long, x string, y string")
+    steps = [
+        {"operation": "encode", "operation_params": {"column": "x", "method": "one_hot", "form": "sparse"}},
+        {"operation": "encode", "operation_params": {"column": "y", "method": "multi_label", "delimiter": "|", "form": "sparse"}},
+    ]
+    fit_steps(df, steps).save(spark, str(tmp_path / "fit"))
+    other = spark.createDataFrame([(0, "a", "v|w"), (1, "z", "v|u")], "__row_id long, x string, y string")
+    out = FittedPipeline.load(spark, str(tmp_path / "fit")).transform(other)
+    assert [[r["x_flags"]["indices"], r["y_flags"]["indices"]] for r in out.orderBy("__row_id").collect()] == [[[0], [1]], [[], [0, 1]]]
