@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.functions.kinds import ROW_ID, require_column, require_numeric
 from datalathe.functions.quantiles import exact_quantiles
@@ -177,22 +178,23 @@ NORMALITY_SCHEMA = "column string, sample_size long, statistic double, p_value d
 def normality(df: DataFrame, columns: list[str], row_id: str = ROW_ID, rows: int = NORMALITY_ROWS) -> DataFrame:
     """Shapiro-Wilk per column on at most 5000 hash-ordered values; NULLs below three values.
 
-    One scan for all columns: a task keeps the first values of each. Only the samples
+    A scan per column reads it and the row id; a task keeps the first values. Only the samples
     leave their tasks; columns are tested in parallel.
     """
     if rows > NORMALITY_ROWS:
         raise ValueError(f"the statistic is published for {NORMALITY_ROWS} values at most")
     for c in columns:
         require_numeric(df, c, "a normality test")
-    order = sample_order("__r")
-    place = F.row_number().over(Window.partitionBy("column").orderBy(order, "__r"))
-    samples = (
-        df.select(col(row_id).alias("__r"), *[non_nan(col(c)).alias(c) for c in columns])
-        .unpivot(["__r"], [col(c) for c in columns], "column", "value")
-        .where("value IS NOT NULL")
-        .withColumn("__place", place)
-        .where(F.col("__place") <= rows)
-        .select("column", "value")
+    # A top-n per column: a task holds that many rows at most, where ranking rows would sort all it reads.
+    samples = reduce(
+        DataFrame.unionAll,
+        [
+            hash_sample(values.where("value IS NOT NULL"), "__r", rows).select("column", "value")
+            for values in (
+                df.select(col(row_id).alias("__r"), F.lit(c).alias("column"), non_nan(col(c)).alias("value"))
+                for c in columns
+            )
+        ],
     )
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -59,6 +60,22 @@ def test_normality(spark):
     assert jb["n"]["p_value"] > 0.01 and jb["e"]["p_value"] < 1e-6
 
 
+def test_normality_takes_the_first_rows_in_hash_order_without_sorting_all(spark, capsys):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), None if i % 3 else float(b)) for i, (a, b) in enumerate(zip(rng.normal(size=700), rng.exponential(size=700)))]
+    df = spark.createDataFrame(rows, "__row_id long, n double, e double").repartition(5)
+    order = sorted(rows, key=lambda r: hashlib.md5(f"42:{r[0]}".encode()).hexdigest())
+    tested = D.normality(df, ["n", "e"], rows=60)
+    got = {r["column"]: (r["sample_size"], r["statistic"]) for r in tested.collect()}
+    for k, c in ((1, "n"), (2, "e")):
+        first = [r[k] for r in order if r[k] is not None][:60]
+        assert got[c] == (60, pytest.approx(D.shapiro_wilk(np.array(first))[0], rel=1e-12))
+    capsys.readouterr()
+    tested.explain()
+    plan = capsys.readouterr().out
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
 def likelihood(kind, x, p):
     if kind == "box_cox":
         y, slope = (np.log(x) if p == 0 else (x**p - 1) / p), np.log(x).sum()
