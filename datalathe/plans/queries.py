@@ -874,9 +874,9 @@ def replay_all(spark, folder):
 
 @query("csv_quoted_split")
 def csv_quoted_split(spark, folder):
-    """Texts with line breaks in one file, read in splits far smaller than it."""
+    """Texts with line breaks in files as large as tasks write them, read in splits far smaller than these."""
     path = f"{fresh_path(spark, 'quoted')}/documents.csv"
-    write_csv(table(spark, folder, "documents").coalesce(1).withColumnRenamed("doc_id", "number"), path, row_id=None)
+    write_csv(table(spark, folder, "documents").withColumnRenamed("doc_id", "number"), path, row_id=None)
     size, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set(size, "256k")
     try:

@@ -94,3 +94,21 @@ def test_a_scan_planned_anew_is_noticed(spark, tmp_path, split_at):
     split_at(700)
     with pytest.raises(Exception, match="ChangedSplits"):
         quoted.records(quoted.lines(spark, str(path)), starts).count()
+
+
+def test_the_split_query_writes_with_all_tasks(spark, tmp_path, monkeypatch):
+    from datalathe.plans import queries
+
+    texts = [(i, f'line {i}\n"quoted", and more\n' * 3, "en", "web", 0) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    parts, write = [], queries.write_csv
+    monkeypatch.setattr(queries, "write_csv", lambda d, *a, **k: (parts.append(d.rdd.getNumPartitions()), write(d, *a, **k)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task per file
+    try:
+        found = queries.QUERIES["csv_quoted_split"](spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert parts == [4]
+    assert sorted((r["number"], r["chars"]) for r in found.collect()) == [(i, len(t)) for i, t, *_ in texts]
