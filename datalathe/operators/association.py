@@ -12,7 +12,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -311,85 +310,75 @@ def discordant(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def _cross_blocks(pdf: pd.DataFrame) -> float:
-    """Discordant weight between points that differ in both blocks, from block counts alone."""
-    return discordant(pdf["bx"].to_numpy(), pdf["by"].to_numpy(), pdf["w"].to_numpy())
-
-
 def discordant_pairs(points: DataFrame, leaf: int = LEAF_POINTS, blocks: int = BLOCKS) -> DataFrame:
     """``(pair, d)`` from ``(pair, x, y, w)``, for any number of points per pair.
 
     A group that fits one task is counted there. A larger one is cut into blocks of x
-    and of y. Point pairs in different blocks of both need only block counts; pairs
-    sharing an x block, plus pairs sharing a y block, minus pairs sharing both, are
-    smaller groups handled the same way. A value that fills a block alone has no
-    discordant pairs in it and is left out, so hot values end at once.
+    and of y. Point pairs in different blocks of both need only block counts. Those in one x block
+    and different y blocks are discordant as the numbers of their y blocks are, and those in one y block as their values
+    are: smaller groups handled the same way. A value that is a border is a block alone, without
+    discordant pairs in it, and is left out, so hot values end at once. Borders decide about sizes only, not about the count.
     """
     schema = "pair int, d double"
 
-    def leaf_count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = discordant(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({"pair": [key[0]], "d": [d * pdf["sign"].iloc[0]]})
-
-    def cell_count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pair": [key[0]], "d": [_cross_blocks(pdf) * pdf["sign"].iloc[0]]})
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        d = discordant(*(table.column(c).to_numpy() for c in "xyw"))
+        return pa.table({"pair": pa.array([key[0].as_py()], pa.int32()), "d": pa.array([d], pa.float64())})
 
-    current = points.select("pair", F.lit("").alias("gid"), F.lit(1.0).alias("sign"), "x", "y", "w")
+    current = points.select("pair", F.lit("").alias("gid"), "x", "y", "w")
     results = []
     while True:
         sizes = current.groupBy("pair", "gid").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.agg(F.max("size").alias("m")).first()["m"]
-        if largest is None or largest <= leaf:
-            results.append(current.groupBy("pair", "gid").applyInPandas(leaf_count, schema))
+        large = [(r["pair"], r["gid"]) for r in sizes.where(F.col("size") > leaf).collect()]  # their number is bounded by points div leaf
+        if not large:
+            results.append(current.groupBy("pair", "gid").applyInArrow(count, schema))
             break
-        tagged = current.join(sizes, ["pair", "gid"])
-        results.append(
-            tagged.where(F.col("size") <= leaf)
-            .drop("size")
-            .groupBy("pair", "gid")
-            .applyInPandas(leaf_count, schema)
-        )
-        large = tagged.where(F.col("size") > leaf)
-        for axis in ("x", "y"):
-            large = large.join(_blocks(large, axis, blocks), ["pair", "gid", axis])
-        cells = large.groupBy("pair", "gid", "bx", "by").agg(F.sum("w").alias("w"), F.first("sign").alias("sign"))
-        results.append(cells.groupBy("pair", "gid").applyInPandas(cell_count, schema))
-        wide_x, wide_y = ~F.col("hx"), ~F.col("hy")
-
-        def child(label: Column, sign: float) -> list:
-            return ["pair", F.concat_ws("/", "gid", label).alias("gid"), (F.col("sign") * sign).alias("sign"), "x", "y", "w"]
-
-        bx, by = F.concat(F.lit("x"), "bx"), F.concat(F.lit("y"), "by")
+        mark = current.sparkSession.createDataFrame(large, current.select("pair", "gid").schema)
+        results.append(current.join(F.broadcast(mark), ["pair", "gid"], "left_anti").groupBy("pair", "gid").applyInArrow(count, schema))
+        # Written out because two kinds of smaller groups and the cells are made of it.
+        cut = cut_lineage(_in_blocks(current.join(F.broadcast(mark), ["pair", "gid"]), blocks))
+        cells = cut.groupBy("pair", "gid", "bx", "by").agg(F.sum("w").alias("w"))
+        cells = cells.select("pair", "gid", F.col("bx").alias("x"), F.col("by").alias("y"), "w")
+        results.append(cells.groupBy("pair", "gid").applyInArrow(count, schema))
+        # The block in the middle of an odd number is a single value's.
+        in_x = cut.where("bx % 2 = 0").groupBy("pair", "gid", "bx", "x", "by").agg(F.sum("w").alias("w"))
         current = cut_lineage(
-            large.where(wide_x).select(*child(bx, 1.0))
-            .unionAll(large.where(wide_y).select(*child(by, 1.0)))
-            .unionAll(large.where(wide_x & wide_y).select(*child(F.concat(bx, by), -1.0)))
+            in_x.select("pair", F.concat_ws("/", "gid", F.concat(F.lit("x"), "bx")).alias("gid"), "x", F.col("by").cast("double").alias("y"), "w")
+            .unionAll(cut.where("by % 2 = 0").select("pair", F.concat_ws("/", "gid", F.concat(F.lit("y"), "by")).alias("gid"), "x", "y", "w"))
         )
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionAll(r)
-    return out.groupBy("pair").agg(F.sum("d").alias("d"))
+    return reduce(DataFrame.unionAll, results).groupBy("pair").agg(F.sum("d").alias("d"))
 
 
-def _blocks(large: DataFrame, axis: str, blocks: int) -> DataFrame:
-    """``(pair, gid, axis, b, h)``: block of each axis value, and whether it fills one alone.
+def _in_blocks(large: DataFrame, blocks: int) -> DataFrame:
+    """The points with the numbers ``bx`` and ``by`` of their blocks: odd for a border's own value, even between borders."""
+    steps = [k / blocks for k in range(1, blocks)]
+    ends = large.groupBy("pair", "gid").agg(*[F.percentile_approx(c, steps, 20 * blocks).alias(c) for c in "xy"])
+    borders = {(r["pair"], r["gid"]): [np.unique(np.array(r[c], np.float64)) for c in "xy"] for r in ends.collect()}
 
-    Values are placed by the points before them. After a value wider than a block no
-    other value starts in the same stretch, so giving it the next odd number keeps order.
-    """
-    counts = large.groupBy("pair", "gid", axis).agg(F.count(F.lit(1)).alias("cnt"), F.first("size").alias("size"))
-    keyed = counts.withColumn("group", F.concat_ws(":", F.col("pair").cast("string"), "gid"))
-    placed = running_total(keyed, "group", axis, "cnt", bounded=False)
-    width = F.ceil(F.col("size") / F.lit(blocks))
-    hot = F.col("cnt") > width
-    block = F.floor(F.col("before") / width) * 2 + hot.cast("long")
-    return placed.select("pair", "gid", axis, block.alias(f"b{axis}"), hot.alias(f"h{axis}"))
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pairs, gids = batch.column("pair").to_numpy(), batch.column("gid").dictionary_encode()
+            found = np.zeros((2, batch.num_rows), np.int32)
+            groups = pairs.astype(np.int64) * len(gids.dictionary) + gids.indices.to_numpy()
+            for g in np.unique(groups):
+                rows = groups == g
+                of = borders[int(g) // len(gids.dictionary), gids.dictionary[int(g) % len(gids.dictionary)].as_py()]
+                for k, c in enumerate("xy"):
+                    values = batch.column(c).to_numpy()[rows]
+                    found[k, rows] = np.searchsorted(of[k], values, "left") + np.searchsorted(of[k], values, "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0]), pa.array(found[1])], names=[*batch.schema.names, "bx", "by"])
+
+    rows = large.select("pair", "gid", "x", "y", "w")
+    return rows.mapInArrow(work, "pair int, gid string, x double, y double, w long, bx int, by int")
 
 
 def kendall(df: DataFrame, columns: list[str], leaf: int = LEAF_POINTS, blocks: int = BLOCKS) -> DataFrame:
     """Tau-b per pair, exact, from joint counts."""
     pairs = pair_columns(columns)
-    joint = joint_counts(df, pairs)
+    # Written once, as five aggregates read it.
+    joint = cut_lineage(joint_counts(df, pairs))
 
     def tied(c: Column) -> Column:
         c = c.cast("double")

@@ -188,3 +188,21 @@ def test_spearman_of_forty_columns_joins_ranks_once(spark, monkeypatch, points):
     assert len(got) == 780
     for (a, b), r in got.items():
         assert r == pytest.approx(expected.loc[a, b], abs=1e-9)
+
+
+def test_points_of_a_large_group_are_written_twice_at_most_and_counted_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    n = 3000
+    x, y = rng.integers(0, 900, n).astype(float), np.round(rng.normal(size=n), 2)
+    x[:700], y[500:900] = 5.0, 0.5  # hot values
+    points = {}
+    for a, b in zip(x.tolist(), y.tolist()):
+        points[a, b] = points.get((a, b), 0) + 1
+    rows = [(0, a, b, w) for (a, b), w in points.items()] + [(1, float(i), float(-i), 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "pair int, x double, y double, w long").repartition(3)
+    written, cut = [], A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda d: (written.append((out := cut(d)).count()), out)[1])
+    found = {r["pair"]: r["d"] for r in A.discordant_pairs(frame, leaf=400, blocks=3).collect()}
+    px, py, w = (np.array(v) for v in zip(*[r[1:] for r in rows if r[0] == 0]))
+    assert found == {0: A.discordant(px, py, w), 1: 4.0 * 40 * 39 / 2}
+    assert len(written) > 2 and max(written[:2]) <= 2 * len(points)
