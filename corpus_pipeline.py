@@ -21,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by 0.8 or more of their 5-word shingles."""
+    """Keeps one document of each group linked by 0.8 or more of their 5-word shingles: Golay keys first, then a prefix filter."""
     return shingles.deduplicated(docs)
 
 

@@ -4,7 +4,11 @@ Words are stretches without white space, A-Z in lower case; a text's set holds t
 distinct ``width``-word shingles (a shorter text is one shingle, a text without words has the
 empty set). Word hashes are XXH64, mixed into 64-bit shingle hashes. Texts with equal sets are one node.
 
-Candidates come from a prefix filter. All shingles have one order; of a set of n, a partner with
+First candidates come from ``simhash``: a set's fingerprint has the bits that over half of its hashes have, and keys of the Golay
+code find all fingerprints within two bits. Nodes with one fingerprint meet the least of them, linked fingerprints meet through their least
+nodes, and all are verified on the sets. That finds near copies of long texts; most pairs at the threshold differ in more bits.
+
+The others come from a prefix filter. All shingles have one order; of a set of n, a partner with
 similarity t shares at least ceil(t n), so the first n - ceil(t n) + 1 of both sets hold their first
 common shingle. The order is that of the hashes, except that shingles which a sample shows to be
 frequent come last, the most frequent at the very end. Any order finds every pair; this one keeps
@@ -39,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datalathe.llm.common import map_arrow, payloads, row_struct, sliced, with_fields
+from datalathe.llm import simhash
 from datalathe.llm.components import components
 from datalathe.session import cut_lineage
 
@@ -50,6 +55,9 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 32, 4, 200_000
 #: Pairs across components under a shingle, for each of its nodes, that are few enough to verify them all.
 DIRECT = 32
 
+#: Up to so many dropped rows are broadcast, so that the texts of the others stay where they are.
+DROPPED = 1_000_000
+
 #: Least bits of a sketch. Bits of the filter for nodes whose sets are wanted, for each such node and at most.
 SKETCH, WANTED_BITS, WANTED_MOST = 64, 16, 1 << 26
 
@@ -106,27 +114,29 @@ def differing_bits(x: bytes, y: bytes) -> int:
 
 
 def _with_sets(df: DataFrame, text: str, carried: str, width: int, threshold: Fraction) -> DataFrame:
-    """The input with ``node`` (hash of the text's set), ``size``, ``sketch`` and ``keys`` (its prefix) of the set."""
+    """The input with ``node`` (hash of the text's set), ``size``, ``sketch``, ``fingerprint`` and ``keys`` (its prefix) of the set."""
     kept = df.columns
     frequent, ranks = _frequent(df.select(F.col(carried).getField(text).cast("string").alias("text")), width)
 
     def work(batches):
         for batch in sliced(batches, 200):
-            nodes, sizes, sketches, keys = [], [], [], []
+            nodes, sizes, sketches, prints, keys = [], [], [], [], []
             for data in payloads(batch.column(carried).field(text)):
                 own = shingle_set(data, width)
                 nodes.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes()))
                 sizes.append(len(own))
                 sketches.append(sketch(own))
+                prints.append(simhash.majority(own))
                 keys.append(prefix(own, frequent, ranks, threshold).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
             yield {c: batch.column(c) for c in kept} | {
                 "node": np.array(nodes, np.uint64).view(np.int64), "size": sizes, "sketch": sketches,
+                "fingerprint": np.array(prints, np.uint64).view(np.int64),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
             }
 
-    return map_arrow(df, work, with_fields(df.schema, "node long, size long, sketch binary, keys array<long>"))
+    return map_arrow(df, work, with_fields(df.schema, "node long, size long, sketch binary, fingerprint long, keys array<long>"))
 
 
 def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +176,7 @@ class _Sets:
         self.rows, self.text, self.width, self.threshold = rows.where("size > 0"), text, width, threshold
         # One row of each node, by its number, so that copies neither count as partners nor move twice.
         self.firsts = cut_lineage(self.rows.groupBy("node").agg(F.min("number").alias("number")).select("number"))
-        self.nodes = cut_lineage(self.first_rows("number", "node", "size", "sketch"))
+        self.nodes = cut_lineage(self.first_rows("number", "node", "size", "sketch", "fingerprint"))
         self.held = rows.sparkSession.createDataFrame([], "node long, set binary")
 
     def first_rows(self, *columns: str) -> DataFrame:
@@ -275,16 +285,28 @@ def _near(sets: _Sets) -> DataFrame:
     return cut_lineage(by_size.join(held(by_size), "key").select(*some.columns))
 
 
+def _alike_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or within two bits, enough to connect all of these."""
+    least = cut_lineage(nodes.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    copies = nodes.join(least, "fingerprint").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    a, b = (least.select(F.col("fingerprint").alias(s), F.col("least").alias(f"{s}_node")) for s in "ab")
+    near = simhash.links(least).join(a, "a").join(b, "b")
+    return copies.unionAll(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))).distinct()
+
+
 def links(rows: DataFrame, text: str, width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between nodes, enough to connect all pairs at the threshold."""
     sets = _Sets(rows, text, width, threshold)
+    first = cut_lineage(_alike_prints(sets.nodes))
+    early = sets.verified(first)
     near = _near(sets)
     hubs = near.groupBy("key").agg(F.min(F.struct("place", "size", "node")).alias("hub"))
     hubs = hubs.select("key", F.col("hub.node").alias("h"), F.col("hub.size").alias("h_size"), F.col("hub.place").alias("h_place"))
     met = near.join(hubs, "key").withColumns({"n": F.col("node"), "n_size": F.col("size"), "n_place": F.col("place")})
     met = met.where((F.col("n") != F.col("h")) & _room("n", "h", threshold))
     tested = cut_lineage(met.select(F.least("n", "h").alias("a"), F.greatest("n", "h").alias("b")).distinct())
-    found = sets.verified(tested)
+    found = early.unionAll(sets.verified(tested.join(first, ["a", "b"], "left_anti")))
+    tested = tested.unionAll(first)
     label = F.coalesce("component", "node").alias("label")
     labelled = cut_lineage(near.join(components(found), "node", "left").select(*near.columns, label))
     whole = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
@@ -325,4 +347,7 @@ def deduplicated(
     lowest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     joined = rows.select("number", "id", "node").join(labelled.drop("least").join(lowest, "component"), "node")
     first = joined.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("number").alias("number"))
-    return rows.join(first, "number", "left_semi").select("row.*")
+    dropped = cut_lineage(rows.select("number").join(first, "number", "left_anti"))
+    if dropped.count() <= DROPPED:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, "number", "left_anti").select("row.*")

@@ -55,7 +55,11 @@ def fingerprint(data: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> in
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         shingles = [joined[i:j] for i, j in zip(starts[: -width + 1 or None].tolist(), ends[width - 1 :].tolist())]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     set_ = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

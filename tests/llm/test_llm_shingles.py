@@ -129,3 +129,28 @@ def test_links_of_classes_hold_for_all_members(spark, monkeypatch):
     lowest, groups = _lowest(docs.collect())
     found = [r["doc_id"] for r in shingles.deduplicated(docs).collect()]
     assert len(found) == groups and set(found) == lowest
+
+
+def test_golay_keys_of_fingerprints_find_near_copies_before_the_prefix_filter(spark, monkeypatch):
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    texts += [texts[0], "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    monkeypatch.setattr(shingles, "_near", lambda sets: spark.createDataFrame([], "key long, node long, size int, place int"))
+    prints = [shingles.simhash.majority(shingles.shingle_set(t.encode())) for t in texts[:60]]
+    within = [i for i in range(0, 60, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2]
+    assert len(within) > 10
+    found = {r["doc_id"] for r in shingles.deduplicated(docs).collect()}
+    assert found == set(range(62)) - {i + 1 for i in within} - {60}
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_dropped_rows_joined_and_broadcast_give_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(shingles, "DROPPED", most)
+    docs = _corpus(spark)
+    lowest, groups = _lowest(docs.collect())
+    found = [r["doc_id"] for r in shingles.deduplicated(docs).collect()]
+    assert len(found) == groups and set(found) == lowest
