@@ -177,7 +177,8 @@ class _Sets:
         # One row of each node, by its number, so that copies neither count as partners nor move twice.
         self.firsts = cut_lineage(self.rows.groupBy("node").agg(F.min("number").alias("number")).select("number"))
         self.nodes = cut_lineage(self.first_rows("number", "node", "size", "sketch", "fingerprint"))
-        self.held = rows.sparkSession.createDataFrame([], "node long, set binary")
+        # An empty list of rows would be a Python RDD, and every read of the sets would start its workers.
+        self.held = rows.sparkSession.range(0).select(F.col("id").alias("node"), F.lit(None).cast("binary").alias("set"))
 
     def first_rows(self, *columns: str) -> DataFrame:
         return self.rows.select("number", *columns).join(self.firsts, "number", "left_semi").select(*columns)

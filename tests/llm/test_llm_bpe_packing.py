@@ -48,6 +48,15 @@ def test_stretches_and_memo_do_not_change_ids(coder, monkeypatch):
     assert coder.decode(np.array(whole, np.uint32)) == text
 
 
+def test_a_smaller_memo_holds_fewer_fragments_and_gives_the_same_ids(coder):
+    small = bpe.codec(byte_bpe(), 5)
+    text = " ".join(f"word{i}" for i in range(300)).encode()
+    assert coder is not small and [small.encode(text).tolist() for _ in range(3)] == [coder.encode(text).tolist()] * 3
+    for i in range(100):
+        small.encode(f"a{i} b{i} c{i}".encode())
+    assert len(small._words) <= 7 and len(small._words.older) <= 7
+
+
 def test_the_quick_merges_equal_the_model(coder):
     assert coder._quick is not None
     rnd = random.Random(4)

@@ -1,10 +1,19 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import random
+
 import duckdb
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from datalathe.llm import shingles
+from datalathe.llm.common import map_arrow
 from datalathe.llm.queries import ORACLES, QUERIES
+from datalathe.session import cut_lineage
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -45,3 +54,34 @@ def test_pipeline_on_awkward_rows(spark, corpus, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER).cache()
         assert docs.count() >= 0
+
+
+def test_a_stage_and_what_reads_its_rows_run_in_small_batches(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = (rnd.randbytes(2000).hex(" ", 4) for _ in range(2500))
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    settings = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size"]
+    before = {s: spark.conf.get(s, None) for s in settings}
+    try:
+        spark.conf.set(settings[1], 256)
+        kept = corpus_pipeline.quality_rules(spark, docs, "")
+        sizes = map_arrow(kept.select("doc_id"), lambda batches: ({"n": [b.num_rows]} for b in batches), "n int")
+        found = [r["n"] for r in sizes.collect()]
+        kept.write.parquet(str(tmp_path / "kept"))
+        assert spark.conf.get(settings[1]) == "256", "a smaller setting stays"
+    finally:
+        for s, value in before.items():
+            if value is None:
+                spark.conf.unset(s)
+            else:
+                spark.conf.set(s, value)
+    assert sum(found) == 2500 and max(found) <= 1000
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "kept").glob("*.parquet")]
+    assert max(f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) < 2500
+
+
+def test_sets_that_are_not_there_need_no_python_rows(spark, corpus):
+    rows = cut_lineage(corpus.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")))
+    sets = shingles._Sets(cut_lineage(shingles._with_sets(rows, "text", "row", 5, shingles.THRESHOLD)), "text", 5, shingles.THRESHOLD)
+    assert sets.held.count() == 0 and sets.held.dtypes == [("node", "bigint"), ("set", "binary")]
+    assert "ExistingRDD" not in sets.held._jdf.queryExecution().toString()
